@@ -115,7 +115,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = work.keep(fingerprints(docs, id_col, text_col, prime), "prints")
     key = ["n_bytes", "f0", "f1"]
     groups = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
-    shared = groups.where("rows > 1").drop("rows")
+    # Written on its own, so that Spark can split a hot group's side of the join.
+    shared = work.keep(groups.where("rows > 1").drop("rows"), "shared")
     members = work.keep(prints.join(shared, key).select("doc_id", *key).distinct(), "members")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # Chunks are cut by characters, at the same places in equal texts.
@@ -130,6 +131,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exact = prints.join(differ, key, "left").withColumn("part", F.when(F.col("differs"), F.col("text_sha256")).otherwise(F.lit("")))
     exact = exact.select("doc_id", *key, "part", "text_sha256")
     kept = exact.groupBy(*key, "part").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    kept = work.keep(kept, "kept")
     return exact.join(kept, [*key, "part"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

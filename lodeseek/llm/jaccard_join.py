@@ -17,7 +17,9 @@ are found in rounds that never emit the pairs of a group:
 * posting lists whose members are all in one component are done;
 * the last round compares, in the lists that remain, each member outside the
   list's largest component with the members of other components. Only this
-  round is needed for exactness; the star rounds leave it little to do.
+  round is needed for exactness; the star rounds leave it little to do. In a
+  long list a bitmap of each set, in which two sets differ in no more bits than
+  in shingles, drops a pair that cannot reach the threshold inside the join.
 """
 
 from __future__ import annotations
@@ -41,8 +43,11 @@ BLOCK = 1 << 12
 VERIFY_COST = 40.0
 LONGEST = 32
 #: Star rounds stop when the inter-component pairs left are fewer than this many a posting, or after so many rounds.
-FEW_PAIRS = 0.5
+FEW_PAIRS = 2.0
 ROUNDS = 4
+#: 64-bit words of a set's bitmap, and how long a list must be for its members to carry it.
+BITMAP = 8
+LONG_LIST = 32
 
 
 def _sets(batch: pa.RecordBatch, hasher: WordHasher, k: int) -> Iterator[np.ndarray]:
@@ -55,39 +60,42 @@ def _sets(batch: pa.RecordBatch, hasher: WordHasher, k: int) -> Iterator[np.ndar
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, sig0, sig1): the set's size and a 128-bit hash of the set."""
+    """(doc_id, n_shingles, sig0, sig1) of each row: the set's size and a 128-bit hash of the set.
+
+    Each task adds rows (block, counts) of its shingle counts, the others null:
+    one pass over the texts gives both.
+    """
+    size = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, counts = WordHasher(), np.zeros(size, np.int64)
         for batch in batches:
             n, s0, s1 = [], [], []
             for x in _sets(batch, hasher, k):
                 n.append(len(x))
                 s0.append(x.sum(dtype=np.uint64))
                 s1.append(mix(x).sum(dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(longs(np.array(s0, np.uint64))), pa.array(longs(np.array(s1, np.uint64)))], names=["doc_id", "n_shingles", "sig0", "sig1"])
+                np.add.at(counts, (x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(longs(np.array(s0, np.uint64))), pa.array(longs(np.array(s1, np.uint64)))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], schema=_SIGNED)
+        blocks = counts.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(1))
+        nulls = [pa.nulls(len(used), pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([*nulls, pa.array(used, pa.int32()), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in used], pa.binary())], schema=_SIGNED)
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig0 long, sig1 long, block int, counts binary")
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig0 long, sig1 long")
 
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig0", pa.int64()), ("sig1", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
-def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
+
+def count_sketch(signed: DataFrame) -> np.ndarray:
     """Quarter-log2 counts of the shingles of all documents by the top bits of their hash, one byte each.
 
     The size is fixed, so it can be broadcast whatever the corpus. Counts of
     different shingles may share a counter: that changes the order of shingles,
     and so the work, but no result.
     """
-    size = 1 << SKETCH_BITS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts = WordHasher(), np.zeros(size, np.int64)
-        for batch in batches:
-            found = list(_sets(batch, hasher, k))
-            if found:
-                counts += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
-        blocks = counts.reshape(-1, BLOCK)
-        used = np.flatnonzero(blocks.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in used], pa.binary())], names=["block", "counts"])
 
     def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BLOCK, np.int64)
@@ -97,8 +105,8 @@ def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
         logs = np.round(4 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([logs.tobytes()], pa.binary())], names=["block", "counts"])
 
-    sums = docs.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(total, "block int, counts binary")
-    out = np.zeros((size // BLOCK, BLOCK), np.uint8)
+    sums = signed.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(total, "block int, counts binary")
+    out = np.zeros(((1 << SKETCH_BITS) // BLOCK, BLOCK), np.uint8)
     for row in sums.collect():  # 2**SKETCH_BITS bytes at most
         out[row.block] = np.frombuffer(row.counts, np.uint8)
     return out.reshape(-1)
@@ -144,17 +152,23 @@ def prefixes(docs: DataFrame, k: int, percent: int, logs: np.ndarray) -> DataFra
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles) with each row's sorted distinct shingle hashes."""
+    """(doc_id, shingles, bits) with each row's sorted distinct shingle hashes and their bitmap."""
+
+    def bitmap(x: np.ndarray) -> np.ndarray:
+        bits = np.zeros(BITMAP * 64, np.uint8)
+        bits[(x % np.uint64(BITMAP * 64)).astype(np.int64)] = 1
+        return np.packbits(bits, bitorder="little").view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                found = [longs(x) for x in _sets(part, hasher, k)]
-                yield pa.RecordBatch.from_arrays([part.column(0), lists(np.concatenate(found), np.cumsum([len(x) for x in found]), pa.int64())], names=["doc_id", "shingles"])
+                found = list(_sets(part, hasher, k))
+                bits = np.concatenate([bitmap(x) for x in found])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(longs(np.concatenate(found)), np.cumsum([len(x) for x in found]), pa.int64()), lists(bits, np.arange(1, len(found) + 1) * BITMAP, pa.int64())], names=["doc_id", "shingles", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.mapInArrow(run, "doc_id long, shingles array<long>, bits array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -169,7 +183,7 @@ def _possible(n0: str, n1: str, percent: int):
     return F.least(n0, n1) * 100 >= F.greatest(n0, n1) * percent
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", min_shared: bool = True) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Two documents link when 100 * |x & y| >= percent * |x | y| for their sets of
@@ -185,22 +199,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = work.keep(signatures(source, k), "signed")
     key = ["n_shingles", "sig0", "sig1"]
-    known = signed.where("doc_id is not null and n_shingles > 0")
+    rows = signed.where("block is null")
+    known = rows.where("doc_id is not null and n_shingles > 0")
     classes = work.keep(known.groupBy(*key).agg(F.min("doc_id").alias("doc_id")), "classes")
     twins = known.join(classes.withColumnRenamed("doc_id", "a"), key).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
-    links = _class_links(source, classes.select("doc_id").distinct(), k, percent, work)
+    links = _class_links(source, classes.select("doc_id").distinct(), count_sketch(signed), k, percent, work)
     roots = components(links.unionByName(twins), work)
-    out = signed.join(roots, signed.doc_id == roots.node, "left")
+    out = rows.join(roots, rows.doc_id == roots.node, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _class_links(source: DataFrame, classes: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame:
+def _class_links(source: DataFrame, classes: DataFrame, logs: np.ndarray, k: int, percent: int, work: Workspace, log=None) -> DataFrame:
     """Links (a, b) that join all classes which links connect."""
-    logs = count_sketch(source, k)
     heads = prefixes(source, k, percent, logs).join(classes, "doc_id", "left_semi")
     postings = heads.select("doc_id", "n", "l", F.explode("tokens").alias("token"))
     postings = work.keep(postings, "postings")
-    common = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    common = work.keep(postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "common")
     shared = postings.join(common, "token")
     shared = work.keep(shared, "shared_all")
     work.drop("postings")
@@ -209,7 +223,7 @@ def _class_links(source: DataFrame, classes: DataFrame, k: int, percent: int, wo
     shared = work.keep(shared.join(central, "doc_id"), "shared")
     work.drop("shared_all")
     members = shared.select("doc_id").distinct()
-    sets = work.keep(shingle_sets(source.join(members.hint("shuffle_hash"), "doc_id", "left_semi"), k), "sets")
+    sets = work.keep_bucketed(shingle_sets(source.join(members.hint("shuffle_hash"), "doc_id", "left_semi"), k), "sets", "doc_id")
     empty = source.sparkSession.createDataFrame([], "a long, b long")
     links, left, size = empty, shared.withColumn("root", F.col("doc_id")), None
     for step in range(ROUNDS):
@@ -221,15 +235,26 @@ def _class_links(source: DataFrame, classes: DataFrame, k: int, percent: int, wo
         pairs = pairs.where(_possible("n", "pn", percent)).groupBy(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("l").alias("l")).where("c >= l")
         links = work.keep(links.unionByName(_verified(pairs, sets, percent)), f"links_{step}")
         left, pairs_left, rows_left = _unfinished(shared, links, work, step)
+        if log:
+            log(step, pairs_left, rows_left)
         if pairs_left <= FEW_PAIRS * rows_left or (size is not None and pairs_left > 0.9 * size):
             break
         size = pairs_left
     # Exact: every pair of different components in a list, met from the member outside the largest.
+    long, words = left.where(F.col("all") > LONG_LIST), [f"w{i}" for i in range(BITMAP)]
+    maps = sets.join(long.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", *(F.col("bits")[i].alias(w) for i, w in enumerate(words)))
+    left = long.join(maps, "doc_id").unionByName(left.where(F.col("all") <= LONG_LIST).withColumns({w: F.lit(None).cast("long") for w in words}))
+    left = work.keep(left.select("token", "doc_id", "n", "l", "root", "largest", *words), "left")
     x, y = left.where("not largest").alias("x"), left.alias("y")
-    pairs = x.join(y, F.col("x.token") == F.col("y.token")).where("x.root <> y.root and (y.largest or x.doc_id < y.doc_id)").where(_possible("x.n", "y.n", percent))
-    pairs = pairs.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("x.l", "y.l")).alias("l"))
-    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("c").alias("c"), F.min("l").alias("l")).where("c >= l")
-    return work.keep(links.unionByName(_verified(pairs, sets, percent)), "links")
+    differ = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words[1:]), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
+    # 100 * |x & y| >= percent * |x | y| leaves at most (100 - percent) / (100 + percent) of all shingles unshared.
+    near = F.coalesce(differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent), F.lit(True))
+    met = F.expr("x.token = y.token and x.root <> y.root and (y.largest or x.doc_id < y.doc_id)")
+    pairs = x.join(y, met & _possible("x.n", "y.n", percent) & near)
+    pairs = pairs.groupBy(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("x.l", "y.l")).alias("l")).where("c >= l")
+    links = work.keep(links.unionByName(_verified(pairs, sets, percent)), "links")
+    work.drop("sets")
+    return links
 
 
 def _unfinished(shared: DataFrame, links: DataFrame, work: Workspace, step: int) -> tuple[DataFrame, int, int]:
@@ -241,7 +266,7 @@ def _unfinished(shared: DataFrame, links: DataFrame, work: Workspace, step: int)
     lists_ = parts.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within")).where("parts > 1")
     lists_ = work.keep(lists_.select("token", F.col("most.root").alias("main"), ((F.col("all") * F.col("all") - F.col("within")) / 2).alias("pairs"), "all"), f"lists_{step}")
     counts = lists_.agg(F.sum("pairs"), F.sum("all")).first()
-    left = rooted.join(lists_.select("token", "main"), "token").withColumn("largest", F.col("root") == F.col("main"))
+    left = rooted.join(lists_.select("token", "main", "all"), "token").withColumn("largest", F.col("root") == F.col("main"))
     return left, counts[0] or 0, counts[1] or 0
 
 

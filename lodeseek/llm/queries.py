@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join
+from . import decontaminate, exact_dedup, jaccard_join, language_id, packing, token_store
+from .shared import Workspace
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +22,30 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_documents(spark, sf_dir), k=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_jaccard_join)}
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = language_id.fit(docs.where(~held_out))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark).path("tokens")
+    token_store.write_tokens(_documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.read_tokens(spark, path)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.leaked(_documents(spark, sf_dir), benchmark)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_jaccard_join, op3_best_fit_packing, op6_language_id, op9_token_store, op10_decontamination)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""

@@ -6,6 +6,7 @@ executor can read, so a lost executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -20,6 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: All ASCII bytes but letters and digits: words between them carry no punctuation.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _SEGMENT = 1 << 20
 
@@ -37,7 +41,7 @@ class Workspace:
     """Named Parquet tables of one run of an operator."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, shared_dir(spark)
+        self.spark, self.root, self.tables = spark, shared_dir(spark), {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -45,12 +49,28 @@ class Workspace:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: its lineage ends here."""
         df.write.mode("overwrite").parquet(self.path(name))
+        self._release()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep_bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
+        """Like ``keep``, bucketed by a column: joins on it do not shuffle this table."""
+        table, parts = f"lodeseek_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(parts, by).write.bucketBy(parts, by).option("path", self.path(name)).saveAsTable(table)
+        self.tables[name] = table
+        self._release()
+        return self.spark.table(table)
+
+    def _release(self) -> None:
+        """Shuffle files of finished steps go once the driver has collected what refers to them."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark._jvm
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE {self.tables.pop(name)}")
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
@@ -89,7 +109,8 @@ class WordHasher:
     space, so memory does not grow with the text.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, separators: np.ndarray = WHITE) -> None:
+        self.separators = separators
         values = mix(np.arange(1, 257, dtype=np.uint64) * _ROOT)
         values[65:91] = values[97:123]
         self.values = values
@@ -110,7 +131,7 @@ class WordHasher:
         begins[offsets] = True
         while at < n:
             end = min(n, at + _SEGMENT)
-            while end < n and not WHITE[data[end]] and not begins[end]:
+            while end < n and not self.separators[data[end]] and not begins[end]:
                 end += 1
             parts.append(self._segment(data[at:end], begins[at : end + 1], at))
             at = end
@@ -120,7 +141,7 @@ class WordHasher:
     def _segment(self, data: np.ndarray, begins: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(data)
         self._grow(max(n + 1, _SEGMENT + 1))
-        solid = ~WHITE[data]
+        solid = ~self.separators[data]
         first, last = solid.copy(), solid.copy()
         first[1:] &= ~solid[:-1] | begins[1:n]
         last[:-1] &= ~solid[1:] | begins[1:n]
