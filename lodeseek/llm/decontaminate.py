@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +141,16 @@ def _word_hashes(column: pa.Array, hasher: WordHasher) -> Iterator[np.ndarray]:
             yield h[i:j]
 
 
+def _blocks(benchmark: DataFrame, least: int, item_col: str, item_text: str) -> Iterator[Broadcast]:
+    """The benchmark's items, ``BROADCAST_BYTES`` of text at a time."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BROADCAST_BYTES))
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], least))
+
+
 def leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, n_words, tiles) of each document row and item it leaks.
 
@@ -148,15 +159,9 @@ def leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     item of fewer than ``least`` words is looked for whole. Repeated rows give
     repeated results. Empty tables give an empty result.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BROADCAST_BYTES))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        cast = spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], least))
+    for cast in _blocks(benchmark, least, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
             items, hasher = cast.value, WordHasher(PUNCTUATION)
@@ -176,7 +181,16 @@ def leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("n_words", pa.int32()), ("tiles", pa.list_(pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("words", pa.int32())])))])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that leak no item, with all their columns; a null doc_id leaks nothing."""
-    found = leaked(docs, benchmark, threshold, least, id_col, text_col).select(F.col("doc_id").alias("__leaks")).distinct()
-    return docs.join(found.hint("shuffle_hash"), docs[id_col] == found["__leaks"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that leak no item."""
+    schema = docs.select(F.struct("*").alias("row")).schema
+    for cast in _blocks(benchmark, least, item_col, item_text):
+
+        def run(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
+            items, hasher = cast.value, WordHasher(PUNCTUATION)
+            for batch in batches:
+                keep = [next(items.leaks(words, threshold), None) is None for words in _word_hashes(batch.column(0), hasher)]
+                yield pa.RecordBatch.from_arrays([batch.column(1)], names=["row"]).filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.select(F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row")).mapInArrow(run, schema).select("row.*")
+    return docs

@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import mix, slices, utf8
 
@@ -210,3 +211,25 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     if not model.languages:
         return source.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous"), F.lit(0.0).alias("margin"))
     return source.mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean, margin double")
+
+
+def known(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language can be told.
+
+    Rejected are texts that are null or have no letter, and those flagged as
+    ambiguous of which no language is more likely than all others together.
+    Without a learned language only the former are.
+    """
+    lettered = docs.where(F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
+    if not model.languages:
+        return lettered
+    cast = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = cast.value
+        for batch in batches:
+            _, p, apart = model.decode(model.margins(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([batch.column(1)], names=["row"]).filter(pa.array((p >= 0.5) | (apart >= AMBIGUOUS)))
+
+    rows = lettered.select(F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.select(F.struct("*").alias("row")).schema["row"].dataType)])).select("row.*")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, packing, token_store
+from . import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, pii, quality, token_counts, token_store
 from .shared import Workspace
 
 
@@ -34,6 +34,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_documents(spark, sf_dir))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark).path("tokens")
     token_store.write_tokens(_documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -45,7 +49,32 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaked(_documents(spark, sf_dir), benchmark)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_jaccard_join, op3_best_fit_packing, op6_language_id, op9_token_store, op10_decontamination)}
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_documents(spark, sf_dir), key="pseudonym key of the registered query")
+
+
+def edit_script(docs: DataFrame) -> DataFrame:
+    """Three edits of every document: words put in after a third, 20 characters taken out at the middle, 10 replaced at three quarters."""
+    n = F.length("text")
+    edits = F.array(
+        F.struct(F.lit(0).alias("seq"), F.floor(n / 3).cast("int").alias("at"), F.lit(0).alias("remove"), F.lit(" inserted words").alias("insert")),
+        F.struct(F.lit(1), F.floor(n / 2).cast("int"), F.lit(20), F.lit("")),
+        F.struct(F.lit(2), F.floor(n * 3 / 4).cast("int"), F.lit(10), F.lit(" 42 new\n")),
+    )
+    return docs.where("text is not null").select("doc_id", F.explode(edits).alias("e")).select("doc_id", "e.*").dropDuplicates(["doc_id", "seq"])
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return token_counts.count_edited(docs, edit_script(docs), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_documents(spark, sf_dir))
+
+
+_ALL = (op1_exact_dedup, op2_jaccard_join, op3_best_fit_packing, op4_pii, op5_token_counts, op6_language_id, op7_line_dedup, op8_quality, op9_token_store, op10_decontamination)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
