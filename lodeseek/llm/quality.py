@@ -25,18 +25,19 @@ from .shared import WHITE, WordHasher, Workspace, lists, mix, shingle_hashes, sl
 
 #: (measure, bad below, good from, good to, bad above): votes by where the measure falls, none in between.
 LABELLERS = (
-    ("words", 8, 40, np.inf, np.inf),
+    ("words", 2, 20, np.inf, np.inf),
     ("symbols", -1, -1, 0.06, 0.10),  # bytes that are neither letters, digits nor white space
     ("capitals", -1, -1, 0.15, 0.40),  # of ASCII letters
     ("fresh_trigrams", 0.5, 0.8, 2, 2),  # distinct word trigrams by word trigrams
     ("fresh_lines", 0.5, 0.9, 2, 2),
     ("word_bytes", 2.0, 3.0, 8.5, 12.0),
     ("sentences", 0.008, 0.02, 0.35, 0.6),  # full stops, question and exclamation marks by words
-    ("short_words", 0.05, 0.15, 0.8, 0.95),  # of up to three bytes
+    ("short_words", -1, 0.15, 0.8, 0.95),  # of up to three bytes
+    ("lone_symbols", -1, -1, 0.01, 0.04),  # words without a letter or digit
 )
 HASH_BITS = 12
 SAMPLE = 8000
-KEEP = 0.5
+KEEP = 0.8
 
 _KIND = np.zeros(256, np.uint8)  # 1 letter or digit, 2 capital, 4 symbol, 8 sentence end
 for _b in range(256):
@@ -62,14 +63,29 @@ def measures(column: pa.Array) -> np.ndarray:
         symbols, capitals, stops = count(kinds & 4 > 0), count(kinds & 2 > 0), count(kinds & 8 > 0)
         size = ends - starts
         short = np.diff(np.concatenate([[0], np.cumsum(size <= 3)])[first])
+        lettered = np.concatenate([[0], np.cumsum(kinds & 1 > 0)])
+        named = lettered[ends] - lettered[starts]
         total = np.diff(np.concatenate([[0], np.cumsum(size)])[first])
         words = np.diff(first)
         for k in range(b - a):
             own = h[first[k] : first[k + 1]]
             grams = shingle_hashes(own, 3)
             lines = [x for x in part[at[k] : at[k + 1]].tobytes().split(b"\n") if x]
-            w = max(int(words[k]), 1)
-            out.append((words[k], symbols[k] / max(n[k], 1), capitals[k] / letters[k], len(np.unique(grams)) / max(len(grams), 1), len(set(lines)) / max(len(lines), 1), total[k] / w, stops[k] / w, short[k] / w))
+            lone = int((named[first[k] : first[k + 1]] == 0).sum())
+            # Shares count some normal text in, so that a short text is not judged by a character or two.
+            out.append(
+                (
+                    words[k],
+                    (symbols[k] + 3) / (n[k] + 100),
+                    (capitals[k] + 3) / (letters[k] + 60),
+                    (len(np.unique(grams)) + 10) / (len(grams) + 10),
+                    (len(set(lines)) + 3) / (len(lines) + 3),
+                    (total[k] + 50) / (words[k] + 10),
+                    (stops[k] + 2) / (words[k] + 30),
+                    (short[k] + 9) / (words[k] + 30),
+                    lone / (words[k] + 30),
+                )
+            )
     return np.array(out, np.float64).reshape(-1, len(LABELLERS))
 
 
@@ -91,8 +107,8 @@ def estimate(pattern: np.ndarray, count: np.ndarray, rounds: int = 200) -> tuple
     """(posterior of good by pattern, P(vote | class) as class x labeller x vote, share of good)."""
     v = pattern[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     w = count / max(count.sum(), 1)
-    # At first, one vote against counts as much as three for: each labeller finds its own kind of fault.
-    good = 1 / (1 + np.exp(3.0 * (v == 0).sum(1) - (v == 2).sum(1)))
+    # At first, one vote against decides: each labeller looks for its own kind of fault.
+    good = 1 / (1 + np.exp(6.0 * (v == 0).sum(1) - 2.0))
     one_hot = np.eye(3)[v]
     table, share = None, 0.5
     for _ in range(rounds):

@@ -56,11 +56,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edit_script(docs: DataFrame) -> DataFrame:
     """Three edits of every document: words put in after a third, 20 characters taken out at the middle, 10 replaced at three quarters."""
     n = F.length("text")
-    edits = F.array(
-        F.struct(F.lit(0).alias("seq"), F.floor(n / 3).cast("int").alias("at"), F.lit(0).alias("remove"), F.lit(" inserted words").alias("insert")),
-        F.struct(F.lit(1), F.floor(n / 2).cast("int"), F.lit(20), F.lit("")),
-        F.struct(F.lit(2), F.floor(n * 3 / 4).cast("int"), F.lit(10), F.lit(" 42 new\n")),
-    )
+
+    def edit(seq: int, at, remove: int, insert: str):
+        return F.struct(F.lit(seq).alias("seq"), F.floor(at).cast("int").alias("at"), F.lit(remove).alias("remove"), F.lit(insert).alias("insert"))
+
+    edits = F.array(edit(0, n / 3, 0, " inserted words"), edit(1, n / 2, 20, ""), edit(2, n * 3 / 4, 10, " 42 new\n"))
     return docs.where("text is not null").select("doc_id", F.explode(edits).alias("e")).select("doc_id", "e.*").dropDuplicates(["doc_id", "seq"])
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .shared import CachedEncoder, Workspace
 
-LEAF = 256
+LEAF = 128
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
