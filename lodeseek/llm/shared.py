@@ -7,6 +7,8 @@ executor can read, so a lost executor costs a re-read and not a recomputation.
 from __future__ import annotations
 
 import gc
+import json
+import os
 import re
 import tempfile
 import uuid
@@ -55,7 +57,7 @@ class Workspace:
     def keep_bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
         """Like ``keep``, bucketed by a column: joins on it do not shuffle this table."""
         table, parts = f"lodeseek_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.repartition(parts, by).write.bucketBy(parts, by).option("path", self.path(name)).saveAsTable(table)
+        df.write.bucketBy(parts, by).option("path", self.path(name)).saveAsTable(table)
         self.tables[name] = table
         self._release()
         return self.spark.table(table)
@@ -174,82 +176,99 @@ def lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, kind))
 
 
-_ODD_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
+#: Latin letters and numbers up to U+017F; with spaces, line feeds and the marks below, the characters of which
+#: case, normal form and class are the same in Python and in the tokenizers library.
+_L, _N = "a-zA-ZªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
+_PLAIN = re.compile("[^\n\x20-\x7e¡-¬®-įı-ſ‐-‧‰-⁞]").search
+_SPLITS = {
+    "byte": re.compile(rf" ?[{_L}]+| ?[{_N}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^ \n{_L}{_N}]+|[ \n]+(?![^ \n])|[ \n]+").findall,
+    "word": re.compile(rf"[{_L}]+|[{_N}]|'s|'t|'re|'ve|'m|'ll|'d|[^ \n{_L}{_N}]+").findall,
+}
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class CachedEncoder:
     """Token ids of whole texts by the ``tokenizers`` library, equal to encoding each text as a whole.
 
-    Both supported pre-tokenizers always end a pre-token before a space or line
-    feed that follows another character than these, so the pieces between are
-    encoded on their own and remembered. A text with any rarer white space, for
-    which this need not hold, is encoded whole. ``capacity`` bounds the pieces
+    For the two pre-tokenizers that it knows, and texts of common characters
+    only, a text is split into its pre-tokens here; the library's model encodes
+    each distinct one, and its ids are remembered. Any other text, and any text
+    of another tokenizer, is encoded whole. ``capacity`` bounds the pre-tokens
     that are remembered; further ones are encoded each time.
     """
 
-    def __init__(self, path: str, capacity: int = 600_000):
-        import os
-
+    def __init__(self, path: str, capacity: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.drops_space = self.tokenizer.encode(" ", add_special_tokens=False).ids == []
-        self.split = re.compile(r"[^ \n]+" if self.drops_space else r"[ \n]*[^ \n]+|[ \n]+").findall
+        self.model, self.kind = self.tokenizer.model, self._kind()
+        self.split = _SPLITS.get(self.kind)
+        self.letters = _byte_letters()
         self.capacity, self.cache = capacity, {}
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [array("I", x.ids).tobytes() for x in encode(pieces, add_special_tokens=False)]
-
-    def pieces(self, text: str) -> list[str]:
-        """Parts of a text whose ids follow each other in the text's ids."""
-        return [text] if _ODD_SPACE.search(text) else self.split(text)
-
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Encode the pieces that are not remembered; remember them while there is room, else return them."""
-        missing = list(pieces.difference(self.cache))
-        found: dict[str, bytes] = {}
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            found.update(zip(part, self._encode(part), strict=True))
-        if len(self.cache) >= self.capacity:
-            return found
-        kept = {x: b for x, b in found.items() if len(x) <= 64}
-        self.cache.update(kept)
-        return found if len(kept) < len(found) else {}
-
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece, as little-endian unsigned 32-bit integers."""
-        rest, cache = self.learn(set(pieces)), self.cache
-        return [cache.get(x) or rest.get(x, b"") for x in pieces] if rest else list(map(cache.__getitem__, pieces))
+    def _kind(self) -> str | None:
+        spec = json.loads(self.tokenizer.to_str())
+        before, normal = spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
+        bpe = spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]
+        if bpe and not normal and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]:
+            return "byte"
+        steps, splits = normal.get("normalizers", []), before.get("pretokenizers", [])
+        if bpe and [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"]:
+            pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+            first, last = splits
+            if first["pattern"] == {"Regex": pattern} and first["behavior"] == "Removed" and first["invert"] and not last["use_regex"] and not last["add_prefix_space"]:
+                return "word"
+        return None
+
+    def _encode(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isalnum()):
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [x.id for x in self.model.tokenize(piece)]).tobytes()
+
+    def _pieces(self, text: str) -> list[str] | bytes:
+        """The text's pre-tokens, or its ids if it has to be encoded whole."""
+        if self.split is None or _PLAIN(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.split(text.lower() if self.kind == "word" else text)
 
     def encode(self, texts: list[str | None], limit: int = 2_000_000) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers; null counts as empty.
 
         Texts are taken together until they hold ``limit`` characters.
         """
-        group: list[list[str]] = []
+        group: list[list[str] | bytes] = []
         size = 0
         for text in texts:
-            group.append(self.pieces(text) if text else [])
+            group.append(self._pieces(text) if text else [])
             size += len(text or "")
             if size >= limit:
                 yield from self._group(group)
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, group: list[list[str]]) -> Iterator[bytes]:
+    def _group(self, group: list[list[str] | bytes]) -> Iterator[bytes]:
         seen: set[str] = set()
         for pieces in group:
-            seen.update(pieces)
-        rest, get = self.learn(seen), self.cache.__getitem__
-        if rest:
-            both = _Both(self.cache, rest)
-            get = both.__getitem__
+            if type(pieces) is list:
+                seen.update(pieces)
+        found = {x: self._encode(x) for x in seen.difference(self.cache)}
+        get = self.cache.__getitem__
+        if len(self.cache) < self.capacity:
+            kept = {x: b for x, b in found.items() if len(x) <= 64}
+            self.cache.update(kept)
+            found = found if len(kept) < len(found) else {}
+        if found:
+            get = _Both(self.cache, found).__getitem__
         for pieces in group:
-            yield b"".join(map(get, pieces))
+            yield b"".join(map(get, pieces)) if type(pieces) is list else pieces
 
 
 class _Both(dict):
