@@ -2,8 +2,9 @@
 
 An open sequence's gap is the room it has left. Each piece goes where the sum
 over all gaps of the squared number of open sequences with that gap becomes
-smallest, a new sequence being one of the choices. That keeps the gaps varied,
-so that later pieces find one that they fill. Pieces come in descending length.
+smallest. That keeps the gaps varied, so that later pieces find one that they
+fill. Pieces come in descending length, and a new sequence is opened where none
+has room.
 
 Pieces are dealt to partitions by a hash of their identity and packed there
 independently; a partition of ``PER_PARTITION`` pieces loses a sequence or two
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import CachedEncoder, Workspace
 
@@ -65,18 +67,15 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     counts = np.zeros(capacity + 1, np.int64)  # of open bins by gap; those without a gap are closed
     bins, offsets, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
     for i, s in enumerate(lengths.tolist()):
-        # Moving a bin from gap g to g - s changes the sum by 2 * (count[g-s] - count[g]) + 2, and by 1 less
-        # if it is then full; a new bin adds 2 * count[capacity-s] + 1.
+        # Moving a bin from gap g to g - s changes the sum by 2 * (count[g-s] - count[g]) + 2, and by 1 less if it
+        # is then full. A new bin is opened only where none has room: in descending order that takes fewer in all.
         here = counts[s:capacity]
-        gaps = np.flatnonzero(here)
-        best, change = capacity, 2 * int(counts[capacity - s]) + 1 if s < capacity else 0
+        gaps, best = np.flatnonzero(here), capacity
         if len(gaps):
             change_of = 2 * (counts[gaps] - here[gaps]) + 2
             if gaps[0] == 0:
                 change_of[0] -= 1
-            k = int(np.argmin(change_of))
-            if change_of[k] <= change:
-                best = int(gaps[k]) + s
+            best = int(gaps[np.argmin(change_of)]) + s
         if best == capacity:
             at, made = made, made + 1
         else:
@@ -91,7 +90,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 def _packed(items: DataFrame, capacity: int, parts: int, length: str, order: list[str], taken: int) -> DataFrame:
     """``items`` with (bin, place): packed within each of ``parts`` partitions; ``taken`` tells rounds' bins apart."""
-    schema = items.schema.add("bin", "long").add("place", "long")
+    schema = T.StructType([*items.schema, T.StructField("bin", T.LongType()), T.StructField("place", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x for x in batches if x.num_rows]
