@@ -35,9 +35,11 @@ LABELLERS = (
     ("short_words", -1, 0.15, 0.8, 0.95),  # of up to three bytes
     ("lone_symbols", -1, -1, 0.01, 0.04),  # words without a letter or digit
 )
-HASH_BITS = 12
-SAMPLE = 8000
-KEEP = 0.8
+HASH_BITS = 11
+SAMPLE = 6000
+KEEP = 0.75
+#: The most good documents that a labeller is taken to accuse, as a share.
+FALSE_ALARMS = 0.01
 
 _KIND = np.zeros(256, np.uint8)  # 1 letter or digit, 2 capital, 4 symbol, 8 sentence end
 for _b in range(256):
@@ -116,10 +118,14 @@ def estimate(pattern: np.ndarray, count: np.ndarray, rounds: int = 200) -> tuple
         # Prior counts, so that a labeller that never errs in the table is not taken as certain.
         table = np.einsum("cp,plv->clv", weight, one_hot) + 1e-3
         table /= table.sum(2, keepdims=True)
+        # Labellers that never meet in one document could else pass for noise of good ones.
+        excess = np.maximum(table[1, :, 0] - FALSE_ALARMS, 0)
+        table[1, :, 0] -= excess
+        table[1, :, 2] += excess
         share = min(max(float(weight[1].sum()), 0.01), 0.99)
         logs = np.einsum("plv,clv->pc", one_hot, np.log(table)) + np.log([1 - share, share])
         new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))
-        if np.abs(new - good).max() < 1e-9:
+        if np.abs(new - good).max(initial=0) < 1e-9:
             break
         good = new
     return good, table, share
@@ -176,7 +182,7 @@ def _features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(shares, pa.binary()), lists(found.reshape(-1), np.arange(1, len(found) + 1) * len(LABELLERS), pa.float64())], names=["shares", "measures"])
 
     got = rows.select("text").mapInArrow(run, "shares binary, measures array<double>").collect()
-    x = np.array([np.frombuffer(r.shares, np.float16) for r in got], np.float32).reshape(len(got), -1)
+    x = np.array([np.frombuffer(r.shares, np.float16) for r in got], np.float32).reshape(len(got), 1 << HASH_BITS)
     found = np.array([r.measures for r in got]).reshape(-1, len(LABELLERS))
     return x, found, patterns(found)
 
@@ -221,6 +227,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     good, _, _ = estimate(pattern, np.array([r["count"] for r in counts], np.float64))
     by_pattern = np.zeros(3 ** len(LABELLERS))
     by_pattern[pattern] = good
+    if not len(pattern):
+        return voted.select("doc_id", F.lit(0.0).alias("quality"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept"))
     # The sample: the documents with the least hash, as many from either side as there are, up to half each.
     side = docs.sparkSession.createDataFrame([(int(p), bool(g >= 0.5)) for p, g in zip(pattern, good, strict=True)], "pattern long, good boolean")
     sided = voted.where("words > 0").join(F.broadcast(side), "pattern").select("doc_id", "good", F.xxhash64("doc_id").alias("h")).where("doc_id is not null")
@@ -230,7 +238,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
         ids = part if ids is None else ids.unionByName(part)
     chosen = source.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
     shares, found, own = _features(chosen)
-    scorer = train(shares, found, by_pattern[own]) if len(own) else Scorer(np.zeros(1 << HASH_BITS, np.float32), np.zeros(len(LABELLERS)), 0.0)
+    scorer = train(shares, found, by_pattern[own]) if len(own) else Scorer(np.zeros(1 << HASH_BITS, np.float32), np.zeros(len(LABELLERS)), 0.0)  # no id
     cast = docs.sparkSession.sparkContext.broadcast((scorer, by_pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
