@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .shared import CachedEncoder, Workspace
 
-LEAF = 128
+LEAF = 192
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
@@ -115,8 +115,10 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, tokenizer:
     the same edits each; edits of a doc_id that is not there have no effect.
     """
     scripts = edits.groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("seq", "at", "remove", "insert"))).alias("edits"))
-    known = trees.dropDuplicates(["doc_id", "text_hash"])
-    small = known.join(scripts, F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of").select(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash_of"), "lengths", "sums", "edits")
+    # Only the leaves' counts travel with the text: the sums above them are cheap to add up again.
+    leaves = F.slice("sums", F.size("lengths") + 1, F.greatest(F.size("lengths"), F.lit(1)))
+    known = trees.withColumn("leaves", leaves).dropDuplicates(["doc_id", "text_hash"])
+    small = known.join(scripts, F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of").select(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash_of"), "lengths", "leaves", "edits")
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     both = source.join(small.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("hash_of")))
 
@@ -128,8 +130,8 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, tokenizer:
 
         for batch in batches:
             rows = []
-            for doc, text, lengths, sums, script in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tree, text = CountTree(lengths, sums), text or ""
+            for doc, text, lengths, leaves, script in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tree, text = CountTree.of(lengths, leaves), text or ""
                 before = tree.total
                 for e in script or ():
                     text = tree.edit(text, e["at"] or 0, e["remove"] or 0, e["insert"] or "", count)
@@ -141,7 +143,7 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, tokenizer:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns[:n], kinds, strict=False)], names=names[:n])
 
     schema = "doc_id long, n_edits int, n_tokens long, n_tokens_after long, chars_encoded long" + ", text string, lengths array<int>, sums array<int>" * with_text
-    return both.select("doc_id", "text", "lengths", "sums", "edits").mapInArrow(run, schema)
+    return both.select("doc_id", "text", "lengths", "leaves", "edits").mapInArrow(run, schema)
 
 
 def count_edited(docs: DataFrame, edits: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
