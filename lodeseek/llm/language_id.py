@@ -34,6 +34,7 @@ BITS = 16
 ORDERS = (2, 3, 4)
 PER_LANGUAGE = 2000
 AMBIGUOUS = 0.5
+FIXED = 1 << 16
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -42,6 +43,8 @@ _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
 def codewords(n: int) -> np.ndarray:
     """A row of +1 and -1 for each of ``n`` languages: all splits up to 7 languages, else a fixed random code."""
+    if not n:
+        return np.zeros((0, 0), np.int8)
     if n <= 7:
         columns = [[(k >> i) & 1 for i in range(n)] for k in range(1, 2 ** max(n - 1, 0))]
         code = np.array(columns, np.int8).reshape(-1, n).T
@@ -61,8 +64,8 @@ def codewords(n: int) -> np.ndarray:
 def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For slices of the rows: hashed n-gram indices of all orders (orders x bytes) and the rows' byte offsets.
 
-    Case is folded and every ASCII byte that is no letter counts as a space; an
-    n-gram never spans two rows, as rows end in padding of their own.
+    Case is folded and every ASCII byte that is no letter counts as a space. As
+    many spaces stand between rows as keep an n-gram from spanning two of them.
     """
     data, offsets = utf8(pc.utf8_lower(column.cast(pa.large_string())))
     for a, b in slices(offsets, 1 << 20):
@@ -70,7 +73,7 @@ def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lengths = np.diff(ends) + max(ORDERS)
         at = np.concatenate([[0], np.cumsum(lengths)])
         text = np.full(at[-1] + max(ORDERS), 32, np.uint64)
-        where = np.arange(ends[-1]) + np.repeat(at[:-1] - ends[:-1] + 1, np.diff(ends))
+        where = np.arange(ends[-1]) + np.repeat(at[:-1] - ends[:-1] + max(ORDERS) - 1, np.diff(ends))
         text[where] = _FOLD[data[offsets[a] : offsets[b]]]
         n, out, code = at[-1], [], text[: at[-1]].copy()
         for order in range(2, max(ORDERS) + 1):
@@ -84,7 +87,7 @@ def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 class Model:
     languages: list[str]
     code: np.ndarray
-    weights: np.ndarray  # of n-grams, by bit
+    weights: np.ndarray  # of n-grams, by bit, as whole multiples of 1 / FIXED
     scale: np.ndarray
     shift: np.ndarray
     trust: np.ndarray
@@ -93,11 +96,12 @@ class Model:
         """The mean n-gram weight of each row, by bit."""
         parts = [np.zeros((0, self.code.shape[1]))]
         for index, at in grams(column):
-            sums = np.zeros((len(at) - 1, self.code.shape[1]))
+            # Whole numbers: the sum is the same wherever a text stands in a batch.
+            sums = np.zeros((len(at) - 1, self.code.shape[1]), np.int64)
             for row in index:
                 for bit in range(self.code.shape[1]):
-                    sums[:, bit] += np.add.reduceat(self.weights[bit][row], at[:-1])
-            parts.append(sums / (np.diff(at) * len(ORDERS))[:, None])
+                    sums[:, bit] += np.add.reduceat(self.weights[bit][row], at[:-1], dtype=np.int64)
+            parts.append(sums / (np.diff(at) * len(ORDERS) * FIXED)[:, None])
         return np.concatenate(parts)
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,9 +139,12 @@ def _counts(sample: DataFrame, languages: list[str]) -> np.ndarray:
 def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the languages of ``rows``; rows without text or language are not used."""
     named = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("doc_id is not null and lang is not null")
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # Ids first: a row a language and rank is kept in each task before the shuffle.
-    chosen = named.where("text is not null").select("doc_id", "lang").withColumn("rank", order).where(F.col("rank") <= per_language).drop("rank")
+    # Ids first, and of a frequent language only those whose hash is below a bound that four times enough rows pass.
+    known = named.where("text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    share = known.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count(F.lit(1))).alias("share"))  # a row a language
+    near = known.join(F.broadcast(share), "lang").where(F.col("h") / 2.0**64 + 0.5 <= F.col("share")).drop("share")
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = near.withColumn("rank", order).where(F.col("rank") <= per_language).drop("rank")
     sample = named.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").persist()
     languages = [x.lang for x in sample.select("lang").distinct().orderBy("lang").collect()]
     code = codewords(len(languages))
@@ -146,7 +153,7 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
     p = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * (1 << BITS))
     weights = [np.log(p[code[:, b] > 0].mean(0)) - np.log(p[code[:, b] < 0].mean(0)) for b in range(code.shape[1])]
     n_bits = code.shape[1]
-    model = Model(languages, code, np.array(weights, np.float32).reshape(n_bits, -1), np.ones(n_bits), np.zeros(n_bits), np.ones(n_bits))
+    model = Model(languages, code, np.rint(np.array(weights).reshape(n_bits, 1 << BITS) * FIXED).astype(np.int32), np.ones(n_bits), np.zeros(n_bits), np.ones(n_bits))
     if n_bits:
         _calibrate(model, sample.where(~half))
     sample.unpersist()
