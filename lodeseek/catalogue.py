@@ -134,7 +134,7 @@ def search_sort_date(spark, d):
 _BATCH = f"""
     WITH {CHUNKS}, scored AS (
         SELECT q.vec_id AS query_id, c.path, c.chunk_index, list_dot_product(c.vec, q.vec) AS score
-        FROM chunks c, chunks q WHERE q.vec_id % 40 = 0),
+        FROM chunks c, chunks q WHERE q.vec_id % 100 = 0),
     best AS (SELECT *, count(*) OVER (PARTITION BY query_id, path) AS chunk_count FROM scored
              QUALIFY row_number() OVER (PARTITION BY query_id, path ORDER BY score DESC, chunk_index) = 1),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM best)
@@ -207,7 +207,7 @@ _MRL = f"""
 def _ranks_sql(table: str) -> str:
     return f"""
         SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM (
-            SELECT q.vec_id AS query_id, c.path, max(list_dot_product(c.vec, q.vec)) AS score FROM {table} c, {table} q WHERE q.vec_id % 40 = 0 GROUP BY 1, 2)
+            SELECT q.vec_id AS query_id, c.path, max(list_dot_product(c.vec, q.vec)) AS score FROM {table} c, {table} q WHERE q.vec_id % 100 = 0 GROUP BY 1, 2)
     """
 
 
@@ -226,13 +226,13 @@ def recall_at_k(spark, d):
 
 @query(
     f"""
-    {_MRL}, found AS ({_ranks_sql('short')}), gold AS (SELECT vec_id AS query_id, path FROM chunks WHERE vec_id % 40 = 0)
+    {_MRL}, found AS ({_ranks_sql('short')}), gold AS (SELECT vec_id AS query_id, path FROM chunks WHERE vec_id % 100 = 0)
     SELECT round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END), 6)::DOUBLE AS top1, round(avg(CASE WHEN rank <= 50 THEN 1.0 / rank ELSE 0 END), 6)::DOUBLE AS mrr FROM gold JOIN found USING (query_id, path)
     """
 )
 def mrr_eval(spark, d):
     chunks, queries = mapping.chunks(spark, d), mapping.query_vectors(spark, d)
-    gold = chunks.where("vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), "path")
+    gold = chunks.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "path")
     found = search.search_batch(_truncated(chunks, 16), _truncated(queries, 16), 50)
     return search.mean_reciprocal_rank(found, gold).select(F.round("top1", 6).alias("top1"), F.round("mrr", 6).alias("mrr"))
 
@@ -316,8 +316,7 @@ def idw_place(spark, d):
 
 @query()
 def force_map(spark, d):
-    points = _points(spark, d).where("id % 4 = 0").withColumn("path", F.col("id").cast("string"))
-    return projection.layout(points, epochs=50)
+    return projection.layout(_points(spark, d).withColumn("path", F.col("id").cast("string")))
 
 
 # Text.
@@ -387,14 +386,14 @@ def ext_kind_scan(spark, d):
 
 @query(
     """
-    SELECT doc_id, sha256(CASE WHEN octet_length(encode(text)) < 500 THEN text ELSE
-        (SELECT max_by(left(text, k::INT), k) FROM range(0, 501) t(k) WHERE octet_length(encode(left(text, k::INT))) <= 500) END) AS digest
+    SELECT doc_id, sha256(CASE WHEN octet_length(encode(text)) < 2000000 THEN text ELSE
+        (SELECT max_by(left(text, k::INT), k) FROM range(0, 2000001) t(k) WHERE octet_length(encode(left(text, k::INT))) <= 2000000) END) AS digest
     FROM documents
     """
 )
 def utf8_cap_decode(spark, d):
     files = mapping.table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
-    return files.select("doc_id", F.sha2(tx.decode(F.col("content"), 500).cast("binary"), 256).alias("digest"))
+    return files.select("doc_id", F.sha2(tx.decode(F.col("content")).cast("binary"), 256).alias("digest"))
 
 
 _IGNORED = {

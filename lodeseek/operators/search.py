@@ -12,6 +12,8 @@ from ..functions import vectors as vx
 from ..plans.search_spec import SearchSpec
 from ..schema import TOP_PASSAGES, TOP_STORE
 
+#: Queries that are broadcast at once.
+QUERY_BLOCK = 4096
 _HIT = ["path", "score", "snippet", "kind", "chunk_index", "modified", "width", "height", "duration", "locator", "chunk_count"]
 
 
@@ -65,13 +67,20 @@ def run(chunks: DataFrame, query: list[float], spec: SearchSpec, now: float) ->
 
 
 def search_batch(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_STORE) -> DataFrame:
-    """(query_id, rank, path, score, chunk_index, chunk_count) of every query (query_id, vec); the stated queries are broadcast.
+    """(query_id, rank, path, score, chunk_index, chunk_count) of every query (query_id, vec).
 
-    Each task keeps ``top_k`` files a query before the ranks are made.
+    Queries are broadcast ``QUERY_BLOCK`` at a time; more of them take more
+    passes over the chunks. Each task keeps ``top_k`` files a query before the
+    ranks are made.
     """
-    scored = chunks.select("path", "chunk_index", "vec").crossJoin(F.broadcast(queries.select("query_id", F.col("vec").alias("q")))).select("query_id", "path", "chunk_index", vx.dot(F.col("vec"), F.col("q")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))
-    return _best(scored, ["query_id"], F.lit(True)).withColumn("rank", rank).where(F.col("rank") <= top_k)
+    blocks, out = max(1, -(-queries.count() // QUERY_BLOCK)), None
+    for block in range(blocks):
+        asked = queries.select("query_id", F.col("vec").alias("q")).where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        scored = chunks.select("path", "chunk_index", "vec").crossJoin(F.broadcast(asked)).select("query_id", "path", "chunk_index", vx.dot(F.col("vec"), F.col("q")).alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))
+        part = _best(scored, ["query_id"], F.lit(True)).withColumn("rank", rank).where(F.col("rank") <= top_k)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def funnel(chunks: DataFrame, codes: DataFrame, query: list[float], top_k: int = TOP_STORE, candidates: int | None = None, admit: Column | None = None) -> DataFrame:

@@ -49,7 +49,7 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
