@@ -17,15 +17,19 @@ are found in rounds that never emit the pairs of a group:
 * posting lists whose members are all in one component are done;
 * the last round compares, in the lists that remain, each member outside the
   list's largest component with the members of other components. Only this
-  round is needed for exactness; the star rounds leave it little to do. In a
-  long list a bitmap of each set, in which two sets differ in no more bits than
-  in shingles, drops a pair that cannot reach the threshold inside the join.
+  round is needed for exactness; the star rounds leave it little to do.
+
+Bitmaps of the sets, in which two sets differ in no more bits than in shingles,
+drop most pairs that cannot reach the threshold before whole sets are fetched,
+and in long lists inside the join, before there is a row for the pair.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +41,17 @@ from .components import components
 from .shared import Workspace, WordHasher, lists, longs, mix, shingle_hashes, slices, utf8
 
 #: log2 of the sketch's counters, and counters a block; the broadcast sketch has one byte a counter.
-SKETCH_BITS = 20
-BLOCK = 1 << 12
+SKETCH_BITS = 24
+BLOCK = 1 << 14
 #: Weight of verifying a candidate against reading a posting, and the longest extension of a prefix that is tried.
-VERIFY_COST = 40.0
+VERIFY_COST = 2.0
 LONGEST = 32
 #: Star rounds stop when the inter-component pairs left are fewer than this many a posting, or after so many rounds.
-FEW_PAIRS = 2.0
+FEW_PAIRS = 8.0
 ROUNDS = 4
 #: 64-bit words of a set's bitmap, and how long a list must be for its members to carry it.
-BITMAP = 8
-LONG_LIST = 32
+BITMAP = 16
+LONG_LIST = 8
 
 
 def _sets(batch: pa.RecordBatch, hasher: WordHasher, k: int) -> Iterator[np.ndarray]:
@@ -68,14 +72,14 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     size = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts = WordHasher(), np.zeros(size, np.int64)
+        hasher, counts = WordHasher(), np.zeros(size, np.uint32)
         for batch in batches:
             n, s0, s1 = [], [], []
             for x in _sets(batch, hasher, k):
                 n.append(len(x))
                 s0.append(x.sum(dtype=np.uint64))
                 s1.append(mix(x).sum(dtype=np.uint64))
-                np.add.at(counts, (x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(counts, (x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(longs(np.array(s0, np.uint64))), pa.array(longs(np.array(s1, np.uint64)))]
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], schema=_SIGNED)
         blocks = counts.reshape(-1, BLOCK)
@@ -101,7 +105,7 @@ def count_sketch(signed: DataFrame) -> np.ndarray:
         counts = np.zeros(BLOCK, np.int64)
         for batch in batches:
             for x in batch.column(1):
-                counts += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
+                counts += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
         logs = np.round(4 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([logs.tobytes()], pa.binary())], names=["block", "counts"])
 
@@ -112,8 +116,8 @@ def count_sketch(signed: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def prefix(values: np.ndarray, logs: np.ndarray, others: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """(l, the l-prefix) of a sorted set; ``others`` estimates from ``logs`` in how many other sets a shingle is."""
+def prefix(values: np.ndarray, logs: np.ndarray, others: np.ndarray, percent: int) -> tuple[int, np.ndarray, float]:
+    """(l, the l-prefix, how common it is) of a sorted set; ``others`` estimates from ``logs`` in how many other sets a shingle is."""
     n = len(values)
     need = -(-n * percent // 100)
     logs = logs[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
@@ -123,36 +127,39 @@ def prefix(values: np.ndarray, logs: np.ndarray, others: np.ndarray, percent: in
     lengths = np.arange(1, most + 1)
     # A candidate shares at least l of the postings read.
     best = int(np.argmin(postings + VERIFY_COST * postings / lengths + 0.01 * lengths)) + 1
-    return best, values[order[: n - need + best]]
+    taken = order[: n - need + best]
+    return best, values[taken], float(logs[taken].mean())
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, logs: np.ndarray) -> DataFrame:
-    """(doc_id, n, l, tokens) of each row with a shingle."""
+    """(doc_id, n, l, central, tokens) of each row with a shingle; ``central``: how common its prefix is."""
     cast = docs.sparkSession.sparkContext.broadcast(logs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, logs = WordHasher(), cast.value
+        # What any counter holds of other shingles is no sign of a common one.
         floor = 2.0 ** (np.median(logs) / 4)
         others = np.maximum(2.0 ** (np.arange(256) / 4) - floor, 0)
         for batch in batches:
-            ids, n, l, tokens, ends, at = [], [], [], [], [], 0
+            ids, n, l, central, tokens, ends, at = [], [], [], [], [], [], 0
             for i, x in zip(batch.column(0).to_pylist(), _sets(batch, hasher, k), strict=True):
                 if len(x):
-                    best, taken = prefix(x, logs, others, percent)
+                    best, taken, common = prefix(x, logs, others, percent)
                     at += len(taken)
                     ids.append(i)
                     n.append(len(x))
                     l.append(best)
+                    central.append(common)
                     tokens.append(longs(taken))
                     ends.append(at)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(l, pa.int32()), lists(np.concatenate(tokens), np.array(ends), pa.int64())], names=["doc_id", "n", "l", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(l, pa.int32()), pa.array(central, pa.float32()), lists(np.concatenate(tokens), np.array(ends), pa.int64())], names=["doc_id", "n", "l", "central", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, l int, tokens array<long>")
+    return docs.mapInArrow(run, "doc_id long, n int, l int, central float, tokens array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles, bits) with each row's sorted distinct shingle hashes and their bitmap."""
+    """(doc_id, n, shingles, bits) with each row's sorted distinct shingle hashes, their number and bitmap."""
 
     def bitmap(x: np.ndarray) -> np.ndarray:
         bits = np.zeros(BITMAP * 64, np.uint8)
@@ -166,21 +173,37 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                 part = batch.slice(i, 500)
                 found = list(_sets(part, hasher, k))
                 bits = np.concatenate([bitmap(x) for x in found])
-                yield pa.RecordBatch.from_arrays([part.column(0), lists(longs(np.concatenate(found)), np.cumsum([len(x) for x in found]), pa.int64()), lists(bits, np.arange(1, len(found) + 1) * BITMAP, pa.int64())], names=["doc_id", "shingles", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in found], pa.int32()), lists(longs(np.concatenate(found)), np.cumsum([len(x) for x in found]), pa.int64()), lists(bits, np.arange(1, len(found) + 1) * BITMAP, pa.int64())], names=["doc_id", "n", "shingles", "bits"])
+
+    return docs.mapInArrow(run, "doc_id long, n int, shingles array<long>, bits array<long>")
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>, bits array<long>")
+
+def _near(n0: str, n1: str, words: list[tuple], percent: int):
+    """Whether two sets may reach the threshold by their bitmaps: sets differ in as many shingles as bitmaps in bits, or more.
+
+    100 * |x & y| >= percent * |x | y| leaves at most (100 - percent) / (100 + percent) of all shingles unshared.
+    """
+    differ = reduce(add, (F.bit_count(x.bitwiseXOR(y)) for x, y in words))
+    return differ * (100 + percent) <= (F.col(n0) + F.col(n1)) * (100 - percent)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the threshold."""
-    both = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    """Those of the pairs (a, b) whose sets reach the threshold; bitmaps are compared first, then what is left as a whole."""
+    bits = lambda end: sets.select(F.col("doc_id").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"w{end}"))
+    words = [(F.get(F.col("wa"), F.lit(i)), F.get(F.col("wb"), F.lit(i))) for i in range(BITMAP)]
+    near = pairs.select("a", "b").join(bits("a"), "a").join(bits("b"), "b").where(_near("na", "nb", words, percent)).select("a", "b")
+    both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b")
 
 
-def _possible(n0: str, n1: str, percent: int):
-    """Sizes so near each other that the threshold can be reached."""
-    return F.least(n0, n1) * 100 >= F.greatest(n0, n1) * percent
+def _possible(n0: str, n1: str, at0: str, at1: str, percent: int):
+    """Whether two sets of these sizes, with the same shingle at these places of the common order, may reach the threshold.
+
+    They share no more before it than the lesser place, and no more after it than the lesser rest.
+    """
+    most = F.least(at0, at1) + 1 + F.least(F.col(n0) - F.col(at0), F.col(n1) - F.col(at1)) - 1
+    return (F.least(n0, n1) * 100 >= F.greatest(n0, n1) * percent) & (most * (100 + percent) >= (F.col(n0) + F.col(n1)) * percent)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,27 +235,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 def _class_links(source: DataFrame, classes: DataFrame, logs: np.ndarray, k: int, percent: int, work: Workspace, log=None) -> DataFrame:
     """Links (a, b) that join all classes which links connect."""
     heads = prefixes(source, k, percent, logs).join(classes, "doc_id", "left_semi")
-    postings = heads.select("doc_id", "n", "l", F.explode("tokens").alias("token"))
-    postings = work.keep(postings, "postings")
-    common = work.keep(postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "common")
-    shared = postings.join(common, "token")
-    shared = work.keep(shared, "shared_all")
-    work.drop("postings")
-    # How central a document is: its prefix shingles that others have too, weighed by in how many.
-    central = shared.groupBy("doc_id").agg(F.sum(F.log2("c")).cast("float").alias("central"))
-    shared = work.keep(shared.join(central, "doc_id"), "shared")
-    work.drop("shared_all")
+    postings = work.keep(heads.select("doc_id", "n", "l", "central", F.posexplode("tokens").alias("pos", "token")), "postings")
+    common = work.keep(postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "common")
+    shared = work.keep(postings.join(common, "token"), "shared")
+    work.drop("postings", "common")
     members = shared.select("doc_id").distinct()
     sets = work.keep_bucketed(shingle_sets(source.join(members.hint("shuffle_hash"), "doc_id", "left_semi"), k), "sets", "doc_id")
     empty = source.sparkSession.createDataFrame([], "a long, b long")
     links, left, size = empty, shared.withColumn("root", F.col("doc_id")), None
     for step in range(ROUNDS):
         # The list's most central member, of the components but the largest one's after the first round.
-        rank = F.struct("central", (-F.col("doc_id")).alias("order"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("root").alias("proot"))
+        rank = F.struct("central", (-F.col("doc_id")).alias("order"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("root").alias("proot"), F.col("pos").alias("ppos"))
         who = left.where("not largest") if step else left
         pivot = who.groupBy("token").agg(F.max(rank).alias("p"))
-        pairs = left.join(pivot, "token").where("root <> p.proot").select("doc_id", F.expr("-p.order").alias("pivot"), F.least("l", "p.pl").alias("l"), "n", F.col("p.pn").alias("pn"))
-        pairs = pairs.where(_possible("n", "pn", percent)).groupBy(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("l").alias("l")).where("c >= l")
+        pairs = left.join(pivot, "token").where("root <> p.proot").where(_possible("n", "p.pn", "pos", "p.ppos", percent)).select("doc_id", F.expr("-p.order").alias("pivot"), F.least("l", "p.pl").alias("l"))
+        pairs = pairs.groupBy(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("l").alias("l")).where("c >= l")
         links = work.keep(links.unionByName(_verified(pairs, sets, percent)), f"links_{step}")
         left, pairs_left, rows_left = _unfinished(shared, links, work, step)
         if log:
@@ -244,13 +261,11 @@ def _class_links(source: DataFrame, classes: DataFrame, logs: np.ndarray, k: int
     long, words = left.where(F.col("all") > LONG_LIST), [f"w{i}" for i in range(BITMAP)]
     maps = sets.join(long.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", *(F.col("bits")[i].alias(w) for i, w in enumerate(words)))
     left = long.join(maps, "doc_id").unionByName(left.where(F.col("all") <= LONG_LIST).withColumns({w: F.lit(None).cast("long") for w in words}))
-    left = work.keep(left.select("token", "doc_id", "n", "l", "root", "largest", *words), "left")
+    left = work.keep(left.select("token", "doc_id", "n", "l", "pos", "root", "largest", *words), "left")
     x, y = left.where("not largest").alias("x"), left.alias("y")
-    differ = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words[1:]), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
-    # 100 * |x & y| >= percent * |x | y| leaves at most (100 - percent) / (100 + percent) of all shingles unshared.
-    near = F.coalesce(differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent), F.lit(True))
+    near = F.coalesce(_near("x.n", "y.n", [(F.col(f"x.{w}"), F.col(f"y.{w}")) for w in words], percent), F.lit(True))
     met = F.expr("x.token = y.token and x.root <> y.root and (y.largest or x.doc_id < y.doc_id)")
-    pairs = x.join(y, met & _possible("x.n", "y.n", percent) & near)
+    pairs = x.join(y, met & _possible("x.n", "y.n", "x.pos", "y.pos", percent) & near)
     pairs = pairs.groupBy(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("x.l", "y.l")).alias("l")).where("c >= l")
     links = work.keep(links.unionByName(_verified(pairs, sets, percent)), "links")
     work.drop("sets")
