@@ -189,8 +189,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
         def run(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
             items, hasher = cast.value, WordHasher(PUNCTUATION)
             for batch in batches:
-                keep = [next(items.leaks(words, threshold), None) is None for words in _word_hashes(batch.column(0), hasher)]
-                yield pa.RecordBatch.from_arrays([batch.column(1)], names=["row"]).filter(pa.array(keep, pa.bool_()))
+                keep = [next(items.leaks(words, threshold), None) is None for words in _word_hashes(batch.column(0).field(text_col), hasher)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.select(F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row")).mapInArrow(run, schema).select("row.*")
+        docs = docs.select(F.struct("*").alias("row")).mapInArrow(run, schema).select("row.*")
     return docs

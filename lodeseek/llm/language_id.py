@@ -26,7 +26,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import mix, slices, utf8
 
@@ -68,7 +67,7 @@ def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     many spaces stand between rows as keep an n-gram from spanning two of them.
     """
     data, offsets = utf8(pc.utf8_lower(column.cast(pa.large_string())))
-    for a, b in slices(offsets, 1 << 20):
+    for a, b in slices(offsets, 1 << 18):
         ends = offsets[a : b + 1] - offsets[a]
         lengths = np.diff(ends) + max(ORDERS)
         at = np.concatenate([[0], np.cumsum(lengths)])
@@ -235,8 +234,8 @@ def known(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = cast.value
         for batch in batches:
-            _, p, apart = model.decode(model.margins(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([batch.column(1)], names=["row"]).filter(pa.array((p >= 0.5) | (apart >= AMBIGUOUS)))
+            _, p, apart = model.decode(model.margins(batch.column(0).field(text_col)))
+            yield batch.filter(pa.array((p >= 0.5) | (apart >= AMBIGUOUS)))
 
-    rows = lettered.select(F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.select(F.struct("*").alias("row")).schema["row"].dataType)])).select("row.*")
+    rows = lettered.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(run, rows.schema).select("row.*")
