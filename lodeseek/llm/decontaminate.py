@@ -134,7 +134,7 @@ class Items:
 
 
 def _word_hashes(column: pa.Array, hasher: WordHasher) -> Iterator[np.ndarray]:
-    data, offsets = utf8(pc.utf8_lower(column.cast(pa.large_string())))
+    data, offsets = utf8(pc.utf8_lower(column))
     for a, b in slices(offsets):
         h, _, _, first = hasher.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         for i, j in zip(first[:-1], first[1:], strict=True):

@@ -66,7 +66,7 @@ def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     Case is folded and every ASCII byte that is no letter counts as a space. As
     many spaces stand between rows as keep an n-gram from spanning two of them.
     """
-    data, offsets = utf8(pc.utf8_lower(column.cast(pa.large_string())))
+    data, offsets = utf8(pc.utf8_lower(column))
     for a, b in slices(offsets, 1 << 18):
         ends = offsets[a : b + 1] - offsets[a]
         lengths = np.diff(ends) + max(ORDERS)

@@ -27,7 +27,7 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -86,14 +86,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, end to end, and where each row starts (one more entry than rows); null is empty."""
-    column = column.cast(pa.large_string()).fill_null("")
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) if offsets else np.zeros(1, np.int64)
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    # The buffers are read where they are: a batch may be large.
+    _, ends, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(ends, kind, len(column) + 1, column.offset * np.dtype(kind).itemsize).astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most ``limit`` bytes each, or one row that has more."""
     row = 0
     while row < len(offsets) - 1:
