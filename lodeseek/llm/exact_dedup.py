@@ -100,7 +100,7 @@ def normalised_column(text):
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prime: int = PRIME) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prime: int = PRIME, work: Workspace | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     ``keep_id`` is the smallest doc_id among rows with an equal normalised text,
@@ -111,7 +111,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An empty table gives an empty result. Other columns of ``docs``, whatever
     their names, are not read.
     """
-    work = Workspace(docs.sparkSession)
+    work = work or Workspace(docs.sparkSession)
     prints = work.keep(fingerprints(docs, id_col, text_col, prime), "prints")
     key = ["n_bytes", "f0", "f1"]
     groups = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
@@ -138,9 +138,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of repeated rows (same id, same text) one stays."""
     work = Workspace(docs.sparkSession)
-    verdict = exact_dedup(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).where("kept")
+    verdict = exact_dedup(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), work=work).where("kept")
     verdict = verdict.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of")).agg((F.count(F.lit(1)) > 1).alias("__again"))
     verdict = work.keep(verdict, "verdict")
+    work.drop("prints", "shared", "members", "differ", "kept")
     marked = docs.withColumn("__sha", F.sha2(normalised_column(F.col(text_col)).cast("binary"), 256))
 
     def among(rows: DataFrame) -> DataFrame:
