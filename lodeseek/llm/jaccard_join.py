@@ -52,6 +52,8 @@ ROUNDS = 4
 #: 64-bit words of a set's bitmap, and how long a list must be for its members to carry it.
 BITMAP = 16
 LONG_LIST = 8
+#: Pairs with one set that a task verifies.
+HOT = 5000
 
 
 def _sets(batch: pa.RecordBatch, hasher: WordHasher, k: int) -> Iterator[np.ndarray]:
@@ -72,14 +74,15 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     size = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts = WordHasher(), np.zeros(size, np.uint32)
+        hasher, counts = WordHasher(), np.zeros(size, np.uint16)
         for batch in batches:
             n, s0, s1 = [], [], []
             for x in _sets(batch, hasher, k):
                 n.append(len(x))
                 s0.append(x.sum(dtype=np.uint64))
                 s1.append(mix(x).sum(dtype=np.uint64))
-                np.add.at(counts, (x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+                at = (x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                np.add.at(counts, at[counts[at] < 65_000], np.uint16(1))  # so common in a task: common enough
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(longs(np.array(s0, np.uint64))), pa.array(longs(np.array(s1, np.uint64)))]
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], schema=_SIGNED)
         blocks = counts.reshape(-1, BLOCK)
@@ -105,7 +108,7 @@ def count_sketch(signed: DataFrame) -> np.ndarray:
         counts = np.zeros(BLOCK, np.int64)
         for batch in batches:
             for x in batch.column(1):
-                counts += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+                counts += np.frombuffer(zlib.decompress(x.as_py()), np.uint16)
         logs = np.round(4 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([logs.tobytes()], pa.binary())], names=["block", "counts"])
 
@@ -187,14 +190,36 @@ def _near(n0: str, n1: str, words: list[tuple], percent: int):
     return differ * (100 + percent) <= (F.col(n0) + F.col(n1)) * (100 - percent)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the threshold; bitmaps are compared first, then what is left as a whole."""
-    bits = lambda end: sets.select(F.col("doc_id").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"w{end}"))
-    words = [(F.get(F.col("wa"), F.lit(i)), F.get(F.col("wb"), F.lit(i))) for i in range(BITMAP)]
-    near = pairs.select("a", "b").join(bits("a"), "a").join(bits("b"), "b").where(_near("na", "nb", words, percent)).select("a", "b")
-    both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, work: Workspace, name: str) -> DataFrame:
+    """Those of the pairs (a, b) whose sets reach the threshold; bitmaps are compared first, then what is left as a whole.
+
+    Many pairs may have the same b, the centre of a family: its set is sent to
+    as many tasks as it has ``HOT`` pairs, each of which gets a part of them.
+    """
+    pairs = work.keep(pairs.select("a", "b"), f"{name}_pairs")
+    hot = work.keep(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("salts")).where("salts > 1"), f"{name}_hot")
+    words = [(F.get(F.col("bits"), F.lit(i)), F.get(F.col("bits2"), F.lit(i))) for i in range(BITMAP)]
+    shared = F.size(F.array_intersect("shingles", "shingles2"))
+    enough = shared * 100 >= (F.col("n") + F.col("n2") - shared) * percent
+
+    def sides(found: DataFrame, ends: DataFrame | None, *columns: str) -> DataFrame:
+        """``found`` (a, b) with columns of both sets, those of b named with a 2; ``ends`` are the (b, salt) of salted pairs."""
+        own = sets.select(F.col("doc_id").alias("a"), *columns)
+        other = sets.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"{c}2") for c in columns))
+        return found.join(own, "a").join(other, "b") if ends is None else found.join(own, "a").join(ends.join(other, "b"), ["b", "salt"])
+
+    def checked(found: DataFrame, ends: DataFrame | None) -> DataFrame:
+        near = sides(found, ends, "n", "bits").where(_near("n", "n2", words, percent)).select(*found.columns)
+        if ends is not None:
+            near = work.keep(near, f"{name}_near")
+            ends = near.select("b", "salt").distinct()
+        return sides(near, ends, "n", "shingles").where(enough).select("a", "b")
+
+    if hot.isEmpty():
+        return checked(pairs, None)
+    salted = pairs.join(hot, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
+    ends = hot.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return checked(pairs.join(hot, "b", "left_anti"), None).unionByName(checked(salted, ends))
 
 
 def _possible(n0: str, n1: str, at0: str, at1: str, percent: int):
@@ -247,10 +272,12 @@ def _class_links(source: DataFrame, classes: DataFrame, logs: np.ndarray, k: int
         # The list's most central member, of the components but the largest one's after the first round.
         rank = F.struct("central", (-F.col("doc_id")).alias("order"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("root").alias("proot"), F.col("pos").alias("ppos"))
         who = left.where("not largest") if step else left
-        pivot = who.groupBy("token").agg(F.max(rank).alias("p"))
+        # Written on its own, so that Spark can split a long list's side of the join.
+        pivot = work.keep(who.groupBy("token").agg(F.max(rank).alias("p")), f"pivot_{step}")
         pairs = left.join(pivot, "token").where("root <> p.proot").where(_possible("n", "p.pn", "pos", "p.ppos", percent)).select("doc_id", F.expr("-p.order").alias("pivot"), F.least("l", "p.pl").alias("l"))
         pairs = pairs.groupBy(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("l").alias("l")).where("c >= l")
-        links = work.keep(links.unionByName(_verified(pairs, sets, percent)), f"links_{step}")
+        links = work.keep(links.unionByName(_verified(pairs, sets, percent, work, f"star_{step}")), f"links_{step}")
+        work.drop(f"star_{step}_pairs", f"star_{step}_hot", f"star_{step}_near", f"pivot_{step}")
         left, pairs_left, rows_left = _unfinished(shared, links, work, step)
         if log:
             log(step, pairs_left, rows_left)
@@ -267,7 +294,7 @@ def _class_links(source: DataFrame, classes: DataFrame, logs: np.ndarray, k: int
     met = F.expr("x.token = y.token and x.root <> y.root and (y.largest or x.doc_id < y.doc_id)")
     pairs = x.join(y, met & _possible("x.n", "y.n", "x.pos", "y.pos", percent) & near)
     pairs = pairs.groupBy(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("x.l", "y.l")).alias("l")).where("c >= l")
-    links = work.keep(links.unionByName(_verified(pairs, sets, percent)), "links")
+    links = work.keep(links.unionByName(_verified(pairs, sets, percent, work, "exact")), "links")
     work.drop("sets")
     return links
 

@@ -98,6 +98,7 @@ def test_jaccard(table, near_rows, k, percent):
 def test_jaccard_long_lists_and_rounds(table, near_rows, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LONG_LIST", 2)
     monkeypatch.setattr(jaccard_join, "FEW_PAIRS", 0.0)
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
     got = jaccard_join.jaccard_components(table(near_rows), 3, 90).collect()
     assert sorted(map(tuple, got), key=str) == brute_components(near_rows, 3, 90)
 
