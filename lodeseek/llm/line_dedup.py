@@ -2,10 +2,14 @@
 
 Lines are hashed with their outer white space removed. A stretch of lines of a
 document that all occur in other documents too, and that holds ``min_words``
-words or more, may repeat another document; each of its lines is looked up at
-the earliest document that has it. That gives at most a pair a line, whatever
-the number of documents that share the line, and each pair (later document,
-earlier document) is aligned once, in one task, over the line hashes alone.
+words or more, may repeat another document. Each of its lines is looked up at
+the earliest document that has it, and so is each shortest window of lines that
+reaches ``min_words`` words, from its first line on or back from its last: a
+passage of that length consists of such windows, so all of it is held by the
+partners, also where its lines come from different documents. That gives at most
+three pairs a line, whatever the number of documents that share it, and each
+pair (later document, earlier document) is aligned once, in one task, over the
+line hashes alone.
 
 The alignment is patience diff: lines that occur once in both are matched along
 a longest increasing subsequence, matches grow over their equal neighbours, and
@@ -52,6 +56,16 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, lines array<long>, words array<int>")
 
 
+def windows(lines: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
+    """Hashes of the shortest windows of ``min_words`` words that start, or end, at each line that is not blank."""
+    sums, at = np.concatenate([[0], np.cumsum(words, dtype=np.int64)]), np.flatnonzero(lines)
+    ends = np.searchsorted(sums, sums[at] + min_words)
+    starts = np.searchsorted(sums, sums[at + 1] - min_words, "right") - 1
+    forth, back = ends < len(sums), starts >= 0
+    spans = {*zip(at[forth].tolist(), ends[forth].tolist(), strict=True), *zip(starts[back].tolist(), (at[back] + 1).tolist(), strict=True)}
+    return np.array(sorted({xxhash.xxh3_64_intdigest(lines[a:b].tobytes()) for a, b in spans}), np.uint64).view(np.int64)
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A longest subsequence of pairs, in order of their first, whose seconds increase (patience sorting)."""
     tops, piles, back = [], [], [-1] * len(pairs)
@@ -149,7 +163,24 @@ def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS, work: Workspace
     order = Window.partitionBy("doc_id").orderBy("at")
     stretch = shared.withColumn("stretch", F.col("at") - F.row_number().over(order))
     stretch = stretch.withColumn("total", F.sum("words").over(Window.partitionBy("doc_id", "stretch"))).where(F.col("total") >= min_words)
-    pairs = stretch.where("owner < doc_id").select("doc_id", "owner").distinct()
+    whole = stretch.groupBy("doc_id", "stretch").agg(F.array_sort(F.collect_list(F.struct("at", "hash", "words", "owner"))).alias("l"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each line's owner and each window of a stretch."""
+        for batch in batches:
+            for doc, lines, words, owners in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                own = np.array(sorted({x for x in owners if x is not None and x < doc}), np.int64)
+                found = windows(np.array(lines, np.int64), np.array(words, np.int64), min_words)
+                n = len(own) + len(found)
+                if n:
+                    is_owner = np.arange(n) < len(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc)), pa.array(np.concatenate([own, found])), pa.array(is_owner)], names=["doc_id", "value", "is_owner"])
+
+    looked = whole.select("doc_id", "l.hash", "l.words", "l.owner").mapInArrow(look, "doc_id long, value long, is_owner boolean")
+    looked = work.keep(looked, "looked")
+    held = looked.where("not is_owner").groupBy("value").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
+    by_window = looked.where("not is_owner").join(held, "value").where("owner < doc_id").select("doc_id", "owner")
+    pairs = looked.where("is_owner").select("doc_id", F.col("value").alias("owner")).unionByName(by_window).distinct()
     pairs = work.keep(pairs, "pairs")
     both = pairs.join(table, "doc_id").join(table.select(F.col("doc_id").alias("owner"), F.col("lines").alias("owner_lines")), "owner")
 

@@ -194,6 +194,17 @@ def test_lines_many_copies(table):
         assert r.text.split("\n") == want
 
 
+def test_lines_of_different_owners(table):
+    """A passage whose lines each occurred earlier in another document, and one whose middle did in two."""
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 30) for _ in range(4))
+    rows = [(1, a), (2, b), (3, f"{a}\n{b}"), (4, f"{a}\n{b}"), (5, c), (6, f"{a}\n\n{c}\n{d}"), (7, d), (8, f"x\n{c}\n{d}\ny"), (9, f"{b}\n{a}")]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(table(rows)).collect()}
+    assert [got[i].n_removed for i, _ in rows] == [0, 0, 0, 2, 0, 0, 0, 2, 0]
+    assert got[4].text == "" and [x.from_doc for x in got[4].blocks] == [3]
+    assert got[8].text == "x\ny" and [x.from_doc for x in got[8].blocks] == [6]
+
+
 def test_patience():
     rng = random.Random(6)
     for _ in range(200):
