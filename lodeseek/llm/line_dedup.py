@@ -15,8 +15,11 @@ The alignment is patience diff: lines that occur once in both are matched along
 a longest increasing subsequence, matches grow over their equal neighbours, and
 what lies between is aligned the same way. Aligned common blocks of
 ``min_words`` words are deleted from the later document; the rest is aligned
-again until no block is found, which catches passages in another order. A block
-shorter than that is kept, so common short lines stay.
+again until no block is found. Short lines that cross a passage can keep it out
+of every alignment, so a suffix automaton of the earlier document then finds the
+common runs of ``min_words`` words that still have an unmatched line, in any
+order, and these are deleted too. A shorter run is kept, so common short lines
+stay.
 """
 
 from __future__ import annotations
@@ -120,8 +123,48 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def common_runs(later: list[int], earlier: list[int]) -> Iterator[tuple[int, int]]:
+    """(first line, lines) of each run of ``later`` that ``earlier`` has too and that is in no longer such run."""
+    # Suffix automaton of the earlier document: transitions, suffix link and longest length of each state.
+    to, link, size, last = [{}], [-1], [0], 0
+    for x in earlier:
+        new, p = len(to), last
+        to.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        while p >= 0 and x not in to[p]:
+            to[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = to[p][x]
+            if size[q] > size[p] + 1:
+                copy = len(to)
+                to.append(dict(to[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                link[q] = copy
+                while p >= 0 and to[p].get(x) == q:
+                    to[p][x] = copy
+                    p = link[p]
+                q = copy
+            link[new] = q
+        last = new
+    # The longest run that ends at each line; it goes out when the next line does not lengthen it.
+    at = n = 0
+    for k, x in enumerate(later):
+        if x not in to[at]:
+            if n:
+                yield k - n, n
+            while at >= 0 and x not in to[at]:
+                at = link[at]
+            at, n = (at, size[at]) if at >= 0 else (0, -1)
+        at, n = to[at].get(x, 0), n + 1
+    if n:
+        yield len(later) - n, n
+
+
 def common_blocks(later: list[int], words: list[int], earlier: list[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """(first line, lines) of the blocks of ``later`` to delete."""
+    """(first line, lines) of the blocks of ``later`` to delete: all lines of its common runs of ``min_words`` words; blocks may overlap."""
     left, found = list(later), []
     while True:
         matched = patience(left, earlier)
@@ -135,10 +178,32 @@ def common_blocks(later: list[int], words: list[int], earlier: list[int], min_wo
                 blocks.append((first, n))
             k = end
         if not blocks:
-            return sorted(found)
+            break
         for first, n in blocks:
             left[first : first + n] = [None] * n
         found += blocks
+    # Is there a stretch of lines of the earlier document, long enough and with an unmatched line?
+    has, total, unmatched = set(earlier), 0, False
+    for k, x in enumerate(later):
+        total, unmatched = (total + words[k], unmatched or left[k] is not None) if x in has else (0, False)
+        if unmatched and total >= min_words:
+            break
+    else:
+        return sorted(found)
+    # As few runs as hold all those lines: of the runs with the next one, the last, which reaches furthest.
+    sums, after = [0], [len(later)] * (len(later) + 1)
+    for w in words:
+        sums.append(sums[-1] + w)
+    for k in range(len(later) - 1, -1, -1):
+        after[k] = after[k + 1] if left[k] is None else k
+    runs = [(first, first + n) for first, n in common_runs(later, earlier) if sums[first + n] - sums[first] >= min_words]
+    done = 0
+    for k, (first, end) in enumerate(runs):
+        need = after[max(first, done)] if done < end else end
+        if need < end and (k + 1 == len(runs) or runs[k + 1][0] > need):
+            found.append((first, end - first))
+            done = end
+    return sorted(found)
 
 
 def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS, work: Workspace | None = None) -> DataFrame:

@@ -216,6 +216,22 @@ def test_patience():
     assert line_dedup.patience([5, 0, 6], [5, 0, 6]) == [(0, 0), (1, 1), (2, 2)]
 
 
+def test_common_blocks():
+    """A passage crossed by a short line, and all lines of common runs by brute force on random documents."""
+    assert line_dedup.common_blocks([7, 8], [60, 2], [8, 7]) == [(0, 1)]
+    rng = random.Random(13)
+    for _ in range(2000):
+        n = rng.randrange(2, 9)
+        size = [0, *(rng.randrange(1, 30) for _ in range(n))]
+        later, earlier = ([rng.randrange(0, n + 1) for _ in range(rng.randrange(16))] for _ in range(2))
+        held = {tuple(earlier[i:j]) for i in range(len(earlier)) for j in range(i + 1, len(earlier) + 1)}
+        words = [size[x] for x in later]
+        runs = [(i, j) for i in range(len(later)) for j in range(i + 1, len(later) + 1) if tuple(later[i:j]) in held and sum(words[i:j]) >= 50]
+        blocks = line_dedup.common_blocks(later, words, earlier, 50)
+        assert {x for i, k in blocks for x in range(i, i + k)} == {x for i, j in runs for x in range(i, j)}
+        assert all(tuple(later[i : i + k]) in held and sum(words[i : i + k]) >= 50 for i, k in blocks)
+
+
 def test_quality(spark):
     rng = random.Random(7)
     clean = lambda: ". ".join(" ".join(rng.choice("the of and house tree river stone walking under light".split()) + rng.choice(["", "s", "ed"]) for _ in range(rng.randrange(5, 12))).capitalize() for _ in range(rng.randrange(4, 20))) + "."
