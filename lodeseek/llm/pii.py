@@ -22,7 +22,9 @@ A value is a vector of digits, each with its own radix:
 The vector is split in halves, and in each round one half is shifted, digit by
 digit modulo the radices, by a keyed SHA-256 of the other: a Feistel network,
 which is a permutation whatever the round function. Matches that fail their
-kind's check (Luhn sum, octets, calendar) are left as they are.
+kind's check (octets, calendar) are left as they are. A card is matched only as
+digits that pass the Luhn sum, so other numbers next to one, a blank or hyphen
+away, do not hide it: usual layouts come first, then longer spans.
 """
 
 from __future__ import annotations
@@ -43,7 +45,9 @@ KINDS = {
     "key": r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "secret": r"(?<=[=:\"'])[0-9a-f]{16,64}(?![0-9A-Za-z])",
 }
-PATTERN = "|".join(KINDS.values())
+#: Layouts that a card has for itself, whatever numbers stand next to it.
+LAYOUTS = r"^(?:[0-9]{12,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
+_NEVER = "(?!)"
 _CYCLE = "date'1800-01-01'"
 
 
@@ -66,6 +70,29 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def _pattern(text: Column) -> Column:
+    """The pattern of all kinds for a text: in place of the card's, the spans of the text that pass the Luhn sum."""
+    before, after = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
+    # A span of each number of digits from each place where a number starts; spans overlap.
+    spans = [F.regexp_extract_all(text, F.lit(f"{before}(?=([0-9](?:[ -]?[0-9]){{{n - 1}}}){after})"), F.lit(1)) for n in range(19, 11, -1)]
+    valid = F.filter(F.array_distinct(F.flatten(F.array(*spans))), lambda m: _luhn(_digits(m)) % 10 == 0)
+
+    def cards(valid: Column) -> Column:
+        usual = F.filter(valid, lambda m: m.rlike(LAYOUTS))
+        own = F.when(F.size(usual) > 0, F.concat(F.lit(f"{before}(?:"), F.array_join(usual, "|"), F.lit(f"){after}")))
+        parts = [own]
+        for n in range(19, 11, -1):
+            other = F.filter(valid, lambda m: ~m.rlike(LAYOUTS) & (F.length(F.regexp_replace(m, "[^0-9]", "")) == n))  # noqa: B023
+            # Not where a card in a usual layout starts inside.
+            inside = F.concat(F.lit(f"(?![0-9](?:[ -]?[0-9]){{0,{n - 2}}}[ -]"), F.coalesce(own, F.lit(_NEVER)), F.lit(")"))
+            parts.append(F.when(F.size(other) > 0, F.concat(F.lit(before), inside, F.lit("(?:"), F.array_join(other, "|"), F.lit(f"){after}"))))
+        return F.concat_ws("|", *parts)
+
+    some = F.when(text.rlike(KINDS["card"]), F.element_at(F.transform(F.array(valid), cards), 1))
+    card = F.when(F.coalesce(some, F.lit("")) == "", F.lit(_NEVER)).otherwise(some)
+    return F.concat_ws("|", *(card if kind == "card" else F.lit(p) for kind, p in KINDS.items()))
+
+
 def _day(m: Column) -> Column:
     """Ordinal of a date in the cycle, or null."""
     at = F.coalesce(*(F.try_to_timestamp(m, F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy", "MM/dd/yyyy", "MM.dd.yyyy")))
@@ -199,12 +226,13 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     are not read. ``key`` is a secret: who has it can undo the pseudonyms.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = source.withColumn("m", F.when(F.col("text").rlike("[0-9@=:\"']"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
+    source = source.withColumn("pattern", _pattern(F.col("text")))
+    found = source.withColumn("m", F.when(F.col("text").rlike("[0-9@=:\"']"), F.regexp_extract_all("text", "pattern", F.lit(0))))
     typed = found.withColumn("m", F.transform("m", lambda m: F.struct(m.alias("m"), _kind(m).alias("k"))))
     vectors = typed.withColumn("m", F.transform("m", lambda x: F.struct(x.m.alias("m"), x.k.alias("k"), _vector(x.m, x.k).alias("c"))))
     permuted = vectors.withColumn("m", F.transform("m", lambda x: F.struct(x.m.alias("m"), x.k.alias("k"), x.c.alias("c"), F.when(x.k.isNotNull(), _feistel(x.c, x.k, key)).alias("v"))))
     named = permuted.withColumn("m", F.transform("m", lambda x: F.struct(_format(x.m, x.k, x.c, x.v).alias("p"), x.k.alias("k"))))
     # The pieces between the matches are one more than the matches.
-    whole = F.array_join(F.zip_with(F.split("text", PATTERN, -1), F.col("m.p"), lambda piece, p: F.concat(piece, F.coalesce(p, F.lit("")))), "")
+    whole = F.array_join(F.zip_with(F.split("text", F.col("pattern"), -1), F.col("m.p"), lambda piece, p: F.concat(piece, F.coalesce(p, F.lit("")))), "")
     kinds = F.coalesce(F.filter("m.k", lambda k: k.isNotNull()), F.array().cast("array<string>"))
     return named.select("doc_id", F.when(F.coalesce(F.size("m"), F.lit(0)) > 0, whole).otherwise(F.col("text")).alias("text"), F.size(kinds).alias("n_pii"), kinds.alias("kinds"))

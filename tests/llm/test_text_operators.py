@@ -80,6 +80,22 @@ def test_pii_left(spark):
     assert [got[len(LEFT) + i].text for i in range(4)] == [None, "", "no digits", "4111111111111111" * 3]
 
 
+def test_pii_cards_next_to_numbers(spark):
+    """A card is replaced as it is alone, whatever number stands next to it, and so is that number."""
+    card, spaced, ssn, ip = "4111111111111111", "4111 1111 1111 1111", "123-45-6789", "10.0.0.1"
+    alone = pseudonyms(spark, [card, spaced, ssn, ip, "5500-0000-0000-0004"])
+    new = {v: alone[i].text for i, v in enumerate([card, spaced, ssn, ip, "5500-0000-0000-0004"])}
+    parts = [[card, "12/25"], [spaced, "123"], ["qty 2", card], [card, ssn], [card, ip], [ssn, spaced], [card, card, spaced], ["12", spaced, "5500-0000-0000-0004", ip], ["1 2 3 4 5 6", card, "7 8"], [card + "\n2"]]
+    got = pseudonyms(spark, [" ".join(p) for p in parts])
+    for i, p in enumerate(parts[:-1]):
+        assert got[i].text == " ".join(new.get(v, v) for v in p), p
+        assert got[i].n_pii == sum(v in new for v in p)
+    assert got[len(parts) - 1].text == new[card] + "\n2"
+    # Other groups than the usual ones, and an address of digits.
+    odd = pseudonyms(spark, ["41111111 11111111", f"{card}@x.org"])
+    assert odd[0].kinds == ["card"] and luhn(odd[0].text) and odd[1].kinds == ["email"]
+
+
 def test_pii_is_a_keyed_permutation(spark):
     """All dates of some years, and all last bytes of an address, get different pseudonyms; another key gives others."""
     days = np.arange("2020-01-01", "2023-01-01", dtype="datetime64[D]").astype(str).tolist()
