@@ -275,7 +275,7 @@ def quant4_codes(spark, d):
 def funnel_search(spark, d):
     chunks = mapping.chunks(spark, d)
     codes = chunks.select("path", "chunk_index", vx.quantise4(F.col("vec")).alias("groups"))
-    return search.funnel(chunks, codes, _vector(spark, d), 10, candidates=64).withColumn("score", F.round("score", 6))
+    return search.funnel(chunks, codes, _vector(spark, d), 10).withColumn("score", F.round("score", 6))
 
 
 @query(

@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeseek import serving
+from lodeseek import catalogue, serving
 from lodeseek.functions import embed, ignore
 from lodeseek.operators import history, indexing, projection, search
 from lodeseek.schema import CHUNKS
 from lodeseek.sources import files as crawling
+from lodeseek.sources import mapping
 from lodeseek.sources.store import Store
 from lodeseek.streaming import live
 
@@ -63,6 +64,18 @@ def test_search_skips_scores_that_are_not_finite(spark):
     assert [r.path for r in got] == ["/b.txt"]
 
 
+def test_funnel_recall(spark, tmp_path):
+    """Many near vectors whose order the codes do not tell: the registered query finds the files of the exact search."""
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=64) + 0.01 * rng.normal(size=(600, 64))
+    vecs = np.concatenate([near, rng.normal(size=(900, 64))])
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    exact = search.search(mapping.chunks(spark, str(tmp_path)), mapping.query_vector(spark, str(tmp_path), catalogue.QUERY), 10)
+    found = catalogue.QUERIES["funnel_search"](spark, str(tmp_path))
+    assert {r.path for r in found.collect()} == {r.path for r in exact.collect()}
+
+
 def test_landmarks(spark):
     files = spark.createDataFrame([(i, f"/f{i}") for i in range(10)], "idx long, path string")
     got = search.landmarks(files, 4, 8).orderBy("place").collect()
