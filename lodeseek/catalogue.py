@@ -316,7 +316,7 @@ def idw_place(spark, d):
 
 @query()
 def force_map(spark, d):
-    return projection.layout(_points(spark, d).withColumn("path", F.col("id").cast("string")))
+    return projection.embedding_map(_points(spark, d).withColumn("path", F.col("id").cast("string")))
 
 
 # Text.

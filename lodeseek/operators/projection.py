@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
+from . import search
 
 #: Neighbours, epochs, negative samples and seed of the layout; points below which components are used alone.
 NEIGHBOURS, EPOCHS, NEGATIVES, SEED, FEW = 15, 300, 5, 42, 50
+#: The most landmarks that are laid out on the driver, the least ceiling of the reference.
+LANDMARKS = 5000
 
 
 def moments(points: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -131,6 +134,19 @@ def place_rest(rest: DataFrame, marks: DataFrame, k: int = NEIGHBOURS) -> DataFr
     return near.groupBy(F.col("src").alias("id")).agg((F.sum(w * F.col("x")) / F.sum(w)).alias("x"), (F.sum(w * F.col("y")) / F.sum(w)).alias("y"))
 
 
+def embedding_map(points: DataFrame, budget: int = LANDMARKS, k: int = NEIGHBOURS, epochs: int = EPOCHS) -> DataFrame:
+    """(path, x, y) of every point (id, path, vec): ``layout`` of up to ``budget`` landmarks at an even stride, ``place_rest`` of the others."""
+    if points.count() <= budget:
+        return layout(points, k, epochs)
+    marked = search.landmarks(search.with_index(points.select("path")), budget, budget).where("is_landmark")
+    # Collected once, so that both sides see the same landmarks: bounded by the budget.
+    picked = F.broadcast(points.sparkSession.createDataFrame([(r.path,) for r in marked.select("path").collect()], "path string"))
+    marks, rest = points.join(picked, "path", "left_semi"), points.join(picked, "path", "left_anti")
+    laid = layout(marks, k, epochs)
+    placed = place_rest(rest, marks.join(laid, "path"), k).join(rest.select("id", "path"), "id")
+    return laid.unionByName(placed.select("path", "x", "y"))
+
+
 def preservation(flat: DataFrame, graph: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(kept): share of each point's neighbours that are also its nearest in the plane (id, x, y)."""
     lifted = flat.select("id", F.array(F.lit(1.0), F.col("x"), F.col("y"), -(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).alias("vec"))

@@ -172,6 +172,21 @@ def test_projection(spark):
     assert between > inside
 
 
+def test_map_beyond_the_budget(spark):
+    """Only the landmarks are laid out; every point has one place, those of a cluster near each other."""
+    rng = np.random.default_rng(4)
+    vecs = np.repeat(np.eye(8)[:2], 100, axis=0) + 0.05 * rng.normal(size=(200, 8))
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    points = spark.createDataFrame([(i, f"p{i:03}", v.tolist()) for i, v in enumerate(vecs)], "id long, path string, vec array<double>")
+    rows = projection.embedding_map(points, 60, 5, 40).collect()
+    assert sorted(r.path for r in rows) == [f"p{i:03}" for i in range(200)]
+    at = np.array([(r.x, r.y) for r in sorted(rows)])
+    marks = [int(j * 200 / 60) for j in range(60)]
+    laid = {r.path: (r.x, r.y) for r in projection.layout(points.where(F.col("id").isin(marks)), 5, 40).collect()}
+    assert all(np.allclose(at[i], laid[f"p{i:03}"]) for i in marks)
+    assert np.isfinite(at).all() and np.linalg.norm(at[:100].mean(0) - at[100:].mean(0)) > at[:100].std()
+
+
 def test_history(spark):
     rows = [("car", False, 1), ("carpet", False, 2), ("CA", True, 0), ("dog", False, 3), ("do", False, 9), ("Dog", True, 2)]
     items = history.latest(spark.createDataFrame(rows, "query string, bookmarked boolean, last_used long"))
