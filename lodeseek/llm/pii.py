@@ -9,20 +9,28 @@ kind different ones, so links between documents stay.
 A value is a vector of digits, each with its own radix:
 
 * phone: the ten digits; an area or exchange that starts with 2-9 still does
+* intl (``+``, 8 to 15 digits): all digits but the first two, which hold the
+  country code
 * card (12 to 19 digits, Luhn): all but the first digit and the check digit,
   which is worked out anew
 * ssn: area (001-899 without 666), group, serial, none of them zero
 * ip: four octets
-* date: the day within the 400-year cycle from 1800-01-01, 146097 days, as
-  (day div 773, day mod 773), 189 * 773 values
-* email: the letters and digits of the part before ``@``, each within its class
+* iban (its country's length, mod 97): letters and digits after the check
+  digits, each within its class; the check digits are worked out anew
+* date, and day (day first): the day within the 400-year cycle from 1800-01-01,
+  146097 days, as (day div 773, day mod 773), 189 * 773 values
+* month_first: a day that only reads month first, because it is over the 12th,
+  among the 88497 such days of the cycle, as 9 * 9833 values. The result is such
+  a day again, so no day that reads day first has the same pseudonym
+* email: the letters and digits of the part before ``@``, each within its class;
+  the domain stays
 * key (``AKIA`` and 16 characters): each within its class
 * secret (16 to 64 hex digits right after ``=``, ``:`` or a quote)
 
 The vector is split in halves, and in each round one half is shifted, digit by
 digit modulo the radices, by a keyed SHA-256 of the other: a Feistel network,
 which is a permutation whatever the round function. Matches that fail their
-kind's check (octets, calendar) are left as they are. A card is matched only as
+kind's check (octets, calendar, mod 97) are left as they are. A card is matched only as
 digits that pass the Luhn sum, so other numbers next to one, a blank or hyphen
 away, do not hide it: usual layouts come first, then longer spans.
 """
@@ -33,6 +41,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27,
+    "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25,
+    "RO": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27,
+}
+
+
+def _iban_pattern() -> str:
+    """Each country's check digits and groups of four, with a blank before each group or none."""
+    by_length: dict[int, list[str]] = {}
+    for country, n in IBAN_LENGTHS.items():
+        by_length.setdefault(n, []).append(country)
+    bodies = (f"(?:{'|'.join(names)})[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{{(n - 4) // 4}}}" + (f" ?[0-9A-Z]{{{(n - 4) % 4}}}" if n % 4 else "") for n, names in sorted(by_length.items()))
+    return f"(?<![0-9A-Za-z])(?:{'|'.join(bodies)})(?![0-9A-Za-z])"
+
+
 #: Pattern of each kind, in order of precedence.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
@@ -41,6 +66,8 @@ KINDS = {
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+(])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "intl": r"(?<![0-9A-Za-z+(])\+[2-9][0-9](?:[ .-]?[0-9]){6,13}(?![0-9A-Za-z])",
+    "iban": _iban_pattern(),
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){11,18}(?![0-9A-Za-z])",
     "key": r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "secret": r"(?<=[=:\"'])[0-9a-f]{16,64}(?![0-9A-Za-z])",
@@ -49,6 +76,8 @@ KINDS = {
 LAYOUTS = r"^(?:[0-9]{12,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
 _NEVER = "(?!)"
 _CYCLE = "date'1800-01-01'"
+#: Days of the cycle that are over the 12th of their month, and their radices.
+_LATE, _LATE_RADICES = 146_097 - 12 * 4800, (9, 9833)
 
 
 def _bare(pattern: str) -> str:
@@ -100,6 +129,40 @@ def _day(m: Column) -> Column:
     return F.when((n >= 0) & (n < 146_097), n.cast("long"))
 
 
+def _reads_day_first(m: Column) -> Column:
+    return F.coalesce(*(F.try_to_timestamp(m, F.lit(f)) for f in ("dd/MM/yyyy", "dd.MM.yyyy"))).isNotNull()
+
+
+def _late_rank(day: Column) -> Column:
+    """The place of a day of the cycle among those over the 12th of their month."""
+    at = F.date_add(F.expr(_CYCLE), day.cast("int"))
+    return day - 12 * ((F.year(at) - 1800) * 12 + F.month(at)).cast("long")
+
+
+def _late_day(rank: Column) -> Column:
+    """The day of the cycle with that place."""
+
+    def before(month: Column) -> Column:
+        """Places before a month of the cycle."""
+        first = F.make_date((1800 + F.floor(month / 12)).cast("int"), (month % 12 + 1).cast("int"), F.lit(1))
+        return F.datediff(first, F.expr(_CYCLE)).cast("long") - 12 * month
+
+    # Months have 16 to 19 such days, in all but the same number up to any month: the estimate is off by one at most.
+    guess = F.floor(rank * 4800 / _LATE)
+    month = F.array_max(F.filter(F.array(F.greatest(guess - 1, F.lit(0)), guess, guess + 1), lambda x: before(x) <= rank))
+    return rank + 12 * (month + 1)
+
+
+def _mod97(text: Column) -> Column:
+    """The number modulo 97 that an IBAN's characters stand for, check digits last."""
+
+    def step(acc: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code < 58, (acc * 10 + code - 48) % 97).otherwise((acc * 100 + code - 55) % 97)
+
+    return F.aggregate(F.split(F.concat(F.substring(text, 5, 40), F.substring(text, 1, 4)), ""), F.lit(0), step)
+
+
 def _kind(m: Column) -> Column:
     """The kind of a match that passes its check, or null."""
     octets = F.transform(F.split(m, r"\."), lambda x: F.when(F.length(x) <= 3, x.cast("long")).otherwise(256))
@@ -107,17 +170,23 @@ def _kind(m: Column) -> Column:
     valid = {
         "date": _day(m).isNotNull(),
         "day": _day(m).isNotNull(),
+        "iban": (_mod97(_packed(m)) == 1) & F.substring(_packed(m), 3, 2).between("02", "98"),
         "ip": F.forall(octets, lambda x: x < 256),
         "card": _luhn(_digits(m)) % 10 == 0,
         "ssn": (ssn[0] != "000") & (ssn[0] != "666") & (ssn[0] < "900") & (ssn[1] != "00") & (ssn[2] != "0000"),
     }
     out = None
     for kind, pattern in KINDS.items():
-        result = F.when(valid[kind], F.lit(kind)) if kind in valid else F.lit(kind)
+        name = F.when(_reads_day_first(m), F.lit("day")).otherwise(F.lit("month_first")) if kind == "day" else F.lit(kind)
+        result = F.when(valid[kind], name) if kind in valid else name
         out = F.when(m.rlike(_bare(pattern)), result) if out is None else out.when(m.rlike(_bare(pattern)), result)
     return out
 
 
+def _packed(m: Column) -> Column:
+    return F.replace(m, F.lit(" "), F.lit(""))
+
+
 def _cell(value: Column, radix, offset) -> Column:
     lit = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("long")
     return F.struct(lit(value).alias("v"), lit(radix).alias("r"), lit(offset).alias("o"))
@@ -144,9 +213,13 @@ def _vector(m: Column, kind: Column) -> Column:
     part = lambda i: F.split(m, "-")[i].cast("long")
     ssn = F.array(_cell(part(0) - F.when(part(0) > 666, 2).otherwise(1), 898, 0), _cell(part(1) - 1, 99, 0), _cell(part(2) - 1, 9999, 0))
     day = F.array(_cell(F.floor(_day(m) / 773), 189, 0), _cell(_day(m) % 773, 773, 0))
+    late = _late_rank(_day(m))
     return (
         F.when(kind == "email", _chars(F.substring_index(m, "@", 1)))
         .when(kind.isin("date", "day"), day)
+        .when(kind == "month_first", F.array(_cell(F.floor(late / _LATE_RADICES[1]), _LATE_RADICES[0], 0), _cell(late % _LATE_RADICES[1], _LATE_RADICES[1], 0)))
+        .when(kind == "intl", F.transform(F.slice(digits, F.lit(3), F.size(digits) - 2), plain))
+        .when(kind == "iban", _chars(F.substring(_packed(m), 5, 40)))
         .when(kind == "ssn", ssn)
         .when(kind == "ip", F.transform(F.split(m, r"\."), lambda x: _cell(x.cast("long"), 256, 0)))
         .when(kind == "phone", phone)
@@ -179,13 +252,13 @@ def _feistel(cells: Column, kind: Column, key: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves, turn, lambda acc: F.concat(acc.a, acc.b))
 
 
-def _refill(m: Column, digits: Column) -> Column:
-    """``m`` with its last digits replaced, in order, by the given ones; other characters and earlier digits stay."""
+def _refill(m: Column, digits: Column, kept: str = "[^0-9]") -> Column:
+    """``m`` with its last digits replaced, in order, by the given ones; other characters (``kept``) and earlier digits stay."""
     chars = F.split(m, "")
-    skip = F.length(F.regexp_replace(m, "[^0-9]", "")) - F.size(digits)
+    skip = F.length(F.regexp_replace(m, kept, "")) - F.size(digits)
 
     def put(acc: Column, c: Column) -> Column:
-        is_digit = c.rlike("^[0-9]$")
+        is_digit = ~c.rlike(kept)
         taken = F.when(is_digit & (acc.n >= skip), F.get(digits, acc.n - skip).cast("string")).otherwise(c)
         return F.struct(F.concat(acc.s, taken).alias("s"), (acc.n + F.when(is_digit, 1).otherwise(0)).alias("n"))
 
@@ -201,15 +274,18 @@ def _format(m: Column, kind: Column, cells: Column, values: Column) -> Column:
     ssn = F.concat_ws("-", F.lpad((values[0] + F.when(values[0] > 664, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((values[1] + 1).cast("string"), 2, "0"), F.lpad((values[2] + 1).cast("string"), 4, "0"))
     body = F.concat(F.slice(_digits(m), F.lit(1), F.lit(1)), plain)
     check = (10 - _luhn(F.concat(body, F.array(F.lit(0).cast("long")))) % 10) % 10
-    day_first = F.try_to_timestamp(m, F.when(slashed == "//", F.lit("dd/MM/yyyy")).otherwise(F.lit("dd.MM.yyyy"))).isNotNull()
-    spelt = F.when(day_first, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
+    late = F.date_add(F.expr(_CYCLE), _late_day(values[0] * _LATE_RADICES[1] + values[1]).cast("int"))
+    spelt = F.when(kind == "day", F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(late, "MM/dd/yyyy"))
+    country = F.substring(m, 1, 2)
+    iban = F.concat(country, F.lpad((98 - _mod97(F.concat(country, F.lit("00"), written))).cast("string"), 2, "0"), written)
     return (
         F.when(kind == "email", F.concat(written, F.lit("@"), F.substring_index(m, "@", -1)))
         .when(kind == "date", F.date_format(day, "yyyy-MM-dd"))
-        .when(kind == "day", F.when(slashed == "//", spelt).otherwise(F.replace(spelt, F.lit("/"), F.lit("."))))
+        .when(kind.isin("day", "month_first"), F.when(slashed == "//", spelt).otherwise(F.replace(spelt, F.lit("/"), F.lit("."))))
         .when(kind == "ssn", ssn)
         .when(kind == "ip", F.array_join(F.transform(values, lambda v: v.cast("string")), "."))
-        .when(kind == "phone", _refill(m, plain))
+        .when(kind.isin("phone", "intl"), _refill(m, plain))
+        .when(kind == "iban", _refill(m, F.split(iban, ""), " "))
         .when(kind == "card", _refill(m, F.concat(plain, F.array(check))))
         .when(kind == "key", F.concat(F.lit("AKIA"), written))
         .when(kind == "secret", F.lower(F.array_join(F.transform(values, lambda v: F.conv(v.cast("string"), 10, 16)), "")))
