@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import mix, slices, utf8
+from .shared import mix, slices, text_batches, utf8
 
 BITS = 16
 ORDERS = (2, 3, 4)
@@ -137,6 +137,7 @@ def _counts(sample: DataFrame, languages: list[str]) -> np.ndarray:
 
 def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the languages of ``rows``; rows without text or language are not used."""
+    text_batches(rows.sparkSession)
     named = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("doc_id is not null and lang is not null")
     # Ids first, and of a frequent language only those whose hash is below a bound that four times enough rows pass.
     known = named.where("text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
@@ -202,6 +203,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     and for every row if no language was learned. ``margin`` is by how much the
     second nearest codeword's loss exceeds the nearest one's.
     """
+    text_batches(docs.sparkSession)
     cast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ import json
 import os
 import re
 import tempfile
+import time
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of the class [\x20\x09-\x0D], which separates words.
 WHITE = np.zeros(256, bool)
@@ -30,10 +32,27 @@ _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _SEGMENT = 1 << 18
 
 
+#: Rows of text in an Arrow batch: texts may be long, and a batch is held several times over.
+BATCH_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session have at most ``BATCH_ROWS`` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset (tests), one of our own is set first."""
+    """A new folder under ``spark.checkpoint.dir``, which must be set to one that all executors share.
+
+    Only where driver and executors are one process (``local``) is there a
+    folder of our own if it is unset.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='lodeseek-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lodeseek-{uuid.uuid4().hex}"
@@ -42,8 +61,11 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """Named Parquet tables of one run of an operator."""
 
+    released = 0.0
+
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.tables = spark, shared_dir(spark), {}
+        text_batches(spark)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -63,7 +85,10 @@ class Workspace:
         return self.spark.table(table)
 
     def _release(self) -> None:
-        """Shuffle files of finished steps go once the driver has collected what refers to them."""
+        """Shuffle files of finished steps go once the driver has collected what refers to them; steps that take no time are let be."""
+        if time.monotonic() - Workspace.released < 3:
+            return
+        Workspace.released = time.monotonic()
         gc.collect()
         self.spark._jvm.System.gc()
 
@@ -77,6 +102,26 @@ class Workspace:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Rows with one key that a task joins.
+HOT = 2000
+
+
+def spread_join(rows: DataFrame, others: DataFrame, key: str, work: Workspace, name: str, hot: int = HOT) -> DataFrame:
+    """Inner join of ``rows``, a written table, with ``others`` on a column; columns named ``__salt`` and ``__salts`` must not be there.
+
+    The rows of a key that has more than ``hot`` of them are dealt by a salt,
+    and its others are sent to each salt: a third of all rows may have one key.
+    """
+    counts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("__salts")).where("__salts > 1")
+    counts = work.keep(counts, f"{name}_hot")
+    if counts.isEmpty():
+        return rows.join(others, key)
+    salted = rows.join(counts, key).withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.col("__salts")).cast("int")).drop("__salts")
+    copies = others.join(counts, key).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
+    plain = rows.join(counts, key, "left_anti").join(others, key)
+    return plain.unionByName(salted.join(copies, [key, "__salt"]).drop("__salt"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -206,11 +251,11 @@ class CachedEncoder:
     For the two pre-tokenizers that it knows, and texts of common characters
     only, a text is split into its pre-tokens here; the library's model encodes
     each distinct one, and its ids are remembered. Any other text, and any text
-    of another tokenizer, is encoded whole. ``capacity`` bounds the pre-tokens
-    that are remembered; further ones are encoded each time.
+    of another tokenizer, is encoded whole. ``capacity`` bounds the bytes that
+    remembered pre-tokens take; further ones are encoded each time.
     """
 
-    def __init__(self, path: str, capacity: int = 1_000_000):
+    def __init__(self, path: str, capacity: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -219,7 +264,7 @@ class CachedEncoder:
         self.model, self.kind = self.tokenizer.model, self._kind()
         self.split = _SPLITS.get(self.kind)
         self.letters = _byte_letters()
-        self.capacity, self.cache = capacity, {}
+        self.capacity, self.size, self.cache = capacity, 0, {}
 
     def _kind(self) -> str | None:
         spec = json.loads(self.tokenizer.to_str())
@@ -268,9 +313,10 @@ class CachedEncoder:
                 seen.update(pieces)
         found = {x: self._encode(x) for x in seen.difference(self.cache)}
         get = self.cache.__getitem__
-        if len(self.cache) < self.capacity:
+        if self.size < self.capacity:
             kept = {x: b for x, b in found.items() if len(x) <= 64}
             self.cache.update(kept)
+            self.size += sum(len(x) + len(b) + 190 for x, b in kept.items())  # with what Python adds to each
             found = found if len(kept) < len(found) else {}
         if found:
             get = _Both(self.cache, found).__getitem__
