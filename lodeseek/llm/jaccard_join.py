@@ -16,12 +16,15 @@ are found in rounds that never emit the pairs of a group:
   its most central member, and join what links into components;
 * posting lists whose members are all in one component are done;
 * the last round compares, in the lists that remain, each member outside the
-  list's largest component with the members of other components. Only this
-  round is needed for exactness; the star rounds leave it little to do.
-
-Bitmaps of the sets, in which two sets differ in no more bits than in shingles,
-drop most pairs that cannot reach the threshold before whole sets are fetched,
-and in long lists inside the join, before there is a row for the pair.
+  list's largest component with the members of other components, in the first
+  list that both are in. Only this round is needed for exactness; the star
+  rounds leave it little to do.
+
+Parity bitmaps of the sets (odd sketches), in which two sets differ in no more
+bits than in shingles, drop most pairs that cannot reach the threshold before
+whole sets are fetched, and in long lists inside the join, before there is a row
+for the pair. A parity bit tells sets apart however large they are, because what
+they have in common cancels out.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,8 +55,10 @@ ROUNDS = 4
 #: 64-bit words of a set's bitmap, and how long a list must be for its members to carry it.
 BITMAP = 16
 LONG_LIST = 8
+#: Lists of a set before each one that are looked at to meet another set once only.
+BEFORE = 4
 #: Pairs with one set that a task verifies.
-HOT = 5000
+HOT = 256
 
 
 def _sets(batch: pa.RecordBatch, hasher: WordHasher, k: int) -> Iterator[np.ndarray]:
@@ -162,12 +167,12 @@ def prefixes(docs: DataFrame, k: int, percent: int, logs: np.ndarray) -> DataFra
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, shingles, bits) with each row's sorted distinct shingle hashes, their number and bitmap."""
+    """(doc_id, n, shingles, bits) with each row's sorted distinct shingle hashes, their number and parity bitmap."""
 
     def bitmap(x: np.ndarray) -> np.ndarray:
-        bits = np.zeros(BITMAP * 64, np.uint8)
-        bits[(x % np.uint64(BITMAP * 64)).astype(np.int64)] = 1
-        return np.packbits(bits, bitorder="little").view(np.int64)
+        """A bit for each place: whether an odd number of shingles falls there."""
+        odd = np.bincount((x % np.uint64(BITMAP * 64)).astype(np.int64), minlength=BITMAP * 64) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -182,7 +187,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _near(n0: str, n1: str, words: list[tuple], percent: int):
-    """Whether two sets may reach the threshold by their bitmaps: sets differ in as many shingles as bitmaps in bits, or more.
+    """Whether two sets may reach the threshold by their bitmaps: sets differ in as many shingles as parity bitmaps in bits, or more.
 
     100 * |x & y| >= percent * |x | y| leaves at most (100 - percent) / (100 + percent) of all shingles unshared.
     """
@@ -288,12 +293,15 @@ def _class_links(source: DataFrame, classes: DataFrame, logs: np.ndarray, k: int
     long, words = left.where(F.col("all") > LONG_LIST), [f"w{i}" for i in range(BITMAP)]
     maps = sets.join(long.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", *(F.col("bits")[i].alias(w) for i, w in enumerate(words)))
     left = long.join(maps, "doc_id").unionByName(left.where(F.col("all") <= LONG_LIST).withColumns({w: F.lit(None).cast("long") for w in words}))
-    left = work.keep(left.select("token", "doc_id", "n", "l", "pos", "root", "largest", *words), "left")
+    # Two sets meet in every list that both are in; where one of the lists before has both, they have met already.
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    left = left.withColumn("before", F.array_compact(F.array(*(F.lag("token", i).over(order) for i in range(1, BEFORE + 1)))))
+    left = work.keep(left.select("token", "doc_id", "n", "pos", "root", "largest", "before", *words), "left")
     x, y = left.where("not largest").alias("x"), left.alias("y")
     near = F.coalesce(_near("x.n", "y.n", [(F.col(f"x.{w}"), F.col(f"y.{w}")) for w in words], percent), F.lit(True))
     met = F.expr("x.token = y.token and x.root <> y.root and (y.largest or x.doc_id < y.doc_id)")
-    pairs = x.join(y, met & _possible("x.n", "y.n", "x.pos", "y.pos", percent) & near)
-    pairs = pairs.groupBy(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("x.l", "y.l")).alias("l")).where("c >= l")
+    pairs = x.join(y, met & _possible("x.n", "y.n", "x.pos", "y.pos", percent) & ~F.arrays_overlap("x.before", "y.before") & near)
+    pairs = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     links = work.keep(links.unionByName(_verified(pairs, sets, percent, work, "exact")), "links")
     work.drop("sets")
     return links
@@ -313,7 +321,10 @@ def _unfinished(shared: DataFrame, links: DataFrame, work: Workspace, step: int)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, or null."""
+    """The rows of ``docs``, with all their columns, whatever their names, whose doc_id is the smallest of its component, or null.
+
+    Cases are as in ``jaccard_components``; repeated rows of a kept id all stay.
+    """
     found = jaccard_components(docs, k, percent, id_col, text_col)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["__gone"], "left_anti")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone.gone, "left_anti")
