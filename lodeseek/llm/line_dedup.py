@@ -31,16 +31,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace, lists, utf8
+from .shared import HOT, Workspace, lists, spread_join, utf8
 
 MIN_WORDS = 50
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, lines, words): the hash and the number of words of each line; blank lines hash to 0."""
+    """(doc_id, lines, words, text_hash): the hash and the number of words of each line; blank lines hash to 0, an empty text has no line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,9 +54,10 @@ def line_table(docs: DataFrame) -> DataFrame:
                     words.append(len(line.split()))
                 ends.append(len(hashes))
             ends = np.array(ends, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(np.array(hashes, np.uint64).view(np.int64), ends, pa.int64()), lists(np.array(words, np.int32), ends, pa.int32())], names=["doc_id", "lines", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(np.array(hashes, np.uint64).view(np.int64), ends, pa.int64()), lists(np.array(words, np.int32), ends, pa.int32()), batch.column(2)], names=["doc_id", "lines", "words", "text_hash"])
 
-    return docs.mapInArrow(run, "doc_id long, lines array<long>, words array<int>")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return hashed.mapInArrow(run, "doc_id long, lines array<long>, words array<int>, text_hash long")
 
 
 def windows(lines: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
@@ -207,7 +208,7 @@ def common_blocks(later: list[int], words: list[int], earlier: list[int], min_wo
 
 
 def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS, work: Workspace | None = None) -> DataFrame:
-    """(doc_id, from_doc, first_line, n_lines, n_words) of each aligned common block of a later document.
+    """(doc_id, text_hash, from_doc, first_line, n_lines, n_words) of each aligned common block of a later document.
 
     ``docs`` has columns doc_id and text. Documents with null or empty text or a
     null doc_id have no block. Rows that repeat a doc_id are one document, the
@@ -218,7 +219,7 @@ def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS, work: Workspace
     table = work.keep(table, "line_table")
     again = table.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     if not again.isEmpty():
-        least = table.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lines", "words")).alias("m")).select("doc_id", "m.lines", "m.words")
+        least = table.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("lines", "words", "text_hash")).alias("m")).select("doc_id", "m.*")
         table = work.keep(table.join(again, "doc_id", "left_anti").unionByName(least), "table")
     each = table.select("doc_id", F.posexplode(F.arrays_zip("lines", "words")).alias("at", "line")).select("doc_id", "at", F.col("line.lines").alias("hash"), F.col("line.words").alias("words"))
     seen = each.where("hash <> 0").groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
@@ -244,38 +245,57 @@ def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS, work: Workspace
     looked = whole.select("doc_id", "l.hash", "l.words", "l.owner").mapInArrow(look, "doc_id long, value long, is_owner boolean")
     looked = work.keep(looked, "looked")
     held = looked.where("not is_owner").groupBy("value").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
+    # Written on its own, so that Spark can split a frequent window's side of the join.
+    held = work.keep(held, "held")
     by_window = looked.where("not is_owner").join(held, "value").where("owner < doc_id").select("doc_id", "owner")
     pairs = looked.where("is_owner").select("doc_id", F.col("value").alias("owner")).unionByName(by_window).distinct()
     pairs = work.keep(pairs, "pairs")
-    both = pairs.join(table, "doc_id").join(table.select(F.col("doc_id").alias("owner"), F.col("lines").alias("owner_lines")), "owner")
+    # A document may own what very many others repeat.
+    owners = table.select(F.col("doc_id").alias("owner"), F.col("lines").alias("owner_lines"))
+    both = spread_join(pairs, owners, "owner", work, "owners", HOT).join(table, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(*x.values(),) for x in batch.to_pylist()]
-            out = [(doc, owner, first, n, sum(words[first : first + n])) for doc, owner, later, words, earlier in rows for first, n in common_blocks(later, words, earlier, min_words)]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "from_doc", "first_line", "n_lines", "n_words"])
+            out = []
+            for k in range(batch.num_rows):  # one pair's lines at a time
+                doc, text, owner, later, words, earlier = (c[k].as_py() for c in batch.columns)
+                out += [(doc, text, owner, first, n, sum(words[first : first + n])) for first, n in common_blocks(later, words, earlier, min_words)]
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["doc_id", "text_hash", "from_doc", "first_line", "n_lines", "n_words"])
 
-    return both.select("doc_id", "owner", "lines", "words", "owner_lines").mapInArrow(run, "doc_id long, from_doc long, first_line int, n_lines int, n_words int")
+    return both.select("doc_id", "text_hash", "owner", "lines", "words", "owner_lines").mapInArrow(run, "doc_id long, text_hash long, from_doc long, first_line int, n_lines int, n_words int")
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text without the repeated blocks, n_removed (lines), blocks.
 
     ``blocks`` are (from_doc, first_line, n_lines, n_words), in order; lines count
-    from 0 and may be in several blocks. Null text stays null. Other columns of
-    ``docs`` are not read; an empty table gives an empty result.
+    from 0 and may be in several blocks. Null text stays null, empty text empty.
+    Rows without a doc_id lose nothing; rows that repeat one are one document to
+    the search (see ``repeated_blocks``), and a repeated row whose text is another
+    one is left whole. Other columns of ``docs`` are not read; an empty table
+    gives an empty result.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     work = Workspace(docs.sparkSession)
     blocks = work.keep(repeated_blocks(source, min_words, work), "blocks")
-    blocks = blocks.groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("first_line", "from_doc", "n_lines", "n_words"))).alias("blocks"))
-    joined = source.join(blocks.hint("shuffle_hash"), source.doc_id == blocks.of, "left")
-    # A line goes if a block covers it.
-    gone = F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.sequence(b.first_line, b.first_line + b.n_lines - 1))))
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("gone", i))
-    return (
-        joined.withColumn("gone", gone)
-        .withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .select("doc_id", "text", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"), "blocks")
+    blocks = blocks.groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text")).agg(F.array_sort(F.collect_list(F.struct("first_line", "from_doc", "n_lines", "n_words"))).alias("blocks"))
+    same = (source.doc_id == blocks.of) & (F.xxhash64(source.text) == blocks.of_text)
+    joined = source.join(blocks.hint("shuffle_hash"), same, "left").withColumn("lines", F.split("text", "\n", -1))
+    # The stretches between the blocks, which are in order of their first line.
+    start = F.struct(F.array().cast("array<struct<at:int,n:int>>").alias("kept"), F.lit(0).alias("at"))
+
+    def step(acc: Column, b: Column) -> Column:
+        between = F.struct(acc.at.alias("at"), (b.first_line - acc.at).alias("n"))
+        return F.struct(F.when(b.first_line > acc.at, F.array_append(acc.kept, between)).otherwise(acc.kept).alias("kept"), F.greatest(acc.at, b.first_line + b.n_lines).alias("at"))
+
+    rest = F.aggregate("blocks", start, step, lambda acc: F.array_append(acc.kept, F.struct(acc.at.alias("at"), F.lit(1 << 30).alias("n"))))
+    kept = F.flatten(F.transform(rest, lambda x: F.slice("lines", x.at + 1, x.n)))
+    cut = joined.withColumn("kept", F.when(F.col("blocks").isNotNull(), kept))
+    return cut.select(
+        "doc_id",
+        F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
+        F.when(F.col("kept").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).alias("n_removed"),
+        "blocks",
     )
