@@ -2,15 +2,19 @@
 
 Documents and benchmark items are sequences of words, without case and
 punctuation. Windows of ``least`` words that a document shares with an item are
-the seeds; for each document and item with a seed, the longest matches that do
-not overlap are marked again and again, down to ``least`` words, so a passage
-that was cut up and reordered is still found whole. An item is leaked where the
-marked words are at least ``threshold`` of it.
+the seeds, joined on their hash; for each document and item with enough seeds,
+the longest matches that do not overlap are marked again and again, down to
+``least`` words, so a passage that was cut up and reordered is still found whole.
+An item is leaked where the marked words are at least ``threshold`` of it.
 
 Candidate matches of one length are found by running Karp-Rabin hashes, which
 prefix sums give for any length, and are compared word by word before they are
 marked. Only words within seeds can be part of a match, so a pair costs its
 shared passages and not the document's length.
+
+Of the documents, only windows that pass a filter of the benchmark's seeds, of a
+fixed size, are shuffled; nothing else of the benchmark is broadcast, and none of
+it is collected.
 """
 
 from __future__ import annotations
@@ -21,46 +25,43 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import PUNCTUATION, WordHasher, shingle_hashes, slices, utf8
+from .shared import HOT, PUNCTUATION, WordHasher, Workspace, lists, longs, shingle_hashes, slices, spread_join, utf8
 
 LEAST = 5
 THRESHOLD = 0.5
-#: Bytes of benchmark text that are broadcast at once; a larger benchmark is taken in blocks, one pass over the documents each.
-BROADCAST_BYTES = 16 << 20
+#: log2 of the bits of the filter of seeds, which is broadcast.
+FILTER_BITS = 26
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _running(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    powers = np.full(len(words) + 1, _BASE, np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
+    """Prefix sums of the words' polynomial, and the inverse powers that move a window's difference back to power zero."""
+    powers, inverse = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(words), b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
     sums = np.zeros(len(words) + 1, np.uint64)
-    for i in range(len(words)):
-        sums[i + 1] = sums[i] * _BASE + words[i]
-    return sums, powers
+    np.cumsum(words * powers[:-1], out=sums[1:])
+    return sums, inverse
 
 
-def _windows(sums: np.ndarray, powers: np.ndarray, length: int) -> np.ndarray:
-    return sums[length:] - sums[:-length] * powers[length] if length < len(sums) else np.zeros(0, np.uint64)
+def _windows(sums: np.ndarray, inverse: np.ndarray, length: int) -> np.ndarray:
+    return (sums[length:] - sums[:-length]) * inverse[: len(sums) - length] if length < len(sums) else np.zeros(0, np.uint64)
 
 
 def tiles(text: np.ndarray, pattern: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """(start in text, start in pattern, length) of the greedy tiling, longest first."""
     with np.errstate(over="ignore"):
-        text_sums, powers = _running(text)
-        pattern_sums, more = _running(pattern)
-        powers = powers if len(powers) >= len(more) else more
+        text_sums, text_inverse = _running(text)
+        pattern_sums, pattern_inverse = _running(pattern)
         free_text, free_pattern = np.ones(len(text), bool), np.ones(len(pattern), bool)
         out: list[tuple[int, int, int]] = []
 
         def matches(length: int) -> list[tuple[int, int]]:
             """Starts of equal free windows."""
-            a, b = _windows(text_sums, powers, length), _windows(pattern_sums, powers, length)
+            a, b = _windows(text_sums, text_inverse, length), _windows(pattern_sums, pattern_inverse, length)
             if not len(a) or not len(b):
                 return []
             open_a = np.convolve(~free_text, np.ones(length, int), "valid") == 0
@@ -89,50 +90,6 @@ def tiles(text: np.ndarray, pattern: np.ndarray, least: int = LEAST) -> list[tup
     return out
 
 
-class Items:
-    """A block of benchmark items with their seeds, to look documents up in."""
-
-    def __init__(self, ids: list[int], texts: list[str], least: int):
-        self.ids, self.least, self.words = ids, least, []
-        seeds, owners = [], []
-        for k, words in enumerate(_word_hashes(pa.array(texts, pa.string()), WordHasher(PUNCTUATION))):
-            self.words.append(words)
-            found = np.unique(shingle_hashes(words, least)) if len(words) else words
-            seeds.append(found)
-            owners.append(np.full(len(found), k))
-        seeds, owners = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (seeds, owners))
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, first = np.unique(seeds[order], return_index=True)
-        self.owners, self.first = owners[order], np.append(first, len(seeds))
-        # Items of fewer words than a seed are looked for whole.
-        self.sizes = sorted({min(least, len(x)) for x in self.words if len(x)})
-
-    def leaks(self, words: np.ndarray, threshold: float) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
-        """(item, coverage, tiles) of each item that ``words`` cover enough of."""
-        near: dict[int, set[int]] = defaultdict(set)
-        for size in self.sizes:
-            if len(words) < size or not len(self.seeds):
-                continue
-            windows = shingle_hashes(words, size)
-            at = np.minimum(np.searchsorted(self.seeds, windows), len(self.seeds) - 1)
-            for i in np.flatnonzero(self.seeds[at] == windows).tolist():
-                for k in self.owners[self.first[at[i]] : self.first[at[i] + 1]].tolist():
-                    near[k].update(range(i, i + size))
-        for k, covered in sorted(near.items()):
-            pattern = self.words[k]
-            if len(covered) < threshold * len(pattern):  # a tile's words are all covered by seeds
-                continue
-            places = np.array(sorted(covered))
-            breaks = np.flatnonzero(np.diff(places) > 1) + 1
-            # Words of separate stretches must not join: each break gets a value of its own, which no word has.
-            text = np.insert(words[places], breaks, np.arange(len(breaks), dtype=np.uint64))
-            origin = np.insert(places, breaks, -1)
-            found = [(int(origin[i]), j, n) for i, j, n in tiles(text, pattern, min(self.least, len(pattern)))]
-            coverage = sum(n for _, _, n in found) / len(pattern)
-            if coverage >= threshold:
-                yield k, coverage, found
-
-
 def _word_hashes(column: pa.Array, hasher: WordHasher) -> Iterator[np.ndarray]:
     data, offsets = utf8(pc.utf8_lower(column))
     for a, b in slices(offsets):
@@ -141,14 +98,105 @@ def _word_hashes(column: pa.Array, hasher: WordHasher) -> Iterator[np.ndarray]:
             yield h[i:j]
 
 
-def _blocks(benchmark: DataFrame, least: int, item_col: str, item_text: str) -> Iterator[Broadcast]:
-    """The benchmark's items, ``BROADCAST_BYTES`` of text at a time."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BROADCAST_BYTES))
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], least))
+def benchmark_items(benchmark: DataFrame, least: int, item_col: str, item_text: str, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(item, item_id, n_words, pattern) of each row with a word, and (item, seed, times, need) of its distinct seeds.
+
+    ``pattern`` are the words' hashes, ``times`` is in how many places the item
+    has the seed, and ``need`` how many such places a document must have at
+    least, if all of the item is to be covered. A row of fewer than ``least``
+    words is one seed; null and empty texts have none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, at = WordHasher(PUNCTUATION), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for item, words in zip(batch.column(0), _word_hashes(batch.column(1), hasher), strict=True):
+                if len(words):
+                    seeds, times = np.unique(shingle_hashes(words, least), return_counts=True)
+                    columns = [pa.array([at]), pa.array([item.as_py()], pa.int64()), pa.array([len(words)], pa.int32()), *(lists(x, np.array([len(x)]), t) for x, t in ((longs(words), pa.int64()), (longs(seeds), pa.int64()), (times, pa.int32())))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["item", "item_id", "n_words", "pattern", "seeds", "times"])
+                    at += 1
+
+    source = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    items = work.keep(source.mapInArrow(run, "item long, item_id long, n_words int, pattern array<long>, seeds array<long>, times array<int>"), "items")
+    each = items.select("item", (F.col("n_words") / F.least("n_words", F.lit(least))).alias("need"), F.explode(F.arrays_zip("seeds", "times")).alias("s"))
+    return items.drop("seeds", "times"), each.select("item", "need", F.col("s.seeds").alias("seed"), F.col("s.times").alias("times"))
+
+
+def _seed_filter(seeds: DataFrame) -> np.ndarray:
+    """A bit for each value that the top ``FILTER_BITS`` bits of a seed can have; what is collected has at most as many bits, whatever the benchmark."""
+    top = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - FILTER_BITS}) & 63 as int))")
+    words = seeds.groupBy(F.shiftright(top, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _passing_windows(docs: DataFrame, seeds: DataFrame, sizes: list[int]) -> DataFrame:
+    """(row, doc_id, text_hash, at, seed, words) of each document window that the filter of seeds lets pass; ``row`` numbers the rows of ``docs``."""
+    cast = docs.sparkSession.sparkContext.broadcast(_seed_filter(seeds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hasher, row = cast.value, WordHasher(PUNCTUATION), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for k, words in enumerate(_word_hashes(batch.column(1), hasher)):
+                for size in sizes:
+                    windows = shingle_hashes(words, size) if len(words) >= size else words[:0]
+                    top = windows >> np.uint64(64 - FILTER_BITS)
+                    places = np.flatnonzero(bits[top >> np.uint64(6)] >> (top & np.uint64(63)) & np.uint64(1))
+                    for part in np.split(places, range(10_000, len(places), 10_000)):
+                        if len(part):
+                            own = words[part[:, None] + np.arange(size)].reshape(-1)
+                            ids = pa.array([batch.column(0)[k].as_py()] * len(part), pa.int64())
+                            texts = pa.array(np.full(len(part), batch.column(2)[k].as_py()))
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row)), ids, texts, pa.array(part), pa.array(longs(windows[part])), lists(longs(own), np.arange(1, len(part) + 1) * size, pa.int64())], names=["row", "doc_id", "text_hash", "at", "seed", "words"])
+                row += 1
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "row long, doc_id long, text_hash long, at long, seed long, words array<long>")
+
+
+def _tiled(at: list[int], windows: np.ndarray, pattern: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The tiles of an item in a document of which the shared windows are known, as (start in the document, start in the item, words)."""
+    size = windows.shape[1]
+    places, first = np.unique((np.array(at)[:, None] + np.arange(size)).reshape(-1), return_index=True)
+    breaks = np.flatnonzero(np.diff(places) > 1) + 1
+    # Words of separate stretches must not join: each break gets a value of its own, which no word has.
+    text = np.insert(windows.reshape(-1)[first], breaks, np.arange(len(breaks), dtype=np.uint64))
+    origin = np.insert(places, breaks, -1)
+    return [(int(origin[i]), j, n) for i, j, n in tiles(text, pattern, min(least, len(pattern)))]
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, least: int, item_col: str, item_text: str) -> DataFrame:
+    """``leaked`` for (doc_id, text), with the column text_hash."""
+    work = Workspace(docs.sparkSession)
+    items, seeds = benchmark_items(benchmark, least, item_col, item_text, work)
+    seeds = work.keep(seeds, "seeds")
+    sizes = [r.n for r in items.select(F.least("n_words", F.lit(least)).alias("n")).distinct().collect()]  # ``least`` values at most
+    windows = work.keep(_passing_windows(docs, seeds, sorted(sizes)), "windows")
+    met = spread_join(windows, seeds, "seed", work, "windows", HOT)
+    pairs = met.groupBy("row", "doc_id", "text_hash", "item").agg(F.sum("times").alias("times"), F.first("need").alias("need"), F.collect_list(F.struct("at", "words")).alias("shared"))
+    pairs = work.keep(pairs.where(F.col("times") >= F.col("need") * F.lit(threshold)).drop("times", "need"), "pairs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):
+                doc, text, item, n_words, shared, pattern = (c[k] for c in batch.columns)
+                at, windows = shared.values.field("at").to_pylist(), shared.values.field("words")
+                own = windows.flatten().to_numpy().view(np.uint64).reshape(len(at), -1)
+                found = _tiled(at, own, pattern.values.to_numpy().view(np.uint64), least)
+                coverage = sum(n for _, _, n in found) / n_words.as_py()
+                if coverage >= threshold:
+                    rows.append({"doc_id": doc.as_py(), "text_hash": text.as_py(), "item_id": item.as_py(), "coverage": coverage, "n_tiles": len(found), "n_words": n_words.as_py(), "tiles": [{"doc_word": i, "item_word": j, "words": n} for i, j, n in found]})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _LEAKS)
+
+    both = spread_join(pairs, items, "item", work, "pairs", HOT)
+    return both.select("doc_id", "text_hash", "item_id", "n_words", "shared", "pattern").mapInArrow(run, "doc_id long, text_hash long, item_id long, coverage double, n_tiles int, n_words int, tiles array<struct<doc_word:int,item_word:int,words:int>>")
+
+
+_LEAKS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("n_words", pa.int32()), ("tiles", pa.list_(pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("words", pa.int32())])))])
 
 
 def leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -156,41 +204,18 @@ def leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
     ``tiles`` are (start word in the document, start word in the item, words).
     Null and empty texts leak nothing, and neither do items without words; an
-    item of fewer than ``least`` words is looked for whole. Repeated rows give
-    repeated results. Empty tables give an empty result.
+    item of fewer than ``least`` words is looked for whole. Repeated rows, of
+    documents or items, give repeated results; null ids stay null. Empty tables
+    give an empty result; other columns are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for cast in _blocks(benchmark, least, item_col, item_text):
-
-        def run(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
-            items, hasher = cast.value, WordHasher(PUNCTUATION)
-            for batch in batches:
-                rows = []
-                for doc, words in zip(batch.column(0).to_pylist(), _word_hashes(batch.column(1), hasher), strict=True):
-                    for k, coverage, found in items.leaks(words, threshold):
-                        rows.append({"doc_id": doc, "item_id": items.ids[k], "coverage": coverage, "n_tiles": len(found), "n_words": len(items.words[k]), "tiles": [{"doc_word": i, "item_word": j, "words": n} for i, j, n in found]})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, _LEAKS)
-
-        part = source.mapInArrow(run, "doc_id long, item_id long, coverage double, n_tiles int, n_words int, tiles array<struct<doc_word:int,item_word:int,words:int>>")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-_LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("n_words", pa.int32()), ("tiles", pa.list_(pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("words", pa.int32())])))])
+    return _leaks(source, benchmark, threshold, least, item_col, item_text).drop("text_hash")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that leak no item."""
-    schema = docs.select(F.struct("*").alias("row")).schema
-    for cast in _blocks(benchmark, least, item_col, item_text):
-
-        def run(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
-            items, hasher = cast.value, WordHasher(PUNCTUATION)
-            for batch in batches:
-                keep = [next(items.leaks(words, threshold), None) is None for words in _word_hashes(batch.column(0).field(text_col), hasher)]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.select(F.struct("*").alias("row")).mapInArrow(run, schema).select("row.*")
-    return docs
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whatever their names, that leak no item; cases as in ``leaked``."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = _leaks(source, benchmark, threshold, least, item_col, item_text)
+    gone = Workspace(docs.sparkSession).keep(found.select("doc_id", "text_hash").distinct(), "gone")
+    same = docs[id_col].cast("long").eqNullSafe(gone.doc_id) & (F.xxhash64(docs[text_col].cast("string")) == gone.text_hash)
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
