@@ -12,16 +12,19 @@ another,
 
 An Elias-Fano sequence of n values below u keeps the log2(u/n) low bits of each
 value as they are and the rest in unary, 2 + log2(u/n) bits a value in all;
-the place of every 256th one bit makes ``select`` a short search. Blocks are
-written and read by Spark as rows of a Parquet table (shard, block, base, n_docs,
-n_tokens, payload), so any store that Spark reaches holds them, and a lost
-task's blocks are written anew by the commit protocol.
+the place of every 256th one bit makes ``select`` a short search: ``fetch`` finds
+a document's ids in a block by binary search over ``select`` and decodes nothing
+else. Blocks are written and read by Spark as rows of a Parquet table (shard,
+block, base, n_docs, n_tokens, first_doc, last_doc, payload), so any store that
+Spark reaches holds them, and a lost task's blocks are written anew by the commit
+protocol.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,8 @@ from .shared import CachedEncoder
 MAGIC = b"LSB1"
 HEADER = struct.Struct("<4sBIIQq")
 BLOCK_DOCS, BLOCK_IDS = 4096, 1 << 21
+#: Bytes of text that a task encodes.
+SHARD_BYTES = 64 << 20
 SAMPLE = 256
 _EF = struct.Struct("<QQBQ")
 
@@ -110,23 +115,38 @@ def write_block(doc_ids: list[int | None], texts_ids: list[bytes], id_bytes: int
     return head + EliasFano.encode(gaps).to_bytes() + EliasFano.encode(ends).to_bytes() + ids.tobytes()
 
 
-def read_block(payload: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
-    """The doc_ids, the documents' ends, and the ids of a block."""
-    magic, id_bytes, n, nulls, n_ids, least = HEADER.unpack_from(payload)
-    if magic != MAGIC:
-        raise ValueError("not a block of token ids")
-    view = memoryview(payload)
-    known, at = EliasFano.from_bytes(view, HEADER.size)
-    ends, at = EliasFano.from_bytes(view, at)
-    doc_ids = (known.values() + np.uint64(least & (1 << 64) - 1)).view(np.int64).tolist()
-    return [None] * nulls + doc_ids, ends, np.frombuffer(payload, f"<u{id_bytes}", n_ids, at)
+class Block:
+    """A block as it was written; nothing is decoded but what is asked for."""
+
+    def __init__(self, payload: bytes):
+        magic, id_bytes, self.n, self.nulls, n_ids, self.least = HEADER.unpack_from(payload)
+        if magic != MAGIC:
+            raise ValueError("not a block of token ids")
+        view = memoryview(payload)
+        self.known, at = EliasFano.from_bytes(view, HEADER.size)
+        self.ends, at = EliasFano.from_bytes(view, at)
+        self.ids = np.frombuffer(payload, f"<u{id_bytes}", n_ids, at)
+
+    def doc_ids(self) -> list[int | None]:
+        return [None] * self.nulls + (self.known.values() + np.uint64(self.least & (1 << 64) - 1)).view(np.int64).tolist()
+
+    def span(self, place: int) -> tuple[int, int]:
+        """Where the ids of a document start and end."""
+        return self.ends.select(place - 1) if place else 0, self.ends.select(place)
+
+    def places(self, doc_id: int) -> range:
+        """The places of the documents with this id, by binary search."""
+        value = doc_id - self.least
+        first = bisect_left(range(self.known.n), value, key=self.known.select)
+        return range(self.nulls + first, self.nulls + bisect_right(range(self.known.n), value, lo=first, key=self.known.select))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of every row of ``docs`` (null text: the end id alone) as blocks at ``path``.
 
     Rows come in ascending order of doc_id, null ids first; rows with the same
-    doc_id by their text. An empty table writes no block. Other columns are not read.
+    doc_id by their text, and such rows may be in several tasks. An empty table
+    writes no block. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +155,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
         doc_ids, ids, size, block, base = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            row = ([shard], [block], [base], [len(doc_ids)], [size], [write_block(doc_ids, ids, id_bytes)])
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=["shard", "block", "base", "n_docs", "n_tokens", "payload"])
+            named = [x for x in doc_ids if x is not None] or [None]
+            row = ([shard], [block], [base], [len(doc_ids)], [size], [named[0]], [named[-1]], [write_block(doc_ids, ids, id_bytes)])
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names=["shard", "block", "base", "n_docs", "n_tokens", "first_doc", "last_doc", "payload"])
 
         for batch in batches:
             for doc, found in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
@@ -151,9 +172,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
             yield flush()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "shard int, block int, base long, n_docs long, n_tokens long, payload binary").write.option("compression", "zstd").parquet(path)
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    # Ranges are found from the ids and the first characters of sampled rows.
+    ordered = source.repartitionByRange(parts, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    ordered.mapInArrow(run, "shard int, block int, base long, n_docs long, n_tokens long, first_doc long, last_doc long, payload binary").write.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -172,12 +195,12 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                doc_ids, ends, ids = read_block(payload.as_py())
-                to = ends.values().astype(np.int64)
+                block = Block(payload.as_py())
+                to = block.ends.values().astype(np.int64)
                 at = np.concatenate([[0], to[:-1]]).astype(np.int64)
-                wide = memoryview(ids.astype("<u4").tobytes())
+                wide = memoryview(block.ids.astype("<u4").tobytes())
                 parts = [wide[4 * a : 4 * b] for a, b in zip(at.tolist(), to.tolist(), strict=True)]
-                arrays = [pa.array(doc_ids, pa.int64()), pa.array(at + first), pa.array(to - at), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                arrays = [pa.array(block.doc_ids(), pa.int64()), pa.array(at + first), pa.array(to - at), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
                 if with_ids:
                     arrays.append(pa.array([x.tobytes() for x in parts], pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
@@ -185,3 +208,25 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     shards = spark.createDataFrame(starts, "shard int, shard_start long")
     placed = blocks.join(F.broadcast(shards), "shard").select((F.col("base") + F.col("shard_start")).alias("first"), "payload")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+
+
+def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, n_tokens, ids) of the documents with these ids, a bounded list; ids that are not there give no row.
+
+    Only blocks whose range of doc_ids holds one of them are read, and in these
+    only the documents themselves.
+    """
+    wanted = sorted({int(x) for x in doc_ids if x is not None})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                block = Block(payload.as_py())
+                rows = [(x, *block.span(place)) for x in wanted[bisect_left(wanted, first) : bisect_right(wanted, last)] for place in block.places(x)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, *_ in rows], pa.int64()), pa.array([b - a for _, a, b in rows], pa.int64()), pa.array([block.ids[a:b].astype("<u4").tobytes() for _, a, b in rows], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+
+    near = F.exists(F.lit(wanted).cast("array<long>"), lambda x: x.between(F.col("first_doc"), F.col("last_doc")))
+    least, most = (wanted[0], wanted[-1]) if wanted else (1, 0)
+    blocks = spark.read.parquet(path).where((F.col("first_doc") <= most) & (F.col("last_doc") >= least) & near)
+    return blocks.select("first_doc", "last_doc", "payload").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
