@@ -252,6 +252,53 @@ def test_lines_of_different_owners(table):
     assert got[8].text == "x\ny" and [x.from_doc for x in got[8].blocks] == [6]
 
 
+def brute_lines(rows, min_words):
+    """What stays of each text when every later document is aligned with all earlier ones."""
+    parsed = [(i, [x.strip() for x in t.split("\n")], t.split("\n")) for i, t in sorted(rows)]
+    out = {}
+    for k, (i, keys, lines) in enumerate(parsed):
+        gone = set()
+        sizes = [len(x.split()) for x in keys]
+        for _, earlier, _ in parsed[:k]:
+            held = {tuple(earlier[a:b]) for a in range(len(earlier)) for b in range(a + 1, len(earlier) + 1)}
+            for a in range(len(keys)):
+                for b in range(a + 1, len(keys) + 1):
+                    if tuple(keys[a:b]) in held and sum(sizes[a:b]) >= min_words:
+                        gone.update(range(a, b))
+        out[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    return out
+
+
+def test_lines_by_all_pairs(table):
+    """Lines are common on their own, and their first owners are mixed: the result is that of aligning all pairs."""
+    for seed in range(3):
+        rng = random.Random(20 + seed)
+        pool = [prose(rng, rng.randrange(5, 30)) for _ in range(12)]
+        rows = [(i, rng.choice(pool)) for i in range(12)]
+        passages = [[rng.choice(pool) for _ in range(6)] for _ in range(6)]
+        for i in range(12, 60):
+            lines = [prose(rng, 8), *rng.choice(passages), rng.choice(pool), *rng.choice(passages), prose(rng, 3)]
+            rows.append((i, "\n".join(lines)))
+        got = {r.doc_id: r.text for r in line_dedup.line_dedup(table(rows)).collect()}
+        assert got == brute_lines(rows, 50)
+
+
+def test_lines_hot_owner_and_repeats(table, monkeypatch):
+    """An owner with more pairs than a task takes, a repeated id with another text, and a very long text."""
+    monkeypatch.setattr(line_dedup, "HOT", 10)
+    rng = random.Random(14)
+    block = "\n".join(prose(rng, 20) for _ in range(4))
+    long = "\n".join(prose(rng, 9) for _ in range(20_000))
+    rows = [(i, f"{prose(rng, 5)}\n{block}\n{prose(rng, 6)}") for i in range(50)]
+    rows += [(50, block), (50, "another text\nof two lines"), (60, long), (61, f"{long}\nend")]
+    got = line_dedup.line_dedup(table(rows)).collect()
+    texts = {}
+    for r in got:
+        texts.setdefault(r.doc_id, []).append(r.text)
+    assert texts[0] == [rows[0][1]] and all(len(texts[i][0].split("\n")) == 2 for i in range(1, 50))
+    assert "another text\nof two lines" in texts[50] and texts[60] == [long] and texts[61] == ["end"]
+
+
 def test_patience():
     rng = random.Random(6)
     for _ in range(200):
@@ -360,8 +407,8 @@ def test_decontamination(spark, table, monkeypatch):
     ]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted([(1, 3), (2, 0), (3, 4), (5, 50), (None, 5), (9, 6), (9, 7), (9, 6), (9, 7)], key=str)
-    for most in (1 << 24, 300):
-        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+    for hot in (2000, 1):
+        monkeypatch.setattr(decontaminate, "HOT", hot)
         got = decontaminate.leaked(table(rows), bench).collect()
         assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == want
     assert next(r for r in got if r.doc_id == 2).n_tiles == 2

@@ -28,7 +28,7 @@ def test_encoder(path):
     rng = random.Random(3)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(0, 60))) for _ in range(3000)] + [None, ""]
     want = plain(path)(texts)
-    for capacity in (10**6, 50, 0):
+    for capacity in (10**9, 10**4, 0):
         encoder = CachedEncoder(path, capacity)
         assert encoder.kind
         for _ in range(2):
@@ -113,8 +113,14 @@ def test_token_store(spark, table, odd_rows, near_rows, monkeypatch):
         want.append((rows[i][0], at, len(ids[i]), zlib.crc32(raw), raw))
         at += len(ids[i])
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) for r in got), key=lambda x: x[1]) == want
+    # Looked up on their own.
+    some = [x for x in sorted({i for i, _ in rows if i is not None})[::7]] + [9, 5, -1, 2**61]
+    found = sorted((r.doc_id, r.n_tokens, bytes(r.ids)) for r in token_store.fetch(spark, path, some).collect())
+    assert found == sorted((i, n, raw) for i, _, n, _, raw in want if i in some)
+    assert token_store.fetch(spark, path, []).count() == 0
     empty = Workspace(spark).path("tokens")
     token_store.write_tokens(table([]), empty, BYTE)
+    assert token_store.fetch(spark, empty, [1]).count() == 0
     assert token_store.read_tokens(spark, empty).count() == 0
 
 
@@ -127,13 +133,46 @@ def test_edits(text, edits):
     assert "".join(leaves) == text
     tree = token_counts.CountTree.of(list(map(len, leaves)), [count(x) for x in leaves])
     assert tree.total == count(text)
-    for at, remove, insert in edits:
+    for k, (at, remove, insert) in enumerate(edits):
         begin = min(max(at, 0), len(text))
         want = text[:begin] + insert + text[min(begin + max(remove, 0), len(text)) :]
-        text = tree.edit(text, at, remove, insert, count)
-        assert text == want and tree.total == count(text) and sum(tree.lengths) == len(text)
-        n = len(tree.lengths)
-        assert all(tree.sums[i] == tree.sums[2 * i] + tree.sums[2 * i + 1] for i in range(1, n))
+        text = tree.edit(text, at, remove, insert)
+        assert text == want and tree.chars[0] == len(text)
+        if k % 2:  # several edits may wait for their counts
+            tree.settle([count(x) for x in tree.missing()])
+            assert tree.total == count(text)
+    tree.settle([count(x) for x in tree.missing()])
+    kept = tree.stored()
+    at = 0
+    for leaf, _ in kept.leaves():
+        assert kept.tokens[leaf] == count(text[at : at + kept.chars[leaf]])
+        at += kept.chars[leaf]
+    assert at == len(text) and kept.total == count(text)
+    for node, right in enumerate(kept.right):
+        if right:
+            assert kept.tokens[node] == kept.tokens[node + 1] + kept.tokens[right] and kept.chars[node] == kept.chars[node + 1] + kept.chars[right]
+
+
+def test_edits_change_few_sums():
+    """An edit costs the sums above its leaf, in a small and in a large tree, also after very many at one place."""
+    encode = plain(BYTE)
+    count = lambda t: len(encode([t])[0])
+    costs = []
+    for n in (100, 10_000):
+        text = "some words " * (n * token_counts.LEAF // 11)
+        leaves = token_counts.cut(text)
+        tree = token_counts.CountTree.of(list(map(len, leaves)), [len(x) // 5 for x in leaves])
+        for k in range(50):
+            text = tree.edit(text, k * len(text) // 50, 3, "new")
+        tree.settle([len(x) // 5 for x in tree.missing()])
+        costs.append(tree.touched / 50)
+        assert tree.encoded < 50 * 3 * token_counts.LEAF
+    assert costs[0] < 2.2 * 10 and costs[1] < 2.2 * 16
+    tree, text = token_counts.CountTree.of([], []), ""
+    for k in range(3000):
+        text = tree.edit(text, len(text), 0, f"{k} more words at the end of the text ")
+    tree.settle([count(x) for x in tree.missing()])
+    assert tree.total == count(text) and tree.touched < 3000 * 60 and max(len(p) for _, p in tree.leaves()) < 50
 
 
 def test_edited_table(spark, table, odd_rows):
