@@ -13,6 +13,7 @@ documents whose pattern is undecided.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,10 +36,12 @@ LABELLERS = (
     ("short_words", -1, 0.15, 0.8, 0.95),  # of up to three bytes
     ("lone_symbols", -1, -1, 0.01, 0.04),  # words without a letter or digit
 )
-HASH_BITS = 11
-SAMPLE = 6000
-KEEP = 0.75
-#: The most good documents that a labeller is taken to accuse, as a share.
+HASH_BITS = 18
+SAMPLE = 8000
+KEEP = 0.8
+#: The most good documents that a labeller is taken to accuse, as a share: a bound that the estimates of
+#: expectation-maximisation are held to. Each labeller looks for its own kind of fault, so few accuse the same
+#: document, and without the bound a fault that only one of them sees is taken for a habit of good documents.
 FALSE_ALARMS = 0.01
 
 _KIND = np.zeros(256, np.uint8)  # 1 letter or digit, 2 capital, 4 symbol, 8 sentence end
@@ -141,9 +144,11 @@ class Scorer:
         data, offsets = utf8(column)
         out = []
         for a, b in slices(offsets, 1 << 20):
-            index, at = _trigrams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            sums = np.concatenate([[0.0], np.cumsum(self.weights[index])])
-            out.append(np.diff(sums[at]) / np.maximum(np.diff(at), 1))
+            at = offsets[a : b + 1] - offsets[a]
+            sums = np.concatenate([[0.0], np.cumsum(self.weights[_trigrams(data[offsets[a] : offsets[b]])], dtype=np.float64), [0.0, 0.0]])
+            # The last trigram of a text starts two bytes before its end.
+            ends = np.maximum(at[1:] - 2, at[:-1])
+            out.append((sums[ends] - sums[at[:-1]]) / np.maximum(np.diff(at), 1))
         text = np.concatenate(out) if out else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(text + squashed(found) @ self.direct + self.bias, -50, 50)))
 
@@ -159,50 +164,91 @@ def squashed(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def _trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte trigrams in order, and where those of each text start; the last two places of a text run into the next one's."""
-    text = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.uint64)
+def _trigrams(data: np.ndarray) -> np.ndarray:
+    """The hashed byte trigrams, in order."""
+    text = data.astype(np.uint64)
     code = text[:-2] << np.uint64(16) | text[1:-1] << np.uint64(8) | text[2:]
-    return (mix(code + np.uint64(1)) >> np.uint64(64 - HASH_BITS)).astype(np.int32), at
+    return (mix(code + np.uint64(1)) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
 
 
-def _features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(trigram shares, measures, pattern) of the sampled rows, at most ``SAMPLE``."""
+@dataclass
+class Sample:
+    """Trigram counts of the sampled rows, end to end: each row's distinct indices and their shares of its text."""
+
+    index: np.ndarray
+    share: np.ndarray
+    starts: np.ndarray  # one more entry than rows
+    measures: np.ndarray
+
+    def blocks(self, entries: int = 1 << 20) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, indices, shares, row of each entry from 0) of some rows at a time."""
+        row = 0
+        while row < len(self.starts) - 1:
+            end = max(row + 1, int(np.searchsorted(self.starts, self.starts[row] + entries, "right")) - 1)
+            a, b = self.starts[row], self.starts[end]
+            yield slice(row, end), self.index[a:b], self.share[a:b], np.repeat(np.arange(end - row), np.diff(self.starts[row : end + 1]))
+            row = end
+
+
+def _features(rows: DataFrame) -> Sample:
+    """The sampled rows, at most ``SAMPLE`` or what the caller asked for; a row takes two or three bytes a distinct trigram on its way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            found, shares = measures(batch.column(0)), []
+            found, packed, n = measures(batch.column(0)), [], []
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                counts = np.zeros(1 << HASH_BITS)
+                counts = np.zeros(1 << HASH_BITS, np.uint32)
                 for i in range(a, b, 1 << 20):
-                    index, _ = _trigrams(data[i : min(b, i + (1 << 20))], offsets[:1])
-                    counts += np.bincount(index, minlength=1 << HASH_BITS)
-                shares.append((counts / max(b - a, 1)).astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(shares, pa.binary()), lists(found.reshape(-1), np.arange(1, len(found) + 1) * len(LABELLERS), pa.float64())], names=["shares", "measures"])
-
-    got = rows.select("text").mapInArrow(run, "shares binary, measures array<double>").collect()
-    x = np.array([np.frombuffer(r.shares, np.float16) for r in got], np.float32).reshape(len(got), 1 << HASH_BITS)
-    found = np.array([r.measures for r in got]).reshape(-1, len(LABELLERS))
-    return x, found, patterns(found)
-
-
-def train(shares: np.ndarray, found: np.ndarray, target: np.ndarray, rounds: int = 150, ridge: float = 1e-4) -> Scorer:
-    """Logistic regression on posterior labels, by accelerated gradient steps on standardised features."""
-    spread = shares.std(0) + 1e-4
-    x = np.concatenate([shares / spread / np.sqrt(shares.shape[1]), squashed(found)], 1).astype(np.float32)
-    x, y = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1), target.astype(np.float32)
-    w = v = np.zeros(x.shape[1], np.float32)
+                    counts += np.bincount(_trigrams(data[i : min(b, i + (1 << 20) + 2)]), minlength=1 << HASH_BITS).astype(np.uint32)
+                used = np.flatnonzero(counts)
+                packed.append(zlib.compress(np.diff(used, prepend=0).astype(np.uint32).tobytes() + counts[used].tobytes(), 1))
+                n.append(max(b - a, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array(n, pa.int64()), lists(found.reshape(-1), np.arange(1, len(found) + 1) * len(LABELLERS), pa.float64())], names=["counts", "n", "measures"])
+
+    got = rows.select("text").mapInArrow(run, "counts binary, n long, measures array<double>").toArrow()
+    index, share, sizes = [], [], []
+    for packed, n in zip(got.column("counts"), got.column("n").to_pylist(), strict=True):
+        own = np.frombuffer(zlib.decompress(packed.as_py()), np.uint32).reshape(2, -1)
+        index.append(np.cumsum(own[0]).astype(np.int32))
+        share.append((own[1] / n).astype(np.float32))
+        sizes.append(own.shape[1])
+    whole = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((index, np.int32), (share, np.float32))]
+    found = np.array(got.column("measures").to_pylist(), np.float64).reshape(-1, len(LABELLERS))
+    return Sample(*whole, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64), found)
+
+
+def train(sample: Sample, target: np.ndarray, rounds: int = 80, ridge: float = 1e-4) -> Scorer:
+    """Logistic regression on posterior labels, by accelerated gradient steps; trigram shares are scaled by their spread."""
+    size, n = 1 << HASH_BITS, len(target)
+    total, square = np.zeros(size), np.zeros(size)
+    for _, index, share, _ in sample.blocks():
+        total += np.bincount(index, share, size)
+        square += np.bincount(index, share.astype(np.float64) ** 2, size)
+    spread = np.sqrt(np.maximum(square / n - (total / n) ** 2, 0)) + 1e-4
+    # As many features count as the rows' entries, not as there are buckets.
+    scale = (1 / spread / np.sqrt(max(len(sample.index) / n, 1))).astype(np.float32)
+    direct, y = squashed(sample.measures), target.astype(np.float64)
     # The two classes weigh the same, however rare one is.
     side = y / max(y.mean(), 1e-3) + (1 - y) / max(1 - y.mean(), 1e-3)
-    step = 4 / float((side * (x * x).sum(1)).mean() + 1e-9)
+    norms = (direct * direct).sum(1) + 1
+    for rows, index, share, row in sample.blocks():
+        norms[rows] += np.bincount(row, (share * scale[index]) ** 2, rows.stop - rows.start)
+    step = 4 / float((side * norms).mean() + 1e-9)
+    shape = (size, direct.shape[1], 1)
+    w = [np.zeros(k) for k in shape]
+    v = [x.copy() for x in w]
     for k in range(rounds):
-        at = w + k / (k + 3) * (w - v)
-        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
-        grad = x.T @ (side * (p - y)) / len(x) + ridge * at
-        v, w = w, at - step * grad
-    n = shares.shape[1]
-    return Scorer((w[:n] / spread / np.sqrt(n)).astype(np.float32), w[n:-1].astype(np.float64), float(w[-1]))
+        at = [a + k / (k + 3) * (a - b) for a, b in zip(w, v, strict=True)]
+        scaled, grad = (at[0] * scale).astype(np.float32), np.zeros(size)
+        base, error = direct @ at[1] + at[2][0], np.zeros(n)
+        for rows, index, share, row in sample.blocks():
+            z = base[rows] + np.bincount(row, share * scaled[index], rows.stop - rows.start)
+            error[rows] = side[rows] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows])
+            grad += np.bincount(index, share * error[rows].astype(np.float32)[row], size)
+        grads = [grad * scale / n, direct.T @ error / n, np.array([error.mean()])]
+        v, w = w, [a - step * (g + ridge * a) for a, g in zip(at, grads, strict=True)]
+    return Scorer((w[0] * scale).astype(np.float32), w[1], float(w[2][0]))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
@@ -237,8 +283,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
         part = sided.where(F.col("good") == which).orderBy("h", "doc_id").limit(sample // 2).select("doc_id")
         ids = part if ids is None else ids.unionByName(part)
     chosen = source.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
-    shares, found, own = _features(chosen)
-    scorer = train(shares, found, by_pattern[own]) if len(own) else Scorer(np.zeros(1 << HASH_BITS, np.float32), np.zeros(len(LABELLERS)), 0.0)  # no id
+    features = _features(chosen)
+    scorer = train(features, by_pattern[patterns(features.measures)]) if len(features.measures) else Scorer(np.zeros(1 << HASH_BITS, np.float32), np.zeros(len(LABELLERS)), 0.0)  # no id
     cast = docs.sparkSession.sparkContext.broadcast((scorer, by_pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

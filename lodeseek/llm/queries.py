@@ -28,7 +28,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    # A null doc_id has no remainder: it is not held out, and the fit takes rows with an id only.
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     model = language_id.fit(docs.where(~held_out))
     found = language_id.identify(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
@@ -54,7 +55,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_script(docs: DataFrame) -> DataFrame:
-    """Three edits of every document: words put in after a third, 20 characters taken out at the middle, 10 replaced at three quarters."""
+    """Three edits of every document: words put in after a third, 20 characters taken out at the middle, 10 replaced at three quarters.
+
+    A document with null text has none, one with empty text has them at its
+    start; rows that repeat a doc_id have those of one of them. Other columns are
+    not read, and an empty table has no edit.
+    """
     n = F.length("text")
 
     def edit(seq: int, at, remove: int, insert: str):
