@@ -711,7 +711,7 @@ def ewma_rate(spark, d):
 @query(f"WITH {RUNS}, v AS (SELECT DISTINCT app_version FROM runs) SELECT app_version, row_number() OVER (ORDER BY list_transform(string_split(app_version, '.'), lambda x: x::INT) DESC)::INT AS place FROM v")
 def version_sort(spark, d):
     versions = mapping.telemetry(spark, d).select("app_version").distinct()
-    return versions.withColumn("place", F.row_number().over(Window.orderBy(F.desc(telemetry.version_key(F.col("app_version"))))))
+    return search.with_index(versions, F.desc(telemetry.version_key(F.col("app_version")))).select("app_version", (F.col("idx") + 1).cast("int").alias("place"))
 
 
 @query()

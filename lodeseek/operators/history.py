@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import RECENT_CAP
+from .search import with_index
 
 DAY = 86_400
 
@@ -54,4 +55,23 @@ def remove(items: DataFrame, query: str) -> DataFrame:
 
 def ranked(items: DataFrame) -> DataFrame:
     """``items`` with place: bookmarked first, then last used first."""
-    return items.withColumn("place", F.row_number().over(Window.orderBy(F.desc("bookmarked"), F.desc("last_used"), "query")))
+    return with_index(items, F.desc("bookmarked"), F.desc("last_used"), "query").withColumn("place", (F.col("idx") + 1).cast("int")).drop("idx")
+
+
+#: When a search is recorded.
+MODES = ("auto", "submit", "manual")
+
+
+def recorded(items: DataFrame, raw: str, text: str, at: float, mode: str = "auto", submitted: bool = False, replayed: str | None = None) -> DataFrame:
+    """``items`` with a search (``raw`` as typed, ``text`` without qualifiers) recorded, and its beginnings collapsed.
+
+    Nothing is recorded in manual mode, before a query is submitted in submit
+    mode, for a text of fewer than two characters, or for the query that was just
+    run from the history. A query that was used before, in whatever case, is used
+    again and keeps its bookmark.
+    """
+    raw = raw.strip()
+    if mode == "manual" or (mode == "submit" and not submitted) or len(text.strip()) < 2 or raw == (replayed or "").strip():
+        return items
+    new = items.sparkSession.createDataFrame([(raw, False, at)], "query string, bookmarked boolean, last_used double")
+    return collapse(latest(items.select("query", "bookmarked", F.col("last_used").cast("double").alias("last_used")).unionByName(new)))

@@ -14,8 +14,18 @@ from . import search
 
 #: Neighbours, epochs, negative samples and seed of the layout; points below which components are used alone.
 NEIGHBOURS, EPOCHS, NEGATIVES, SEED, FEW = 15, 300, 5, 42, 50
-#: The most landmarks that are laid out on the driver, the least ceiling of the reference.
-LANDMARKS = 5000
+#: The most landmarks that are laid out on the driver by default, and at all.
+LANDMARKS, MOST_LANDMARKS = 5000, 60_000
+#: Bytes of vectors that are sent to the tasks at once, and scores that a task holds at once.
+BLOCK_BYTES, _SCORES = 64 << 20, 1 << 21
+
+
+def landmark_budget(capacity_gb: float, dim: int, layout: bool = True) -> int:
+    """Landmarks that an eighth or so of the memory holds, within bounds that grow with it: other ones for a layout than for components alone."""
+    # Share of memory, copies of a vector, least dimension, and bounds.
+    fit = int(capacity_gb * 0.12 * 2**30 / (max(256, dim) * 4 * 5))
+    least, most, at_six = (5000, 60_000, 15_000) if layout else (20_000, 250_000, 60_000)
+    return max(2000, min(fit, max(least, min(most, int(capacity_gb / 6 * at_six)))))
 
 
 def moments(points: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -60,33 +70,44 @@ def project(points: DataFrame, mean: np.ndarray, top: np.ndarray) -> DataFrame:
 
 
 def neighbours(points: DataFrame, against: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """(src, dst, rank, score): the ``k`` nearest of ``against`` (id, vec) to each point (id, vec), itself left out.
+    """(src, dst, rank, score): the ``k`` nearest of ``against`` (id, vec) to each point (id, vec), itself left out; ties go to the smaller id.
 
-    ``against`` is taken in blocks of rows: a task multiplies its points with one
-    block at a time and keeps ``k`` a point and block, so what is shuffled is k
-    rows a point and block, never a row a pair.
+    ``against`` is sent to the tasks in blocks of ``BLOCK_BYTES``; each takes
+    one pass over the points, of which a task multiplies a few rows at a time. So
+    what is shuffled is k rows a point and block, never a row a pair.
     """
-    schema = "src long, dst long, score double"
-    blocks = against.select("id", "vec").withColumn("block", F.spark_partition_id()).groupBy("block", F.floor(F.col("id") / 4096).alias("part")).agg(F.collect_list(F.struct("id", "vec")).alias("rows"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, to = (np.array([r["id"] for r in x]) for x in (own, rows))
-                scores = np.array([r["vec"] for r in own], np.float64) @ np.array([r["vec"] for r in rows], np.float64).T
-                scores[ids[:, None] == to[None, :]] = -np.inf
-                n = min(k, len(to))
-                order = np.lexsort((np.broadcast_to(to, scores.shape), -scores))[:, :n]
-                best = np.take_along_axis(scores, order, 1)
-                src, dst, score = np.repeat(ids, n), to[order].reshape(-1), best.reshape(-1)
-                ok = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(src[ok]), pa.array(dst[ok]), pa.array(score[ok])], names=["src", "dst", "score"])
-
-    own = points.select("id", "vec").groupBy(F.floor(F.col("id") / 1024).alias("own_part")).agg(F.collect_list(F.struct("id", "vec")).alias("own"))
-    pairs = own.crossJoin(blocks.select("rows")).select("own", "rows")
-    found = pairs.mapInArrow(run, schema)
+    spark, schema = points.sparkSession, "src long, dst long, score double"
+    n, dim = against.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    blocks, out = max(1, -(-8 * n * (dim or 1) // BLOCK_BYTES)), None
+    for block in range(blocks):
+        rows = against.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", F.col("vec").cast("array<double>").alias("vec")).toArrow().sort_by("id")
+        to = rows.column("id").to_numpy()
+        matrix = rows.column("vec").combine_chunks().flatten().to_numpy().reshape(len(to), -1) if len(to) else np.zeros((0, dim or 1))
+        cast = spark.sparkContext.broadcast((to, np.ascontiguousarray(matrix.T)))
+
+        def run(batches: Iterator[pa.RecordBatch], cast=cast) -> Iterator[pa.RecordBatch]:
+            to, matrix = cast.value
+            n = min(k, len(to))
+            for batch in batches if n > 0 else ():
+                for at in range(0, batch.num_rows, step := max(1, _SCORES // len(to))):
+                    part = batch.slice(at, step)
+                    ids = part.column(0).to_numpy()
+                    scores = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1) @ matrix
+                    scores[ids[:, None] == to[None, :]] = -np.inf
+                    scores[~np.isfinite(scores)] = -np.inf
+                    least = np.partition(scores, len(to) - n, 1)[:, len(to) - n]
+                    row, column = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+                    found = scores[row, column]
+                    order = np.lexsort((column, -found, row))
+                    row, column, found = row[order], column[order], found[order]
+                    first = np.searchsorted(row, np.arange(len(ids)))
+                    ok = np.arange(len(row)) - first[row] < n
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row[ok]]), pa.array(to[column[ok]]), pa.array(found[ok])], names=["src", "dst", "score"])
+
+        part = points.select("id", "vec").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def force_layout(ids: list[int], start: np.ndarray, edges: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> np.ndarray:
@@ -112,10 +133,15 @@ def force_layout(ids: list[int], start: np.ndarray, edges: np.ndarray, epochs: i
 
 
 def layout(points: DataFrame, k: int = NEIGHBOURS, epochs: int = EPOCHS) -> DataFrame:
-    """(path, x, y) of landmarks (id, path, vec): force layout; components alone for few points or where it diverges."""
+    """(path, x, y) of landmarks (id, path, vec): force layout; components alone for few points or where it diverges.
+
+    More than ``MOST_LANDMARKS`` points are an error: ``embedding_map`` places the rest.
+    """
     mean, top, _ = components(points)
     flat = project(points, mean, top)
     n = points.count()
+    if n > MOST_LANDMARKS:
+        raise ValueError(f"{n} points are more than a layout takes: use embedding_map")
     if n <= max(FEW, k, 2):
         return flat
     rows = points.select("id", "path").join(flat, "path").orderBy("id").collect()  # landmarks: bounded by their budget
@@ -147,6 +173,14 @@ def embedding_map(points: DataFrame, budget: int = LANDMARKS, k: int = NEIGHBOUR
     return laid.unionByName(placed.select("path", "x", "y"))
 
 
+def folder_map(chunks: DataFrame, folder: str, budget: int = LANDMARKS, k: int = NEIGHBOURS, epochs: int = EPOCHS) -> DataFrame:
+    """(path, kind, x, y) of every file at or below a folder, by the mean of its vectors; none for '' and '/'."""
+    own = chunks.where(search.in_folder(F.col("path"), folder)) if folder.rstrip("/") else chunks.limit(0)
+    files = search.with_index(search.file_vectors(own)).withColumnRenamed("idx", "id")
+    kinds = own.groupBy("path").agg(F.max("kind").alias("kind"))
+    return embedding_map(files, budget, k, epochs).join(kinds, "path").select("path", "kind", "x", "y")
+
+
 def preservation(flat: DataFrame, graph: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(kept): share of each point's neighbours that are also its nearest in the plane (id, x, y)."""
     lifted = flat.select("id", F.array(F.lit(1.0), F.col("x"), F.col("y"), -(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).alias("vec"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions import vectors as vx
@@ -14,6 +18,9 @@ from ..schema import TOP_PASSAGES, TOP_STORE
 
 #: Queries that are broadcast at once.
 QUERY_BLOCK = 4096
+#: Scores that a task holds at once.
+_SCORES = 1 << 21
+_HIT_TYPES = ["string", "double", "string", "string", "int", "double", "int", "int", "double", "string", "long"]
 _HIT = ["path", "score", "snippet", "kind", "chunk_index", "modified", "width", "height", "duration", "locator", "chunk_count"]
 
 
@@ -35,11 +42,67 @@ def of_file(kinds: frozenset[str] = frozenset(), folder: str | None = None, ext:
     return out
 
 
-def _best(chunks: DataFrame, by: list[str], admit: Column) -> DataFrame:
-    """The best admitted chunk of each file (ties: least chunk_index), and the file's chunks, admitted or not."""
-    fit = F.when(admit & vx.finite(F.col("score")), F.struct("score", (-F.col("chunk_index")).alias("order")))
-    best = chunks.groupBy(*by, "path").agg(F.max(fit).alias("best"), F.count(F.lit(1)).alias("chunk_count")).where("best is not null")
-    return best.select(*by, "path", F.col("best.score").alias("score"), (-F.col("best.order")).alias("chunk_index"), "chunk_count")
+def _first_of(query: np.ndarray, path: pa.Array, score: np.ndarray, index: np.ndarray, top_k: int) -> pa.RecordBatch:
+    """Of rows of any order: the best of each query and path (ties: least index), and of these the ``top_k`` of each query (ties: smaller path)."""
+    names = path.dictionary_encode()
+    place = np.empty(len(names.dictionary), np.int64)
+    place[pc.sort_indices(names.dictionary).to_numpy()] = np.arange(len(place))
+    file = place[names.indices.to_numpy(zero_copy_only=False)]
+    order = np.lexsort((index, -score, file, query))
+    keep = order[np.concatenate([[True], (np.diff(query[order]) != 0) | (np.diff(file[order]) != 0)])[: len(order)]]
+    keep = keep[np.lexsort((file[keep], -score[keep], query[keep]))]
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(query[keep]) != 0])[: len(keep)])
+    rank = np.arange(len(keep)) - np.repeat(starts, np.diff(np.append(starts, len(keep))))
+    keep = keep[rank < top_k]
+    return pa.RecordBatch.from_arrays([pa.array(query[keep], pa.int32()), path.take(pa.array(keep)).cast(pa.string()), pa.array(score[keep]), pa.array(index[keep], pa.int32())], names=["query", "path", "score", "chunk_index"])
+
+
+def nearest_files(chunks: DataFrame, queries: np.ndarray, top_k: int) -> DataFrame:
+    """(query, path, score, chunk_index): the best chunk of the ``top_k`` files that each task has nearest to each query (a row of ``queries``).
+
+    The files that are nearest of all are among them: a file that is before
+    another in the task of the latter's best chunk is before it everywhere. So
+    what is shuffled afterwards is ``top_k`` rows a task and query, and not a row
+    a file. Vectors that are null, not finite or of another dimension have no score.
+    """
+    cast = chunks.sparkSession.sparkContext.broadcast(np.ascontiguousarray(queries.T, np.float64))
+    dim, asked = queries.shape[1], max(1, len(queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def reduced() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return _first_of(*(c if n == "path" else c.to_numpy() for n, c in zip(whole.schema.names, whole.columns, strict=True)), top_k)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, step := max(1, _SCORES // asked)):
+                part = batch.slice(at, step)
+                scores = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) @ cast.value
+                scores[~np.isfinite(scores)] = -np.inf
+                if len(scores) > 8 * top_k:  # one file may have several chunks: only what may be among the first is sorted
+                    chunk_of = part.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                    order = np.argsort(chunk_of, kind="stable")
+                    best = np.maximum.reduceat(scores[order], np.flatnonzero(np.diff(chunk_of[order], prepend=-1)), 0)
+                    least = np.partition(best, max(0, len(best) - top_k), 0)[max(0, len(best) - top_k)]
+                else:
+                    least = np.full(scores.shape[1], -np.inf)
+                row, query = np.nonzero((scores >= least) & (scores > -np.inf))
+                if len(row):
+                    held.append(_first_of(query, part.column(0).take(pa.array(row)), scores[row, query], part.column(1).to_numpy()[row], top_k))
+                if len(held) > 16:
+                    held = [reduced()]
+        if held:
+            yield reduced()
+
+    rows = chunks.where(F.size("vec") == dim).select("path", F.col("chunk_index").cast("int").alias("chunk_index"), "vec")
+    return rows.mapInArrow(run, "query int, path string, score double, chunk_index int")
+
+
+def _best(found: DataFrame, *by: str) -> DataFrame:
+    """The best of the tasks' rows of each path."""
+    best = found.groupBy(*by, "path").agg(F.max(F.struct("score", (-F.col("chunk_index")).alias("order"))).alias("best"))
+    return best.select(*by, "path", F.col("best.score").alias("score"), (-F.col("best.order")).alias("chunk_index"))
 
 
 def search(chunks: DataFrame, query: list[float], top_k: int = TOP_STORE, kinds: frozenset[str] = frozenset(), folder: str | None = None, ext: str = "", since: float | None = None) -> DataFrame:
@@ -50,12 +113,17 @@ def search(chunks: DataFrame, query: list[float], top_k: int = TOP_STORE, kinds:
     filters chunks, so a file's older chunks still count in ``chunk_count``.
     Ties go to the smaller path. No file for ``top_k`` of 0 or less.
     """
-    narrow = chunks.where(of_file(kinds, folder, ext)).select("path", "chunk_index", "modified", vx.dot(F.col("vec"), vx.literal(query)).alias("score"))
-    admit = F.lit(True) if since is None else F.col("modified") >= since
-    top = _best(narrow, [], admit).orderBy(F.desc("score"), "path").limit(max(top_k, 0))
+    if top_k <= 0 or not query:
+        return chunks.limit(0).select(*(F.lit(None).cast(t).alias(c) if c in ("score", "chunk_count") else F.col(c) for c, t in zip(_HIT, _HIT_TYPES, strict=True) if c in {*chunks.columns, "score", "chunk_count"}))
+    admitted = chunks.where(of_file(kinds, folder, ext))
+    if since is not None:
+        admitted = admitted.where(F.col("modified") >= since)
+    found = _best(nearest_files(admitted, np.array([query]), top_k))
+    top = found.orderBy(F.desc("score"), "path").limit(top_k).withColumnRenamed("chunk_index", "best")
     # A file a row, at most top_k: small whatever the index's size.
-    rest = chunks.drop("vec", "size")
-    return rest.join(F.broadcast(top), ["path", "chunk_index"]).select(*(c for c in _HIT if c in {*rest.columns, "score", "chunk_count"}))
+    rest = chunks.drop("vec", "size").join(F.broadcast(top), "path")
+    rest = rest.withColumn("chunk_count", F.count(F.lit(1)).over(Window.partitionBy("path"))).where(F.col("chunk_index") == F.col("best"))
+    return rest.select(*(c for c in _HIT if c in rest.columns))
 
 
 def run(chunks: DataFrame, query: list[float], spec: SearchSpec, now: float) -> DataFrame:
@@ -69,18 +137,27 @@ def run(chunks: DataFrame, query: list[float], spec: SearchSpec, now: float) ->
 def search_batch(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_STORE) -> DataFrame:
     """(query_id, rank, path, score, chunk_index, chunk_count) of every query (query_id, vec).
 
-    Queries are broadcast ``QUERY_BLOCK`` at a time; more of them take more
-    passes over the chunks. Each task keeps ``top_k`` files a query before the
-    ranks are made.
+    Queries are taken ``QUERY_BLOCK`` at a time, and more of them take more passes
+    over the chunks: that many vectors are the most that is sent to the tasks at
+    once. Chunks are counted for the files found only. No file for ``top_k`` of 0
+    or less; a query without a vector finds none.
     """
-    blocks, out = max(1, -(-queries.count() // QUERY_BLOCK)), None
+    spark, top_k = chunks.sparkSession, max(top_k, 0)
+    asked = queries.where("vec is not null").select("query_id", F.col("vec").cast("array<double>").alias("q"))
+    blocks, out = max(1, -(-asked.count() // QUERY_BLOCK)), None
+    named = chunks.select("path").groupBy("path").agg(F.count(F.lit(1)).alias("chunk_count"))
     for block in range(blocks):
-        asked = queries.select("query_id", F.col("vec").alias("q")).where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        scored = chunks.select("path", "chunk_index", "vec").crossJoin(F.broadcast(asked)).select("query_id", "path", "chunk_index", vx.dot(F.col("vec"), F.col("q")).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))
-        part = _best(scored, ["query_id"], F.lit(True)).withColumn("rank", rank).where(F.col("rank") <= top_k)
-        out = part if out is None else out.unionByName(part)
-    return out
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
+        if rows.num_rows:
+            vectors = rows.column("q").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+            ids = spark.createDataFrame(list(enumerate(rows.column("query_id").to_pylist())), T.StructType([T.StructField("query", T.IntegerType()), T.StructField("query_id", queries.schema["query_id"].dataType)]))
+            found = _best(nearest_files(chunks, vectors, top_k), "query")
+            rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "path"))
+            part = found.withColumn("rank", rank).where(F.col("rank") <= top_k).join(F.broadcast(ids), "query").drop("query")  # a row a query of the block
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = queries.limit(0).select("query_id", F.lit("").alias("path"), F.lit(0.0).alias("score"), F.lit(0).alias("chunk_index"), F.lit(0).alias("rank"))
+    return out.join(named, "path").select("query_id", "path", "score", "chunk_index", "chunk_count", "rank")
 
 
 def funnel(chunks: DataFrame, codes: DataFrame, query: list[float], top_k: int = TOP_STORE, candidates: int | None = None, admit: Column | None = None) -> DataFrame:
@@ -89,25 +166,27 @@ def funnel(chunks: DataFrame, codes: DataFrame, query: list[float], top_k: int =
     ``codes`` has path, chunk_index and groups (see ``quantise4``) and the
     columns that ``admit`` needs; filters come before the candidates are cut.
     """
+    top_k = max(top_k, 0)
     if candidates is None:
         candidates = min(4096, max(1024, 32 * top_k))
     coarse = codes.where(F.lit(True) if admit is None else admit).select("path", "chunk_index", vx.dot(vx.dequantise4(F.col("groups")), vx.literal(query)).alias("coarse"))
     chosen = coarse.orderBy(F.desc("coarse"), "path", "chunk_index").limit(candidates)
     exact = chunks.select("path", "chunk_index", "vec").join(F.broadcast(chosen), ["path", "chunk_index"]).select("path", "chunk_index", vx.dot(F.col("vec"), vx.literal(query)).alias("score"))
-    return _best(exact, [], F.lit(True)).select("path", "score", "chunk_index").orderBy(F.desc("score"), "path").limit(top_k)
+    return _best(exact.where(vx.finite(F.col("score")))).orderBy(F.desc("score"), "path").limit(top_k)
 
 
 def rank_chunks(chunks: DataFrame, query: list[float], path: str, top_k: int = TOP_PASSAGES) -> DataFrame:
     """The best passages of one file."""
     scored = chunks.where(F.col("path") == path).withColumn("score", vx.dot(F.col("vec"), vx.literal(query))).where(vx.finite(F.col("score")))
-    return scored.orderBy(F.desc("score"), "chunk_index").limit(top_k).select("chunk_index", "score", "snippet", "locator")
+    return scored.orderBy(F.desc("score"), "chunk_index").limit(max(top_k, 0)).select("chunk_index", "score", "snippet", "locator")
 
 
 def file_vectors(chunks: DataFrame) -> DataFrame:
     """(path, vec): the mean of each file's vectors, scaled to length 1; files whose mean is 0 are left out."""
-    each = chunks.select("path", F.posexplode("vec").alias("i", "x")).groupBy("path", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    whole = each.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c.x).alias("vec"))
-    return whole.withColumn("vec", vx.normalise(F.col("vec"))).where("vec is not null")
+    # A file's chunks are bounded by what is read of a file; one row each is shuffled.
+    sums = chunks.where("vec is not null").groupBy("path").agg(F.collect_list("vec").alias("vecs"))
+    mean = F.aggregate("vecs", F.transform(F.col("vecs")[0], lambda _: F.lit(0.0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y.cast("double")), lambda a: F.transform(a, lambda x: x / F.size("vecs")))
+    return sums.select("path", vx.normalise(mean).alias("vec")).where("vec is not null")
 
 
 def find_similar(chunks: DataFrame, path: str, top_k: int = TOP_STORE) -> DataFrame:
@@ -130,9 +209,10 @@ def landmarks(files: DataFrame, count: int, cap: int) -> DataFrame:
     return marked.withColumn("place", place.cast("long")).where(F.col("place") < cap)
 
 
-def with_index(files: DataFrame) -> DataFrame:
-    """``files`` with idx, their place from 0 in order of path: ranges of paths are counted, then numbered within."""
-    parts = files.repartitionByRange("path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id())
+def with_index(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """``rows`` with idx, their place from 0 in an order (by default, of path): ranges are counted, then numbered within; no task gets all rows."""
+    order = order or ("path",)
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     own = parts.withColumn("own", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
     sizes = own.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "start")
@@ -151,12 +231,3 @@ def mean_reciprocal_rank(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     """(top1, mrr) of the gold (query_id, path) in ``ranked`` (query_id, path, rank); absent counts 0."""
     own = gold.join(ranked.select("query_id", "path", "rank"), ["query_id", "path"], "left")
     return own.agg(F.avg(F.when(F.col("rank") == 1, 1.0).otherwise(0.0)).alias("top1"), F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"))
-
-
-def candidate_count(n: int, k: int) -> int:
-    return min(n, min(4096, max(1024, 32 * k)))
-
-
-def unit(vector: list[float]) -> list[float]:
-    n = math.sqrt(sum(x * x for x in vector))
-    return [x / n for x in vector] if n else vector
