@@ -49,7 +49,10 @@ HISTORY = """
 RUNS = """
     runs AS (
         SELECT event_id AS run_id, CASE WHEN user_id % 29 <> 0 THEN 'chip' || user_id % 8 END AS chip, '0.' || user_id % 3 || '.' || user_id % 17 AS app_version,
-               value AS files_per_sec, value * 1000 AS tokens_per_sec, epoch_us(ts) // 1000 AS created_at, sha256(user_id::VARCHAR) AS ip_hash
+               value AS files_per_sec, value * 1000 AS tokens_per_sec, epoch_us(ts) // 1000 AS created_at, sha256(user_id::VARCHAR) AS ip_hash,
+               value * 3 AS seconds, CASE WHEN user_id % 4 <> 0 THEN value * 1e6 END AS vram_delta, CASE WHEN event_id % 3 <> 0 THEN (2020 + event_id % 6)::INT END AS release_year,
+               CASE WHEN event_id % 2 = 0 THEN (event_id % 8 + 1) * 8000000000 END AS mem_bytes, CASE WHEN event_id % 5 = 0 THEN (event_id % 4 + 1) * 1000000000 END AS vram_bytes,
+               '1' || user_id % 6 || '.0' AS system
         FROM events)
 """
 EXT = "lower(regexp_extract(split_part(path, '/', -1), '[^.]\\.([^.]+)$', 1))"
@@ -659,7 +662,7 @@ def telemetry_by_version(spark, d):
 
 @query(f"WITH {RUNS} SELECT run_id, floor(files_per_sec * 10 + 0.5) / 10 AS files_per_sec, created_at FROM runs ORDER BY created_at DESC, run_id DESC LIMIT 25")
 def telemetry_recent(spark, d):
-    return telemetry.recent(mapping.telemetry(spark, d)).select("run_id", telemetry.half_up(F.col("files_per_sec")).alias("files_per_sec"), "created_at")
+    return telemetry.recent(mapping.telemetry(spark, d)).select("run_id", "files_per_sec", "created_at")
 
 
 _VALID = "length(run_id) BETWEEN 8 AND 64 AND files BETWEEN 0 AND 200000 AND seconds BETWEEN 0 AND 86400 AND error_rate BETWEEN 0 AND 1 AND dataset IN ('v1', 'v2')"
@@ -704,8 +707,7 @@ def rate_limit_hourly(spark, d):
 def ewma_rate(spark, d):
     events = mapping.table(spark, d, "events").select("user_id", "event_id", (F.unix_millis(F.col("ts").cast("timestamp")) / 1000).alias("t"))
     n = F.sum((F.col("event_id") % 3).cast("double")).over(Window.partitionBy("user_id").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    per = events.withColumn("n", n).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "n"))).alias("samples"))
-    return per.select("user_id", F.round(telemetry.smoothed(F.transform("samples", lambda s: F.struct(s.t.alias("t"), s.n.alias("n")))), 9).alias("rate")).where("rate is not null")
+    return telemetry.smoothed(events.withColumn("n", n), "user_id").select("user_id", F.round("rate", 9).alias("rate")).where("rate is not null")
 
 
 @query(f"WITH {RUNS}, v AS (SELECT DISTINCT app_version FROM runs) SELECT app_version, row_number() OVER (ORDER BY list_transform(string_split(app_version, '.'), lambda x: x::INT) DESC)::INT AS place FROM v")
@@ -720,14 +722,163 @@ def embed_hash(spark, d):
     return embed.embed(rows, embed.HashEmbedder(), prefix=embed.DOCUMENT_PREFIX).select("doc_id", "vec")
 
 
-@query()
+@query(
+    """
+    WITH e AS (SELECT '/u/file' || user_id || '.txt' AS path, event_id, CASE event_type WHEN 'error' THEN 'delete' ELSE 'change' END AS op, user_id FROM events),
+    last AS (SELECT path, max(event_id) AS event_id, arg_max(op, event_id) AS op FROM e GROUP BY path),
+    t AS (SELECT *, 'words of ' || split_part(path, '/', -1) || ' after ' || event_id % 50 AS words FROM last WHERE op <> 'delete')
+    SELECT path, event_id::DOUBLE AS modified, octet_length(encode(words)) AS size, 'text' AS kind, 0::INT AS chunk_index, words AS snippet FROM t
+    """
+)
 def stream_live_update(spark, d):
-    """Replay the change events in micro-batches into a store; the files that are left, and when they last changed."""
+    """Replay the change events in micro-batches into a store: each is classified, read, embedded and merged."""
     from .plans.live import replay_changes
 
     return replay_changes(spark, d)
 
 
+@query(
+    rf"""
+    WITH {FILES}, t AS (SELECT doc_id, path, modified, size, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM files),
+    n AS (SELECT *, CASE WHEN length(text) <= 1800 THEN 1 ELSE ceil((length(text) - 1800) / 1600.0)::INT + 1 END AS n FROM t WHERE text <> ''),
+    w AS (SELECT *, unnest(range(n)) AS i FROM n),
+    c AS (SELECT *, substring(text, 1, i * 1600) AS head, array_to_string(list_filter(regexp_split_to_array(substring(text, i * 1600 + 1, 1800), '[\n\t]'), lambda x: x <> ''), ' ') AS line FROM w),
+    twice AS (
+        SELECT path, modified + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS modified, CASE WHEN doc_id % 7 = 0 THEN 'reused' ELSE 'unchanged' END AS status, size, i, n, head, line FROM c
+        UNION ALL SELECT '/copies' || path, modified + 2, 'reused', size, i, n, head, line FROM c)
+    SELECT path, modified, size, i::INT AS chunk_index, CASE WHEN n = 1 THEN '' ELSE 'Line ' || (1 + length(head) - length(replace(head, chr(10), ''))) END AS locator, substring(line, 1, 220) AS snippet, status FROM twice
+    """
+)
+def index_pass(spark, d):
+    """Two index passes over all documents; see ``plans.live.two_passes``."""
+    from .plans.live import two_passes
+
+    return two_passes(spark, d)
+
+
+@query(
+    f"""
+    WITH {CHUNKS}, now AS (
+        SELECT CASE WHEN fid % 7 IN (1, 2) THEN regexp_replace(path, '\\.txt$', '.md') ELSE path END AS path, kind FROM chunks WHERE fid % 7 NOT IN (1, 2) OR chunk_index < 2)
+    SELECT kind, {EXT} AS ext, count(DISTINCT path) AS files, count(*) AS chunks, true AS sound FROM now GROUP BY 1, 2
+    """
+)
+def incremental_counters(spark, d):
+    from .plans.live import kept_counters
+
+    return kept_counters(spark, d).select("kind", "ext", "files", "chunks", "sound")
+
+
+_ASKED = [(f"/d{i % 7}/file{i}.{e}",) for i, e in enumerate("txt png md mp3 mp4 pdf".split() * 3)] + [("/none.txt",)]
+_ASKED_SQL = "asked(path) AS (VALUES " + ", ".join(f"('{p}')" for (p,) in _ASKED) + ")"
+
+
+@query(f"WITH {CHUNKS}, {_ASKED_SQL} SELECT path, max(modified) AS modified, max(size) AS size, max(kind) AS kind FROM chunks JOIN asked USING (path) GROUP BY path")
+def stored_files(spark, d):
+    return indexing.stored_files(mapping.chunks(spark, d), spark.createDataFrame(_ASKED, "path string"))
+
+
+@query(f"WITH {CHUNKS}, {_ASKED_SQL} SELECT path, count(vec_id) AS chunks FROM asked LEFT JOIN chunks USING (path) GROUP BY path")
+def chunk_counts(spark, d):
+    return indexing.chunk_counts(mapping.chunks(spark, d), spark.createDataFrame(_ASKED, "path string"))
+
+
+@query(f"WITH {CHUNKS} SELECT count(DISTINCT path) AS files FROM chunks WHERE kind IN ('image', 'scan')")
+def file_count_kinds(spark, d):
+    return indexing.file_count(mapping.chunks(spark, d), ["image", "scan"])
+
+
+@query(f"WITH {CHUNKS} SELECT DISTINCT path, kind, CASE kind WHEN 'image' THEN 1 WHEN 'audio' THEN 2 WHEN 'video' THEN 3 ELSE 4 END::INT AS place FROM chunks")
+def kind_order(spark, d):
+    from .plans.index_pass import in_kind_order
+
+    return mapping.chunks(spark, d).select("path", "kind", in_kind_order(F.col("kind")).alias("place")).distinct()
+
+
+@query(f"WITH {FILES} SELECT '/' || split_part(path, '/', 2) AS root, count(*) FILTER (doc_id % 3 = 0) AS done, count(*) AS total, round(count(*) FILTER (doc_id % 3 = 0) / count(*), 6) AS fraction FROM files GROUP BY 1")
+def root_progress(spark, d):
+    files = mapping.files(spark, d).select("doc_id", "path", F.concat(F.lit("/"), F.split("path", "/")[1]).alias("root"))
+    return telemetry.progress(files, files.where("doc_id % 3 = 0")).withColumn("fraction", F.round("fraction", 6))
+
+
+@query(
+    f"""
+    WITH {CHUNKS} SELECT path, chunk_index, CASE WHEN kind = 'video' THEN chunk_index > 0 WHEN {EXT} = 'pdf' THEN chunk_index > 1 ELSE false END AS expected FROM chunks
+    """
+)
+def preview_expected(spark, d):
+    at = F.col("chunk_index")
+    where = F.when(F.col("kind") == "video", F.when(at > 0, tx.clock(at * 240.0)).otherwise(F.lit(""))).otherwise(F.concat(F.lit("Page "), at - 1))
+    page = F.when(at > 0, where).otherwise(F.lit("Line 3"))
+    shown = F.when(page == "Page 0", F.lit("Page x")).otherwise(page)
+    return mapping.chunks(spark, d).select("path", "chunk_index", tx.expects_preview(F.col("path"), F.col("kind"), F.when(F.col("kind") == "video", where).otherwise(shown)).alias("expected"))
+
+
+@query(
+    r"""
+    WITH t AS (SELECT doc_id, text, octet_length(encode(text)) AS bytes, regexp_replace(text, '[^\x00-\x{FF}]', '?', 'g') AS latin FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT *, length(regexp_extract(latin, '^[\x00-\x7F]*')) + 1 AS first, list_max(list_filter(range(0, 200), lambda k: octet_length(encode(substring(text, 1, k))) <= 199)) AS fit FROM t)
+    SELECT doc_id, md5(CASE WHEN bytes >= 199 THEN substring(text, 1, fit) ELSE text END) AS utf8,
+           md5(CASE WHEN length(latin) >= 199 AND first BETWEEN 197 AND 199 THEN substring(latin, 1, first - 1) ELSE substring(latin, 1, 199) END) AS latin1
+    FROM p
+    """
+)
+def decode_at_cap(spark, d):
+    """Texts cut at a cap within a character, and texts that are not UTF-8."""
+    rows = mapping.table(spark, d, "documents").where("text is not null")
+    own = lambda c: F.md5(tx.decode(c, 199).cast("binary"))
+    return rows.select("doc_id", own(F.col("text").cast("binary")).alias("utf8"), own(F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1")).alias("latin1"))
+
+
+_SYSTEMS = "SELECT chip, list(system ORDER BY newest DESC, system) AS systems FROM (SELECT coalesce(chip, 'Unknown') AS chip, system, max(created_at) AS newest FROM runs GROUP BY 1, 2) GROUP BY chip"
+
+
+@query(
+    f"""
+    WITH {RUNS}, s AS ({_SYSTEMS}), r AS (
+        SELECT coalesce(chip, 'Unknown') AS chip, count(*) AS runs, round(median(seconds), 4) AS median_seconds, round(median(vram_delta), 2) AS median_vram,
+               arg_max(release_year, (created_at, run_id)) FILTER (release_year IS NOT NULL) AS release_year, arg_max(mem_bytes, (created_at, run_id)) FILTER (mem_bytes IS NOT NULL) AS mem_bytes,
+               arg_max(vram_bytes, (created_at, run_id)) FILTER (vram_bytes IS NOT NULL) AS vram_bytes
+        FROM runs GROUP BY 1)
+    SELECT r.*, systems, row_number() OVER (ORDER BY runs DESC, chip)::INT AS place FROM r JOIN s USING (chip)
+    """
+)
+def telemetry_chip_report(spark, d):
+    rows = telemetry.report(mapping.telemetry(spark, d)).where("level = 'chip'")
+    return rows.select("chip", "runs", F.round("median_seconds", 4).alias("median_seconds"), F.round("median_vram", 2).alias("median_vram"), "release_year", "mem_bytes", "vram_bytes", "systems", "place")
+
+
+@query(
+    f"""
+    WITH {RUNS}, r AS (SELECT app_version, count(*) AS runs, round(median(files_per_sec), 4) AS median_files, round(median(tokens_per_sec), 2) AS median_tokens FROM runs GROUP BY 1)
+    SELECT *, row_number() OVER (ORDER BY list_transform(string_split(app_version, '.'), lambda x: x::INT) DESC)::INT AS place FROM r
+    """
+)
+def telemetry_version_report(spark, d):
+    rows = telemetry.report(mapping.telemetry(spark, d)).where("level = 'version'")
+    return rows.select("app_version", "runs", F.round("median_files", 4).alias("median_files"), F.round("median_tokens", 2).alias("median_tokens"), "place")
+
+
+@query(
+    f"""
+    WITH {RUNS} SELECT chip, app_version, system, mem_bytes, floor(files_per_sec * 10 + 0.5) / 10 AS files_per_sec, floor(tokens_per_sec + 0.5)::BIGINT AS tokens_per_sec,
+        floor(seconds * 10 + 0.5) / 10 AS seconds, vram_delta, created_at FROM runs ORDER BY created_at DESC, run_id DESC LIMIT 25
+    """
+)
+def telemetry_recent_rows(spark, d):
+    return telemetry.recent(mapping.telemetry(spark, d)).select("chip", "app_version", "system", "mem_bytes", "files_per_sec", "tokens_per_sec", "seconds", "vram_delta", "created_at")
+
+
+@query(
+    f"""
+    WITH {_FILE_VECTORS} SELECT path, kind FROM vectors JOIN (SELECT DISTINCT path, kind FROM chunks) USING (path) WHERE starts_with(path, '/d4/')
+    """
+)
+def folder_map(spark, d):
+    """Files of a folder map; that every one is placed is all that SQL can tell."""
+    return projection.folder_map(mapping.chunks(spark, d), "/d4", epochs=20).where("x is not null and y is not null").select("path", "kind")
+
+
 # Media, metadata and the rest of the scalar surface.
 
 

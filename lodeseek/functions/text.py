@@ -48,9 +48,24 @@ def chunk_count(n: Column, limit: int = CHUNK_LIMIT) -> Column:
     return F.when(n <= limit, 1).otherwise(F.ceil((n - limit) / step) + 1).cast("int")
 
 
+def _feeds(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def line_locator(text: Column, start: Column) -> Column:
-    head = F.substring(text, F.lit(1), start)
-    return F.concat(F.lit("Line "), (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1).cast("string"))
+    """"Line n" of one place in a text."""
+    return F.concat(F.lit("Line "), (_feeds(F.substring(text, F.lit(1), start)) + 1).cast("string"))
+
+
+def expects_preview(path: Column, kind: Column, locator: Column) -> Column:
+    """Whether a chunk has a picture to show: a segment of a video, or a page of a PDF."""
+    pdf = F.coalesce(page_index(locator) >= 0, F.lit(False)) & (extension(path) == "pdf")
+    return F.when(kind == "video", clock_seconds(locator).isNotNull()).otherwise(pdf)
+
+
+def extensions_of(kind: str) -> list[str]:
+    """The extensions of a kind, sorted; a scan has none of its own."""
+    return sorted(EXTENSIONS.get(kind, ()))
 
 
 def page_locator(starts: Column, start: Column) -> Column:
@@ -63,10 +78,13 @@ def chunks(text: Column, limit: int = CHUNK_LIMIT, pages: Column | None = None,
     limit = max(LEAST_LIMIT, limit)
     step = max(1, limit - CHUNK_OVERLAP)
     n = chunk_count(F.length(text), limit)
+    # Line feeds are counted once a step; a window's line is the sum of the steps before it.
+    feeds = F.transform(F.sequence(F.lit(0), n - 1), lambda i: _feeds(F.substring(text, i * step + 1, F.lit(step))))
 
     def window(i: Column) -> Column:
         start = i * step
-        where = page_locator(pages, start) if pages is not None else line_locator(text, start) if plain else F.lit("")
+        line = F.concat(F.lit("Line "), (F.aggregate(F.slice(feeds, F.lit(1), i), F.lit(1), lambda a, x: a + x)).cast("string"))
+        where = page_locator(pages, start) if pages is not None else line if plain else F.lit("")
         return F.struct(i.alias("chunk_index"), start.alias("start"), F.substring(text, start + 1, F.lit(limit)).alias("text"), F.when(n == 1, F.lit("")).otherwise(where).alias("locator"))
 
     return F.transform(F.sequence(F.lit(0), n - 1), window)
@@ -119,7 +137,8 @@ def scan_pages(page_count: Column) -> Column:
 def paged_text(pages: Column) -> Column:
     """(text, page_starts, scanned) of page texts: pages end in a line feed; few characters a page mean a scan."""
     ended = F.transform(pages, lambda p: F.when(p.endswith("\n"), p).otherwise(F.concat(p, F.lit("\n"))))
-    starts = F.transform(F.sequence(F.lit(0), F.size(ended) - 1), lambda i: F.aggregate(F.slice(ended, F.lit(1), i), F.lit(0), lambda a, p: a + F.length(p)))
+    sizes = F.transform(ended, F.length)
+    starts = F.transform(F.sequence(F.lit(0), F.size(ended) - 1), lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, n: a + n))
     text = F.array_join(ended, "")
     return F.struct(text.alias("text"), starts.alias("page_starts"), (F.length(trim(text)) < F.size(pages) * 8).alias("scanned"))
 

@@ -47,10 +47,12 @@ def changes(crawl: DataFrame, known: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", status.alias("status"))
 
 
-def stale(known: DataFrame, crawl: DataFrame, roots: list[str], enabled: frozenset[str], ignored: Column | None = None, cancelled: bool = False) -> DataFrame:
+def stale(known: DataFrame, crawl: DataFrame, roots: list[str], enabled: frozenset[str], ignored: Column | None = None, cancelled: bool = False, remote: DataFrame | None = None) -> DataFrame:
     """Known paths to delete after a pass: not seen, under a root that had any file, of an enabled kind, not ignored.
 
-    A cancelled pass deletes nothing; a root without a single file is taken as unreachable.
+    A cancelled pass deletes nothing; a root without a single file is taken as
+    unreachable. ``remote`` are paths whose content is not here (and so are not
+    in the crawl), which are never deleted.
     """
     if cancelled or not roots:
         return known.select("path").limit(0)
@@ -63,7 +65,8 @@ def stale(known: DataFrame, crawl: DataFrame, roots: list[str], enabled: frozens
     scope &= tx.governing(F.col("kind")).isin(sorted(enabled))
     if ignored is not None:
         scope &= ~ignored
-    return known.where(scope).join(crawl.select("path"), "path", "left_anti").select("path")
+    gone = known.where(scope).join(crawl.select("path"), "path", "left_anti").select("path")
+    return gone if remote is None else gone.join(remote.select("path"), "path", "left_anti")
 
 
 def reusable(keys: DataFrame, chunks: DataFrame, dim: int) -> DataFrame:
@@ -166,3 +169,39 @@ def folder_counts(chunks: DataFrame, folders: DataFrame) -> DataFrame:
 def media_ready(kind: Column, side: Column, seconds: Column, characters: Column, least_side: int = 0, least_seconds: float = 0.0, least_characters: int = 0) -> Column:
     """Whether a file reaches the least size set for its kind."""
     return F.when(kind == "image", side >= least_side).when(kind.isin("audio", "video"), seconds >= least_seconds).otherwise(characters >= least_characters)
+
+
+def stored_files(chunks: DataFrame, paths: DataFrame) -> DataFrame:
+    """``indexed_files`` of the paths asked for; those that are not there give no row."""
+    return indexed_files(chunks.join(paths.select("path").distinct(), "path", "left_semi"))
+
+
+def file_count(chunks: DataFrame, kinds: list[str]) -> DataFrame:
+    """(files): files of the kinds, each kind counted on its own."""
+    return chunks.where(F.col("kind").isin(kinds)).groupBy("kind").agg(F.count_distinct("path").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"))
+
+
+def chunk_counts(chunks: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, chunks) of each path asked for, 0 if it is not there."""
+    asked = paths.select("path").distinct()
+    found = chunks.join(asked, "path", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(found, "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("chunks"))
+
+
+def counters(chunks: DataFrame) -> DataFrame:
+    """(kind, ext, files, chunks) of the whole index."""
+    per = chunks.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("kind", tx.extension(F.col("path")).alias("ext")).agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("chunks"))
+
+
+def advanced(known: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """``counters`` after the chunks of some paths, ``before``, gave way to ``after``: only these rows are read."""
+    change = counters(after).unionByName(counters(before).select("kind", "ext", (-F.col("files")).alias("files"), (-F.col("chunks")).alias("chunks")))
+    return known.unionByName(change).groupBy("kind", "ext").agg(F.sum("files").alias("files"), F.sum("chunks").alias("chunks")).where("files <> 0 or chunks <> 0")
+
+
+def diverged(known: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Rows of kept counters that differ from what the index holds; none if all is well."""
+    columns = ["kind", "ext", "files", "chunks"]
+    true = counters(chunks).select(*columns)
+    return known.select(*columns).exceptAll(true).unionByName(true.exceptAll(known.select(*columns))).select("kind", "ext").distinct()

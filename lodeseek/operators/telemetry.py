@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bounds of a report's fields, dataset versions, accepted reports an address and hour.
 BOUNDS = {"files": 200_000, "scanned": 200_000, "failed": 200_000, "seconds": 86_400, "error_rate": 1, "vram_delta": 1e15, "memory": 1e15, "cores": 4096}
@@ -74,10 +79,27 @@ def half_up(x: Column, digits: int = 1) -> Column:
     return F.floor(x * 10**digits + 0.5) / 10**digits
 
 
+def _first(value: str) -> Column:
+    """The value of the newest run that has one."""
+    return F.max_by(value, F.when(F.col(value).isNotNull(), F.struct("created_at", "run_id")))
+
+
 def by_chip_and_version(runs: DataFrame) -> DataFrame:
-    """(chip, app_version, level, runs, medians, deviations) for chips, their versions, and versions, in one pass."""
+    """(chip, app_version, level, runs, medians, deviations, ...) for chips, their versions, and versions, in one pass.
+
+    Levels are chip, chip_version and version; a run without a chip counts as
+    Unknown, without a version as ?. Release year, memory and video memory are
+    those of the newest run that has them, and ``systems`` the system versions,
+    the newest run's first. Columns that ``runs`` lacks are null. Values that are
+    not finite count as none. For its medians, a task holds the distinct values of
+    a group.
+    """
+    have = set(runs.columns)
+    known = [c if c in have else F.lit(None).cast(t).alias(c) for c, t in (("seconds", "double"), ("vram_delta", "double"), ("release_year", "int"), ("mem_bytes", "long"), ("vram_bytes", "long"), ("system", "string"))]
     clean = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
-    named = runs.select(F.coalesce("chip", F.lit("Unknown")).alias("chip"), F.coalesce("app_version", F.lit("?")).alias("app_version"), clean("files_per_sec").alias("f"), clean("tokens_per_sec").alias("t"), "created_at")
+    named = runs.select(F.coalesce("chip", F.lit("Unknown")).alias("chip"), F.coalesce("app_version", F.lit("?")).alias("app_version"), clean("files_per_sec").alias("f"), clean("tokens_per_sec").alias("t"), "created_at", "run_id", *known)
+    seen = F.array_sort(F.collect_list(F.struct((-F.col("created_at")).alias("order"), "system")))
+    systems = named.where("system is not null").groupBy("chip", "system").agg(F.max("created_at").alias("created_at")).groupBy("chip").agg(F.transform(seen, lambda x: x.system).alias("systems"))
     grouped = named.groupingSets([[F.col("chip")], [F.col("chip"), F.col("app_version")], [F.col("app_version")]], "chip", "app_version").agg(
         F.grouping_id().alias("gid"),
         F.count(F.lit(1)).alias("runs"),
@@ -85,14 +107,30 @@ def by_chip_and_version(runs: DataFrame) -> DataFrame:
         F.percentile("t", 0.5).alias("median_tokens"),
         F.stddev_samp("f").alias("std_files"),
         F.stddev_samp("t").alias("std_tokens"),
+        F.percentile("seconds", 0.5).alias("median_seconds"),
+        F.percentile("vram_delta", 0.5).alias("median_vram"),
+        _first("release_year").alias("release_year"),
+        _first("mem_bytes").alias("mem_bytes"),
+        _first("vram_bytes").alias("vram_bytes"),
         F.max("created_at").alias("last"),
     )
     level = F.element_at(F.create_map(F.lit(1), F.lit("chip"), F.lit(0), F.lit("chip_version"), F.lit(2), F.lit("version")), F.col("gid").cast("int"))
-    return grouped.withColumn("level", level).drop("gid")
+    return grouped.withColumn("level", level).drop("gid").join(systems.withColumn("level", F.lit("chip")), ["chip", "level"], "left")
+
+
+def report(runs: DataFrame) -> DataFrame:
+    """``by_chip_and_version`` with place: chips by their runs, most first; versions, of a chip or of all, newest first."""
+    found = by_chip_and_version(runs)
+    newest = F.when(F.col("level") != "chip", version_key(F.col("app_version")))
+    order = Window.partitionBy("level", F.when(F.col("level") == "chip_version", F.col("chip"))).orderBy(F.when(F.col("level") == "chip", -F.col("runs")), F.desc(newest), "chip")
+    return found.withColumn("place", F.row_number().over(order))
 
 
 def recent(runs: DataFrame, n: int = 25) -> DataFrame:
-    return runs.orderBy(F.desc("created_at"), F.desc("run_id")).limit(n)
+    """The ``n`` newest runs, with rates and seconds rounded as they are shown."""
+    top = runs.orderBy(F.desc("created_at"), F.desc("run_id")).limit(n)
+    shown = {"files_per_sec": half_up(F.col("files_per_sec")), "tokens_per_sec": half_up(F.col("tokens_per_sec"), 0).cast("long"), "seconds": half_up(F.col("seconds")) if "seconds" in runs.columns else F.lit(None).cast("double")}
+    return top.withColumns(shown)
 
 
 def throughput(total: Column, failed: Column, scanned: Column, tokens: Column, seconds: Column) -> Column:
@@ -105,13 +143,36 @@ def budget(capacity_gb: Column, anchor: float, floor: float, ceiling: float) ->
     return F.greatest(F.least(F.floor(capacity_gb / 6 * anchor), F.lit(ceiling)), F.lit(floor))
 
 
-def smoothed(samples: Column, least_gap: float = 0.4) -> Column:
-    """Smoothed rate of ordered samples (t, n): gaps below ``least_gap`` wait, no change holds, the first rate is taken as it is."""
-    start = F.struct(samples[0].t.alias("t"), samples[0].n.alias("n"), F.lit(None).cast("double").alias("rate"))
-
-    def step(a: Column, s: Column) -> Column:
-        gap, more = s.t - a.t, s.n - a.n
-        rate = F.when(more == 0, a.rate).when(a.rate.isNull(), more / gap).otherwise(a.rate * 0.5 + more / gap * 0.5)
-        return F.when(gap < least_gap, a).otherwise(F.struct(s.t.alias("t"), s.n.alias("n"), rate.alias("rate")))
-
-    return F.aggregate(F.slice(samples, F.lit(2), F.greatest(F.size(samples) - 1, F.lit(0))), start, step, lambda a: a.rate)
+def smoothed(samples: DataFrame, key: str, least_gap: float = 0.4) -> DataFrame:
+    """(key, rate) of samples (key, t, n): gaps below ``least_gap`` wait, no change holds, the first rate is taken as it is.
+
+    Samples come sorted to their task and are folded one after another, so a
+    long history is never held in one row; a key has a row however many it has.
+    """
+    schema = T.StructType([samples.schema[key], T.StructField("rate", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last, done = None, None, []  # last: time, number, rate
+        for batch in batches:
+            for k, t, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last is None or k != own:
+                    if last is not None:
+                        done.append((own, last[2]))
+                    own, last = k, (t, n, None)
+                elif t - last[0] >= least_gap:
+                    now = (n - last[1]) / (t - last[0])
+                    last = (t, n, last[2] if n == last[1] else now if last[2] is None else last[2] * 0.5 + now * 0.5)
+            if done:
+                yield pa.RecordBatch.from_pylist([dict(zip((key, "rate"), x, strict=True)) for x in done], to_arrow_schema(schema))
+                done = []
+        if last is not None:
+            yield pa.RecordBatch.from_pylist([{key: own, "rate": last[2]}], to_arrow_schema(schema))
+
+    return samples.select(key, F.col("t").cast("double"), F.col("n").cast("double")).repartition(key).sortWithinPartitions(key, "t", "n").mapInArrow(run, schema)
+
+
+def progress(scanned: DataFrame, finished: DataFrame) -> DataFrame:
+    """(root, done, total, fraction) of files (root, path) and those finished (path); a root without files has fraction 0."""
+    marked = scanned.join(finished.select("path", F.lit(1).alias("ok")).distinct(), "path", "left")
+    found = marked.groupBy("root").agg(F.count("ok").alias("done"), F.count("path").alias("total"))
+    return found.withColumn("fraction", F.when(F.col("total") > 0, F.col("done") / F.col("total")).otherwise(0.0))

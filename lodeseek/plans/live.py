@@ -8,46 +8,63 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import embed
 from ..functions import text as tx
-from ..schema import CHUNKS
+from ..operators import indexing
 from ..sources import mapping
 from ..sources.store import Store
 from ..streaming import live
+from . import index_pass
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which must be set but where driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='lodeseek-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lodeseek-{uuid.uuid4().hex}"
 
 
 def replay_changes(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
-    """(path, modified, size, kind) after all change events, written as ``batches`` files and read as a stream."""
+    """(path, modified, size, kind, chunk_index, snippet) after all change events, written as ``batches`` files and read as a stream.
+
+    A file is there if its last event does not delete it; its content is a line of words.
+    """
     root = shared_folder(spark)
     events = mapping.changes(spark, sf_dir).select("path", "op", "event_id", F.unix_micros("ts").alias("micros"))
     events.repartitionByRange(batches, "event_id").write.parquet(f"{root}/events")
+    last = live.coalesce_events(events).where("op <> 'delete'")
+    words = F.concat(F.lit("words of "), tx.basename(F.col("path")), F.lit(" after "), (F.col("event_id") % 50).cast("string"))
+    files = last.select("path", F.col("event_id").cast("double").alias("modified"), F.octet_length(words).cast("long").alias("size"), tx.kind_of(F.col("path")).alias("kind"), words.cast("binary").alias("content"))
     store = Store(spark, f"{root}/store")
+    stream = live.replay(spark, f"{root}/events", events.schema)
+    index_pass.follow(store, stream, lambda: files, embed.HashEmbedder(), f"{root}/progress", every=None).awaitTermination()
+    return store.chunks().select("path", "modified", "size", "kind", "chunk_index", "snippet")
 
-    def apply(batch: DataFrame, number: int) -> None:
-        gone = batch.where("op = 'delete'")
-        kept = batch.where("op <> 'delete'").select(
-            "path",
-            F.col("event_id").cast("double").alias("modified"),
-            F.length("path").cast("long").alias("size"),
-            tx.kind_of(F.col("path")).alias("kind"),
-            F.lit(0).alias("chunk_index"),
-            tx.basename(F.col("path")).alias("snippet"),
-            F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("vec"),
-            F.lit(0).alias("width"),
-            F.lit(0).alias("height"),
-            F.lit(0.0).alias("duration"),
-            F.lit("").alias("locator"),
-        )
-        store.replace_many(kept.select(*CHUNKS.names), gone, batch=f"{root}#{number}")
 
-    stream = live.replay(spark, f"{root}/events", events.schema)
-    query = live.live_update(stream, apply, f"{root}/progress", every=None)
-    query.awaitTermination()
-    return store.chunks().select("path", "modified", "size", "kind")
+def two_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, modified, size, chunk_index, locator, snippet, status) after two passes over all documents: before the second, a seventh of the files got a new time, and new files came whose contents are known."""
+    store = Store(spark, f"{shared_folder(spark)}/store")
+    files = mapping.files(spark, sf_dir).withColumn("content", F.col("text").cast("binary")).drop("text")
+    roots = ["/"]
+    index_pass.index(store, files.drop("doc_id"), roots, embed.HashEmbedder())
+    later = files.withColumn("modified", F.when(F.col("doc_id") % 7 == 0, F.col("modified") + 1).otherwise(F.col("modified")))
+    copies = files.withColumns({"path": F.concat(F.lit("/copies"), "path"), "modified": F.col("modified") + 2})
+    done = index_pass.index(store, later.unionByName(copies).drop("doc_id"), roots, embed.HashEmbedder())
+    done = spark.read.parquet(store.scratch(done, "status"))
+    return store.chunks().join(done, "path").select("path", "modified", "size", "chunk_index", "locator", "snippet", "status")
+
+
+def kept_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, ext, files, chunks, sound): counters carried over a change of every file of two folders, and whether they are what a recount gives."""
+    chunks = mapping.chunks(spark, sf_dir)
+    touched = F.col("path").startswith("/d1/") | F.col("path").startswith("/d2/")
+    before = chunks.where(touched)
+    after = before.where(F.col("chunk_index") < 2).withColumn("path", F.regexp_replace("path", r"\.txt$", ".md"))
+    now = chunks.where(~touched).unionByName(after)
+    kept = indexing.advanced(indexing.counters(chunks), before, after)
+    wrong = indexing.diverged(kept, now).withColumn("sound", F.lit(False))
+    return kept.join(wrong, ["kind", "ext"], "left").withColumn("sound", F.coalesce("sound", F.lit(True)))

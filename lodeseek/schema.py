@@ -45,6 +45,14 @@ CHUNKS = T.StructType(
         T.StructField("locator", T.StringType()),
     ]
 )
+KEYS = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("key", T.StringType()),
+        T.StructField("modified", T.DoubleType()),
+        T.StructField("size", T.LongType()),
+    ]
+)
 FILES = T.StructType(
     [
         T.StructField("path", T.StringType()),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ignore
@@ -10,12 +12,17 @@ from ..functions import text as tx
 from ..operators.indexing import supported, within_cap
 from ..schema import EXTENSIONS
 
+#: Extensions of directories that are shown as one file.
+PACKAGES = "app bundle framework plugin kext photoslibrary xcodeproj xcworkspace rtfd pages key numbers".split()
+
 
-def crawl(spark: SparkSession, roots: list[str], enabled: frozenset[str] = frozenset(EXTENSIONS), disabled_extensions: frozenset[str] = frozenset(), policy: str = "", with_content: bool = False) -> DataFrame:
+def crawl(spark: SparkSession, roots: list[str], enabled: frozenset[str] = frozenset(EXTENSIONS), disabled_extensions: frozenset[str] = frozenset(), policy: str = "", with_content: bool = False, remote: Column | None = None) -> DataFrame:
     """(path, modified, size, kind, root[, content]) of the files that an index pass takes.
 
-    Hidden files are left out, and those whose directory below the root, or
-    that themselves, the policy ignores. Without ``with_content`` no file is read.
+    Hidden files are left out, files inside packages (directories that are shown
+    as one file), and those whose directory below the root, or that themselves,
+    the policy ignores. Files for which ``remote`` holds have no content here and
+    are left out. Without ``with_content`` no file is read.
     """
     rules, out = ignore.parse(policy), None
     for root in roots:
@@ -26,13 +33,21 @@ def crawl(spark: SparkSession, roots: list[str], enabled: frozenset[str] = froze
         rows = rows.withColumn("kind", kind).withColumn("modified", F.col("m") / 1e6).drop("m").withColumn("root", F.lit(root))
         below = F.concat(F.lit("/"), F.substring(F.col("path"), F.length(F.regexp_replace(F.lit(root), "^file:/*", "/")) + 1, F.lit(1 << 30)))
         below = F.regexp_replace(below, "^/+", "/")
-        rows = rows.where(supported(F.col("path"), enabled, disabled_extensions) & within_cap(F.col("kind"), F.col("size")) & ~below.rlike(r"/\."))
+        rows = rows.where(supported(F.col("path"), enabled, disabled_extensions) & within_cap(F.col("kind"), F.col("size")) & ~below.rlike(r"/\.") & ~F.lower(below).rlike(rf"\.({'|'.join(PACKAGES)})/"))
+        if remote is not None:
+            rows = rows.where(~remote)
         if rules:
             rows = rows.where(~ignore.ignored_with_ancestors(below, F.lit(False), rules))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def default_roots(home: str | None = None) -> list[str]:
+    """The folders that are indexed when none is named."""
+    home = (home or os.path.expanduser("~")).rstrip("/")
+    return [f"{home}/{name}" for name in ("Documents", "Downloads", "Desktop")]
+
+
 def read_text(files: DataFrame) -> DataFrame:
     """(path, text) of files with content; texts are decoded and trimmed, and empty ones left out."""
     return files.select("path", tx.trim(tx.decode(F.col("content"))).alias("text")).where("text <> ''")

@@ -73,6 +73,12 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value") * 1000).alias("tokens_per_sec"),
         millis.alias("created_at"),
         F.sha2(F.col("user_id").cast("string").cast("binary"), 256).alias("ip_hash"),
+        (F.col("value") * 3).alias("seconds"),
+        F.when(F.col("user_id") % 4 != 0, F.col("value") * 1e6).alias("vram_delta"),
+        F.when(F.col("event_id") % 3 != 0, 2020 + F.col("event_id") % 6).cast("int").alias("release_year"),
+        F.when(F.col("event_id") % 2 == 0, (F.col("event_id") % 8 + 1) * 8_000_000_000).alias("mem_bytes"),
+        F.when(F.col("event_id") % 5 == 0, (F.col("event_id") % 4 + 1) * 1_000_000_000).alias("vram_bytes"),
+        F.concat(F.lit("1"), F.col("user_id") % 6, F.lit(".0")).alias("system"),
     )
 
 

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import indexing
-from ..schema import CHUNKS, DEAD_SHARE, FOLD_ROWS
+from ..schema import CHUNKS, DEAD_SHARE, FOLD_ROWS, KEYS
 
 SCHEMA_VERSION = 1
 
@@ -31,22 +34,42 @@ class Store:
         base = self._path(f"{self.root}/manifest")
         if not self._fs.exists(base):
             return {"version": 0, "base": [], "delta": [], "meta": {}, "schema": SCHEMA_VERSION, "rows": 0, "delta_rows": 0}
-        names = sorted(x.getPath().getName() for x in self._fs.listStatus(base))
-        stream = self._fs.open(self._path(f"{self.root}/manifest/{names[-1]}"))
+        return self._migrated(self._read(self._manifests()[-1]))
+
+    def _manifests(self) -> list[str]:
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.root}/manifest")))
+
+    def _read(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.root}/manifest/{name}"))
         try:
-            return json.loads(stream.readUTF())
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    @staticmethod
+    def _migrated(manifest: dict) -> dict:
+        """An index of another layout is empty, and made anew; columns that were added since get their defaults when read."""
+        if manifest.get("schema") == SCHEMA_VERSION:
+            return manifest
+        return manifest | {"base": [], "delta": [], "dim": None, "rows": 0, "delta_rows": 0, "schema": SCHEMA_VERSION}
+
     def _commit(self, manifest: dict) -> None:
         manifest = manifest | {"version": manifest["version"] + 1}
         hidden = self._path(f"{self.root}/_{uuid.uuid4().hex}")
         stream = self._fs.create(hidden)
-        stream.writeUTF(json.dumps(manifest))
+        stream.write(json.dumps(manifest).encode())
         stream.close()
         self._fs.mkdirs(self._path(f"{self.root}/manifest"))
-        if not self._fs.rename(hidden, self._path(f"{self.root}/manifest/{manifest['version']:012d}")):
-            raise RuntimeError("another writer committed this version")
+        jvm, target = self.spark._jvm, self._path(f"{self.root}/manifest/{manifest['version']:012d}")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsparkSession.sessionState().newHadoopConf())
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:  # refused if the version is there already
+            context.rename(self._fs.makeQualified(hidden), self._fs.makeQualified(target), none)
+        except Py4JJavaError as error:
+            self._fs.delete(hidden, False)
+            if "FileAlreadyExists" in str(error.java_exception):
+                raise RuntimeError("another writer committed this version") from None
+            raise
 
     def get(self, key: str) -> str | None:
         return self.manifest()["meta"].get(key)
@@ -61,15 +84,19 @@ class Store:
         """All live chunks; those of another dimension than the index's are skipped."""
         m = self.manifest()
         empty = self.spark.createDataFrame([], CHUNKS)
-        base = self.spark.read.schema(CHUNKS).parquet(*m["base"]) if m["base"] else empty
+        base = self._stored(*m["base"]) if m["base"] else empty
         for step in m["delta"]:
             if step["gone"]:
                 base = base.join(self.spark.read.parquet(step["gone"]).distinct(), "path", "left_anti")
             if step["rows"]:
-                base = base.unionByName(self.spark.read.schema(CHUNKS).parquet(step["rows"]))
+                base = base.unionByName(self._stored(step["rows"]))
         dim = dim or m.get("dim")
         return base if dim is None else base.where(F.size("vec") == dim)
 
+    def _stored(self, *paths: str) -> DataFrame:
+        """Stored chunks; a column that was added after they were written has its default."""
+        return self.spark.read.schema(CHUNKS).parquet(*paths).fillna({"width": 0, "height": 0, "duration": 0.0, "locator": "", "snippet": ""})
+
     def _write(self, df: DataFrame, name: str) -> str:
         path = f"{self.root}/data/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
@@ -102,8 +129,33 @@ class Store:
             self.fold()
         return True
 
+    def scratch(self, df: DataFrame, name: str) -> str:
+        """Write rows of a step beside the data; compaction deletes them."""
+        return self._write(df, f"step-{name}")
+
+    # Content keys: the newest of each path.
+
+    def keys(self) -> DataFrame:
+        found = self.manifest().get("keys", [])
+        return self.spark.read.schema(KEYS).parquet(*found) if found else self.spark.createDataFrame([], KEYS)
+
+    def record_keys(self, new: DataFrame) -> None:
+        """Insert or replace the keys (path, key, modified, size) of these paths."""
+        kept = self._write(indexing.upsert(self.keys(), new.select("path", "key", "modified", "size"), "path", "modified"), "keys")
+        self._commit(self.manifest() | {"keys": [kept]})
+
+    def delete_keys(self, paths: DataFrame) -> None:
+        kept = self._write(self.keys().join(paths.select("path").distinct(), "path", "left_anti"), "keys")
+        self._commit(self.manifest() | {"keys": [kept]})
+
+    def delete_chunks(self, path: str) -> None:
+        """Drop a path's chunks and leave its content key, which is harmless: it matches no chunk."""
+        self.replace_many(self.spark.createDataFrame([], CHUNKS), self.spark.createDataFrame([(path,)], "path string"))
+
     def delete_paths(self, paths: DataFrame) -> None:
+        """Drop chunks and content keys of these paths."""
         self.replace_many(self.spark.createDataFrame([], CHUNKS), paths)
+        self.delete_keys(paths)
 
     def rewrite(self, df: DataFrame) -> None:
         """Make ``df`` the new base, sorted by path so that ranges of paths prune row groups."""
@@ -115,24 +167,42 @@ class Store:
         """Base and delta as a new base: the same rows."""
         self.rewrite(self.chunks())
 
-    def compact(self, least: float = DEAD_SHARE) -> bool:
-        """Fold if at least this share of the stored rows is dead; versions that no manifest names any more are deleted."""
+    def compact(self, least: float = DEAD_SHARE, keep: int = 2) -> bool:
+        """Fold if at least this share of the stored rows is dead.
+
+        Manifests but the last ``keep`` are deleted, and data that none of these
+        names: readers of a version before may still be at work.
+        """
         m = self.manifest()
         stored = m["rows"] + m["delta_rows"]
         live = self.chunks().count()
         if not stored or (stored - live) / stored < least:
             return False
         self.fold()
-        keep = {p.rsplit("/", 1)[-1] for p in self.manifest()["base"]}
+        names = self._manifests()
+        held = [self._read(x) for x in names[-keep:]]
+        used = [p for m in held for p in [*m["base"], *m.get("keys", []), *(x for step in m["delta"] for x in step.values() if x)]]
+        for name in names[:-keep]:
+            self._fs.delete(self._path(f"{self.root}/manifest/{name}"), False)
+        live = {p.rsplit("/", 1)[-1] for p in used}
         for x in self._fs.listStatus(self._path(f"{self.root}/data")):
-            if x.getPath().getName() not in keep:
+            if x.getPath().getName() not in live:
                 self._fs.delete(x.getPath(), True)
         return True
 
+    def close(self) -> None:
+        """Fold what is beside the base, if anything; closing again does nothing."""
+        if self.manifest()["delta"]:
+            self.fold()
+
+    def drop(self) -> None:
+        """Delete the whole index."""
+        self._fs.delete(self._path(self.root), True)
+
     def wipe(self) -> None:
         m = self.manifest()
         m.pop("dim", None)
-        self._commit(m | {"base": [], "delta": [], "rows": 0, "delta_rows": 0})
+        self._commit(m | {"base": [], "delta": [], "keys": [], "rows": 0, "delta_rows": 0})
 
     def migrate_scans(self) -> bool:
         """Relabel scans, once."""
@@ -149,3 +219,18 @@ class Store:
             return True
         known = m["meta"].get("embedding_version")
         return known is not None and known != fingerprint and f"|{dim}|" in known
+
+
+@contextmanager
+def temporary(spark: SparkSession, root: str) -> Iterator[Store]:
+    """A store in a folder of its own below ``root``, for a trial run; it is deleted at the end."""
+    store = Store(spark, f"{root.rstrip('/')}/trial-{uuid.uuid4().hex}")
+    try:
+        yield store
+    finally:
+        store.drop()
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report as JSON lines, in one file or more as Spark writes them."""
+    rows.write.mode("error").json(path)
