@@ -84,8 +84,7 @@ def store_files(store: Store, todo: DataFrame, known: DataFrame, embedder: em.Em
     gone = store.spark.read.parquet(store.scratch(gone, "gone"))
     if store.replace_many(items, gone, batch):
         store.record_keys(small.join(has, "path", "left_semi"))
-        if removed is not None:
-            store.delete_keys(removed)
+        store.delete_keys(gone)
     how = F.when(F.col("again"), "reused").when(F.col("has"), "embedded").when(F.col("bad"), "failed").otherwise("empty")
     marks = small.select("path").join(again.select("path", F.lit(True).alias("again")), "path", "left").join(has.withColumn("has", F.lit(True)), "path", "left").join(failed.withColumn("bad", F.lit(True)), "path", "left")
     return marks.select("path", how.alias("status"))

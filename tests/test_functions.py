@@ -109,5 +109,6 @@ def test_versions_and_rates(spark):
     for a, b, want in newer:
         assert one(spark, telemetry.is_newer(F.lit(a), F.lit(b))) is want
     assert one(spark, telemetry.release_year(F.lit("Apple M3 Ultra")), telemetry.release_year(F.lit("M3")), telemetry.release_year(F.lit("Z80"))) == (2025, 2023, None)
-    samples = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(n).alias("n")) for t, n in ((0.0, 0.0), (0.2, 5.0), (1.0, 10.0), (2.0, 10.0), (3.0, 30.0))))
-    assert one(spark, telemetry.smoothed(samples)) == pytest.approx(15.0)
+    times = ((0.0, 0.0), (0.2, 5.0), (1.0, 10.0), (2.0, 10.0), (3.0, 30.0))
+    samples = spark.createDataFrame([(k, t, n) for k in ("a", "b") for t, n in times] + [("c", 1.0, 1.0)], "root string, t double, n double")
+    assert {r.root: r.rate for r in telemetry.smoothed(samples, "root").collect()} == {"a": pytest.approx(15.0), "b": pytest.approx(15.0), "c": None}
