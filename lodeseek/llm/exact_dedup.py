@@ -3,8 +3,9 @@
 A text's bytes, white space normalised, are the coefficients of a polynomial
 that is evaluated at two fixed points modulo a Mersenne prime. Fingerprints
 compose: that of ``a + b`` is ``f(a) * x**len(b) + f(b)``, so the chunks of a
-huge text are hashed on their own, in any order or place, and combined by
-length-shifted arithmetic.
+huge text, one of ``HUGE`` bytes or more, are dealt to tasks and hashed in
+parallel, and combined by length-shifted arithmetic; a smaller text's are hashed
+where it is. Either way gives the same fingerprint.
 
 Rows with equal fingerprints are then compared chunk by chunk: every chunk
 position of such a group is reduced to its least and greatest content, which
@@ -30,6 +31,8 @@ from .shared import Workspace, utf8
 PRIME = (1 << 31) - 1
 POINTS = (1_134_903_170, 1_836_311_903)
 CHUNK = 1 << 16
+#: Bytes from which a text's chunks are hashed in parallel.
+HUGE = 16 << 20
 
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)
 
@@ -77,8 +80,8 @@ class Fingerprint:
         return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prime: int = PRIME) -> DataFrame:
-    """(doc_id, n_bytes, f0, f1, text_sha256) of every row's normalised text."""
+def fingerprints(docs: DataFrame, work: Workspace, prime: int = PRIME) -> DataFrame:
+    """(doc_id, n_bytes, f0, f1, text_sha256) of every row's normalised text (columns doc_id and text); null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Fingerprint(prime)
@@ -91,8 +94,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n, f0, f1, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f0, pa.int64()), pa.array(f1, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "f0", "f1", "text_sha256"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_bytes long, f0 long, f1 long, text_sha256 string")
+    huge = F.coalesce(F.octet_length("text") >= HUGE, F.lit(False))
+    small = docs.where(~huge).mapInArrow(run, _PRINTS)
+    # Written with a number a row, which the chunks of equal rows are told apart by.
+    whole = work.keep(docs.where(huge).select("doc_id", normalised_column(F.col("text")).alias("text"), F.monotonically_increasing_id().alias("row")), "huge")
+    return small if whole.isEmpty() else small.unionByName(_in_parallel(whole, prime))
+
+
+_PRINTS = "doc_id long, n_bytes long, f0 long, f1 long, text_sha256 string"
+
+
+def _in_parallel(whole: DataFrame, prime: int) -> DataFrame:
+    """``fingerprints`` of normalised texts (row, doc_id, text), by chunks that are dealt to all tasks."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for row, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                for first in range(a, b, 64 * CHUNK):
+                    parts = [data[i : min(i + CHUNK, b)].tobytes() for i in range(first, min(first + 64 * CHUNK, b), CHUNK)]
+                    at = (first - a) // CHUNK
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(parts), pa.int64()), pa.array(range(at, at + len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["row", "at", "content"])
+
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Fingerprint(prime)
+        for batch in batches:
+            parts = [make.of(x.as_py()) for x in batch.column(2)]
+            n, f0, f1 = zip(*parts, strict=True) if parts else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, f0, f1))], names=["row", "at", "n", "f0", "f1"])
+
+    def combine(key: tuple, table: pa.Table) -> pa.Table:
+        make, out = Fingerprint(prime), (0, 0, 0)
+        parts = table.sort_by("at").select(["n", "f0", "f1"]).to_pylist()
+        for p in parts:
+            out = make.combine(out, tuple(p.values()))
+        return pa.table({"row": [key[0].as_py()], "n_bytes": [out[0]], "f0": [out[1]], "f1": [out[2]]})
+
+    pieces = whole.select("row", "text").mapInArrow(split, "row long, at int, content binary")
+    hashed = pieces.repartition("row", "at").mapInArrow(chunk, "row long, at int, n long, f0 long, f1 long")
+    prints = hashed.groupBy("row").applyInArrow(combine, "row long, n_bytes long, f0 long, f1 long")
+    own = whole.select("row", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return own.join(prints, "row").select("doc_id", "n_bytes", "f0", "f1", "text_sha256")
 
 
 def normalised_column(text):
@@ -112,13 +154,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their names, are not read.
     """
     work = work or Workspace(docs.sparkSession)
-    prints = work.keep(fingerprints(docs, id_col, text_col, prime), "prints")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    prints = work.keep(fingerprints(source, work, prime), "prints")
+    work.drop("huge")
     key = ["n_bytes", "f0", "f1"]
     groups = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
     # Written on its own, so that Spark can split a hot group's side of the join.
     shared = work.keep(groups.where("rows > 1").drop("rows"), "shared")
     members = work.keep(prints.join(shared, key).select("doc_id", *key).distinct(), "members")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # Chunks are cut by characters, at the same places in equal texts.
     chunks = (
         source.join(members.hint("shuffle_hash"), source.doc_id.eqNullSafe(members.doc_id))
@@ -136,19 +179,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated rows (same id, same text) one stays."""
-    work = Workspace(docs.sparkSession)
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; of repeated rows (same id, same text) one stays.
+
+    Null text equals empty text; a null doc_id stays only where no row of its
+    text has one; an empty table gives an empty result.
+    """
+    work, sha = Workspace(docs.sparkSession), next(f"sha_{k}" for k in range(len(docs.columns) + 1) if f"sha_{k}" not in docs.columns)
     verdict = exact_dedup(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), work=work).where("kept")
-    verdict = verdict.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of")).agg((F.count(F.lit(1)) > 1).alias("__again"))
+    verdict = verdict.groupBy(F.col("doc_id").alias("of_id"), F.col("text_sha256").alias("of_text")).agg((F.count(F.lit(1)) > 1).alias("again"))
     verdict = work.keep(verdict, "verdict")
     work.drop("prints", "shared", "members", "differ", "kept")
-    marked = docs.withColumn("__sha", F.sha2(normalised_column(F.col(text_col)).cast("binary"), 256))
+    marked = docs.withColumn(sha, F.sha2(normalised_column(F.col(text_col)).cast("binary"), 256))
 
     def among(rows: DataFrame) -> DataFrame:
-        return marked.join(rows.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__of")), "left_semi")
+        return marked.join(rows.hint("shuffle_hash"), marked[id_col].cast("long").eqNullSafe(rows.of_id) & (marked[sha] == rows.of_text), "left_semi")
 
-    once = among(verdict.where("not __again"))
-    again = verdict.where("__again")
+    once = among(verdict.where("not again"))
+    again = verdict.where("again")
     if not again.isEmpty():
-        once = once.unionByName(among(again).dropDuplicates([id_col, "__sha"]))
-    return once.drop("__sha")
+        once = once.unionByName(among(again).dropDuplicates([id_col, sha]))
+    return once.drop(sha)

@@ -35,6 +35,15 @@ def test_exact(table, odd_rows, near_rows, prime):
     assert sorted(map(tuple, got), key=str) == brute_exact(rows)
 
 
+def test_exact_in_parallel(table, odd_rows, near_rows, monkeypatch):
+    """Texts of which the chunks are hashed by several tasks, with characters of several bytes where chunks meet."""
+    monkeypatch.setattr(exact_dedup, "HUGE", 300)
+    long = "é\t \n中 😀" * 40_000
+    rows = odd_rows + near_rows[:40] + [(500, long), (501, long.replace("\t \n", " ")), (501, long), (502, long + "x"), (None, long)]
+    got = exact_dedup.exact_dedup(table(rows)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_exact(rows)
+
+
 def test_exact_empty(table):
     assert exact_dedup.exact_dedup(table([])).count() == 0
 
