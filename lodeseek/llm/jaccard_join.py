@@ -74,7 +74,8 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, sig0, sig1) of each row: the set's size and a 128-bit hash of the set.
 
     Each task adds rows (block, counts) of its shingle counts, the others null:
-    one pass over the texts gives both.
+    one pass over the texts gives both. Null and empty texts have size 0; repeated
+    rows are counted each; an empty table has no row.
     """
     size = 1 << SKETCH_BITS
 
@@ -140,7 +141,7 @@ def prefix(values: np.ndarray, logs: np.ndarray, others: np.ndarray, percent: in
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, logs: np.ndarray) -> DataFrame:
-    """(doc_id, n, l, central, tokens) of each row with a shingle; ``central``: how common its prefix is."""
+    """(doc_id, n, l, central, tokens) of each row with a shingle (null, empty and white texts have none); ``central``: how common its prefix is."""
     cast = docs.sparkSession.sparkContext.broadcast(logs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

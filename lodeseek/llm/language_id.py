@@ -136,7 +136,11 @@ def _counts(sample: DataFrame, languages: list[str]) -> np.ndarray:
 
 
 def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of the languages of ``rows``; rows without text or language are not used."""
+    """A model of the languages of ``rows``; rows without id, text or language are not used.
+
+    Rows that repeat a sampled id are all used. Without any row, as in an empty
+    table, the model knows no language.
+    """
     text_batches(rows.sparkSession)
     named = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("doc_id is not null and lang is not null")
     # Ids first, and of a frequent language only those whose hash is below a bound that four times enough rows pass.
@@ -201,7 +205,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     ``lang_pred`` is ``und`` with score 0 where text is null or has no letter,
     and for every row if no language was learned. ``margin`` is by how much the
-    second nearest codeword's loss exceeds the nearest one's.
+    second nearest codeword's loss exceeds the nearest one's. Repeated rows are each
+    answered, a null doc_id stays null, an empty table gives an empty result; other
+    columns are not read.
     """
     text_batches(docs.sparkSession)
     cast = docs.sparkSession.sparkContext.broadcast(model)

@@ -36,7 +36,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
 
     Only a document of more than ``capacity`` tokens is cut, into pieces of
     ``capacity``; the last may be shorter. Null text is empty: one piece that
-    holds the end id. ``ids`` are little-endian unsigned 32-bit integers.
+    holds the end id. ``ids`` are little-endian unsigned 32-bit integers. Repeated
+    rows have pieces each, a null doc_id stays null, an empty table has no piece.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
