@@ -1,7 +1,14 @@
 """Corpus pipeline: language ID, exact dedup, near-duplicate removal, benchmark decontamination, packing.
 
 Each stage is a function of (spark, docs, sf_dir) and gets all rows that the
-stage before it kept; all but the last return the columns of ``documents``.
+stage before it kept; all but the last return the columns of ``documents``, and
+further columns that ``docs`` has, whatever their names.
+
+Null and empty texts have no letter, so the first stage takes them out; the
+others leave them alone (as equal texts of which one stays, without shingles,
+without a leak, and as one end token). A null doc_id goes only where a row of the
+same text has one. Repeated rows are one after exact dedup. Ties go to the
+smaller doc_id. Very long texts are read whole. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -14,17 +21,17 @@ from lodeseek.llm.shared import Workspace
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose language cannot be told, go."""
+    """Documents without a letter, and those whose language cannot be told, go; without any known language only the former."""
     return language_id.known(docs, language_id.fit(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each normalised text stays, that with the smallest doc_id."""
+    """One document of each normalised text stays, that with the smallest doc_id; null equals empty."""
     return exact_dedup.drop_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8: the smallest doc_id of each group stays."""
+    """Five-word shingles, similarity 0.8: the smallest doc_id of each group stays; texts without a word, and rows without an id, too."""
     return jaccard_join.keep_one(docs, k=5, percent=80)
 
 
