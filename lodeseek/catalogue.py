@@ -436,7 +436,16 @@ def ignore_preview(spark, d):
     return ignore.preview(mapping.files(spark, d), ignore.parse(POLICY))
 
 
-@query()
+@query(
+    r"""
+    WITH h AS (SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(split_part(text, chr(10), 1), '\s+'), lambda x: x <> ''), ' ') AS text, turn % 6 AS k FROM conversations)
+    SELECT conv_id, turn, text, CASE k WHEN 1 THEN ['image'] WHEN 2 THEN ['audio', 'image', 'video'] ELSE [] END AS kinds, CASE k WHEN 3 THEN 'md' ELSE '' END AS ext,
+        CASE k WHEN 4 THEN '/d1/My Files' END AS folder, CASE k WHEN 3 THEN 'month' WHEN 5 THEN 'week' ELSE 'any' END AS range, CASE k WHEN 4 THEN 0.5 ELSE 0 END::DOUBLE AS min_score,
+        CASE k WHEN 5 THEN 'name' ELSE 'relevance' END AS sort,
+        trim(text || ' ' || CASE k WHEN 1 THEN 'type:image' WHEN 2 THEN 'type:audio,image,video' WHEN 3 THEN 'ext:md date:month' WHEN 4 THEN 'in:"/d1/My Files" score:50%' WHEN 5 THEN 'date:week sort:name' ELSE '' END) AS canonical
+    FROM h
+    """
+)
 def parse_query_batch(spark, d):
     schema = "text string, kinds array<string>, ext string, folder string, range string, min_score double, sort string, canonical string"
 
@@ -906,7 +915,16 @@ def average_hash(spark, d):
     return mapping.table(spark, d, "embeddings").select("vec_id", F.reverse(F.lpad(F.bin(vx.average_hash(gray)), 64, "0")).alias("bits"))
 
 
-@query()
+@query(
+    f"""
+    WITH {CHUNKS}, g AS (SELECT path, chunk_index, list_transform(vec, lambda x: floor((x + 1) * 127.5)::BIGINT) AS gray FROM chunks),
+    h AS (SELECT path, list(list_transform(gray, lambda x: x > floor(list_sum(gray) / 64.0)) ORDER BY chunk_index) AS hs FROM g GROUP BY path),
+    d AS (
+        SELECT path, len(hs) AS n, len(list_filter(list_zip(hs[1], hs[2]), lambda p: p[1] <> p[2])) AS d01, len(list_filter(list_zip(hs[1], hs[3]), lambda p: p[1] <> p[2])) AS d02,
+               len(list_filter(list_zip(hs[2], hs[3]), lambda p: p[1] <> p[2])) AS d12 FROM h)
+    SELECT path, list_filter([0, CASE WHEN n > 1 AND d01 >= 8 THEN 1 END, CASE WHEN n > 2 AND d02 >= 8 AND (d01 < 8 OR d12 >= 8) THEN 2 END], lambda i: i IS NOT NULL) AS frames FROM d
+    """
+)
 def distinct_frames(spark, d):
     """Frames of each file, by the hashes of its vectors, without those near to an earlier one."""
     gray = F.transform("vec", lambda x: F.floor((x.cast("double") + 1) * 127.5))
