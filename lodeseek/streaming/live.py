@@ -35,7 +35,8 @@ def actions(events: DataFrame, crawl: DataFrame, known: DataFrame, enabled: froz
     had = known.select("path", F.col("modified").alias("m0"), F.col("size").alias("s0"), F.lit(True).alias("had"))
     both = last.join(there, "path", "left").join(had, "path", "left")
     off = F.coalesce(~tx.kind_of(F.col("path")).isin(sorted(enabled)), F.lit(False))
-    lost = F.col("there").isNull() | (F.col("op") == "delete") | ~(supported(F.col("path")))
+    # What is there now decides, not the event: a late event of a deletion must not take a file that came back.
+    lost = F.col("there").isNull() | ~(supported(F.col("path")))
     if rules:
         lost |= ignore.ignored_with_ancestors(F.col("path"), F.lit(False), rules)
     same = F.col("m0").eqNullSafe(F.col("m1")) & F.col("s0").eqNullSafe(F.col("s1"))
