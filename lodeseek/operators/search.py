@@ -210,9 +210,14 @@ def landmarks(files: DataFrame, count: int, cap: int) -> DataFrame:
 
 
 def with_index(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """``rows`` with idx, their place from 0 in an order (by default, of path): ranges are counted, then numbered within; no task gets all rows."""
+    """``rows`` with idx, their place from 0 in an order (by default, of path): ranges are counted, then numbered within; no task gets all rows.
+
+    The ordered rows are persisted (``spark.catalog.clearCache`` frees them): the
+    ranges that are counted must be those that are numbered, and ranges are found
+    by sampling.
+    """
     order = order or ("path",)
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).persist()
     own = parts.withColumn("own", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
     sizes = own.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "start")
