@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, pii, quality, token_counts, token_store
+from . import decontaminate, exact_dedup, importance, jaccard_join, language_id, line_dedup, lm_scoring, packing, pii, quality, token_counts, token_store, whitening
 from .shared import Workspace
 
 
@@ -79,7 +79,28 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_documents(spark, sf_dir))
 
 
-_ALL = (op1_exact_dedup, op2_jaccard_join, op3_best_fit_packing, op4_pii, op5_token_counts, op6_language_id, op7_line_dedup, op8_quality, op9_token_store, op10_decontamination)
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a usable row of ``embeddings`` and component; see ``whitening.components_of`` for nulls, repeats and empty tables."""
+    found = whitening.components_of(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, learned from those that are not held out; see ``lm_scoring.score`` for nulls, repeats and empty tables."""
+    docs = _documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    found, model = lm_scoring.score(docs, ~held_out, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumns({"held_out": ~F.col("learned"), "train_tokens": F.lit(model.tokens).cast("long")}).drop("learned")
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document; see ``importance.resample`` for nulls, ties, repeats and empty tables."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = importance.resample(_documents(spark, sf_dir), benchmark, seed=2024, percent=10)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_ALL = (op1_exact_dedup, op2_jaccard_join, op3_best_fit_packing, op4_pii, op5_token_counts, op6_language_id, op7_line_dedup, op8_quality, op9_token_store, op10_decontamination, op11_whitening, op12_lm_scoring, op13_importance)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
@@ -89,4 +110,23 @@ ORACLE_SQL = {
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(n) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY n)
     """,
+    "op13_importance": r"""
+        WITH letters AS (SELECT doc_id, FALSE AS target, text FROM documents UNION ALL SELECT NULL, TRUE, text FROM benchmark),
+        split AS (SELECT doc_id, target, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM letters),
+        each AS (SELECT doc_id, target, unnest(words) AS word FROM split),
+        counted AS (SELECT word, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM each GROUP BY word),
+        crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS entries FROM range(256) r(i)),
+        bytes AS (SELECT word, s, t, list_transform(range(octet_length(encode(word))), lambda k: CAST(16 * (strpos('0123456789ABCDEF', substr(hex(word), 2 * k + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(hex(word), 2 * k + 2, 1)) - 1 AS BIGINT)) AS b FROM counted),
+        hashed AS (SELECT word, s, t, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, entries[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc),
+        totals AS (SELECT sum(s)::DOUBLE AS s_all, sum(t)::DOUBLE AS t_all FROM hashed),
+        gains AS (SELECT bucket, floor(1000 * ln((sum(t) + 1)::DOUBLE * (any_value(s_all) + 10000) / ((sum(s) + 1)::DOUBLE * (any_value(t_all) + 10000)))) AS gain FROM hashed, totals GROUP BY bucket),
+        weights AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight FROM each JOIN hashed USING (word) JOIN gains USING (bucket) WHERE NOT target GROUP BY doc_id),
+        digits AS (SELECT doc_id, lower(substr(sha256('2024:' || doc_id), 1, 8)) AS d FROM documents),
+        noise AS (SELECT doc_id, list_sum(list_transform(range(8), lambda k: (strpos('0123456789abcdef', substr(d, k + 1, 1)) - 1) * pow(16, 7 - k)))::DOUBLE AS h FROM digits),
+        scored AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score
+                   FROM documents d JOIN noise USING (doc_id) LEFT JOIN weights USING (doc_id)),
+        drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20
+                  QUALIFY rank <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100)
+        SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, rank::BIGINT AS rank FROM scored LEFT JOIN drawn USING (doc_id)
+    """,
 }
