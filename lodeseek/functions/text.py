@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -73,21 +74,48 @@ def page_locator(starts: Column, start: Column) -> Column:
     return F.concat(F.lit("Page "), F.greatest(F.size(F.filter(starts, lambda s: s <= start)), F.lit(1)).cast("string"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used: an expression inside a lambda is worked out again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running_sums(values: Column, group: int = 512) -> Column:
+    """Before each whole number of an array, the sum of those before it; by groups, so that no long array is copied for each element."""
+    start = F.array(F.lit(0)).cast("array<int>")
+    grow = lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(group))
+
+    def joined(within: Column) -> Column:
+        offsets = F.aggregate(F.transform(within, lambda w: F.element_at(w, -1)), start, grow)
+        return _once(offsets, lambda o: F.flatten(F.transform(within, lambda w, g: F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x: x + F.get(o, g)))))
+
+    return _once(values, lambda v: _once(F.transform(firsts, lambda at: F.aggregate(F.slice(v, at, F.lit(group)), start, grow)), joined))
+
+
 def chunks(text: Column, limit: int = CHUNK_LIMIT, pages: Column | None = None, plain: bool = True) -> Column:
-    """Windows (chunk_index, start, text, locator) of ``text``; a text that fits in one has locator ''."""
+    """Windows (chunk_index, start, text, locator) of ``text``; a text that fits in one has locator ''.
+
+    The text is cut into steps once; a window joins the steps that it covers, and
+    its line comes from the line feeds of the steps before it.
+    """
     limit = max(LEAST_LIMIT, limit)
     step = max(1, limit - CHUNK_OVERLAP)
     n = chunk_count(F.length(text), limit)
-    # Line feeds are counted once a step; a window's line is the sum of the steps before it.
-    feeds = F.transform(F.sequence(F.lit(0), n - 1), lambda i: _feeds(F.substring(text, i * step + 1, F.lit(step))))
+    covered = -(-limit // step)
+
+    def windows(steps: Column, before: Column | None) -> Column:
+        def window(i: Column) -> Column:
+            start = i * step
+            own = F.substring(F.array_join(F.slice(steps, i + 1, F.lit(covered)), ""), 1, limit)
+            where = page_locator(pages, start) if pages is not None else F.concat(F.lit("Line "), (F.get(before, i) + 1).cast("string")) if before is not None else F.lit("")
+            return F.struct(i.alias("chunk_index"), start.alias("start"), own.alias("text"), F.when(n == 1, F.lit("")).otherwise(where).alias("locator"))
 
-    def window(i: Column) -> Column:
-        start = i * step
-        line = F.concat(F.lit("Line "), (F.aggregate(F.slice(feeds, F.lit(1), i), F.lit(1), lambda a, x: a + x)).cast("string"))
-        where = page_locator(pages, start) if pages is not None else line if plain else F.lit("")
-        return F.struct(i.alias("chunk_index"), start.alias("start"), F.substring(text, start + 1, F.lit(limit)).alias("text"), F.when(n == 1, F.lit("")).otherwise(where).alias("locator"))
+        return F.transform(F.sequence(F.lit(0), n - 1), window)
 
-    return F.transform(F.sequence(F.lit(0), n - 1), window)
+    steps = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % step), F.lit(0))
+    if pages is not None or not plain:
+        return _once(steps, lambda s: windows(s, None))
+    return _once(steps, lambda s: _once(running_sums(F.transform(s, _feeds)), lambda before: windows(s, before)))
 
 
 def snippet(text: Column) -> Column:
@@ -137,8 +165,7 @@ def scan_pages(page_count: Column) -> Column:
 def paged_text(pages: Column) -> Column:
     """(text, page_starts, scanned) of page texts: pages end in a line feed; few characters a page mean a scan."""
     ended = F.transform(pages, lambda p: F.when(p.endswith("\n"), p).otherwise(F.concat(p, F.lit("\n"))))
-    sizes = F.transform(ended, F.length)
-    starts = F.transform(F.sequence(F.lit(0), F.size(ended) - 1), lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, n: a + n))
+    starts = running_sums(F.transform(ended, F.length))
     text = F.array_join(ended, "")
     return F.struct(text.alias("text"), starts.alias("page_starts"), (F.length(trim(text)) < F.size(pages) * 8).alias("scanned"))
 
