@@ -154,14 +154,18 @@ def summary(chunks: DataFrame) -> DataFrame:
     )
 
 
+def self_and_above(path: Column) -> Column:
+    """A path and all folders above it but the root."""
+    parts = F.split(path, "/")
+    return F.array_distinct(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
+
+
 def folder_counts(chunks: DataFrame, folders: DataFrame) -> DataFrame:
     """(folder, files): distinct files at or below each folder, 0 if none; folders may overlap.
 
     Every path is met by its own folders above it, so the join is on equality.
     """
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    held = chunks.select("path").distinct().select("path", F.explode(F.array_distinct(above)).alias("folder"))
+    held = chunks.select("path").distinct().select("path", F.explode(self_and_above(F.col("path"))).alias("folder"))
     counts = held.join(folders.select("folder").distinct(), "folder", "left_semi").groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
     return folders.join(counts, "folder", "left").select("folder", F.coalesce("n", F.lit(0)).alias("files"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import packed as pk
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..plans.search_spec import SearchSpec
@@ -64,7 +65,10 @@ def nearest_files(chunks: DataFrame, queries: np.ndarray, top_k: int) -> DataFra
     another in the task of the latter's best chunk is before it everywhere. So
     what is shuffled afterwards is ``top_k`` rows a task and query, and not a row
     a file. Vectors that are null, not finite or of another dimension have no score.
+    ``vec`` may be binary as a packed store has it: it is multiplied straight from
+    the Arrow buffer, and a blob that is too short counts as zeros.
     """
+    packed = isinstance(chunks.schema["vec"].dataType, T.BinaryType)
     cast = chunks.sparkSession.sparkContext.broadcast(np.ascontiguousarray(queries.T, np.float64))
     dim, asked = queries.shape[1], max(1, len(queries))
 
@@ -78,7 +82,9 @@ def nearest_files(chunks: DataFrame, queries: np.ndarray, top_k: int) -> DataFra
         for batch in batches:
             for at in range(0, batch.num_rows, step := max(1, _SCORES // asked)):
                 part = batch.slice(at, step)
-                scores = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) @ cast.value
+                vec = part.column(2)
+                x = pk.matrix(vec, dim) if packed else vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                scores = x.astype(np.float64) @ cast.value
                 scores[~np.isfinite(scores)] = -np.inf
                 if len(scores) > 8 * top_k:  # one file may have several chunks: only what may be among the first is sorted
                     chunk_of = part.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
@@ -95,7 +101,7 @@ def nearest_files(chunks: DataFrame, queries: np.ndarray, top_k: int) -> DataFra
         if held:
             yield reduced()
 
-    rows = chunks.where(F.size("vec") == dim).select("path", F.col("chunk_index").cast("int").alias("chunk_index"), "vec")
+    rows = chunks.where(F.col("vec").isNotNull() if packed else F.size("vec") == dim).select("path", F.col("chunk_index").cast("int").alias("chunk_index"), "vec")
     return rows.mapInArrow(run, "query int, path string, score double, chunk_index int")
 
 
@@ -175,6 +181,40 @@ def funnel(chunks: DataFrame, codes: DataFrame, query: list[float], top_k: int =
     return _best(exact.where(vx.finite(F.col("score")))).orderBy(F.desc("score"), "path").limit(top_k)
 
 
+def coarse_candidates(codes: DataFrame, query: list[float], candidates: int, admit: Column | None = None) -> DataFrame:
+    """(path, chunk_index, coarse) of the ``candidates`` chunks of a replica (scales, codes) with the highest coarse scores; vectors are not read."""
+    asked, schema = np.asarray(query, np.float64), "path string, chunk_index int, coarse double"
+    groups = -(-len(query) // pk.GROUP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = pk.coarse_scores(pk.rows_of(batch.column(2), 2 * groups, "<f4"), pk.rows_of(batch.column(3), groups * pk.GROUP // 2, "u1"), asked)
+            least = np.partition(scores, len(scores) - candidates)[len(scores) - candidates] if len(scores) > candidates else -np.inf
+            own = pa.array(np.flatnonzero(scores >= least))  # ties with the last one too: the order below decides
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(scores).take(own)], names=["path", "chunk_index", "coarse"])
+
+    rows = codes.where(F.lit(True) if admit is None else admit).select("path", "chunk_index", "scales", "codes")
+    return rows.mapInArrow(run, schema).orderBy(F.desc("coarse"), "path", "chunk_index").limit(candidates)
+
+
+def funnel_stored(store, query: list[float], top_k: int = TOP_STORE, candidates: int | None = None, admit: Column | None = None) -> DataFrame:
+    """(path, score, chunk_index): ``funnel`` over a packed store's own replica.
+
+    The replica of the base chooses candidates, of which the files that hold them
+    are opened; chunks of the delta have no replica and are all scored exactly.
+    ``admit`` may use path, modified, size, kind and chunk_index.
+    """
+    top_k = max(top_k, 0)
+    if candidates is None:
+        candidates = min(4096, max(1024, 32 * top_k))
+    spark, admitted = store.spark, F.lit(True) if admit is None else admit
+    chosen = spark.read.parquet(store.scratch(coarse_candidates(store.codes(), query, candidates, admit), "chosen"))
+    near = store.rows_at(chosen.select("path")).join(F.broadcast(chosen.select("path", "chunk_index")), ["path", "chunk_index"], "left_semi")
+    # What a delta has anew is not in the replica, so no chunk comes twice.
+    rows = near.select("path", "chunk_index", "vec").unionByName(store.delta_chunks().where(admitted).select("path", "chunk_index", "vec"))
+    return _best(nearest_files(rows, np.array([query]), top_k)).orderBy(F.desc("score"), "path").limit(top_k)
+
+
 def rank_chunks(chunks: DataFrame, query: list[float], path: str, top_k: int = TOP_PASSAGES) -> DataFrame:
     """The best passages of one file."""
     scored = chunks.where(F.col("path") == path).withColumn("score", vx.dot(F.col("vec"), vx.literal(query))).where(vx.finite(F.col("score")))

@@ -49,28 +49,39 @@ def chunk_rows(files: DataFrame, texts: DataFrame, embedder: em.Embedder, settin
     return made.withColumn("snippet", tx.snippet(F.col("text"))).withColumns({"width": F.lit(0), "height": F.lit(0), "duration": F.lit(0.0)}).select(*CHUNKS.names)
 
 
-def store_files(store: Store, todo: DataFrame, known: DataFrame, embedder: em.Embedder, settings: Settings, extract: Extractor = plain_text, removed: DataFrame | None = None, batch: str | None = None) -> DataFrame:
-    """Bring files (path, modified, size, kind, content) into the store as one version; (path, status) of each.
+#: What takes files (path, kind, ...) and gives them with content; it is called for the files whose content is needed.
+Reader = Callable[[DataFrame], DataFrame]
+
+
+def with_content(rows: DataFrame, files: DataFrame, read: Reader | None) -> DataFrame:
+    """``rows`` with content: by ``read``, or from the column of ``files``."""
+    return read(rows) if read is not None else rows.join(files.select("path", "content"), "path")
+
+
+def store_files(store: Store, todo: DataFrame, known: DataFrame, embedder: em.Embedder, settings: Settings, extract: Extractor = plain_text, removed: DataFrame | None = None, batch: str | None = None, read: Reader | None = None) -> DataFrame:
+    """Bring files (path, modified, size, kind[, content]) into the store as one version; (path, status) of each.
 
     A file whose content key is known takes the vectors of the least path that
     has it, as long as all of that path's chunks are as they were recorded; of
     new files with equal contents one is embedded. Status is reused, embedded,
     empty (a known file loses its chunks) or failed (a vector that is not finite:
-    what is stored stays). ``removed`` paths go in the same version. Contents of
-    several files that are equal are read once a file and embedded once.
+    what is stored stays). ``removed`` paths go in the same version. Contents are
+    hashed where they are read and not written; those of the one file that is
+    embedded for its key are read again. Of the index, only what these files'
+    paths and keys touch is read.
     """
     dim = embedder.dim
-    keyed = todo.withColumn("key", tx.content_key(F.col("kind"), F.col("path"), F.col("content"), dim, fingerprint(settings)))
-    keyed = store.spark.read.parquet(store.scratch(keyed, "todo"))
-    stored = store.chunks(dim)
-    sources = indexing.reusable(store.keys(), stored, dim)
-    small = keyed.drop("content")
+    keyed = with_content(todo.drop("content"), todo, read).withColumn("key", tx.content_key(F.col("kind"), F.col("path"), F.col("content"), dim, fingerprint(settings)))
+    small = store.spark.read.parquet(store.scratch(keyed.drop("content"), "todo"))
+    recorded = store.spark.read.parquet(store.scratch(store.keys_for(small.select("key")), "recorded"))
+    stored = store.rows_at(recorded.select("path"), dim)
+    sources = indexing.reusable(recorded, stored, dim)
     again = small.join(sources, "key")  # its own vectors too, where only its time changed
     reused = indexing.rewritten(stored, again)
     fresh = small.join(again.select("path"), "path", "left_anti")
     chosen = fresh.groupBy("key").agg(F.min("path").alias("source"))
-    firsts = keyed.join(chosen.select(F.col("source").alias("path")), "path", "left_semi")
-    texts = extract(firsts).where(F.length("text") >= settings.least_characters)
+    firsts = small.join(chosen.select(F.col("source").alias("path")), "path", "left_semi")
+    texts = extract(with_content(firsts, todo, read)).where(F.length("text") >= settings.least_characters)
     made = store.spark.read.schema(CHUNKS).parquet(store.scratch(chunk_rows(firsts, texts, embedder, settings), "made"))
     sound = indexing.finite_files(made)
     good = made.join(sound.where("sound"), "path", "left_semi")
@@ -82,16 +93,18 @@ def store_files(store: Store, todo: DataFrame, known: DataFrame, embedder: em.Em
     gone = empty.join(known.select("path"), "path", "left_semi")
     gone = gone if removed is None else gone.unionByName(removed.select("path")).distinct()
     gone = store.spark.read.parquet(store.scratch(gone, "gone"))
-    if store.replace_many(items, gone, batch):
-        store.record_keys(small.join(has, "path", "left_semi"))
-        store.delete_keys(gone)
+    # What is told of each file is worked out before the version is there: later it would find its own keys.
     how = F.when(F.col("again"), "reused").when(F.col("has"), "embedded").when(F.col("bad"), "failed").otherwise("empty")
     marks = small.select("path").join(again.select("path", F.lit(True).alias("again")), "path", "left").join(has.withColumn("has", F.lit(True)), "path", "left").join(failed.withColumn("bad", F.lit(True)), "path", "left")
-    return marks.select("path", how.alias("status"))
+    done = store.spark.read.parquet(store.scratch(marks.select("path", how.alias("status")), "done"))
+    store.apply(items, gone, small.join(has, "path", "left_semi"), gone, batch)
+    return done
+
 
+def index(store: Store, files: DataFrame, roots: list[str], embedder: em.Embedder, settings: Settings = Settings(), extract: Extractor = plain_text, cancelled: bool = False, read: Reader | None = None) -> DataFrame:
+    """A whole pass over crawled files (path, modified, size, kind[, content]): (path, status) of every file, and of known ones that went.
 
-def index(store: Store, files: DataFrame, roots: list[str], embedder: em.Embedder, settings: Settings = Settings(), extract: Extractor = plain_text, cancelled: bool = False) -> DataFrame:
-    """A whole pass over crawled files (path, modified, size, kind, content): (path, status) of every file, and of known ones that went.
+    Without a column content, ``read`` reads the contents that are needed.
 
     Unchanged files (equal time and size) are left as they are, unless forced;
     the others go to ``store_files``. Known files that were not seen are deleted
@@ -102,7 +115,7 @@ def index(store: Store, files: DataFrame, roots: list[str], embedder: em.Embedde
     known = store.spark.read.parquet(store.scratch(indexing.indexed_files(store.chunks(embedder.dim)), "known"))
     status = indexing.changes(wanted, known)
     same = status.where("status = 'unchanged'").select("path") if not settings.force else status.limit(0).select("path")
-    done = store_files(store, wanted.join(same, "path", "left_anti"), known, embedder, settings, extract)
+    done = store_files(store, wanted.join(same, "path", "left_anti"), known, embedder, settings, extract, read=read)
     ignored = ignore.ignored_with_ancestors(F.col("path"), F.lit(False), rules) if rules else None
     stale = store.spark.read.parquet(store.scratch(indexing.stale(known, files, roots, settings.enabled, ignored, cancelled), "stale"))
     if not stale.isEmpty():
@@ -110,20 +123,54 @@ def index(store: Store, files: DataFrame, roots: list[str], embedder: em.Embedde
     return done.unionByName(same.withColumn("status", F.lit("unchanged"))).unionByName(stale.withColumn("status", F.lit("deleted")))
 
 
-def update(store: Store, events: DataFrame, files: DataFrame, embedder: em.Embedder, settings: Settings = Settings(), extract: Extractor = plain_text, paused: list[str] = (), batch: str | None = None) -> None:
-    """Apply change events (path, op, event_id) against the files that are there now; a batch that was committed before changes nothing."""
-    known = indexing.indexed_files(store.chunks(embedder.dim))
-    acts = live.actions(events, files, known, settings.enabled, ignore.parse(settings.policy), list(paused), dataless="dataless" in files.columns)
-    acts = store.spark.read.parquet(store.scratch(acts, "acts"))
-    todo = files.join(acts.where("action = 'embed'").select("path"), "path", "left_semi")
-    store_files(store, todo, known, embedder, settings, extract, acts.where("action = 'delete'").select("path"), batch)
+#: What takes touched paths (path) and gives the files (path, modified, size, kind[, content, dataless]) that are at or below them now.
+Look = Callable[[DataFrame], DataFrame]
+
 
+def among(files: DataFrame) -> Look:
+    """Looks in a table of all files."""
 
-def follow(store: Store, stream: DataFrame, files: Callable[[], DataFrame], embedder: em.Embedder, checkpoint: str, settings: Settings = Settings(), extract: Extractor = plain_text, every: str | None = "1.5 seconds"):
-    """Keep the store up with a stream of change events; ``files`` lists what is there when a batch is applied."""
+    def look(paths: DataFrame) -> DataFrame:
+        above = files.select("path", F.explode(indexing.self_and_above(F.col("path"))).alias("asked"))
+        found = above.join(paths.select(F.col("path").alias("asked")), "asked", "left_semi").select("path").distinct()
+        return files.join(found, "path", "left_semi")
+
+    return look
+
+
+def update(store: Store, events: DataFrame, files: DataFrame | Look, embedder: em.Embedder, settings: Settings = Settings(), extract: Extractor = plain_text, paused: list[str] = (), batch: str | None = None, read: Reader | None = None) -> None:
+    """Apply change events (path, op, event_id) against the files that are there now; a batch that was committed before changes nothing.
+
+    An event of a folder stands for all files at or below it: those that are
+    there now, and those that the index knows there. Only the batch's paths are
+    looked at, in the file system and in the index. ``files`` is a table of all
+    files or what looks at paths.
+    """
+    if batch is not None and store.get("batch:last") == batch:
+        return
+    spark, look = store.spark, among(files) if isinstance(files, DataFrame) else files
+    touched = spark.read.parquet(store.scratch(live.coalesce_events(events), "touched"))
+    known = spark.read.parquet(store.scratch(indexing.indexed_files(store.at_or_below(touched, embedder.dim)), "known"))
+    there = look(touched.select("path"))
+    light = spark.read.parquet(store.scratch(there.drop("content"), "there"))
+    implied = known.select("path").unionByName(light.select("path")).distinct().join(touched.select("path"), "path", "left_anti")
+    expanded = touched.unionByName(implied.select("path", F.lit("modify").alias("op"), F.lit(None).cast("long").alias("event_id")))
+    acts = live.actions(expanded, light, known, settings.enabled, ignore.parse(settings.policy), list(paused), dataless="dataless" in light.columns)
+    acts = spark.read.parquet(store.scratch(acts, "acts"))
+    wanted = acts.where("action = 'embed'").select("path")
+    todo = (light if read is not None else there).join(wanted, "path", "left_semi")
+    store_files(store, todo, known, embedder, settings, extract, acts.where("action = 'delete'").select("path"), batch, read)
+
+
+def follow(store: Store, stream: DataFrame, files: Callable[[], DataFrame] | Look, embedder: em.Embedder, checkpoint: str, settings: Settings = Settings(), extract: Extractor = plain_text, every: str | None = "1.5 seconds", read: Reader | None = None, looks: bool = False):
+    """Keep the store up with a stream of change events.
+
+    ``files`` lists what is there when a batch is applied; with ``looks``, it
+    takes the batch's paths instead (``Look``), and nothing else is listed.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
-        update(store, batch, files(), embedder, settings, extract, batch=f"{checkpoint}#{number}")
+        update(store, batch, files if looks else files(), embedder, settings, extract, batch=f"{checkpoint}#{number}", read=read)
 
     return live.live_update(stream, apply, checkpoint, every)
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,22 +9,12 @@ from ..functions import embed
 from ..functions import text as tx
 from ..operators import indexing
 from ..sources import mapping
+from ..sources.shared import shared_folder
 from ..sources.store import Store
 from ..streaming import live
 from . import index_pass
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which must be set but where driver and executors are one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='lodeseek-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lodeseek-{uuid.uuid4().hex}"
-
-
 def replay_changes(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
     """(path, modified, size, kind, chunk_index, snippet) after all change events, written as ``batches`` files and read as a stream.
 

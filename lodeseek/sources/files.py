@@ -1,4 +1,4 @@
-"""Crawling: files under roots by Spark's own file source, with kinds, caps and policies applied before contents are read."""
+"""Crawling: files under roots, with kinds, caps and policies applied before contents are read."""
 
 from __future__ import annotations
 
@@ -11,19 +11,24 @@ from ..functions import ignore
 from ..functions import text as tx
 from ..operators.indexing import supported, within_cap
 from ..schema import EXTENSIONS
+from .walk import PACKAGES, Walk, read_content
 
-#: Extensions of directories that are shown as one file.
-PACKAGES = "app bundle framework plugin kext photoslibrary xcodeproj xcworkspace rtfd pages key numbers".split()
-
-
-def crawl(spark: SparkSession, roots: list[str], enabled: frozenset[str] = frozenset(EXTENSIONS), disabled_extensions: frozenset[str] = frozenset(), policy: str = "", with_content: bool = False, remote: Column | None = None) -> DataFrame:
+def crawl(spark: SparkSession, roots: list[str], enabled: frozenset[str] = frozenset(EXTENSIONS), disabled_extensions: frozenset[str] = frozenset(), policy: str = "", with_content: bool = False, remote: Column | None = None, prune: bool = True) -> DataFrame:
     """(path, modified, size, kind, root[, content]) of the files that an index pass takes.
 
     Hidden files are left out, files inside packages (directories that are shown
     as one file), and those whose directory below the root, or that themselves,
     the policy ignores. Files for which ``remote`` holds have no content here and
     are left out. Without ``with_content`` no file is read.
+
+    Directories are walked level by level on the executors, and what is left out
+    is not entered. For a store that only Spark reaches, ``prune=False`` lists
+    everything below the roots by Spark's own file source, with the same result.
     """
+    if prune:
+        rows, _ = Walk(spark, roots, enabled, disabled_extensions, policy).run()
+        rows = rows if remote is None else rows.where(~remote)
+        return read_content(rows) if with_content else rows
     rules, out = ignore.parse(policy), None
     for root in roots:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

@@ -1,30 +1,49 @@
 """The durable index: versioned Parquet snapshots, a delta beside the newest one, and a manifest of key-value pairs.
 
 A version is written in full before the manifest names it, so readers see
-either the old or the new one. Reading and writing go through Spark and its
-file systems only.
+either the old or the new one; chunks and content keys change in one version.
+Reading and writing go through Spark and its file systems only.
+
+The base of the chunks is sorted by path, that of the content keys by key, and
+beside each is a table of the range of every file. ``rows_at``, ``at_or_below`` and
+``keys_for`` open the files that a batch touches, and the delta, which is bounded;
+what they read does not grow with the index.
+
+A packed store keeps vectors in two bytes a number, as binary, and beside its base
+a replica in four bits a number, for searches that choose candidates first.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import packed as pk
 from ..operators import indexing
 from ..schema import CHUNKS, DEAD_SHARE, FOLD_ROWS, KEYS
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
+#: Paths or keys that are looked up by ranges, and files that are named one by one; more of them read all files. The result is the same.
+LOOKUP, NAMED = 10_000, 10_000
+#: Steps of a delta before a fold.
+STEPS = 32
+
+#: (prefix in the manifest, layout, order) of what the store holds.
+_LAYERS = {"chunks": ("", CHUNKS, ["path", "chunk_index"]), "keys": ("keys_", KEYS, ["key", "path"])}
+_NOTHING = {"base": [], "delta": [], "ranges": None, "rows": 0, "delta_rows": 0, "keys_base": [], "keys_delta": [], "keys_ranges": None, "keys_rows": 0, "keys_delta_rows": 0, "codes": None}
+_PACKED = T.StructType([T.StructField("vec", T.BinaryType()) if f.name == "vec" else f for f in CHUNKS])
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, packed: bool = False):
+        self.spark, self.root, self.packed = spark, root.rstrip("/"), packed
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
@@ -33,7 +52,7 @@ class Store:
     def manifest(self) -> dict:
         base = self._path(f"{self.root}/manifest")
         if not self._fs.exists(base):
-            return {"version": 0, "base": [], "delta": [], "meta": {}, "schema": SCHEMA_VERSION, "rows": 0, "delta_rows": 0}
+            return {"version": 0, "meta": {}, "schema": SCHEMA_VERSION} | _NOTHING
         return self._migrated(self._read(self._manifests()[-1]))
 
     def _manifests(self) -> list[str]:
@@ -48,10 +67,10 @@ class Store:
 
     @staticmethod
     def _migrated(manifest: dict) -> dict:
-        """An index of another layout is empty, and made anew; columns that were added since get their defaults when read."""
+        """An index of another layout is empty, chunks and content keys, and made anew; columns that were added since get their defaults when read."""
         if manifest.get("schema") == SCHEMA_VERSION:
             return manifest
-        return manifest | {"base": [], "delta": [], "dim": None, "rows": 0, "delta_rows": 0, "schema": SCHEMA_VERSION}
+        return manifest | _NOTHING | {"dim": None, "schema": SCHEMA_VERSION}
 
     def _commit(self, manifest: dict) -> None:
         manifest = manifest | {"version": manifest["version"] + 1}
@@ -78,32 +97,124 @@ class Store:
         m = self.manifest()
         self._commit(m | {"meta": m["meta"] | {key: value}})
 
-    # Chunks.
+    # Reading.
 
     def chunks(self, dim: int | None = None) -> DataFrame:
         """All live chunks; those of another dimension than the index's are skipped."""
         m = self.manifest()
-        empty = self.spark.createDataFrame([], CHUNKS)
-        base = self._stored(*m["base"]) if m["base"] else empty
-        for step in m["delta"]:
-            if step["gone"]:
-                base = base.join(self.spark.read.parquet(step["gone"]).distinct(), "path", "left_anti")
+        return self._of_dimension(self._layer(m, "chunks"), dim or m.get("dim"))
+
+    def packed_chunks(self) -> DataFrame:
+        """All live chunks of a packed store with vec as it is stored, for ``search``, which multiplies it where it is."""
+        return self._layer(self.manifest(), "chunks", raw=True)
+
+    def keys(self) -> DataFrame:
+        """The content key of each path that has one."""
+        return self._layer(self.manifest(), "keys")
+
+    def rows_at(self, paths: DataFrame, dim: int | None = None) -> DataFrame:
+        """The chunks of these paths."""
+        asked = self._kept_paths(paths)
+        m = self.manifest()
+        files = self._touched(m, "chunks", asked.select(F.col("path").alias("lo"), F.col("path").alias("hi")))
+        return self._of_dimension(self._layer(m, "chunks", files, lambda rows: rows.join(asked, "path", "left_semi")), dim or m.get("dim"))
+
+    def at_or_below(self, paths: DataFrame, dim: int | None = None) -> DataFrame:
+        """The chunks of these paths and of all paths below them."""
+        asked = self._kept_paths(paths)
+        m = self.manifest()
+        below = asked.select(F.concat("path", F.lit("/")).alias("lo"), F.concat("path", F.lit("0")).alias("hi"))
+        files = self._touched(m, "chunks", asked.select(F.col("path").alias("lo"), F.col("path").alias("hi")).unionByName(below))
+
+        def keep(rows: DataFrame) -> DataFrame:
+            above = rows.select("path").distinct().select("path", F.explode(indexing.self_and_above(F.col("path"))).alias("asked"))
+            found = above.join(asked.withColumnRenamed("path", "asked"), "asked", "left_semi").select("path").distinct()
+            return rows.join(found, "path", "left_semi")
+
+        return self._of_dimension(self._layer(m, "chunks", files, keep), dim or m.get("dim"))
+
+    def keys_for(self, keys: DataFrame) -> DataFrame:
+        """The rows of these content keys (column key)."""
+        asked = self.spark.read.parquet(self.scratch(keys.select("key").distinct(), "asked"))
+        m = self.manifest()
+        files = self._touched(m, "keys", asked.select(F.col("key").alias("lo"), F.col("key").alias("hi")))
+        return self._layer(m, "keys", files, lambda rows: rows.join(asked, "key", "left_semi"))
+
+    def delta_chunks(self, raw: bool = False) -> DataFrame:
+        """The live chunks that came after the base."""
+        return self._layer(self.manifest() | {"base": []}, "chunks", raw=raw)
+
+    def codes(self) -> DataFrame:
+        """(path, modified, size, kind, chunk_index, scales, codes): the replica of a packed store's base, without what a delta replaced."""
+        m = self.manifest()
+        if not m["codes"]:
+            raise ValueError("this store has no replica: only the base of a packed one has")
+        return self._without_gone(self.spark.read.parquet(m["codes"]), m["delta"])
+
+    def _kept_paths(self, paths: DataFrame) -> DataFrame:
+        return self.spark.read.parquet(self.scratch(paths.select("path").distinct(), "asked"))
+
+    def _touched(self, m: dict, layer: str, spans: DataFrame) -> list[str] | None:
+        """The files of the base whose range meets one of the spans (lo, hi); None for all."""
+        prefix = _LAYERS[layer][0]
+        if not m[prefix + "base"]:
+            return []
+        if not m[prefix + "ranges"] or spans.limit(LOOKUP + 1).count() > LOOKUP:
+            return None
+        ranges = self.spark.read.parquet(m[prefix + "ranges"])
+        found = ranges.join(F.broadcast(spans), (F.col("lo") <= F.col("high")) & (F.col("hi") >= F.col("low")), "left_semi").select("file").limit(NAMED + 1).collect()
+        return None if len(found) > NAMED else [f"{m[prefix + 'base'][0]}/{r.file}" for r in found]
+
+    def _layer(self, m: dict, layer: str, files: list[str] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows, raw: bool = False) -> DataFrame:
+        """Base, or some files of it, and delta: what a step replaced is left out before its rows are added."""
+        prefix, schema, _ = _LAYERS[layer]
+        base = m[prefix + "base"] if files is None else files
+        out = keep(self._stored(layer, *base, raw=raw)) if base else self.spark.createDataFrame([], _PACKED if raw else schema)
+        for step in m[prefix + "delta"]:
+            out = self._without_gone(out, [step])
             if step["rows"]:
-                base = base.unionByName(self._stored(step["rows"]))
-        dim = dim or m.get("dim")
-        return base if dim is None else base.where(F.size("vec") == dim)
+                out = out.unionByName(keep(self._stored(layer, step["rows"], raw=raw)))
+        return out
 
-    def _stored(self, *paths: str) -> DataFrame:
-        """Stored chunks; a column that was added after they were written has its default."""
-        return self.spark.read.schema(CHUNKS).parquet(*paths).fillna({"width": 0, "height": 0, "duration": 0.0, "locator": "", "snippet": ""})
+    def _without_gone(self, rows: DataFrame, delta: list[dict]) -> DataFrame:
+        for step in delta:
+            if step["gone"]:
+                rows = rows.join(self.spark.read.parquet(step["gone"]).distinct(), "path", "left_anti")
+        return rows
+
+    def _stored(self, layer: str, *paths: str, raw: bool = False) -> DataFrame:
+        """Stored rows; a column that was added after they were written has its default."""
+        if layer == "keys":
+            return self.spark.read.schema(KEYS).parquet(*paths)
+        binary = [p for p in paths if "-packed-" in p]
+        plain = [p for p in paths if "-packed-" not in p]
+        defaults = {"width": 0, "height": 0, "duration": 0.0, "locator": "", "snippet": ""}
+        out = self.spark.read.schema(CHUNKS).parquet(*plain).fillna(defaults) if plain else None
+        if raw and out is not None:
+            out = out.withColumn("vec", pk.pack(F.col("vec")))
+        if binary:
+            own = self.spark.read.schema(_PACKED).parquet(*binary).fillna(defaults)
+            own = own if raw else own.withColumn("vec", pk.unpack(self.manifest()["dim"])(F.col("vec")))
+            out = own if out is None else out.unionByName(own)
+        return out
+
+    @staticmethod
+    def _of_dimension(rows: DataFrame, dim: int | None) -> DataFrame:
+        return rows if dim is None else rows.where(F.size("vec") == dim)
+
+    # Writing.
 
     def _write(self, df: DataFrame, name: str) -> str:
         path = f"{self.root}/data/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return path
 
-    def replace_many(self, items: DataFrame, removed: DataFrame | None = None, batch: str | None = None) -> bool:
-        """Replace the chunks of the paths in ``items`` and drop those of ``removed``, as one version.
+    def scratch(self, df: DataFrame, name: str) -> str:
+        """Write rows of a step beside the data; compaction deletes them."""
+        return self._write(df, f"step-{name}")
+
+    def apply(self, items: DataFrame | None = None, removed: DataFrame | None = None, keys: DataFrame | None = None, forgotten: DataFrame | None = None, batch: str | None = None) -> bool:
+        """One version: replace the chunks of the paths in ``items``, drop those of ``removed``, record ``keys``, drop the keys of ``forgotten``.
 
         The first rows fix the index's dimension; others are refused. ``batch``
         names the change: one that was committed before is not made again.
@@ -111,61 +222,81 @@ class Store:
         m = self.manifest()
         if batch is not None and m["meta"].get("batch:last") == batch:
             return False
-        rows = self._write(items.select(*CHUNKS.names), "rows")
-        kept = self.spark.read.schema(CHUNKS).parquet(rows)
-        dims = [r.d for r in kept.select(F.size("vec").alias("d")).distinct().limit(2).collect()]
-        dim = m.get("dim") or (dims[0] if dims else None)
-        if any(d != dim for d in dims):
-            raise ValueError(f"vectors of {dims} dimensions in an index of {dim}")
-        gone = kept.select("path").distinct()
-        if removed is not None:
-            gone = gone.unionByName(removed.select("path")).distinct()
-        step = {"gone": self._write(gone, "gone"), "rows": rows}
-        n = kept.count()
-        meta = m["meta"] | ({"batch:last": batch} if batch is not None else {})
-        m |= {"delta": [*m["delta"], step], "meta": meta, "dim": dim, "delta_rows": m["delta_rows"] + n}
+        if batch is not None:
+            m |= {"meta": m["meta"] | {"batch:last": batch}}
+        if items is not None or removed is not None:
+            items = items if items is not None else self.spark.createDataFrame([], CHUNKS)
+            plain = self._write(items.select(*CHUNKS.names), "step-rows" if self.packed else "rows")
+            kept = self.spark.read.schema(CHUNKS).parquet(plain)
+            dims = [r.d for r in kept.select(F.size("vec").alias("d")).distinct().limit(2).collect()]
+            dim = m.get("dim") or (dims[0] if dims else None)
+            if any(d != dim for d in dims):
+                raise ValueError(f"vectors of {dims} dimensions in an index of {dim}")
+            rows = self._write(kept.withColumn("vec", pk.pack(F.col("vec"))), "rows-packed") if self.packed else plain
+            step = {"gone": self._gone(kept, removed), "rows": rows}
+            m |= {"delta": [*m["delta"], step], "dim": dim, "delta_rows": m["delta_rows"] + kept.count()}
+        if keys is not None or forgotten is not None:
+            new = self.spark.createDataFrame([], KEYS)
+            rows = None
+            if keys is not None:
+                rows = self._write(indexing.upsert(new, keys.select(*KEYS.names), "path", "modified"), "keys")
+                new = self.spark.read.schema(KEYS).parquet(rows)
+            m |= {"keys_delta": [*m["keys_delta"], {"gone": self._gone(new, forgotten), "rows": rows}], "keys_delta_rows": m["keys_delta_rows"] + new.count()}
         self._commit(m)
-        if m["delta_rows"] > FOLD_ROWS or len(m["delta"]) >= 32:
+        if max(m["delta_rows"], m["keys_delta_rows"]) > FOLD_ROWS or max(len(m["delta"]), len(m["keys_delta"])) >= STEPS:
             self.fold()
         return True
 
-    def scratch(self, df: DataFrame, name: str) -> str:
-        """Write rows of a step beside the data; compaction deletes them."""
-        return self._write(df, f"step-{name}")
+    def _gone(self, rows: DataFrame, removed: DataFrame | None) -> str:
+        gone = rows.select("path") if removed is None else rows.select("path").unionByName(removed.select("path"))
+        return self._write(gone.distinct(), "gone")
 
-    # Content keys: the newest of each path.
-
-    def keys(self) -> DataFrame:
-        found = self.manifest().get("keys", [])
-        return self.spark.read.schema(KEYS).parquet(*found) if found else self.spark.createDataFrame([], KEYS)
+    def replace_many(self, items: DataFrame, removed: DataFrame | None = None, batch: str | None = None) -> bool:
+        """``apply`` to chunks alone."""
+        return self.apply(items, removed, batch=batch)
 
     def record_keys(self, new: DataFrame) -> None:
         """Insert or replace the keys (path, key, modified, size) of these paths."""
-        kept = self._write(indexing.upsert(self.keys(), new.select("path", "key", "modified", "size"), "path", "modified"), "keys")
-        self._commit(self.manifest() | {"keys": [kept]})
+        self.apply(keys=new)
 
     def delete_keys(self, paths: DataFrame) -> None:
-        kept = self._write(self.keys().join(paths.select("path").distinct(), "path", "left_anti"), "keys")
-        self._commit(self.manifest() | {"keys": [kept]})
+        self.apply(forgotten=paths)
 
     def delete_chunks(self, path: str) -> None:
         """Drop a path's chunks and leave its content key, which is harmless: it matches no chunk."""
-        self.replace_many(self.spark.createDataFrame([], CHUNKS), self.spark.createDataFrame([(path,)], "path string"))
+        self.apply(removed=self.spark.createDataFrame([(path,)], "path string"))
 
     def delete_paths(self, paths: DataFrame) -> None:
         """Drop chunks and content keys of these paths."""
-        self.replace_many(self.spark.createDataFrame([], CHUNKS), paths)
-        self.delete_keys(paths)
+        self.apply(removed=paths, forgotten=paths)
+
+    def _new_base(self, df: DataFrame, layer: str) -> dict:
+        """``df``, sorted so that ranges prune, with the range of each of its files."""
+        prefix, _, order = _LAYERS[layer]
+        name = layer if layer == "keys" else "base-packed" if self.packed else "base"
+        base = self._write(df.repartitionByRange(order[0]).sortWithinPartitions(*order), name)
+        stored = self.spark.read.parquet(base)
+        ranges = stored.select(order[0], F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.min(order[0]).alias("low"), F.max(order[0]).alias("high"), F.count(F.lit(1)).alias("n"))
+        ranges = self._write(ranges.repartition(1), "ranges")  # a row a file
+        rows = self.spark.read.parquet(ranges).agg(F.sum("n")).first()[0] or 0
+        return {prefix + "base": [base], prefix + "delta": [], prefix + "ranges": ranges, prefix + "rows": rows, prefix + "delta_rows": 0}
 
     def rewrite(self, df: DataFrame) -> None:
-        """Make ``df`` the new base, sorted by path so that ranges of paths prune row groups."""
+        """Make ``df`` the new base of the chunks; a packed store's replica is made with it."""
         m = self.manifest()
-        base = self._write(df.repartitionByRange("path").sortWithinPartitions("path", "chunk_index"), "base")
-        self._commit(m | {"base": [base], "delta": [], "delta_rows": 0, "rows": self.spark.read.parquet(base).count()})
+        self._commit(m | self._chunk_base(df.withColumn("vec", pk.pack(F.col("vec"))) if self.packed else df, m))
+
+    def _chunk_base(self, df: DataFrame, m: dict) -> dict:
+        found = self._new_base(df, "chunks")
+        if self.packed and m.get("dim"):
+            stored = self.spark.read.schema(_PACKED).parquet(*found["base"])
+            found["codes"] = self._write(pk.quantised(stored, m["dim"]), "codes")
+        return found
 
     def fold(self) -> None:
-        """Base and delta as a new base: the same rows."""
-        self.rewrite(self.chunks())
+        """Bases and deltas as new bases: the same rows."""
+        m = self.manifest()
+        self._commit(m | self._chunk_base(self._layer(m, "chunks", raw=self.packed), m) | self._new_base(self._layer(m, "keys"), "keys"))
 
     def compact(self, least: float = DEAD_SHARE, keep: int = 2) -> bool:
         """Fold if at least this share of the stored rows is dead.
@@ -181,18 +312,19 @@ class Store:
         self.fold()
         names = self._manifests()
         held = [self._read(x) for x in names[-keep:]]
-        used = [p for m in held for p in [*m["base"], *m.get("keys", []), *(x for step in m["delta"] for x in step.values() if x)]]
+        used = [p for m in held for x in ("", "keys_") for p in [*m.get(x + "base", []), m.get(x + "ranges"), *(y for step in m.get(x + "delta", []) for y in step.values())]] + [m.get("codes") for m in held]
         for name in names[:-keep]:
             self._fs.delete(self._path(f"{self.root}/manifest/{name}"), False)
-        live = {p.rsplit("/", 1)[-1] for p in used}
+        live = {p.rsplit("/", 1)[-1] for p in used if p}
         for x in self._fs.listStatus(self._path(f"{self.root}/data")):
             if x.getPath().getName() not in live:
                 self._fs.delete(x.getPath(), True)
         return True
 
     def close(self) -> None:
-        """Fold what is beside the base, if anything; closing again does nothing."""
-        if self.manifest()["delta"]:
+        """Fold what is beside the bases, if anything; closing again does nothing."""
+        m = self.manifest()
+        if m["delta"] or m["keys_delta"]:
             self.fold()
 
     def drop(self) -> None:
@@ -202,7 +334,7 @@ class Store:
     def wipe(self) -> None:
         m = self.manifest()
         m.pop("dim", None)
-        self._commit(m | {"base": [], "delta": [], "keys": [], "rows": 0, "delta_rows": 0})
+        self._commit(m | _NOTHING)
 
     def migrate_scans(self) -> bool:
         """Relabel scans, once."""
