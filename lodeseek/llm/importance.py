@@ -79,7 +79,7 @@ def weigh(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: int = B
     work = Workspace(docs.sparkSession)
     columns = [F.lit(False).alias("__target"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
     both = docs.select(*columns).unionByName(target.select(F.lit(True).alias("__target"), F.lit(None).cast("long").alias("doc_id"), F.col(target_text).cast("string").alias("text")))
-    blocks = work.keep(word_blocks.word_blocks(both, F.col("__target"), word_blocks.LETTERS, longest), "blocks")
+    blocks = word_blocks.keep(work, word_blocks.word_blocks(both, F.col("__target"), word_blocks.LETTERS, longest))
     found = word_blocks.features(blocks)
     known = found.where("word is not null").select("block", "place", "word")
     words = dictionary(found, work)

@@ -119,10 +119,11 @@ def score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", tex
     empty table gives an empty result; other columns are not read.
     """
     work = Workspace(docs.sparkSession)
-    blocks = work.keep(word_blocks.word_blocks(docs, learn, word_blocks.WORDS, 1, id_col, text_col), "blocks")
+    blocks = word_blocks.keep(work, word_blocks.word_blocks(docs, learn, word_blocks.WORDS, 1, id_col, text_col))
     words = work.keep(count_words(blocks), "words")
     model = fit(words, word_blocks.documents(blocks).where("flag").count(), path)
     spelled = work.keep(spell(words, model), "spelled")
+    work.drop("words")
     known = spread_join(word_blocks.features(blocks).select("block", "place", "word"), spelled, "word", work, "known").select(F.col("block").alias("of"), "place", "count", "spelled")
 
     def run(documents: pa.Table, values: pa.Table) -> pa.Table:

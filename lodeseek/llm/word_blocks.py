@@ -18,9 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lists, text_batches
+from .shared import Workspace, lists, text_batches
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 _SEGMENT = 1 << 22
 _SCHEMA = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("flag", pa.bool_()), ("n_words", pa.int64()), ("features", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("place", pa.int32()), ("word", pa.string()), ("parts", pa.list_(pa.int32())), ("flagged", pa.int64()), ("others", pa.int64())])
 _DDL = "block long, doc_id long, flag boolean, n_words long, features array<int>, times array<int>, place int, word string, parts array<int>, flagged long, others long"
@@ -64,7 +64,7 @@ class _Block:
             runs = [np.fromiter((-1 - self.runs[x] for x in zip(*(listed[j:] for j in range(size)))), np.int64) for size in range(2, self.longest + 1)]  # below zero: a run of words
             own = np.concatenate([own, *runs])
         features, times = np.unique(own, return_counts=True)
-        self.docs.append((doc, flag, n, features, times))
+        self.docs.append((doc, flag, n, features.astype(np.int32), times.astype(np.int32)))
         self.size += len(data) + 64
 
     def rows(self) -> Iterator[pa.RecordBatch]:
@@ -122,6 +122,13 @@ def word_blocks(docs: DataFrame, flag: Column, table: bytes = WORDS, longest: in
     return source.mapInArrow(run, _DDL)
 
 
+def keep(work: Workspace, blocks: DataFrame) -> DataFrame:
+    """``word_blocks`` written and read back, in fewer bytes than Spark takes by default: the table is as large as the texts."""
+    path = work.path("blocks")
+    blocks.write.option("compression", "zstd").parquet(path)
+    return work.spark.read.schema(blocks.schema).parquet(path)
+
+
 def documents(blocks: DataFrame) -> DataFrame:
     return blocks.where("place is null").select("block", "doc_id", "flag", "n_words", "features", "times")
 
