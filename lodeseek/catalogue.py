@@ -1034,3 +1034,67 @@ def map_preservation(spark, d):
 def spotlight(spark, d):
     points = _points(spark, d)
     return projection.spotlight(projection.neighbours(points.where(F.col("id") == QUERY), points), QUERY)
+
+
+# Live sources and the store's layout.
+
+
+@query(
+    """
+    WITH e AS (SELECT '/u/file' || user_id || '.txt' AS path, event_id, CASE WHEN event_type = 'error' THEN 'delete' WHEN event_type IN ('click', 'view') THEN 'modify' ELSE 'create' END AS op FROM events)
+    SELECT path, arg_max(op, event_id) AS op, max(event_id) AS event_id, count(*) AS n FROM e GROUP BY path
+    """
+)
+def event_source(spark, d):
+    """A journal read as a stream that stops in the middle and goes on; see ``plans.live.journal_replay``."""
+    from .plans.live import journal_replay
+
+    return journal_replay(spark, d)
+
+
+@query(f"WITH {FILES} SELECT path, coalesce(size, 0) AS size, kind FROM files WHERE NOT starts_with(path, '/src3/') AND NOT ends_with(path, '.csv')")
+def pruned_crawl(spark, d):
+    """All documents as files below a folder, walked under a policy; see ``plans.live.walked_files``."""
+    from .plans.live import walked_files
+
+    return walked_files(spark, d, "src3/\n*.csv\n")
+
+
+@query(
+    rf"""
+    WITH {FILES}, t AS (SELECT path, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM files),
+    n AS (SELECT *, CASE WHEN length(text) <= 1800 THEN 1 ELSE ceil((length(text) - 1800) / 1600.0)::INT + 1 END AS n FROM t WHERE text <> ''),
+    w AS (SELECT *, unnest(range(n)) AS i FROM n),
+    c AS (SELECT *, substring(text, 1, i * 1600) AS head, array_to_string(list_filter(regexp_split_to_array(substring(text, i * 1600 + 1, 1800), '[\n\t]'), lambda x: x <> ''), ' ') AS line FROM w)
+    SELECT CASE WHEN starts_with(path, '/src1/') THEN '/moved' || path ELSE path END AS path, i::INT AS chunk_index, CASE WHEN n = 1 THEN '' ELSE 'Line ' || (1 + length(head) - length(replace(head, chr(10), ''))) END AS locator, substring(line, 1, 220) AS snippet FROM c
+    """
+)
+def folder_events(spark, d):
+    """An index after two events of folders; see ``plans.live.moved_folder``."""
+    from .plans.live import moved_folder
+
+    return moved_folder(spark, d)
+
+
+_PACKED = f"""
+    WITH {CHUNKS}, halves AS (SELECT path, chunk_index, list_transform(vec, lambda x: {_BF16}) AS vec, vec AS own, vec_id FROM chunks),
+    scored AS (SELECT path, chunk_index, list_dot_product(vec, (SELECT own FROM halves WHERE vec_id = 7)) AS score FROM halves)
+    SELECT path, round(score, 6) AS score, chunk_index FROM scored QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, chunk_index) = 1 ORDER BY score DESC, path LIMIT 10
+"""
+
+
+@query(_PACKED)
+def packed_search(spark, d):
+    """Exact search over stored vectors of two bytes a number, base and delta."""
+    from .plans.live import packed_store
+
+    found = search.search(packed_store(spark, d).packed_chunks(), _vector(spark, d), 10)
+    return found.select("path", F.round("score", 6).alias("score"), "chunk_index")
+
+
+@query(_PACKED)
+def replica_search(spark, d):
+    """Candidates from the stored replica of the base, the delta exactly; its SQL is the exact search."""
+    from .plans.live import packed_store
+
+    return search.funnel_stored(packed_store(spark, d), _vector(spark, d), 10).select("path", F.round("score", 6).alias("score"), "chunk_index")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import embed
 from ..functions import text as tx
 from ..operators import indexing
-from ..sources import mapping
+from ..sources import changes, mapping, walk
 from ..sources.shared import shared_folder
 from ..sources.store import Store
 from ..streaming import live
@@ -55,3 +55,62 @@ def kept_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = indexing.advanced(indexing.counters(chunks), before, after)
     wrong = indexing.diverged(kept, now).withColumn("sound", F.lit(False))
     return kept.join(wrong, ["kind", "ext"], "left").withColumn("sound", F.coalesce("sound", F.lit(True)))
+
+
+def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, op, event_id, n): the last of each path's events and how many there are, from a journal read as a stream.
+
+    Half of the events are in the journal when the query first runs; it stops,
+    the rest is appended, and it starts again from the event id in its
+    checkpoint. Each micro-batch writes a folder of its own, so a batch that is
+    run again counts once.
+    """
+    root = shared_folder(spark)
+    events = mapping.changes(spark, sf_dir).select("path", "op", "event_id")
+    cut = events.agg(F.max("event_id")).first()[0] or 0
+
+    def written(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    for part in (events.where(F.col("event_id") <= cut // 2), events.where(F.col("event_id") > cut // 2)):
+        changes.append(part, f"{root}/journal")
+        query = changes.changes(spark, f"{root}/journal").writeStream.option("checkpointLocation", f"{root}/progress").foreachBatch(written).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    out = spark.read.parquet(f"{root}/out")
+    return out.groupBy("path").agg(F.max(F.struct("event_id", "op")).alias("m"), F.count(F.lit(1)).alias("n")).select("path", "m.op", "m.event_id", "n")
+
+
+def walked_files(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
+    """(path, size, kind) below a new folder to which every document was written as a file, as far as the walk takes it."""
+    root = shared_folder(spark)
+    docs = mapping.files(spark, sf_dir).select(F.concat(F.lit(root), "path").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    walk.write_files(docs).count()
+    files, _ = walk.Walk(spark, [root], policy=policy).run()
+    return files.select(F.substr("path", F.length("root") + 1).alias("path"), "size", "kind")
+
+
+def moved_folder(spark: SparkSession, sf_dir: str, old: str = "/src1", new: str = "/moved/src1") -> DataFrame:
+    """(path, chunk_index, locator, snippet, status) after a folder was moved, of which there are two events: one for where it was, one for where it is."""
+    store = Store(spark, f"{shared_folder(spark)}/store")
+    files = mapping.files(spark, sf_dir).withColumn("content", F.col("text").cast("binary")).drop("text", "doc_id")
+    index_pass.index(store, files, ["/"], embed.HashEmbedder())
+    store.fold()
+    inside = F.col("path").startswith(f"{old}/")
+    now = files.withColumn("path", F.when(inside, F.concat(F.lit(new), F.substr("path", F.lit(len(old) + 1)))).otherwise(F.col("path")))
+    events = spark.createDataFrame([(old, "delete", 1), (new.rsplit("/", 1)[0], "create", 2)], "path string, op string, event_id long")
+    index_pass.update(store, events, now, embed.HashEmbedder(), batch="move")
+    return store.chunks().select("path", "chunk_index", "locator", "snippet")
+
+
+def packed_store(spark: SparkSession, sf_dir: str) -> Store:
+    """A packed store of all test chunks: two folders in three are its base, with its replica, and the rest its delta."""
+    store = Store(spark, f"{shared_folder(spark)}/store", packed=True)
+    chunks = mapping.chunks(spark, sf_dir).withColumns({"width": F.lit(0), "height": F.lit(0), "duration": F.lit(0.0)})
+    late = F.col("path").startswith("/d2/") | F.col("path").startswith("/d5/")
+    store.apply(chunks.where(~late))
+    store.fold()
+    store.apply(chunks.where(late))
+    return store

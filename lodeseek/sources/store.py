@@ -294,9 +294,12 @@ class Store:
         return found
 
     def fold(self) -> None:
-        """Bases and deltas as new bases: the same rows."""
+        """Bases that have a delta become new ones with it: the same rows."""
         m = self.manifest()
-        self._commit(m | self._chunk_base(self._layer(m, "chunks", raw=self.packed), m) | self._new_base(self._layer(m, "keys"), "keys"))
+        new = self._chunk_base(self._layer(m, "chunks", raw=self.packed), m) if m["delta"] else {}
+        new |= self._new_base(self._layer(m, "keys"), "keys") if m["keys_delta"] else {}
+        if new:
+            self._commit(m | new)
 
     def compact(self, least: float = DEAD_SHARE, keep: int = 2) -> bool:
         """Fold if at least this share of the stored rows is dead.

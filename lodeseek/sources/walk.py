@@ -163,3 +163,22 @@ def read_content(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([content], pa.binary())], names=[*batch.schema.names, "content"])
 
     return files.mapInArrow(run, schema)
+
+
+def write_files(files: DataFrame) -> DataFrame:
+    """(path) of files (path, content), each written by the task that has it when the result is used; a task that runs again writes the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[str] = set()
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                system, own = _system(path)
+                folder = own.rsplit("/", 1)[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(own) as stream:
+                    stream.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([batch.column("path")], names=["path"])
+
+    return files.select("path", "content").mapInArrow(run, "path string")
