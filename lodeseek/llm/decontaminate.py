@@ -2,7 +2,8 @@
 
 Documents and benchmark items are sequences of words, without case and
 punctuation. Windows of ``least`` words that a document shares with an item are
-the seeds, joined on their hash; for each document and item with enough seeds,
+the seeds, joined on their hash: first those by which a leak must be found, the
+rest for the pairs that these give. For each document and item with enough seeds,
 the longest matches that do not overlap are marked again and again, down to
 ``least`` words, so a passage that was cut up and reordered is still found whole.
 An item is leaked where the marked words are at least ``threshold`` of it.
@@ -51,6 +52,12 @@ def _windows(sums: np.ndarray, inverse: np.ndarray, length: int) -> np.ndarray:
     return (sums[length:] - sums[:-length]) * inverse[: len(sums) - length] if length < len(sums) else np.zeros(0, np.uint64)
 
 
+def _open(free: np.ndarray, length: int) -> np.ndarray:
+    """Whether all words of each window are free."""
+    sums = np.concatenate([[0], np.cumsum(~free)])
+    return sums[length:] == sums[:-length]
+
+
 def tiles(text: np.ndarray, pattern: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """(start in text, start in pattern, length) of the greedy tiling, longest first."""
     with np.errstate(over="ignore"):
@@ -64,8 +71,7 @@ def tiles(text: np.ndarray, pattern: np.ndarray, least: int = LEAST) -> list[tup
             a, b = _windows(text_sums, text_inverse, length), _windows(pattern_sums, pattern_inverse, length)
             if not len(a) or not len(b):
                 return []
-            open_a = np.convolve(~free_text, np.ones(length, int), "valid") == 0
-            open_b = np.convolve(~free_pattern, np.ones(length, int), "valid") == 0
+            open_a, open_b = _open(free_text, length), _open(free_pattern, length)
             where = defaultdict(list)
             for j in np.flatnonzero(open_b).tolist():
                 where[int(b[j])].append(j)
@@ -167,6 +173,41 @@ def _tiled(at: list[int], windows: np.ndarray, pattern: np.ndarray, least: int)
     return [(int(origin[i]), j, n) for i, j, n in tiles(text, pattern, min(least, len(pattern)))]
 
 
+def _lookups(items: DataFrame, seeds: DataFrame, windows: DataFrame, threshold: float, least: int, work: Workspace) -> DataFrame:
+    """``seeds`` (item, need, seed, times) with ``frequent``: the seeds of an item by which no document needs to be found.
+
+    Frequent seeds, most frequent in ``windows`` first, are left out as long as all
+    the words that they cover are too few for a leak: a document that leaks the
+    item has another of its seeds. So a phrase that many documents and items
+    share brings no pairs, and none is lost.
+    """
+    found = windows.groupBy("seed").agg(F.count(F.lit(1)).alias("found"))
+    counted = work.keep(seeds.join(found, "seed").groupBy("item").agg(F.collect_list(F.struct("seed", "found")).alias("found")), "found")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, pattern, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                words = pattern.values.to_numpy().view(np.uint64)
+                own, size = shingle_hashes(words, least), min(least, len(words))
+                seeds, counts = (found.values.field(k).to_numpy() for k in (0, 1))
+                at, order = np.argsort(own, kind="stable"), np.lexsort((seeds, -counts))
+                covered, total, frequent = np.zeros(len(words), bool), 0, []
+                for seed in seeds[order].view(np.uint64):
+                    places = at[np.searchsorted(own[at], seed) : np.searchsorted(own[at], seed, "right")]
+                    new = np.unique((places[:, None] + np.arange(size)).reshape(-1))
+                    more = int((~covered[new]).sum())
+                    if (total + more) / len(words) >= threshold:
+                        break
+                    covered[new] = True
+                    total += more
+                    frequent.append(seed)
+                if frequent:
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(frequent)), pa.array(longs(np.array(frequent, np.uint64)))], names=["item", "seed"])
+
+    marked = items.join(counted, "item").select("item", "pattern", "found").mapInArrow(run, "item long, seed long").withColumn("frequent", F.lit(True))
+    return seeds.join(marked, ["item", "seed"], "left").withColumn("frequent", F.coalesce("frequent", F.lit(False)))
+
+
 def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, least: int, item_col: str, item_text: str) -> DataFrame:
     """``leaked`` for (doc_id, text), with the column text_hash."""
     work = Workspace(docs.sparkSession)
@@ -174,7 +215,13 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, least: int,
     seeds = work.keep(seeds, "seeds")
     sizes = [r.n for r in items.select(F.least("n_words", F.lit(least)).alias("n")).distinct().collect()]  # ``least`` values at most
     windows = work.keep(_passing_windows(docs, seeds, sorted(sizes)), "windows")
-    met = spread_join(windows, seeds, "seed", work, "windows", HOT)
+    marked = work.keep(_lookups(items, seeds, windows, threshold, least, work), "marked")
+    columns = ["row", "doc_id", "text_hash", "item", "need", "times", "at", "words"]
+    met = work.keep(spread_join(windows, marked.where("not frequent").drop("frequent"), "seed", work, "windows", HOT).select(*columns), "met")
+    # The frequent seeds of the items that a document was found by.
+    candidates = work.keep(met.select("row", "item").distinct(), "candidates")
+    asked = spread_join(candidates, marked.where("frequent").drop("frequent"), "item", work, "candidates", HOT)
+    met = met.unionByName(windows.join(asked, ["row", "seed"]).select(*columns))
     pairs = met.groupBy("row", "doc_id", "text_hash", "item").agg(F.sum("times").alias("times"), F.first("need").alias("need"), F.collect_list(F.struct("at", "words")).alias("shared"))
     pairs = work.keep(pairs.where(F.col("times") >= F.col("need") * F.lit(threshold)).drop("times", "need"), "pairs")
 

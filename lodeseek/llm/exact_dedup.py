@@ -179,7 +179,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns, whatever their names; of repeated rows (same id, same text) one stays.
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; of repeated rows (same id, same text) one stays:
+    that with the least text as it is, then with the least hash of its columns.
 
     Null text equals empty text; a null doc_id stays only where no row of its
     text has one; an empty table gives an empty result.
@@ -197,5 +198,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once = among(verdict.where("not again"))
     again = verdict.where("again")
     if not again.isEmpty():
-        once = once.unionByName(among(again).dropDuplicates([id_col, sha]))
+        hashed = F.xxhash64(*(docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+        first = F.min_by(F.struct(*(marked[c] for c in docs.columns), marked[sha]), F.struct(marked[text_col].cast("string"), hashed))
+        once = once.unionByName(among(again).groupBy(id_col, sha).agg(first.alias("row")).select("row.*"))
     return once.drop(sha)

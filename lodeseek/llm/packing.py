@@ -106,20 +106,23 @@ def _packed(items: DataFrame, capacity: int, parts: int, length: str, order: lis
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """``pieces`` (doc_id, piece, length and any other columns) with (sequence_id, offset).
+    """``pieces`` (doc_id, piece, length and any other columns, whatever their names) with (sequence_id, offset).
 
     Every row is placed, repeated rows too; places in a sequence are gapless
-    from 0. A length of null, below 1 or above ``capacity`` is an error.
+    from 0. A length of null, below 1 or above ``capacity`` is an error. Columns
+    that are called sequence_id or offset give way to the result's.
     """
-    work = Workspace(pieces.sparkSession)
-    n = pieces.count()
+    work, own = Workspace(pieces.sparkSession), ["doc_id", "piece", "length"]
+    names = {c: c if c in own else f"__other{k}" for k, c in enumerate(pieces.columns) if c not in ("sequence_id", "offset")}
+    given, pieces = pieces, pieces.select(*(pieces[c].alias(x) for c, x in names.items()))
+    n = given.count()
     parts = max(1, -(-n // PER_PARTITION))
     first = work.keep(_packed(pieces, capacity, parts, "length", ["doc_id", "piece"], 0), "first")
     fills = first.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") * 2 <= capacity)
     second = _packed(fills.withColumnRenamed("bin", "unit"), capacity, max(1, -(-parts // 64)), "fill", ["unit"], 1)
     second = work.keep(second.select("unit", "bin", "place"), "second")
     placed = first.join(second.select(F.col("unit").alias("__unit"), F.col("bin").alias("__bin"), F.col("place").alias("__place")), F.col("bin") == F.col("__unit"), "left")
-    return placed.select(*pieces.columns, F.coalesce("__bin", "bin").alias("sequence_id"), (F.col("place") + F.coalesce("__place", F.lit(0))).alias("offset"))
+    return placed.select(*(F.col(x).alias(c) for c, x in names.items()), F.coalesce("__bin", "bin").alias("sequence_id"), (F.col("place") + F.coalesce("__place", F.lit(0))).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -15,18 +15,22 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document; see ``exact_dedup.exact_dedup`` for nulls, repeats and empty tables."""
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document; see ``jaccard_join.jaccard_components`` for short, null and repeated rows."""
     return jaccard_join.jaccard_components(_documents(spark, sf_dir), k=3, percent=90)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a piece of every document; see ``packing`` for nulls, repeats and empty tables."""
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document; ``und`` without a letter; see ``language_id`` for nulls and empty tables."""
     docs = _documents(spark, sf_dir)
     # A null doc_id has no remainder: it is not held out, and the fit takes rows with an id only.
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -36,21 +40,25 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document; see ``quality.classify`` for nulls, repeats and empty tables."""
     return quality.classify(_documents(spark, sf_dir))
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, as read back from the blocks; see ``token_store`` for nulls, repeats and empty tables."""
     path = Workspace(spark).path("tokens")
     token_store.write_tokens(_documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_store.read_tokens(spark, path)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document row and item it leaks; see ``decontaminate.leaked`` for nulls, repeats and empty tables."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.leaked(_documents(spark, sf_dir), benchmark)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms; see ``pii.pseudonymise`` for nulls, repeats and empty tables."""
     return pii.pseudonymise(_documents(spark, sf_dir), key="pseudonym key of the registered query")
 
 
@@ -58,8 +66,9 @@ def edit_script(docs: DataFrame) -> DataFrame:
     """Three edits of every document: words put in after a third, 20 characters taken out at the middle, 10 replaced at three quarters.
 
     A document with null text has none, one with empty text has them at its
-    start; rows that repeat a doc_id have those of one of them. Other columns are
-    not read, and an empty table has no edit.
+    start; of rows that repeat a doc_id, each edit is the one that comes first in
+    the text, whatever the rows' order. Other columns are not read, and an empty
+    table has no edit.
     """
     n = F.length("text")
 
@@ -67,15 +76,18 @@ def edit_script(docs: DataFrame) -> DataFrame:
         return F.struct(F.lit(seq).alias("seq"), F.floor(at).cast("int").alias("at"), F.lit(remove).alias("remove"), F.lit(insert).alias("insert"))
 
     edits = F.array(edit(0, n / 3, 0, " inserted words"), edit(1, n / 2, 20, ""), edit(2, n * 3 / 4, 10, " 42 new\n"))
-    return docs.where("text is not null").select("doc_id", F.explode(edits).alias("e")).select("doc_id", "e.*").dropDuplicates(["doc_id", "seq"])
+    each = docs.where("text is not null").select("doc_id", F.explode(edits).alias("e"))
+    return each.groupBy("doc_id", "e.seq").agg(F.min("e").alias("e")).select("doc_id", "e.*")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, before and after ``edit_script``; see ``token_counts.apply_edits`` for nulls, repeats and empty tables."""
     docs = _documents(spark, sf_dir)
     return token_counts.count_edited(docs, edit_script(docs), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated blocks; see ``line_dedup.line_dedup`` for nulls, repeats and empty tables."""
     return line_dedup.line_dedup(_documents(spark, sf_dir))
 
 

@@ -250,9 +250,11 @@ class CachedEncoder:
 
     For the two pre-tokenizers that it knows, and texts of common characters
     only, a text is split into its pre-tokens here; the library's model encodes
-    each distinct one, and its ids are remembered. Any other text, and any text
-    of another tokenizer, is encoded whole. ``capacity`` bounds the bytes that
-    remembered pre-tokens take; further ones are encoded each time.
+    each distinct one, and its ids are remembered. Any other text, any text of
+    another tokenizer, and any in which a token stands that was added to the
+    vocabulary (its id is given, as the library does), is encoded whole.
+    ``capacity`` bounds the bytes that remembered pre-tokens take; further ones
+    are encoded each time.
     """
 
     def __init__(self, path: str, capacity: int = 96 << 20):
@@ -260,7 +262,7 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.kind = self.tokenizer.model, self._kind()
         self.split = _SPLITS.get(self.kind)
         self.letters = _byte_letters()
@@ -288,8 +290,14 @@ class CachedEncoder:
     def _pieces(self, text: str) -> list[str] | bytes:
         """The text's pre-tokens, or its ids if it has to be encoded whole."""
         if self.split is None or _PLAIN(text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return self.split(text.lower() if self.kind == "word" else text)
+            return self._whole(text)
+        own = text.lower() if self.kind == "word" else text
+        if any(x in text or x in own for x in self.added):
+            return self._whole(text)
+        return self.split(own)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str | None], limit: int = 2_000_000) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers; null counts as empty.

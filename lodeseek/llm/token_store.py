@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import CachedEncoder
@@ -38,8 +38,8 @@ from .shared import CachedEncoder
 MAGIC = b"LSB1"
 HEADER = struct.Struct("<4sBIIQq")
 BLOCK_DOCS, BLOCK_IDS = 4096, 1 << 21
-#: Bytes of text that a task encodes.
-SHARD_BYTES = 64 << 20
+#: Bytes of text that a task encodes, and how many tasks there are at most: beyond it, each encodes more, in more blocks.
+SHARD_BYTES, MOST_SHARDS = 64 << 20, 20_000
 SAMPLE = 256
 _EF = struct.Struct("<QQBQ")
 
@@ -173,7 +173,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_SHARDS, -(-size // SHARD_BYTES)))
     # Ranges are found from the ids and the first characters of sampled rows.
     ordered = source.repartitionByRange(parts, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, "shard int, block int, base long, n_docs long, n_tokens long, first_doc long, last_doc long, payload binary").write.option("compression", "zstd").parquet(path)
@@ -186,11 +186,9 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     the ids as little-endian unsigned 32-bit integers.
     """
     blocks = spark.read.parquet(path)
-    totals = blocks.groupBy("shard").agg(F.max(F.col("base") + F.col("n_tokens")).alias("n")).collect()  # a row a write task
-    starts, at = [], 0
-    for shard, n in sorted(map(tuple, totals)):
-        starts.append((shard, at))
-        at += n
+    # A row a write task, of which there are ``MOST_SHARDS`` or as many as there are shuffle partitions.
+    totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    shards = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +203,6 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     arrays.append(pa.array([x.tobytes() for x in parts], pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
-    shards = spark.createDataFrame(starts, "shard int, shard_start long")
     placed = blocks.join(F.broadcast(shards), "shard").select((F.col("base") + F.col("shard_start")).alias("first"), "payload")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 

@@ -19,7 +19,6 @@ ALPHABET = "ab AB zZ \n\t éÉÀ Σσς'!1²½ ́  中😀  ﬁI'm's'S't''re'LL
 
 def plain(path):
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
     return lambda texts: [x.ids for x in found.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -27,6 +26,8 @@ def plain(path):
 def test_encoder(path):
     rng = random.Random(3)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(0, 60))) for _ in range(3000)] + [None, ""]
+    added = [x.content for x in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
+    texts += [f"{a}{x}{b}" for x in [*added, *(x.upper() for x in added)] for a in ("", "a", "a \n\n", "Σ") for b in ("", " b", "\n\n c", added[0])]
     want = plain(path)(texts)
     for capacity in (10**9, 10**4, 0):
         encoder = CachedEncoder(path, capacity)
