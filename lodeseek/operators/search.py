@@ -16,6 +16,7 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 from ..plans.search_spec import SearchSpec
 from ..schema import TOP_PASSAGES, TOP_STORE
+from ..sources.shared import shared_folder
 
 #: Queries that are broadcast at once.
 QUERY_BLOCK = 4096
@@ -144,8 +145,9 @@ def search_batch(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_STORE)
     """(query_id, rank, path, score, chunk_index, chunk_count) of every query (query_id, vec).
 
     Queries are taken ``QUERY_BLOCK`` at a time, and more of them take more passes
-    over the chunks: that many vectors are the most that is sent to the tasks at
-    once. Chunks are counted for the files found only. No file for ``top_k`` of 0
+    over the chunks: that many vectors are the most that is sent to the tasks, or
+    held by the driver, at once; the blocks' results are written in between.
+    Chunks are counted for the files found only. No file for ``top_k`` of 0
     or less; a query without a vector finds none.
     """
     spark, top_k = chunks.sparkSession, max(top_k, 0)
@@ -160,6 +162,9 @@ def search_batch(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_STORE)
             found = _best(nearest_files(chunks, vectors, top_k), "query")
             rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "path"))
             part = found.withColumn("rank", rank).where(F.col("rank") <= top_k).join(F.broadcast(ids), "query").drop("query")  # a row a query of the block
+            if blocks > 1:
+                part.write.parquet(path := shared_folder(spark))
+                part = spark.read.schema(part.schema).parquet(path)
             out = part if out is None else out.unionByName(part)
     if out is None:
         out = queries.limit(0).select("query_id", F.lit("").alias("path"), F.lit(0.0).alias("score"), F.lit(0).alias("chunk_index"), F.lit(0).alias("rank"))

@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.shared import shared_folder
+
 #: Bounds of a report's fields, dataset versions, accepted reports an address and hour.
 BOUNDS = {"files": 200_000, "scanned": 200_000, "failed": 200_000, "seconds": 86_400, "error_rate": 1, "vram_delta": 1e15, "memory": 1e15, "cores": 4096}
 RATES = ["files_per_sec", "tokens_per_sec"]
 DATASETS, HOURLY = ["v1", "v2"], 20
+#: Values of a group that a task may hold for a median.
+BUFFERED = 1_000_000
 #: Release year by the first of these that a chip's name contains.
 CHIP_YEARS = [
     ("M1 Ultra", 2022), ("M1 Pro", 2021), ("M1 Max", 2021), ("M1", 2020),
@@ -84,15 +90,63 @@ def _first(value: str) -> Column:
     return F.max_by(value, F.when(F.col(value).isNotNull(), F.struct("created_at", "run_id")))
 
 
-def by_chip_and_version(runs: DataFrame) -> DataFrame:
+@F.arrow_udf(T.LongType())
+def _sortable(x: pa.Array) -> pa.Array:
+    """Whole numbers in the order of the doubles: negative ones have their other bits turned round."""
+    bits = x.to_numpy(zero_copy_only=False).astype(np.float64).view(np.int64)
+    return pa.array(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
+
+
+@F.arrow_udf(T.DoubleType())
+def _unsorted(x: pa.Array) -> pa.Array:
+    bits = x.to_numpy(zero_copy_only=False)
+    return pa.array(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits).view(np.float64))
+
+
+def medians(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """(by..., values...): the exact median of each column of each group, null where it has no value.
+
+    Values are counted, then the middle ones found by four rounds over 16 bits of
+    them: a round has a row for each of at most 65,536 digits of a group and
+    column, whatever the group's size, and its counts combine before the shuffle.
+    """
+    work = shared_folder(rows.sparkSession)
+    named = F.explode(F.array(*(F.struct(F.lit(i).alias("which"), F.col(c).cast("double").alias("v")) for i, c in enumerate(values))))
+    group = F.struct(*by)
+    # -0.0 is 0.0; a group is one key, in which nulls are equal.
+    long = rows.select(group.alias("g"), named.alias("x")).select("g", "x.which", (F.col("x.v") + F.lit(0.0)).alias("v")).where("v is not null and not isnan(v)")
+    counted = long.groupBy("g", "which", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("key", _sortable("v")).drop("v")
+    counted.write.parquet(f"{work}/counted")
+    counted = rows.sparkSession.read.parquet(f"{work}/counted")
+    sizes = counted.groupBy("g", "which").agg(F.sum("n").alias("n"))
+    # The ranks of the one or two middle values, and what is known of their keys.
+    asked = sizes.select("g", "which", F.explode(F.array_distinct(F.array(F.expr("(n + 1) div 2"), F.expr("n div 2 + 1")))).alias("rank"), F.lit(0).cast("long").alias("high"))
+    asked = asked.withColumn("left", F.col("rank"))
+    for shift in (48, 32, 16, 0):
+        # Of the first round, the digit has the sign; of the others, it is below 65,536.
+        here = counted.select("g", "which", "n", (F.shiftright("key", shift + 16) if shift < 48 else F.lit(0).cast("long")).alias("high"), (F.shiftright("key", shift) if shift == 48 else F.shiftright("key", shift).bitwiseAND(0xFFFF)).alias("digit"))
+        digits = here.join(asked.select("g", "which", "high").distinct(), ["g", "which", "high"], "left_semi").groupBy("g", "which", "high", "digit").agg(F.sum("n").alias("n"))
+        until = F.sum("n").over(Window.partitionBy("g", "which", "high").orderBy("digit"))
+        found = digits.withColumn("until", until).join(asked, ["g", "which", "high"]).where((F.col("until") >= F.col("left")) & (F.col("until") - F.col("n") < F.col("left")))
+        whole = F.col("digit") if shift == 48 else F.shiftleft("high", 16).bitwiseOR(F.col("digit"))
+        asked = found.select("g", "which", "rank", whole.alias("high"), (F.col("left") - F.col("until") + F.col("n")).alias("left"))
+        asked.write.parquet(f"{work}/round-{shift}")
+        asked = rows.sparkSession.read.parquet(f"{work}/round-{shift}")
+    middle = asked.groupBy("g", "which").agg(F.avg(_unsorted("high")).alias("m"))
+    out = middle.groupBy("g").agg(*(F.max(F.when(F.col("which") == i, F.col("m"))).alias(c) for i, c in enumerate(values)))
+    groups = rows.select(group.alias("g")).distinct()
+    return groups.join(out, "g", "left").select("g.*", *values)
+
+
+def by_chip_and_version(runs: DataFrame, buffered: int = BUFFERED) -> DataFrame:
     """(chip, app_version, level, runs, medians, deviations, ...) for chips, their versions, and versions, in one pass.
 
     Levels are chip, chip_version and version; a run without a chip counts as
     Unknown, without a version as ?. Release year, memory and video memory are
     those of the newest run that has them, and ``systems`` the system versions,
     the newest run's first. Columns that ``runs`` lacks are null. Values that are
-    not finite count as none. For its medians, a task holds the distinct values of
-    a group.
+    not finite count as none. Where a group could have more than ``buffered``
+    values, its medians come from ``medians``, which holds no group in one place.
     """
     have = set(runs.columns)
     known = [c if c in have else F.lit(None).cast(t).alias(c) for c, t in (("seconds", "double"), ("vram_delta", "double"), ("release_year", "int"), ("mem_bytes", "long"), ("vram_bytes", "long"), ("system", "string"))]
@@ -100,20 +154,27 @@ def by_chip_and_version(runs: DataFrame) -> DataFrame:
     named = runs.select(F.coalesce("chip", F.lit("Unknown")).alias("chip"), F.coalesce("app_version", F.lit("?")).alias("app_version"), clean("files_per_sec").alias("f"), clean("tokens_per_sec").alias("t"), "created_at", "run_id", *known)
     seen = F.array_sort(F.collect_list(F.struct((-F.col("created_at")).alias("order"), "system")))
     systems = named.where("system is not null").groupBy("chip", "system").agg(F.max("created_at").alias("created_at")).groupBy("chip").agg(F.transform(seen, lambda x: x.system).alias("systems"))
-    grouped = named.groupingSets([[F.col("chip")], [F.col("chip"), F.col("app_version")], [F.col("app_version")]], "chip", "app_version").agg(
+    middles = {"f": "median_files", "t": "median_tokens", "seconds": "median_seconds", "vram_delta": "median_vram"}
+    few = runs.count() <= buffered
+    sets = named.groupingSets([[F.col("chip")], [F.col("chip"), F.col("app_version")], [F.col("app_version")]], "chip", "app_version")
+    grouped = sets.agg(
         F.grouping_id().alias("gid"),
         F.count(F.lit(1)).alias("runs"),
-        F.percentile("f", 0.5).alias("median_files"),
-        F.percentile("t", 0.5).alias("median_tokens"),
+        *(F.percentile(c, 0.5).alias(x) for c, x in middles.items() if few),
         F.stddev_samp("f").alias("std_files"),
         F.stddev_samp("t").alias("std_tokens"),
-        F.percentile("seconds", 0.5).alias("median_seconds"),
-        F.percentile("vram_delta", 0.5).alias("median_vram"),
         _first("release_year").alias("release_year"),
         _first("mem_bytes").alias("mem_bytes"),
         _first("vram_bytes").alias("vram_bytes"),
         F.max("created_at").alias("last"),
     )
+    if not few:
+        levels = [named.select(F.lit(gid).cast("long").alias("gid"), *(F.col(c) if c in keys else F.lit(None).cast("string").alias(c) for c in ("chip", "app_version")), *middles) for gid, keys in ((1, ["chip"]), (0, ["chip", "app_version"]), (2, ["app_version"]))]
+        found = medians(reduce(DataFrame.unionByName, levels), ["gid", "chip", "app_version"], list(middles))
+        own = [f"__{c}" for c in ("gid", "chip", "app_version")]
+        found = found.select(*(F.col(c[2:]).alias(c) for c in own), *(F.col(c).alias(x) for c, x in middles.items()))
+        same = reduce(lambda a, b: a & b, (F.col(c[2:]).eqNullSafe(F.col(c)) for c in own))
+        grouped = grouped.join(found, same, "left").drop(*own)
     level = F.element_at(F.create_map(F.lit(1), F.lit("chip"), F.lit(0), F.lit("chip_version"), F.lit(2), F.lit("version")), F.col("gid").cast("int"))
     return grouped.withColumn("level", level).drop("gid").join(systems.withColumn("level", F.lit("chip")), ["chip", "level"], "left")
 
