@@ -1098,3 +1098,19 @@ def replica_search(spark, d):
     from .plans.live import packed_store
 
     return search.funnel_stored(packed_store(spark, d), _vector(spark, d), 10).select("path", F.round("score", 6).alias("score"), "chunk_index")
+
+
+@query(ORACLE_SQL["rate_limit_hourly"])
+def rate_limit_stream(spark, d):
+    """Posts accepted or refused as a stream brings them; see ``plans.live.limited_stream``."""
+    from .plans.live import limited_stream
+
+    return limited_stream(spark, d)
+
+
+@query(f"SELECT * EXCLUDE (sound) FROM ({ORACLE_SQL['incremental_counters']})")
+def counter_stream(spark, d):
+    """Counters that move as a stream brings files' counts; see ``plans.live.counted_stream``."""
+    from .plans.live import counted_stream
+
+    return counted_stream(spark, d)

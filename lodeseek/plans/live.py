@@ -114,3 +114,35 @@ def packed_store(spark: SparkSession, sf_dir: str) -> Store:
     store.fold()
     store.apply(chunks.where(late))
     return store
+
+
+def limited_stream(spark: SparkSession, sf_dir: str, most: int = 2) -> DataFrame:
+    """(run_id, hour, allowed) of all posts as a stream decides them: two appended parts, and a restart in between."""
+    root = shared_folder(spark)
+    posts = mapping.telemetry(spark, sf_dir).select("run_id", "ip_hash", "created_at", F.timestamp_millis("created_at").alias("ts"))
+    cut = posts.agg(F.expr("percentile_approx(created_at, 0.5)")).first()[0] or 0
+
+    def written(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    for early in (True, False):
+        posts.where((F.col("created_at") <= cut) == F.lit(early)).write.mode("append").parquet(f"{root}/posts")
+        stream = spark.readStream.schema(posts.schema).parquet(f"{root}/posts")
+        query = live.accepted(stream, most).writeStream.option("checkpointLocation", f"{root}/progress").outputMode("update").foreachBatch(written)
+        query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("run_id", "hour", "allowed")
+
+
+def counted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, ext, files, chunks) after a stream of files' counts: all files, then, after a restart, the changes of two folders."""
+    root, chunks = shared_folder(spark), mapping.chunks(spark, sf_dir)
+    n = lambda rows, seq: rows.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("chunks")).select("path", "kind", tx.extension(F.col("path")).alias("ext"), "chunks", F.lit(seq).cast("long").alias("seq"))
+    touched = F.col("path").startswith("/d1/") | F.col("path").startswith("/d2/")
+    after = chunks.where(touched & (F.col("chunk_index") < 2)).withColumn("path", F.regexp_replace("path", r"\.txt$", ".md"))
+    gone = n(chunks.where(touched & F.col("path").endswith(".txt")), 1).withColumn("chunks", F.lit(0).cast("long"))
+    first = n(chunks, 0)
+    for part in (first, n(after, 1).unionByName(gone)):
+        part.write.mode("append").parquet(f"{root}/counts")
+        stream = spark.readStream.schema(first.schema).parquet(f"{root}/counts")
+        live.write_moves(live.counter_moves(stream), f"{root}/moves", f"{root}/progress").awaitTermination()
+    return live.counters_at(spark, f"{root}/moves")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import ignore
@@ -64,6 +65,118 @@ def first_posts(posts: DataFrame) -> DataFrame:
     return posts.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["run_id"])
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _keeps_state(spark: SparkSession) -> None:
+    """State variables and timers take the store that has them."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+
+class _Accept(StatefulProcessor):
+    """Of each address and hour the first ``most`` posts are accepted, in order of (created_at, run_id) within a batch.
+
+    A batch's posts of a key are read once; no more of them than may still be
+    accepted are held, whatever their number.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        had = self.count.get()[0] if self.count.exists() else 0
+        room, seen, first = max(0, self.most - had), 0, []  # a heap of the greatest of those that are first so far
+
+        def told(ids: list, allowed: bool) -> pd.DataFrame:
+            return pd.DataFrame({"run_id": pd.Series(ids, dtype="int64"), "ip_hash": key[0], "hour": key[1], "allowed": allowed})
+
+        for frame in rows:
+            refused = []
+            for at, run in zip((-frame["created_at"]).tolist(), (-frame["run_id"]).tolist(), strict=True):
+                seen += 1
+                last = (at, run) if not room else heapq.heappushpop(first, (at, run)) if len(first) == room else heapq.heappush(first, (at, run))
+                if last is not None:
+                    refused.append(-last[1])
+            if refused:
+                yield told(refused, False)
+        if first:
+            yield told([-run for _, run in first], True)
+        self.count.update((min(had + seen, self.most),))
+        # An hour after the watermark has passed it, nothing of this hour comes any more.
+        self.handle.registerTimer((int(key[1]) + 2) * 3_600_000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.count.clear()
+        return iter(())
+
+    def close(self) -> None: ...
+
+
+def accepted(posts: DataFrame, most: int) -> DataFrame:
+    """(run_id, ip_hash, hour, allowed) of a stream of posts (run_id, ip_hash, created_at in milliseconds, ts): each is decided when it comes.
+
+    Batches are taken as they come; of posts in order this is ``telemetry.limited``.
+    An hour's count goes when the watermark, an hour behind, is an hour beyond it.
+    """
+    _keeps_state(posts.sparkSession)
+    keyed = posts.withWatermark("ts", "1 hour").select("run_id", "ip_hash", "created_at", "ts", F.floor(F.col("created_at") / 3_600_000).alias("hour"))
+    return keyed.groupBy("ip_hash", "hour").transformWithStateInPandas(_Accept(most), "run_id long, ip_hash string, hour long, allowed boolean", "Update", "EventTime")
+
+
+class _Counted(StatefulProcessor):
+    """What a file's newest count changes: a file comes when its chunks go from none to some, and goes the other way."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "kind string, ext string, chunks long, seq long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        had = self.now.get() if self.now.exists() else None
+        last = None
+        for frame in rows:
+            row = frame.loc[frame["seq"].idxmax()]
+            if last is None or row["seq"] > last["seq"]:
+                last = row
+        if had is not None and last["seq"] <= had[3]:
+            return
+        new = (last["kind"], last["ext"], int(last["chunks"]), int(last["seq"]))
+        self.now.update(new)
+        moves = [(kind, ext, sign, sign * n) for (kind, ext, n, _), sign in ((had or (None, None, 0, 0), -1), (new, 1)) if n > 0]
+        if moves:
+            yield pd.DataFrame(moves, columns=["kind", "ext", "files", "chunks"])
+
+    def close(self) -> None: ...
+
+
+def counter_moves(changes: DataFrame) -> DataFrame:
+    """(kind, ext, files, chunks) by which the counters move, from a stream of files' counts (path, kind, ext, chunks, seq).
+
+    A file's state is its newest count by ``seq``; a count that comes late, or
+    again, changes nothing. ``write_moves`` adds them up.
+    """
+    _keeps_state(changes.sparkSession)
+    schema = "kind string, ext string, files long, chunks long"
+    return changes.groupBy("path").transformWithStateInPandas(_Counted(), schema, "Update", "None")
+
+
+def write_moves(moves: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Write each batch's moves, added up, to a folder of its own: a batch that runs again counts once. ``counters_at`` reads them."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        summed = batch.groupBy("kind", "ext").agg(F.sum("files").alias("files"), F.sum("chunks").alias("chunks"))
+        summed.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return moves.writeStream.option("checkpointLocation", checkpoint).outputMode("update").foreachBatch(apply).trigger(availableNow=True).start()
+
+
+def counters_at(spark: SparkSession, folder: str) -> DataFrame:
+    """(kind, ext, files, chunks) after all batches in ``folder``."""
+    return spark.read.parquet(folder).groupBy("kind", "ext").agg(F.sum("files").alias("files"), F.sum("chunks").alias("chunks")).where("files <> 0 or chunks <> 0")
+
+
 def smoothed_rates(samples: DataFrame, least_gap: float = 0.4) -> DataFrame:
     """(root, rate): running smoothed throughput of samples (root, t, n), kept as state a root."""
 
