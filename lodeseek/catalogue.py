@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import embed, ignore
+from .functions import embed, ignore, tables
 from .functions import text as tx
 from .functions import vectors as vx
 from .operators import history, indexing, projection, search, telemetry
@@ -1114,3 +1114,44 @@ def counter_stream(spark, d):
     from .plans.live import counted_stream
 
     return counted_stream(spark, d)
+
+
+@query(
+    rf"""
+    WITH {FILES}, t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') <> '' AS has FROM files),
+    n AS (SELECT count(*) FILTER (doc_id % 11 <> 0) AS scanned, count(*) FILTER (has AND doc_id % 11 <> 0 AND doc_id % 7 <> 0) AS unchanged, count(*) FILTER (has AND doc_id % 11 <> 0 AND doc_id % 7 = 0) AS reused,
+                 0 AS embedded, count(*) FILTER (NOT has AND doc_id % 11 <> 0) AS empty, 0 AS failed, count(*) FILTER (has AND doc_id % 11 = 0) AS deleted FROM t)
+    SELECT figure, n::BIGINT AS n FROM (UNPIVOT n ON COLUMNS(*) INTO NAME figure VALUE n)
+    """
+)
+def pass_progress(spark, d):
+    """The figures that a pass tells of itself; see ``plans.live.pass_figures``."""
+    from .plans.live import pass_figures
+
+    return pass_figures(spark, d)
+
+
+# Table functions in SQL.
+
+
+@query(ORACLE_SQL["chunk_documents"])
+def sql_chunks(spark, d):
+    """The chunks of all documents by SQL text with a lateral join."""
+    tables.register(spark)
+    documents = mapping.table(spark, d, "documents")
+    found = spark.sql("SELECT d.doc_id, c.chunk_index, c.start, c.chunk, c.locator FROM {documents} d, LATERAL chunk(d.text, 1800) c", documents=documents)
+    return found.select("doc_id", "chunk_index", F.md5(F.col("chunk").cast("binary")).alias("digest"), F.length("chunk").cast("long").alias("n_chars"))
+
+
+@query(ORACLE_SQL["packed_search"].replace(_BF16, "x"))
+def sql_search(spark, d):
+    """The nearest files of one passage by SQL text over a table function."""
+    tables.register(spark)
+    asked = "array(" + ", ".join(f"{x!r}D" for x in map(float, _vector(spark, d))) + ")"
+    return spark.sql(
+        f"""
+        WITH found AS (SELECT path, max(struct(score, -chunk_index AS place)) AS best FROM nearest(TABLE(SELECT path, chunk_index, vec FROM {{chunks}}), {asked}, 10) GROUP BY path)
+        SELECT path, round(best.score, 6) AS score, -best.place AS chunk_index FROM found ORDER BY best.score DESC, path LIMIT 10
+        """,
+        chunks=mapping.chunks(spark, d),
+    )

@@ -15,6 +15,7 @@ from ..operators import indexing
 from ..schema import CHUNK_LIMIT, CHUNK_OVERLAP, CHUNKS, EXTENSIONS, KIND_ORDER
 from ..sources.store import Store
 from ..streaming import live
+from .progress import Progress, counted
 
 #: What takes files (path, kind, content) and gives (path, text, page_starts) of those it can read; page_starts is null for plain text.
 Extractor = Callable[[DataFrame], DataFrame]
@@ -58,7 +59,7 @@ def with_content(rows: DataFrame, files: DataFrame, read: Reader | None) -> Data
     return read(rows) if read is not None else rows.join(files.select("path", "content"), "path")
 
 
-def store_files(store: Store, todo: DataFrame, known: DataFrame, embedder: em.Embedder, settings: Settings, extract: Extractor = plain_text, removed: DataFrame | None = None, batch: str | None = None, read: Reader | None = None) -> DataFrame:
+def store_files(store: Store, todo: DataFrame, known: DataFrame, embedder: em.Embedder, settings: Settings, extract: Extractor = plain_text, removed: DataFrame | None = None, batch: str | None = None, read: Reader | None = None, progress: Progress | None = None) -> DataFrame:
     """Bring files (path, modified, size, kind[, content]) into the store as one version; (path, status) of each.
 
     A file whose content key is known takes the vectors of the least path that
@@ -96,15 +97,21 @@ def store_files(store: Store, todo: DataFrame, known: DataFrame, embedder: em.Em
     # What is told of each file is worked out before the version is there: later it would find its own keys.
     how = F.when(F.col("again"), "reused").when(F.col("has"), "embedded").when(F.col("bad"), "failed").otherwise("empty")
     marks = small.select("path").join(again.select("path", F.lit(True).alias("again")), "path", "left").join(has.withColumn("has", F.lit(True)), "path", "left").join(failed.withColumn("bad", F.lit(True)), "path", "left")
-    done = store.spark.read.parquet(store.scratch(marks.select("path", how.alias("status")), "done"))
+    marks = marks.select("path", how.alias("status"))
+    if progress is not None:
+        marks = progress.watch(marks, **{x: F.col("status") == x for x in ("reused", "embedded", "failed", "empty")})
+    done = store.spark.read.parquet(store.scratch(marks, "done"))
     store.apply(items, gone, small.join(has, "path", "left_semi"), gone, batch)
+    if progress is not None:
+        progress.settle()
     return done
 
 
-def index(store: Store, files: DataFrame, roots: list[str], embedder: em.Embedder, settings: Settings = Settings(), extract: Extractor = plain_text, cancelled: bool = False, read: Reader | None = None) -> DataFrame:
+def index(store: Store, files: DataFrame, roots: list[str], embedder: em.Embedder, settings: Settings = Settings(), extract: Extractor = plain_text, cancelled: bool = False, read: Reader | None = None, progress: Progress | None = None) -> DataFrame:
     """A whole pass over crawled files (path, modified, size, kind[, content]): (path, status) of every file, and of known ones that went.
 
     Without a column content, ``read`` reads the contents that are needed.
+    ``progress`` gets its figures as the steps end.
 
     Unchanged files (equal time and size) are left as they are, unless forced;
     the others go to ``store_files``. Known files that were not seen are deleted
@@ -114,12 +121,22 @@ def index(store: Store, files: DataFrame, roots: list[str], embedder: em.Embedde
     wanted = files.where(indexing.supported(F.col("path"), settings.enabled))
     known = store.spark.read.parquet(store.scratch(indexing.indexed_files(store.chunks(embedder.dim)), "known"))
     status = indexing.changes(wanted, known)
+    if progress is not None:
+        same = F.col("status") == "unchanged"
+        status = progress.watch(status, scanned=F.col("status") != "gone", unchanged=same & F.lit(not settings.force))
+    status = store.spark.read.parquet(store.scratch(status, "status"))
+    if progress is not None:
+        progress.settle()
     same = status.where("status = 'unchanged'").select("path") if not settings.force else status.limit(0).select("path")
-    done = store_files(store, wanted.join(same, "path", "left_anti"), known, embedder, settings, extract, read=read)
+    done = store_files(store, wanted.join(same, "path", "left_anti"), known, embedder, settings, extract, read=read, progress=progress)
     ignored = ignore.ignored_with_ancestors(F.col("path"), F.lit(False), rules) if rules else None
-    stale = store.spark.read.parquet(store.scratch(indexing.stale(known, files, roots, settings.enabled, ignored, cancelled), "stale"))
+    stale = indexing.stale(known, files, roots, settings.enabled, ignored, cancelled)
+    stale = stale if progress is None else progress.watch(stale, deleted=F.col("path").isNotNull())
+    stale = store.spark.read.parquet(store.scratch(stale, "stale"))
     if not stale.isEmpty():
         store.delete_paths(stale)
+    if progress is not None:
+        progress.settle()
     return done.unionByName(same.withColumn("status", F.lit("unchanged"))).unionByName(stale.withColumn("status", F.lit("deleted")))
 
 
@@ -138,7 +155,7 @@ def among(files: DataFrame) -> Look:
     return look
 
 
-def update(store: Store, events: DataFrame, files: DataFrame | Look, embedder: em.Embedder, settings: Settings = Settings(), extract: Extractor = plain_text, paused: list[str] = (), batch: str | None = None, read: Reader | None = None) -> None:
+def update(store: Store, events: DataFrame, files: DataFrame | Look, embedder: em.Embedder, settings: Settings = Settings(), extract: Extractor = plain_text, paused: list[str] = (), batch: str | None = None, read: Reader | None = None, progress: Progress | None = None) -> None:
     """Apply change events (path, op, event_id) against the files that are there now; a batch that was committed before changes nothing.
 
     An event of a folder stands for all files at or below it: those that are
@@ -156,13 +173,15 @@ def update(store: Store, events: DataFrame, files: DataFrame | Look, embedder: e
     implied = known.select("path").unionByName(light.select("path")).distinct().join(touched.select("path"), "path", "left_anti")
     expanded = touched.unionByName(implied.select("path", F.lit("modify").alias("op"), F.lit(None).cast("long").alias("event_id")))
     acts = live.actions(expanded, light, known, settings.enabled, ignore.parse(settings.policy), list(paused), dataless="dataless" in light.columns)
+    if progress is not None:
+        acts = progress.watch(acts, scanned=F.lit(True), unchanged=F.col("action") == "none", deleted=F.col("action") == "delete")
     acts = spark.read.parquet(store.scratch(acts, "acts"))
     wanted = acts.where("action = 'embed'").select("path")
     todo = (light if read is not None else there).join(wanted, "path", "left_semi")
-    store_files(store, todo, known, embedder, settings, extract, acts.where("action = 'delete'").select("path"), batch, read)
+    store_files(store, todo, known, embedder, settings, extract, acts.where("action = 'delete'").select("path"), batch, read, progress)
 
 
-def follow(store: Store, stream: DataFrame, files: Callable[[], DataFrame] | Look, embedder: em.Embedder, checkpoint: str, settings: Settings = Settings(), extract: Extractor = plain_text, every: str | None = "1.5 seconds", read: Reader | None = None, looks: bool = False):
+def follow(store: Store, stream: DataFrame, files: Callable[[], DataFrame] | Look, embedder: em.Embedder, checkpoint: str, settings: Settings = Settings(), extract: Extractor = plain_text, every: str | None = "1.5 seconds", read: Reader | None = None, looks: bool = False, progress: Progress | None = None):
     """Keep the store up with a stream of change events.
 
     ``files`` lists what is there when a batch is applied; with ``looks``, it
@@ -170,9 +189,9 @@ def follow(store: Store, stream: DataFrame, files: Callable[[], DataFrame] | Loo
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        update(store, batch, files if looks else files(), embedder, settings, extract, batch=f"{checkpoint}#{number}", read=read)
+        update(store, batch, files if looks else files(), embedder, settings, extract, batch=f"{checkpoint}#{number}", read=read, progress=progress)
 
-    return live.live_update(stream, apply, checkpoint, every)
+    return live.live_update(counted(stream), apply, checkpoint, every)
 
 
 def file_query(files: DataFrame, embedder: em.Embedder, as_document: bool = False, extract: Extractor = plain_text) -> DataFrame:

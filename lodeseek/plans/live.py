@@ -13,6 +13,7 @@ from ..sources.shared import shared_folder
 from ..sources.store import Store
 from ..streaming import live
 from . import index_pass
+from .progress import Progress
 
 
 def replay_changes(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
@@ -45,6 +46,16 @@ def two_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.chunks().join(done, "path").select("path", "modified", "size", "chunk_index", "locator", "snippet", "status")
 
 
+def pass_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(figure, n) of the progress of a second pass: of all documents, a seventh has a new time, and an eleventh is gone."""
+    store, seen = Store(spark, f"{shared_folder(spark)}/store"), Progress()
+    files = mapping.files(spark, sf_dir).withColumn("content", F.col("text").cast("binary")).drop("text")
+    index_pass.index(store, files.drop("doc_id"), ["/"], embed.HashEmbedder())
+    later = files.where("doc_id % 11 <> 0").withColumn("modified", F.when(F.col("doc_id") % 7 == 0, F.col("modified") + 1).otherwise(F.col("modified")))
+    index_pass.index(store, later.drop("doc_id"), ["/"], embed.HashEmbedder(), progress=seen)
+    return spark.createDataFrame([(k, v) for k, v in seen.figures.items()], "figure string, n long")
+
+
 def kept_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(kind, ext, files, chunks, sound): counters carried over a change of every file of two folders, and whether they are what a recount gives."""
     chunks = mapping.chunks(spark, sf_dir)
