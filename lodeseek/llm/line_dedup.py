@@ -224,7 +224,8 @@ def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS, work: Workspace
     each = table.select("doc_id", F.posexplode(F.arrays_zip("lines", "words")).alias("at", "line")).select("doc_id", "at", F.col("line.lines").alias("hash"), F.col("line.words").alias("words"))
     seen = each.where("hash <> 0").groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
     seen = work.keep(seen.where("owner < last").drop("last"), "seen")
-    shared = each.join(seen, "hash", "left").where("owner is not null or hash = 0")
+    # Blank lines, often the most frequent ones, are in no join.
+    shared = each.where("hash <> 0").join(seen, "hash").unionByName(each.where("hash = 0").withColumn("owner", F.lit(None).cast("long")))
     # Stretches of shared (or blank) lines: those with as many unshared lines before them.
     order = Window.partitionBy("doc_id").orderBy("at")
     stretch = shared.withColumn("stretch", F.col("at") - F.row_number().over(order))
