@@ -30,6 +30,12 @@ def landmark_budget(capacity_gb: float, dim: int, layout: bool = True) -> int:
     return max(2000, min(fit, max(least, min(most, int(capacity_gb / 6 * at_six)))))
 
 
+def point_cap(capacity_gb: float, dim: int, layout: bool = True) -> int:
+    """Points that a map has in all, landmarks and placed ones: what the memory holds of their vectors, within a bound."""
+    # Share of memory, copies of a vector, least dimension, and bound.
+    return max(landmark_budget(capacity_gb, dim, layout), min(int(capacity_gb * 0.12 * 2**30 / (max(256, dim) * 4 * 2)), 250_000))
+
+
 def moments(points: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, mean, covariance): each task sums its rows' outer products, so dim * dim numbers a task are sent."""
 
@@ -286,25 +292,37 @@ def place_rest(rest: DataFrame, marks: DataFrame, k: int = NEIGHBOURS) -> DataFr
     return near.groupBy(F.col("src").alias("id")).agg((F.sum(w * F.col("x")) / F.sum(w)).alias("x"), (F.sum(w * F.col("y")) / F.sum(w)).alias("y"))
 
 
-def embedding_map(points: DataFrame, budget: int = LANDMARKS, k: int = NEIGHBOURS, epochs: int = EPOCHS) -> DataFrame:
-    """(path, x, y) of every point (id, path, vec): ``layout`` of up to ``budget`` landmarks at an even stride, ``place_rest`` of the others."""
-    if points.count() <= budget:
+def embedding_map(points: DataFrame, budget: int = LANDMARKS, k: int = NEIGHBOURS, epochs: int = EPOCHS, cap: int | None = None) -> DataFrame:
+    """(path, x, y) of every point (id, path, vec): ``layout`` of up to ``budget`` landmarks at an even stride, ``place_rest`` of the others.
+
+    With ``cap``, the map has that many points at most, landmarks first.
+    """
+    n = points.count()
+    if n <= budget and (cap is None or n <= cap):
         return layout(points, k, epochs)
-    marked = search.landmarks(search.with_index(points.select("path")), budget, budget).where("is_landmark")
+    marked = search.landmarks(search.with_index(points.select("path")), budget, n if cap is None else max(cap, min(budget, n)))
     # Collected once, so that both sides see the same landmarks: bounded by the budget.
-    picked = F.broadcast(points.sparkSession.createDataFrame([(r.path,) for r in marked.select("path").collect()], "path string"))
+    picked = F.broadcast(points.sparkSession.createDataFrame([(r.path,) for r in marked.where("is_landmark").select("path").collect()], "path string"))
     marks, rest = points.join(picked, "path", "left_semi"), points.join(picked, "path", "left_anti")
+    if cap is not None:
+        rest = rest.join(marked.where("not is_landmark").select("path"), "path", "left_semi")
     laid = layout(marks, k, epochs)
     placed = place_rest(rest, marks.join(laid, "path"), k).join(rest.select("id", "path"), "id")
     return laid.unionByName(placed.select("path", "x", "y"))
 
 
-def folder_map(chunks: DataFrame, folder: str, budget: int = LANDMARKS, k: int = NEIGHBOURS, epochs: int = EPOCHS) -> DataFrame:
-    """(path, kind, x, y) of every file at or below a folder, by the mean of its vectors; none for '' and '/'."""
+def folder_map(chunks: DataFrame, folder: str, budget: int = LANDMARKS, k: int = NEIGHBOURS, epochs: int = EPOCHS, capacity_gb: float | None = None) -> DataFrame:
+    """(path, kind, x, y) of every file at or below a folder, by the mean of its vectors; none for '' and '/'.
+
+    With ``capacity_gb``, the landmarks' budget and the cap on all points follow from the memory that the map may take.
+    """
     own = chunks.where(search.in_folder(F.col("path"), folder)) if folder.rstrip("/") else chunks.limit(0)
-    files = search.with_index(search.file_vectors(own)).withColumnRenamed("idx", "id")
+    files, cap = search.with_index(search.file_vectors(own)).withColumnRenamed("idx", "id"), None
+    if capacity_gb is not None:
+        dim = own.agg(F.max(F.size("vec"))).first()[0] or 0
+        budget, cap = min(landmark_budget(capacity_gb, dim), MOST_LANDMARKS), point_cap(capacity_gb, dim)
     kinds = own.groupBy("path").agg(F.max("kind").alias("kind"))
-    return embedding_map(files, budget, k, epochs).join(kinds, "path").select("path", "kind", "x", "y")
+    return embedding_map(files, budget, k, epochs, cap).join(kinds, "path").select("path", "kind", "x", "y")
 
 
 def preservation(flat: DataFrame, graph: DataFrame, k: int = NEIGHBOURS) -> DataFrame:

@@ -227,11 +227,54 @@ def rank_chunks(chunks: DataFrame, query: list[float], path: str, top_k: int = T
 
 
 def file_vectors(chunks: DataFrame) -> DataFrame:
-    """(path, vec): the mean of each file's vectors, scaled to length 1; files whose mean is 0 are left out."""
-    # A file's chunks are bounded by what is read of a file; one row each is shuffled.
-    sums = chunks.where("vec is not null").groupBy("path").agg(F.collect_list("vec").alias("vecs"))
-    mean = F.aggregate("vecs", F.transform(F.col("vecs")[0], lambda _: F.lit(0.0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y.cast("double")), lambda a: F.transform(a, lambda x: x / F.size("vecs")))
-    return sums.select("path", vx.normalise(mean).alias("vec")).where("vec is not null")
+    """(path, vec): the mean of each file's vectors, scaled to length 1; files whose mean is 0 are left out.
+
+    A task adds up the vectors of each batch's files from the Arrow buffer, and a
+    row a file and batch is shuffled. Null vectors are left out; those of another
+    length than the table's longest count as not there.
+    """
+    vec = chunks.schema["vec"].dataType
+    dim = chunks.agg(F.max(F.size("vec"))).first()[0] if isinstance(vec, T.ArrayType) else None
+    if not dim or dim < 1:
+        return chunks.limit(0).select("path", F.col("vec").cast("array<double>").alias("vec"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                names = batch.column(0).dictionary_encode()
+                file = names.indices.to_numpy(zero_copy_only=False)
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                order = np.argsort(file, kind="stable")
+                sums = np.add.reduceat(x[order], np.flatnonzero(np.diff(file[order], prepend=-1)), 0)
+                yield pa.RecordBatch.from_arrays([names.dictionary, _vectors(sums), pa.array(np.bincount(file))], names=["path", "total", "n"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, total, n = None, None, 0
+
+        def mean() -> pa.RecordBatch | None:
+            length = np.sqrt((total * total).sum()) if n else 0.0  # the mean and the sum have the same direction
+            return pa.RecordBatch.from_arrays([pa.array([path]), _vectors((total / length)[None])], names=["path", "vec"]) if length > 0 else None
+
+        for batch in batches:
+            sums, out = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), []
+            for own, one, m in zip(batch.column(0).to_pylist(), sums, batch.column(2).to_pylist(), strict=True):
+                if own != path:
+                    out.append(mean())
+                    path, total, n = own, one, m
+                else:
+                    total, n = total + one, n + m
+            out = [x for x in out if x is not None]
+            if out:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+        if (last := mean()) is not None:
+            yield last
+
+    sums = chunks.where(F.size("vec") == dim).select("path", "vec").mapInArrow(add, "path string, total array<double>, n long")
+    return sums.repartition("path").sortWithinPartitions("path").mapInArrow(merge, "path string, vec array<double>")
+
+
+def _vectors(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).reshape(-1)))
 
 
 def find_similar(chunks: DataFrame, path: str, top_k: int = TOP_STORE) -> DataFrame:
@@ -257,13 +300,14 @@ def landmarks(files: DataFrame, count: int, cap: int) -> DataFrame:
 def with_index(rows: DataFrame, *order: Column | str) -> DataFrame:
     """``rows`` with idx, their place from 0 in an order (by default, of path): ranges are counted, then numbered within; no task gets all rows.
 
-    The ordered rows are persisted (``spark.catalog.clearCache`` frees them): the
-    ranges that are counted must be those that are numbered, and ranges are found
-    by sampling.
+    The ordered rows are written to the shared folder: the ranges that are counted
+    must be those that are numbered, and ranges are found by sampling.
     """
     order = order or ("path",)
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).persist()
-    own = parts.withColumn("own", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    parts = parts.withColumn("own", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
+    parts.write.parquet(path := shared_folder(rows.sparkSession))
+    own = rows.sparkSession.read.schema(parts.schema).parquet(path)
     sizes = own.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "start")
     return own.join(F.broadcast(starts), "part").withColumn("idx", F.col("own") + F.col("start")).drop("part", "own", "start")

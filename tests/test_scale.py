@@ -68,3 +68,26 @@ def test_dealt_neighbours_with_ties_and_broken_vectors(spark, monkeypatch):
         want += [(i, j, k, -s) for k, (s, j) in enumerate(near, 1)]
     assert whole == sorted(want)
     assert projection.neighbours(df, df.where("id < 0"), 6).count() == 0
+
+
+def test_file_vectors_of_odd_tables(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"/f{i % 13}", i, rng.normal(size=5).tolist()) for i in range(300)] + [("/zero", 0, [1.0] * 5), ("/zero", 1, [-1.0] * 5), ("/null", 0, None), ("/short", 0, [1.0])]
+    df = spark.createDataFrame(rows, "path string, chunk_index int, vec array<float>").repartition(7)
+    got = {r.path: r.vec for r in search.file_vectors(df).collect()}
+    assert got.keys() == {f"/f{k}" for k in range(13)}
+    for k in range(13):
+        mean = np.mean([np.float32(v) for p, _, v in rows if p == f"/f{k}"], 0)
+        assert np.allclose(got[f"/f{k}"], mean / np.linalg.norm(mean), atol=1e-6)
+    assert search.file_vectors(df.where("path = '/null'")).count() == 0 and search.file_vectors(df.limit(0)).count() == 0
+
+
+def test_maps_keep_to_their_budget_and_cap(spark):
+    assert projection.point_cap(6, 768) == 125_829 and projection.point_cap(0.01, 768) == 2000 and projection.point_cap(64, 256) == 250_000
+    rng = np.random.default_rng(2)
+    points = spark.createDataFrame([(i, f"/p{i:03}", v.tolist()) for i, v in enumerate(rng.normal(size=(150, 6)))], "id long, path string, vec array<double>")
+    rows = projection.embedding_map(points, 60, 5, 10, cap=100).collect()
+    marks = {f"/p{int(j * 2.5):03}" for j in range(60)}
+    assert len(rows) == len({r.path for r in rows}) == 100 and marks <= {r.path for r in rows}
+    chunks = points.select("path", F.lit("text").alias("kind"), F.lit(0).alias("chunk_index"), "vec").withColumn("path", F.concat(F.lit("/m"), "path"))
+    assert projection.folder_map(chunks, "/m", epochs=5, capacity_gb=1).count() == 150
