@@ -1155,3 +1155,37 @@ def sql_search(spark, d):
         """,
         chunks=mapping.chunks(spark, d),
     )
+
+
+@query(
+    """
+    WITH runs AS (SELECT user_id AS run_id, event_id, epoch_us(ts) // 1000 AS created_at FROM events)
+    SELECT run_id, event_id, created_at FROM runs QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY created_at, event_id) = 1
+    """
+)
+def first_runs(spark, d):
+    runs = mapping.table(spark, d, "events").select(F.col("user_id").alias("run_id"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("created_at"))
+    return telemetry.first_of_run(runs, "event_id")
+
+
+@query(
+    f"""
+    WITH {FILES}, manifest AS (SELECT path, CASE WHEN doc_id % 10 = 0 THEN md5('other') ELSE upper(md5(text)) END AS md5 FROM files UNION ALL SELECT '/missing', md5(''))
+    SELECT m.path, coalesce(md5(f.text) = lower(m.md5), false) AS ok FROM manifest m LEFT JOIN files f USING (path)
+    """
+)
+def manifest_check(spark, d):
+    """Files against a manifest of MD5 sums, of which a tenth are wrong and one file is missing."""
+    from .sources.files import verified
+
+    found = mapping.files(spark, d).withColumn("content", F.col("text").cast("binary"))
+    manifest = found.select("path", F.when(F.col("doc_id") % 10 == 0, F.md5(F.lit("other").cast("binary"))).otherwise(F.upper(F.md5("content"))).alias("md5"))
+    return verified(found, manifest.union(spark.createDataFrame([("/missing", "d41d8cd98f00b204e9800998ecf8427e")], "path string, md5 string")))
+
+
+@query(f"WITH {CHUNKS} SELECT CASE WHEN fid % 7 = 3 THEN regexp_replace(path, '[.]txt$', '.md') ELSE path END AS path, kind FROM chunks WHERE fid % 7 <> 4".join(["SELECT kind, " + EXT + " AS ext, count(DISTINCT path) AS files, count(*) AS chunks FROM (", ") GROUP BY 1, 2"]))
+def store_counters(spark, d):
+    """The counters that a store carries over two changes; see ``plans.live.counted_store``."""
+    from .plans.live import counted_store
+
+    return counted_store(spark, d).counters()

@@ -75,10 +75,10 @@ def limited(runs: DataFrame, most: int = HOURLY) -> DataFrame:
     return hour.withColumn("allowed", place <= most)
 
 
-def first_of_run(runs: DataFrame) -> DataFrame:
-    """The first row of each run_id."""
-    place = F.row_number().over(Window.partitionBy("run_id").orderBy("created_at"))
-    return runs.withColumn("__place", place).where("__place = 1").drop("__place")
+def first_of_run(runs: DataFrame, *ties: str) -> DataFrame:
+    """The first row of each run_id by created_at, then by the columns ``ties``: the least combines before the shuffle, however often a run comes."""
+    first = F.min_by(F.struct(*runs.columns), F.struct("created_at", *ties)).alias("row")
+    return runs.groupBy("run_id").agg(first).select("row.*")
 
 
 def half_up(x: Column, digits: int = 1) -> Column:

@@ -10,7 +10,9 @@ beside each is a table of the range of every file. ``rows_at``, ``at_or_below``
 what they read does not grow with the index.
 
 A packed store keeps vectors in two bytes a number, as binary, and beside its base
-a replica in four bits a number, for searches that choose candidates first.
+a replica in four bits a number, for searches that choose candidates first. A counted
+store carries the counters of its files and chunks from version to version; a change
+reads the rows of its own paths to move them.
 """
 
 from __future__ import annotations
@@ -37,13 +39,13 @@ STEPS = 32
 
 #: (prefix in the manifest, layout, order) of what the store holds.
 _LAYERS = {"chunks": ("", CHUNKS, ["path", "chunk_index"]), "keys": ("keys_", KEYS, ["key", "path"])}
-_NOTHING = {"base": [], "delta": [], "ranges": None, "rows": 0, "delta_rows": 0, "keys_base": [], "keys_delta": [], "keys_ranges": None, "keys_rows": 0, "keys_delta_rows": 0, "codes": None}
+_NOTHING = {"base": [], "delta": [], "ranges": None, "rows": 0, "delta_rows": 0, "keys_base": [], "keys_delta": [], "keys_ranges": None, "keys_rows": 0, "keys_delta_rows": 0, "codes": None, "counters": None}
 _PACKED = T.StructType([T.StructField("vec", T.BinaryType()) if f.name == "vec" else f for f in CHUNKS])
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, packed: bool = False):
-        self.spark, self.root, self.packed = spark, root.rstrip("/"), packed
+    def __init__(self, spark: SparkSession, root: str, packed: bool = False, counted: bool = False):
+        self.spark, self.root, self.packed, self.counted = spark, root.rstrip("/"), packed, counted
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
@@ -151,6 +153,18 @@ class Store:
             raise ValueError("this store has no replica: only the base of a packed one has")
         return self._without_gone(self.spark.read.parquet(m["codes"]), m["delta"])
 
+    def counters(self) -> DataFrame:
+        """(kind, ext, files, chunks) of a counted store, as they were carried; ``indexing.diverged`` compares them with a recount."""
+        return self._counters(self.manifest())
+
+    def _counters(self, m: dict) -> DataFrame:
+        schema = "kind string, ext string, files long, chunks long"
+        if m["counters"]:
+            return self.spark.read.schema(schema).parquet(m["counters"])
+        if m["base"] or m["delta"]:  # counted from now on
+            return indexing.counters(self._layer(m, "chunks"))
+        return self.spark.createDataFrame([], schema)
+
     def _kept_paths(self, paths: DataFrame) -> DataFrame:
         return self.spark.read.parquet(self.scratch(paths.select("path").distinct(), "asked"))
 
@@ -234,6 +248,9 @@ class Store:
                 raise ValueError(f"vectors of {dims} dimensions in an index of {dim}")
             rows = self._write(kept.withColumn("vec", pk.pack(F.col("vec"))), "rows-packed") if self.packed else plain
             step = {"gone": self._gone(kept, removed), "rows": rows}
+            if self.counted:
+                before = self.rows_at(self.spark.read.parquet(step["gone"]))
+                m |= {"counters": self._write(indexing.advanced(self._counters(m), before, kept).coalesce(1), "counters")}
             m |= {"delta": [*m["delta"], step], "dim": dim, "delta_rows": m["delta_rows"] + kept.count()}
         if keys is not None or forgotten is not None:
             new = self.spark.createDataFrame([], KEYS)
@@ -284,7 +301,8 @@ class Store:
     def rewrite(self, df: DataFrame) -> None:
         """Make ``df`` the new base of the chunks; a packed store's replica is made with it."""
         m = self.manifest()
-        self._commit(m | self._chunk_base(df.withColumn("vec", pk.pack(F.col("vec"))) if self.packed else df, m))
+        # Counters are made anew when they are next needed: the rows may be others.
+        self._commit(m | self._chunk_base(df.withColumn("vec", pk.pack(F.col("vec"))) if self.packed else df, m) | {"counters": None})
 
     def _chunk_base(self, df: DataFrame, m: dict) -> dict:
         found = self._new_base(df, "chunks")
@@ -315,7 +333,7 @@ class Store:
         self.fold()
         names = self._manifests()
         held = [self._read(x) for x in names[-keep:]]
-        used = [p for m in held for x in ("", "keys_") for p in [*m.get(x + "base", []), m.get(x + "ranges"), *(y for step in m.get(x + "delta", []) for y in step.values())]] + [m.get("codes") for m in held]
+        used = [p for m in held for x in ("", "keys_") for p in [*m.get(x + "base", []), m.get(x + "ranges"), *(y for step in m.get(x + "delta", []) for y in step.values())]] + [m.get(x) for m in held for x in ("codes", "counters")]
         for name in names[:-keep]:
             self._fs.delete(self._path(f"{self.root}/manifest/{name}"), False)
         live = {p.rsplit("/", 1)[-1] for p in used if p}

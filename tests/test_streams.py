@@ -141,3 +141,44 @@ def test_table_functions(spark):
         got = spark.sql(f"SELECT path, max(struct(score, -chunk_index AS p)) AS b FROM nearest(TABLE(some_chunks), array(1D, 0.5D, -2D), {k}) GROUP BY path ORDER BY b.score DESC, path LIMIT {k}").collect()
         exact = search.search(table.withColumns({"snippet": F.lit(""), "kind": F.lit("text")}), [1.0, 0.5, -2.0], k).orderBy(F.desc("score"), "path").collect()
         assert [(r.path, r.b.score, -r.b.p) for r in got] == [(r.path, r.score, r.chunk_index) for r in exact]
+
+
+def test_counts_and_first_posts_of_a_stream(spark, tmp_path):
+    rows = [(k % 7, "a" if k % 3 else "b", k * 600_000, None) for k in range(40)]
+    posts = spark.createDataFrame(rows, POSTS).withColumn("ts", F.timestamp_millis("created_at"))
+    posts.write.parquet(f"file://{tmp_path}/in")
+    for name, build, mode in (("counts", live.hourly_counts, "complete"), ("first", live.first_posts, "append")):
+        stream = build(spark.readStream.schema(posts.schema).parquet(f"file://{tmp_path}/in"))
+        stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"file://{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination()
+    want = Counter((who, at // 3_600_000) for _, who, at, _ in rows)
+    got = spark.table("counts").select("ip_hash", F.unix_millis("start").alias("t"), "n").collect()
+    assert {(r.ip_hash, r.t // 3_600_000): r.n for r in got} == want
+    assert sorted(r.run_id for r in spark.table("first").collect()) == list(range(7))
+
+
+def test_small_operators(spark):
+    from lodeseek.functions import ignore
+    from lodeseek.operators import indexing
+
+    df = spark.createDataFrame([("rule\n",)], "t string").select(ignore.text_hash(F.col("t")).alias("h"), F.sha2(F.lit("rule\n"), 256).alias("w")).first()
+    assert df.h == df.w
+    keys = spark.createDataFrame([("/a", "k"), ("/b", "k"), ("/c", "k")], "path string, key string")
+    chunks = spark.createDataFrame([("/a", "image"), ("/b", "text")], "path string, kind string")
+    assert sorted(r.path for r in indexing.delete_keys_of_kind(keys, chunks, ["image"]).collect()) == ["/b", "/c"]
+    runs = spark.createDataFrame([(1, 5, "x"), (1, 3, "y"), (1, 3, "z"), (2, 1, "w")], "run_id long, created_at long, row string")
+    assert {tuple(r) for r in telemetry.first_of_run(runs, "row").collect()} == {(1, 3, "y"), (2, 1, "w")}
+
+
+def test_a_counted_store(spark, tmp_path):
+    from lodeseek.operators import indexing
+    from lodeseek.schema import CHUNKS
+
+    chunk = lambda path, i: (path, 1.0, 1, "text", i, "", [1.0], 0, 0, 0.0, "")
+    store = Store(spark, f"file://{tmp_path}/s", counted=True)
+    rows = lambda *x: spark.createDataFrame(list(x), CHUNKS)
+    store.apply(rows(chunk("/a.txt", 0), chunk("/a.txt", 1), chunk("/b.md", 0)))
+    store.apply(rows(chunk("/a.txt", 0)), spark.createDataFrame([("/b.md",), ("/none",)], "path string"))
+    assert [tuple(r) for r in store.counters().collect()] == [("text", "txt", 1, 1)]
+    store.fold()
+    store.apply(rows(chunk("/c", 0)))
+    assert indexing.diverged(store.counters(), store.chunks()).count() == 0 and store.counters().count() == 2
