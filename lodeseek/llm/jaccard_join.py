@@ -17,7 +17,8 @@ are found in rounds that never emit the pairs of a group:
 * posting lists whose members are all in one component are done;
 * the last round compares, in the lists that remain, each member outside the
   list's largest component with the members of other components, in the first
-  list that both are in. Only this round is needed for exactness; the star
+  list that both are in, and counts the prefix shingles that such a pair shares
+  before it is verified. Only this round is needed for exactness; the star
   rounds leave it little to do.
 
 Parity bitmaps of the sets (odd sketches), in which two sets differ in no more
@@ -303,11 +304,26 @@ def _class_links(source: DataFrame, classes: DataFrame, logs: np.ndarray, k: int
     met = F.expr("x.token = y.token and x.root <> y.root and (y.largest or x.doc_id < y.doc_id)")
     pairs = x.join(y, met & _possible("x.n", "y.n", "x.pos", "y.pos", percent) & ~F.arrays_overlap("x.before", "y.before") & near)
     pairs = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    pairs = _matched(pairs, shared, work)
     links = work.keep(links.unionByName(_verified(pairs, sets, percent, work, "exact")), "links")
-    work.drop("sets")
+    work.drop("sets", "met", "heads", "left")
     return links
 
 
+def _matched(pairs: DataFrame, shared: DataFrame, work: Workspace) -> DataFrame:
+    """Those of the pairs (a, b) that share as many prefix shingles as the shorter extension of their prefixes asks for; others are not verified.
+
+    Each document's prefix comes once, and a pair stays one row. A doc_id with
+    several texts has all their shingles and the least extension.
+    """
+    pairs = work.keep(pairs, "met")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    heads = work.keep(shared.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("token").alias("tokens"), F.min("l").alias("l")), "heads")
+    one, two = (heads.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"tokens_{x}"), F.col("l").alias(f"l_{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b")
+    return both.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.least("l_a", "l_b")).select("a", "b")
+
+
 def _unfinished(shared: DataFrame, links: DataFrame, work: Workspace, step: int) -> tuple[DataFrame, int, int]:
     """The postings of lists with two components or more, how many pairs of different components they hold, and their number."""
     roots = components(links, work, f"roots_{step}")

@@ -92,3 +92,12 @@ def test_shards_are_bounded(spark, monkeypatch):
     assert spark.read.parquet(path).select("shard").distinct().count() <= 12
     rows = token_store.read_tokens(spark, path).orderBy("doc_id").collect()
     assert [r.start for r in rows] == np.concatenate([[0], np.cumsum([r.n_tokens for r in rows])])[:-1].tolist()
+
+
+def test_pairs_with_too_few_shared_prefix_shingles_are_not_verified(spark):
+    from lodeseek.llm import jaccard_join
+
+    heads = {1: ([10, 20, 30], 2), 2: ([10, 20, 40], 3), 3: ([10, 50], 2), 4: ([10, 20, 30], 1)}
+    shared = spark.createDataFrame([(d, t, l) for d, (tokens, l) in heads.items() for t in tokens], "doc_id long, token long, l int")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (3, 4), (2, 3)], "a long, b long")
+    assert sorted(map(tuple, jaccard_join._matched(pairs, shared, Workspace(spark)).collect())) == [(1, 2), (1, 4), (3, 4)]
