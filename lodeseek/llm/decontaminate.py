@@ -36,6 +36,8 @@ LEAST = 5
 THRESHOLD = 0.5
 #: log2 of the bits of the filter of seeds, which is broadcast.
 FILTER_BITS = 26
+#: Leaking documents whose ids and hashes are broadcast, some 10 MB.
+FEW = 200_000
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -265,4 +267,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
     found = _leaks(source, benchmark, threshold, least, item_col, item_text)
     gone = Workspace(docs.sparkSession).keep(found.select("doc_id", "text_hash").distinct(), "gone")
     same = docs[id_col].cast("long").eqNullSafe(gone.doc_id) & (F.xxhash64(docs[text_col].cast("string")) == gone.text_hash)
-    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+    # Up to FEW rows of two numbers are sent to the documents; more of them meet the documents in the shuffle.
+    return docs.join(F.broadcast(gone) if gone.count() <= FEW else gone.hint("shuffle_hash"), same, "left_anti")

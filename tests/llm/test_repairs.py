@@ -101,3 +101,15 @@ def test_pairs_with_too_few_shared_prefix_shingles_are_not_verified(spark):
     shared = spark.createDataFrame([(d, t, l) for d, (tokens, l) in heads.items() for t in tokens], "doc_id long, token long, l int")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (3, 4), (2, 3)], "a long, b long")
     assert sorted(map(tuple, jaccard_join._matched(pairs, shared, Workspace(spark)).collect())) == [(1, 2), (1, 4), (3, 4)]
+
+
+def test_clean_does_not_depend_on_how_many_leak(spark, monkeypatch):
+    rng = random.Random(2)
+    items = [(k, " ".join(words(rng, 20))) for k in range(5)]
+    docs = spark.createDataFrame([(k if k % 4 else None, items[k % 5][1] if k % 3 == 0 else " ".join(words(rng, 30)), k) for k in range(60)] + [(7, None, 60)], "doc_id long, text string, row long")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for few in (10**6, 0):
+        monkeypatch.setattr(decontaminate, "FEW", few)
+        found.append(sorted(r.row for r in decontaminate.clean(docs, bench).collect()))
+    assert found[0] == found[1] == [k for k in range(61) if k % 3 or k == 60]
