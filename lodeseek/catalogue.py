@@ -1189,3 +1189,119 @@ def store_counters(spark, d):
     from .plans.live import counted_store
 
     return counted_store(spark, d).counters()
+
+
+# Filters, mutations and small operators that other queries show in passing only.
+
+_LATEST = f"WITH {HISTORY} SELECT query, last_used, bookmarked FROM latest"
+_NOISY = "CASE doc_id % 9 WHEN 0 THEN '/node_modules' WHEN 1 THEN '/build' WHEN 2 THEN '/rebuild' ELSE '' END"
+
+
+@query(
+    f"""
+    WITH {FILES}, t AS (SELECT {_NOISY} || path || CASE WHEN doc_id % 5 = 0 THEN '.bin' WHEN doc_id % 5 = 1 THEN '.PNG' ELSE '' END AS path, doc_id * 400000 AS size FROM files)
+    SELECT path FROM t WHERE NOT starts_with(path, '/node_modules/') AND NOT starts_with(path, '/build/') AND NOT ends_with(path, '.bin') AND NOT ends_with(path, '.csv') AND (NOT ends_with(path, '.PNG') OR size <= 200000000)
+    """
+)
+def supported_files(spark, d):
+    """Files by kind, extensions that are off, size caps and the noise directories of the default policy."""
+    rules = ignore.parse(ignore.synthesise(disabled_extensions={"csv"}))
+    noisy = F.when(F.col("doc_id") % 9 == 0, "/node_modules").when(F.col("doc_id") % 9 == 1, "/build").when(F.col("doc_id") % 9 == 2, "/rebuild").otherwise("")
+    ending = F.when(F.col("doc_id") % 5 == 0, ".bin").when(F.col("doc_id") % 5 == 1, ".PNG").otherwise("")
+    rows = mapping.files(spark, d).select(F.concat(noisy, "path", ending).alias("path"), (F.col("doc_id") * 400_000).alias("size"))
+    taken = indexing.supported(F.col("path")) & indexing.within_cap(tx.kind_of(F.col("path")), F.col("size"))
+    return rows.where(taken & ~ignore.ignored_with_ancestors(F.col("path"), F.lit(False), rules)).select("path")
+
+
+@query(
+    f"""
+    WITH {FILES}, there AS (SELECT path, modified, size FROM files WHERE doc_id % 6 <> 0), known AS (SELECT path, modified + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS modified, size FROM files WHERE doc_id % 7 <> 0)
+    SELECT f.path, CASE WHEN t.path IS NULL OR starts_with(f.path, '/src5/') THEN CASE WHEN k.path IS NULL THEN 'none' ELSE 'delete' END
+                        WHEN doc_id % 10 = 1 THEN 'none' WHEN k.modified = t.modified THEN 'none' ELSE 'embed' END AS action
+    FROM files f LEFT JOIN there t USING (path) LEFT JOIN known k USING (path) WHERE NOT starts_with(f.path, '/src2/')
+    """
+)
+def update_actions(spark, d):
+    """What is done with each changed path: one root is paused, one folder ignored, and some files have no content here."""
+    from .streaming import live
+
+    files = mapping.files(spark, d)
+    there = files.where("doc_id % 6 <> 0").withColumn("dataless", F.col("doc_id") % 10 == 1)
+    known = files.where("doc_id % 7 <> 0").withColumn("modified", F.col("modified") + F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0))
+    events = files.select("path", F.lit("modify").alias("op"), F.col("doc_id").alias("event_id"))
+    return live.actions(events, there, known, rules=ignore.parse("/src5/\n"), paused=["/src2"], dataless=True).select("path", "action")
+
+
+@query(f"WITH {CHUNKS} SELECT path, chunk_index FROM chunks WHERE NOT starts_with(path, '/d5/') AND fid % 3 <> 1")
+def store_deletes(spark, d):
+    """What a store holds after deletions by path and of a folder, a compaction and a fold."""
+    from .plans.live import thinned_store
+
+    return thinned_store(spark, d).chunks().select("path", "chunk_index")
+
+
+@query(
+    f"""
+    WITH {SCORED}, sound AS (SELECT * FROM scored WHERE vec_id % 11 <> 3),
+    best AS (SELECT path, chunk_index, score FROM sound QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, chunk_index) = 1)
+    SELECT path, round(score, 6) AS score, chunk_index FROM best ORDER BY score DESC, path LIMIT 10
+    """
+)
+def search_finite(spark, d):
+    """Search over a table in which an eleventh of the vectors hold a value that is not finite, or are null."""
+    broken = F.when(F.col("vec_id") % 2 == 0, F.transform("vec", lambda x, i: F.when(i == 3, float("nan")).otherwise(x).cast("float")))
+    chunks = mapping.chunks(spark, d).withColumn("vec", F.when(F.col("vec_id") % 11 == 3, broken).otherwise(F.col("vec")))
+    return search.search(chunks, _vector(spark, d), 10).select("path", F.round("score", 6).alias("score"), "chunk_index")
+
+
+@query(f"{_LATEST} WHERE lower(query) <> (SELECT min(lower(query)) FROM latest)".replace("query, last_used, bookmarked FROM", "query, last_used, (bookmarked <> (lower(query) = (SELECT max(lower(query)) FROM latest))) AS bookmarked FROM"))
+def history_edits(spark, d):
+    """One item's bookmark set or taken off, another item removed."""
+    items = history.latest(mapping.history(spark, d))
+    ends = items.agg(F.min(F.lower("query")), F.max(F.lower("query"))).first()
+    return history.remove(history.toggle(items, (ends[1] or "").upper()), ends[0] or "")
+
+
+@query(f"{_LATEST} WHERE bookmarked")
+def history_clear(spark, d):
+    return history.clear(history.latest(mapping.history(spark, d)))
+
+
+@query(
+    """
+    WITH t AS (SELECT event_id, 20 + event_id * 37 % 3000 AS h, 20 + user_id * 91 % 4000 AS w FROM events),
+    r AS (SELECT *, greatest(32, round_even(h / 32.0, 0) * 32) AS a, greatest(32, round_even(w / 32.0, 0) * 32) AS b, sqrt(h::DOUBLE * w / 1310720) AS shrink, sqrt(262144 / (h::DOUBLE * w)) AS grow FROM t)
+    SELECT event_id, CASE WHEN a * b > 1310720 THEN greatest(32, floor(h / shrink / 32) * 32) WHEN a * b < 262144 THEN ceil(h * grow / 32) * 32 ELSE a END::INT AS height,
+           CASE WHEN a * b > 1310720 THEN greatest(32, floor(w / shrink / 32) * 32) WHEN a * b < 262144 THEN ceil(w * grow / 32) * 32 ELSE b END::INT AS width FROM r
+    """
+)
+def smart_resize(spark, d):
+    sides = mapping.table(spark, d, "events").select("event_id", (20 + F.col("event_id") * 37 % 3000).alias("h"), (20 + F.col("user_id") * 91 % 4000).alias("w"))
+    return sides.select("event_id", vx.smart_resize(F.col("h").cast("double"), F.col("w").cast("double")).alias("s")).select("event_id", "s.height", "s.width")
+
+
+@query(f"WITH {_WINDOWS} SELECT doc_id, chunk_index::INT AS chunk_index, '' AS locator, md5(substring(whole, chunk_index * 1600 + 1, 1800)) AS digest FROM windows")
+def opaque_chunks(spark, d):
+    """Chunks of texts whose lines mean nothing to a reader: no locator."""
+    each = mapping.table(spark, d, "documents").select("doc_id", F.explode(tx.chunks(F.col("text"), plain=False)).alias("c"))
+    return each.select("doc_id", "c.chunk_index", "c.locator", F.md5(F.col("c.text").cast("binary")).alias("digest"))
+
+
+@query(
+    f"""
+    WITH {CHUNKS}, keys AS (SELECT DISTINCT path, 'k' || fid % 50 AS key FROM chunks)
+    SELECT path, key FROM keys WHERE path NOT IN (SELECT path FROM chunks WHERE kind IN ('image', 'audio'))
+    """
+)
+def keys_of_kinds(spark, d):
+    """Content keys after those of two kinds were dropped."""
+    chunks = mapping.chunks(spark, d)
+    keys = chunks.select("path", F.concat(F.lit("k"), F.col("fid") % 50).alias("key")).distinct()
+    return indexing.delete_keys_of_kind(keys, chunks, ["image", "audio"])
+
+
+@query("SELECT round(sum(v), 6) AS total, count(*) AS dims FROM (SELECT var_samp(x) AS v FROM (SELECT unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS dim FROM embeddings) GROUP BY dim)")
+def pca_variance(spark, d):
+    """The variance that all components of the vectors have together: the covariance's trace."""
+    _, _, covariance = projection.moments(mapping.table(spark, d, "embeddings").select(F.col("embedding").alias("vec")))
+    return spark.createDataFrame([(round(float(covariance.trace()), 6), len(covariance))], "total double, dims long")

@@ -168,3 +168,15 @@ def counted_store(spark: SparkSession, sf_dir: str) -> Store:
     items = chunks.where(renamed).withColumn("path", F.regexp_replace("path", r"\.txt$", ".md"))
     store.apply(items, chunks.where(renamed | F.col("path").startswith("/d4/")).select("path"))
     return store
+
+
+def thinned_store(spark: SparkSession, sf_dir: str) -> Store:
+    """A store of all test chunks after a third of the files was deleted by path, a folder went, and it was compacted and folded."""
+    store = Store(spark, f"{shared_folder(spark)}/store")
+    chunks = mapping.chunks(spark, sf_dir).withColumns({"width": F.lit(0), "height": F.lit(0), "duration": F.lit(0.0)})
+    store.apply(chunks)
+    store.delete_paths(chunks.where("fid % 3 = 1").select("path"))
+    store.compact()
+    store.rewrite(indexing.delete_under(store.chunks(), "/d5"))
+    store.close()
+    return store
