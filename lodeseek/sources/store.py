@@ -7,7 +7,9 @@ Reading and writing go through Spark and its file systems only.
 The base of the chunks is sorted by path, that of the content keys by key, and
 beside each is a table of the range of every file. ``rows_at``, ``at_or_below`` and
 ``keys_for`` open the files that a batch touches, and the delta, which is bounded;
-what they read does not grow with the index.
+what they read does not grow with the index. When a delta has many steps, they are
+merged into one, a sorted run with ranges of its own; only when the runs are a tenth
+of the base is the base written anew, so a row is written a bounded number of times.
 
 A packed store keeps vectors in two bytes a number, as binary, and beside its base
 a replica in four bits a number, for searches that choose candidates first. A counted
@@ -21,6 +23,7 @@ import json
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +37,8 @@ from ..schema import CHUNKS, DEAD_SHARE, FOLD_ROWS, KEYS
 SCHEMA_VERSION = 2
 #: Paths or keys that are looked up by ranges, and files that are named one by one; more of them read all files. The result is the same.
 LOOKUP, NAMED = 10_000, 10_000
-#: Steps of a delta before a fold.
-STEPS = 32
+#: Steps of a delta before they are merged into a run, and the share of the base at which runs are folded into it.
+STEPS, RUNS_SHARE = 32, 0.1
 
 #: (prefix in the manifest, layout, order) of what the store holds.
 _LAYERS = {"chunks": ("", CHUNKS, ["path", "chunk_index"]), "keys": ("keys_", KEYS, ["key", "path"])}
@@ -118,29 +121,29 @@ class Store:
         """The chunks of these paths."""
         asked = self._kept_paths(paths)
         m = self.manifest()
-        files = self._touched(m, "chunks", asked.select(F.col("path").alias("lo"), F.col("path").alias("hi")))
-        return self._of_dimension(self._layer(m, "chunks", files, lambda rows: rows.join(asked, "path", "left_semi")), dim or m.get("dim"))
+        spans = asked.select(F.col("path").alias("lo"), F.col("path").alias("hi"))
+        return self._of_dimension(self._layer(m, "chunks", spans, lambda rows: rows.join(asked, "path", "left_semi")), dim or m.get("dim"))
 
     def at_or_below(self, paths: DataFrame, dim: int | None = None) -> DataFrame:
         """The chunks of these paths and of all paths below them."""
         asked = self._kept_paths(paths)
         m = self.manifest()
         below = asked.select(F.concat("path", F.lit("/")).alias("lo"), F.concat("path", F.lit("0")).alias("hi"))
-        files = self._touched(m, "chunks", asked.select(F.col("path").alias("lo"), F.col("path").alias("hi")).unionByName(below))
+        spans = asked.select(F.col("path").alias("lo"), F.col("path").alias("hi")).unionByName(below)
 
         def keep(rows: DataFrame) -> DataFrame:
             above = rows.select("path").distinct().select("path", F.explode(indexing.self_and_above(F.col("path"))).alias("asked"))
             found = above.join(asked.withColumnRenamed("path", "asked"), "asked", "left_semi").select("path").distinct()
             return rows.join(found, "path", "left_semi")
 
-        return self._of_dimension(self._layer(m, "chunks", files, keep), dim or m.get("dim"))
+        return self._of_dimension(self._layer(m, "chunks", spans, keep), dim or m.get("dim"))
 
     def keys_for(self, keys: DataFrame) -> DataFrame:
         """The rows of these content keys (column key)."""
         asked = self.spark.read.parquet(self.scratch(keys.select("key").distinct(), "asked"))
         m = self.manifest()
-        files = self._touched(m, "keys", asked.select(F.col("key").alias("lo"), F.col("key").alias("hi")))
-        return self._layer(m, "keys", files, lambda rows: rows.join(asked, "key", "left_semi"))
+        spans = asked.select(F.col("key").alias("lo"), F.col("key").alias("hi"))
+        return self._layer(m, "keys", spans, lambda rows: rows.join(asked, "key", "left_semi"))
 
     def delta_chunks(self, raw: bool = False) -> DataFrame:
         """The live chunks that came after the base."""
@@ -168,31 +171,32 @@ class Store:
     def _kept_paths(self, paths: DataFrame) -> DataFrame:
         return self.spark.read.parquet(self.scratch(paths.select("path").distinct(), "asked"))
 
-    def _touched(self, m: dict, layer: str, spans: DataFrame) -> list[str] | None:
-        """The files of the base whose range meets one of the spans (lo, hi); None for all."""
-        prefix = _LAYERS[layer][0]
-        if not m[prefix + "base"]:
-            return []
-        if not m[prefix + "ranges"] or spans.limit(LOOKUP + 1).count() > LOOKUP:
-            return None
-        ranges = self.spark.read.parquet(m[prefix + "ranges"])
-        found = ranges.join(F.broadcast(spans), (F.col("lo") <= F.col("high")) & (F.col("hi") >= F.col("low")), "left_semi").select("file").limit(NAMED + 1).collect()
-        return None if len(found) > NAMED else [f"{m[prefix + 'base'][0]}/{r.file}" for r in found]
-
-    def _layer(self, m: dict, layer: str, files: list[str] | None = None, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows, raw: bool = False) -> DataFrame:
-        """Base, or some files of it, and delta: what a step replaced is left out before its rows are added."""
+    def _touched(self, dataset: str, ranges: str | None, spans: DataFrame | None) -> list[str]:
+        """The files of a dataset whose range meets one of the spans (lo, hi); all of it without spans or ranges, or for many spans or files."""
+        if spans is None or not ranges:
+            return [dataset]
+        found = self.spark.read.parquet(ranges).join(F.broadcast(spans), (F.col("lo") <= F.col("high")) & (F.col("hi") >= F.col("low")), "left_semi").select("file").limit(NAMED + 1).collect()
+        return [dataset] if len(found) > NAMED else [f"{dataset}/{r.file}" for r in found]
+
+    def _layer(self, m: dict, layer: str, spans: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows, raw: bool = False) -> DataFrame:
+        """Base and delta, or what keeps to the spans (lo, hi) of them: what a step replaced is left out before its rows are added."""
         prefix, schema, _ = _LAYERS[layer]
-        base = m[prefix + "base"] if files is None else files
-        out = keep(self._stored(layer, *base, raw=raw)) if base else self.spark.createDataFrame([], _PACKED if raw else schema)
-        for step in m[prefix + "delta"]:
-            out = self._without_gone(out, [step])
-            if step["rows"]:
-                out = out.unionByName(keep(self._stored(layer, step["rows"], raw=raw)))
-        return out
+        if spans is not None and spans.limit(LOOKUP + 1).count() > LOOKUP:
+            spans = None
+        parts = [(None, x, m[prefix + "ranges"]) for x in m[prefix + "base"]] + [(x.get("gone"), x.get("rows"), x.get("ranges")) for x in m[prefix + "delta"]]
+        out = None
+        for gone, rows, ranges in parts:
+            if gone and out is not None:
+                out = self._without_gone(out, [{"gone": gone}])
+            files = self._touched(rows, ranges, spans) if rows else []
+            if files:
+                part = keep(self._stored(layer, *files, raw=raw))
+                out = part if out is None else out.unionByName(part)
+        return self.spark.createDataFrame([], _PACKED if raw else schema) if out is None else out
 
     def _without_gone(self, rows: DataFrame, delta: list[dict]) -> DataFrame:
         for step in delta:
-            if step["gone"]:
+            if step.get("gone"):
                 rows = rows.join(self.spark.read.parquet(step["gone"]).distinct(), "path", "left_anti")
         return rows
 
@@ -260,10 +264,25 @@ class Store:
                 new = self.spark.read.schema(KEYS).parquet(rows)
             m |= {"keys_delta": [*m["keys_delta"], {"gone": self._gone(new, forgotten), "rows": rows}], "keys_delta_rows": m["keys_delta_rows"] + new.count()}
         self._commit(m)
-        if max(m["delta_rows"], m["keys_delta_rows"]) > FOLD_ROWS or max(len(m["delta"]), len(m["keys_delta"])) >= STEPS:
-            self.fold()
+        for layer, (prefix, *_) in _LAYERS.items():
+            if m[prefix + "delta_rows"] > max(FOLD_ROWS, RUNS_SHARE * m[prefix + "rows"]):
+                self.fold()
+            elif sum(1 for x in m[prefix + "delta"] if not x.get("ranges")) >= STEPS:
+                self.merge(layer)
         return True
 
+    def merge(self, layer: str) -> None:
+        """The steps that are not in a run yet become one, sorted, with ranges: the same rows."""
+        m = self.manifest()
+        prefix, *_ = _LAYERS[layer]
+        runs, steps = ([x for x in m[prefix + "delta"] if bool(x.get("ranges")) is kind] for kind in (True, False))
+        live = self._layer(m | {prefix + "base": [], prefix + "delta": steps}, layer, raw=self.packed and layer == "chunks")
+        found = self._new_base(live, layer)
+        gone = [self.spark.read.parquet(x["gone"]) for x in steps if x.get("gone")]
+        run = {"gone": self._write(reduce(DataFrame.unionByName, gone).distinct(), "gone") if gone else None, "rows": found[prefix + "base"][0], "ranges": found[prefix + "ranges"]}
+        count = sum(self.spark.read.parquet(x["ranges"]).agg(F.sum("n")).first()[0] or 0 for x in [*runs, run])
+        self._commit(m | {prefix + "delta": [*runs, run], prefix + "delta_rows": count})
+
     def _gone(self, rows: DataFrame, removed: DataFrame | None) -> str:
         gone = rows.select("path") if removed is None else rows.select("path").unionByName(removed.select("path"))
         return self._write(gone.distinct(), "gone")

@@ -272,3 +272,38 @@ def test_replica_search_finds_base_and_delta(spark, tmp_path):
     assert "vec" not in chosen._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1].split("\n")[0]
     only = search.funnel_stored(store, query, 10, admit=F.col("path").startswith("/d3/")).collect()
     assert len(only) == 10 and all(r.path.startswith("/d3/") for r in only)
+
+
+def test_steps_become_runs_and_runs_a_base(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores, "STEPS", 3)
+    rng, want, keys = random.Random(12), {}, {}
+    for packed_store in (False, True):
+        store = Store(spark, f"file://{tmp_path}/{packed_store}", packed=packed_store, counted=True)
+        want, keys, shapes = {}, {}, set()
+        for step in range(8):
+            new = rows(spark, 20, rng.randrange(40), seed=step).withColumn("snippet", F.lit(f"s{step}")).cache()
+            gone = [f"/d{i % 5}/f{i:05d}.txt" for i in rng.sample(range(60), 6)]
+            fresh = {r.path for r in new.collect()}
+            for p in gone:
+                want.pop(p, None)
+                keys.pop(p, None)
+            want |= dict.fromkeys(fresh, f"s{step}")
+            keys |= {p: f"k{step}" for p in fresh}
+            named = new.select("path", F.lit(f"k{step}").alias("key"), "modified", "size")
+            store.apply(new, spark.createDataFrame([(p,) for p in gone], "path string"), named, spark.createDataFrame([(p,) for p in gone if p not in fresh], "path string"))
+            m = store.manifest()
+            shapes.add((len(m["base"]), sum(bool(x.get("ranges")) for x in m["delta"])))
+            assert {r.path: r.snippet for r in store.chunks().collect()} == want and {r.path: r.key for r in store.keys().collect()} == keys
+            asked = spark.createDataFrame([(p,) for p in list(want)[:5] + gone], "path string")
+            assert {r.path for r in store.rows_at(asked).collect()} == {p for p in list(want)[:5] + gone if p in want}
+        found = store.keys_for(spark.createDataFrame([("k7",), ("k6",)], "key string"))
+        assert {r.path for r in found.collect()} == {p for p, k in keys.items() if k in ("k6", "k7")}
+        assert (0, 1) in shapes and (0, 2) in shapes and m["delta_rows"] >= 20
+        monkeypatch.setattr(stores, "FOLD_ROWS", 1)
+        store.apply(removed=spark.createDataFrame([("/none",)], "path string"))
+        monkeypatch.setattr(stores, "FOLD_ROWS", 50_000)
+        m = store.manifest()
+        assert len(m["base"]) == 1 and m["delta"] == [] and m["rows"] == len(want) and {r.path: r.snippet for r in store.chunks().collect()} == want
+        from lodeseek.operators import indexing
+
+        assert indexing.diverged(store.counters(), store.chunks()).count() == 0
