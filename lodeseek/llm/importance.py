@@ -31,11 +31,11 @@ def dictionary(found: DataFrame, work: Workspace) -> DataFrame:
 
 def _numbered_runs(found: DataFrame, known: DataFrame, words: DataFrame, work: Workspace) -> DataFrame:
     """(block, place, ids, source, target) of each block's runs of two words or more; a block's words give ids to its runs."""
-    ids = spread_join(known, words, "word", work, "numbered").select(F.col("block").alias("of"), "place", "id")
+    ids = spread_join(known, words, "word", work, "numbered").select(F.col("block").alias("of"), F.col("place").alias("at"), "id")
 
     def run(runs: pa.Table, numbers: pa.Table) -> pa.Table:
         of = np.zeros(numbers.num_rows, np.int64)
-        of[numbers.column("place").to_numpy()] = numbers.column("id").to_numpy()
+        of[numbers.column("at").to_numpy()] = numbers.column("id").to_numpy()
         parts = [[int(of[k]) for k in x] for x in runs.column("parts").to_pylist()]
         return pa.Table.from_arrays([runs.column("block"), runs.column("place"), pa.array(parts, pa.list_(pa.int64())), runs.column("others"), runs.column("flagged")], names=["block", "place", "ids", "source", "target"])
 
@@ -94,7 +94,7 @@ def weigh(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: int = B
 
     def run(documents: pa.Table, values: pa.Table) -> pa.Table:
         own = np.zeros(values.num_rows, np.int64)
-        own[values.column("place").to_numpy()] = gain[values.column("bucket").to_numpy()]
+        own[values.column("at").to_numpy()] = gain[values.column("bucket").to_numpy()]
         row, feature, times = word_blocks.by_document(documents)
         n = documents.num_rows
         sums, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -104,7 +104,7 @@ def weigh(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: int = B
         return pa.Table.from_arrays([documents.column("doc_id"), documents.column("n_words"), pa.array(sizes), pa.array(weight)], names=["doc_id", "n_words", "n_features", "weight"])
 
     sources = word_blocks.documents(blocks).where("not flag")
-    return sources.groupBy("block").cogroup(placed.select(F.col("block").alias("of"), "place", "bucket").groupBy("of")).applyInArrow(run, "doc_id long, n_words long, n_features long, weight long")
+    return sources.groupBy("block").cogroup(placed.select(F.col("block").alias("of"), F.col("place").alias("at"), "bucket").groupBy("of")).applyInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 
 
 def ranked(rows: DataFrame, chosen, order: list, n: int) -> DataFrame:
