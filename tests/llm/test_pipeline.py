@@ -43,6 +43,6 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_names():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in queries.QUERIES}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_duplicates", "decontamination", "packing"]
     assert decontaminate.LEAST == 5
