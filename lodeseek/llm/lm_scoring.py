@@ -68,6 +68,19 @@ def count_words(blocks: DataFrame) -> DataFrame:
     return word_blocks.features(blocks).groupBy("word").agg(F.sum("flagged").alias("count"))
 
 
+def _together(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they have so many rows or bytes: a lattice costs less a word for many words."""
+    held, n, total = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n, total = n + batch.num_rows, total + batch.nbytes
+        if n >= rows or total >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n, total = [], 0, 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def fit(words: DataFrame, documents: int, path: str) -> Model:
     """A model from (word, count), a written table, and the number of documents that were counted."""
     learned = words.where("count > 0")
@@ -78,7 +91,7 @@ def fit(words: DataFrame, documents: int, path: str) -> Model:
 
         def run(batches: Iterator[pa.RecordBatch], logp: np.ndarray = logp) -> Iterator[pa.RecordBatch]:
             lattice, sums = Lattice(pieces), np.zeros(n)
-            for batch in batches:
+            for batch in _together(batches):
                 texts = [x.encode() for x in batch.column(0).to_pylist()]
                 sums += lattice.expected(texts, np.ones(len(texts)), logp)
             used = np.flatnonzero(sums)
@@ -98,7 +111,7 @@ def spell(words: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model.pieces)
-        for batch in batches:
+        for batch in _together(batches):
             found = lattice.forward([x.encode() for x in batch.column(0).to_pylist()], model.logp)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["word", "count", "spelled"])
 
