@@ -233,8 +233,9 @@ def file_vectors(chunks: DataFrame) -> DataFrame:
     row a file and batch is shuffled. Null vectors are left out; those of another
     length than the table's longest count as not there.
     """
-    vec = chunks.schema["vec"].dataType
-    dim = chunks.agg(F.max(F.size("vec"))).first()[0] if isinstance(vec, T.ArrayType) else None
+    if not isinstance(chunks.schema["vec"].dataType, T.ArrayType):
+        raise TypeError("vectors as stored: Store.chunks() has them as arrays")
+    dim = chunks.agg(F.max(F.size("vec"))).first()[0]
     if not dim or dim < 1:
         return chunks.limit(0).select("path", F.col("vec").cast("array<double>").alias("vec"))
 

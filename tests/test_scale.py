@@ -91,3 +91,8 @@ def test_maps_keep_to_their_budget_and_cap(spark):
     assert len(rows) == len({r.path for r in rows}) == 100 and marks <= {r.path for r in rows}
     chunks = points.select("path", F.lit("text").alias("kind"), F.lit(0).alias("chunk_index"), "vec").withColumn("path", F.concat(F.lit("/m"), "path"))
     assert projection.folder_map(chunks, "/m", epochs=5, capacity_gb=1).count() == 150
+
+
+def test_file_vectors_do_not_take_stored_ones(spark):
+    with pytest.raises(TypeError):
+        search.file_vectors(spark.createDataFrame([("/a", bytearray(b"xx"))], "path string, vec binary"))
