@@ -119,9 +119,8 @@ def chunks(text: Column, limit: int = CHUNK_LIMIT, pages: Column | None = None,
 
 
 def snippet(text: Column) -> Column:
-    """One line of at most 220 characters: line feeds and tabs count as single spaces."""
-    joined = F.regexp_replace(F.regexp_replace(text, "[\n\t]+", " "), "^ | $", "")
-    clean = F.when(F.regexp_like(text, F.lit("^[\n\t]|[\n\t]$")), joined).otherwise(F.regexp_replace(text, "[\n\t]+", " "))
+    """One line of at most 220 characters: runs of line feeds and tabs count as single spaces, those at an end as nothing; spaces of the text stay."""
+    clean = F.regexp_replace(F.regexp_replace(text, r"^[\n\t]+|[\n\t]+\z", ""), "[\n\t]+", " ")
     return F.substring(clean, 1, SNIPPET)
 
 
