@@ -1258,8 +1258,9 @@ def search_finite(spark, d):
 def history_edits(spark, d):
     """One item's bookmark set or taken off, another item removed."""
     items = history.latest(mapping.history(spark, d))
-    ends = items.agg(F.min(F.lower("query")), F.max(F.lower("query"))).first()
-    return history.remove(history.toggle(items, (ends[1] or "").upper()), ends[0] or "")
+    # The texts as they were typed: of a letter such as \u00df, upper and lower case do not lead back to it.
+    ends = items.agg(F.min_by("query", F.lower("query")), F.max_by("query", F.lower("query"))).first()
+    return history.remove(history.toggle(items, ends[1] or ""), ends[0] or "")
 
 
 @query(f"{_LATEST} WHERE bookmarked")

@@ -46,11 +46,12 @@ def clear(items: DataFrame) -> DataFrame:
 
 
 def toggle(items: DataFrame, query: str) -> DataFrame:
-    return items.withColumn("bookmarked", F.when(F.lower("query") == query.lower(), ~F.col("bookmarked")).otherwise(F.col("bookmarked")))
+    """``items`` with the bookmark of one query, in whatever case, set or taken off."""
+    return items.withColumn("bookmarked", F.when(F.lower("query") == F.lower(F.lit(query)), ~F.col("bookmarked")).otherwise(F.col("bookmarked")))
 
 
 def remove(items: DataFrame, query: str) -> DataFrame:
-    return items.where(F.lower("query") != query.lower())
+    return items.where(F.lower("query") != F.lower(F.lit(query)))
 
 
 def ranked(items: DataFrame) -> DataFrame:
