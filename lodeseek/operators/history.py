@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from os.path import commonprefix
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import RECENT_CAP
+from ..sources.shared import shared_folder
 from .search import with_index
 
 DAY = 86_400
@@ -17,16 +24,100 @@ def latest(items: DataFrame) -> DataFrame:
     return items.groupBy(key.alias("key")).agg(F.max(F.struct("last_used", "query")).alias("m"), F.bool_or("bookmarked").alias("bookmarked")).select("m.query", "m.last_used", "bookmarked")
 
 
+class _Beginnings:
+    """For texts that come in descending order: the latest use of those that begin with the text that comes next.
+
+    They are the ones just before it. What is held is the last text, and for each
+    length that it shares with some before it the latest use of these.
+    """
+
+    def __init__(self):
+        self.text, self.held = "", []  # (length, latest use), lengths ascending
+
+    def _share(self, text: str) -> None:
+        n, latest = len(commonprefix((self.text, text))), []
+        while self.held and self.held[-1][0] >= max(n, 1):
+            latest.append(self.held.pop()[1])
+        if n and latest:
+            self.held.append((n, max(latest)))
+        self.text = text
+
+    def meet(self, text: str, used):
+        """The latest use of the texts so far that begin with ``text``, null if there is none; then ``text`` is one of them."""
+        self._share(text)
+        later = self.held.pop()[1] if self.held and self.held[-1][0] == len(text) else None
+        both = [x for x in (later, used) if x is not None]
+        if text and both:
+            self.held.append((len(text), max(both)))
+        return later
+
+    def go_on(self, text: str, held: list) -> None:
+        """Meet a stretch of texts that ends with ``text`` and of which this is held."""
+        self._share(text)
+        both = dict(self.held)
+        for n, used in held:
+            both[n] = max(used, both.get(n, used))
+        self.held = sorted(both.items())
+
+
 def collapse(items: DataFrame) -> DataFrame:
-    """``items`` without those, not bookmarked, that a later query begins with and goes on from.
+    """``items`` (a query once, as ``latest`` gives them) without those, not bookmarked, that a later query begins with and goes on from.
 
-    Each query is met by its own beginnings, so the join is on equality.
+    Queries are sorted, so those that go on from one are next to it, and a task
+    reads its range once and holds what its last query shares with others. What
+    a range hands to the next is found first: a row a range. Ranges are written
+    to the shared folder, as those that hand on must be those that are handed to.
     """
+    spark, used = items.sparkSession, items.schema["last_used"]
     low = F.lower("query")
-    starts = F.transform(F.sequence(F.lit(2), F.greatest(F.length("query") - 1, F.lit(2))), lambda n: F.substring(low, F.lit(1), n))
-    longer = items.where(F.length("query") > 2).select(F.explode(F.array_distinct(starts)).alias("start"), F.col("last_used").alias("at")).groupBy("start").agg(F.max("at").alias("at"))
-    joined = items.withColumn("start", low).join(longer, "start", "left")
-    return joined.where(F.col("bookmarked") | F.col("at").isNull() | (F.col("at") < F.col("last_used"))).select(*items.columns)
+    parts = items.where("query is not null").repartitionByRange(low.desc()).select(F.spark_partition_id().alias("part"), low.alias("low"), F.struct(*items.columns).alias("row"))
+    parts.write.parquet(path := shared_folder(spark))
+    own = spark.read.schema(parts.schema).parquet(path)
+    held = T.ArrayType(T.StructType([T.StructField("length", T.IntegerType()), T.StructField("used", used.dataType)]))
+    handed = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("low", T.StringType()), T.StructField("held", held)])
+
+    def told(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"part": n, "low": x.text, "held": [{"length": k, "used": u} for k, u in x.held]} for n, x in rows], to_arrow_schema(handed))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, run = None, _Beginnings()
+        for batch in batches:
+            for n, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part is not None and n != part:
+                    yield told([(part, run)])
+                    run = _Beginnings()
+                part = n
+                run.meet(text, at)
+        if part is not None:
+            yield told([(part, run)])
+
+    def hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = _Beginnings()
+        for batch in batches:
+            for x in batch.to_pylist():
+                yield told([(x["part"], run)])  # what comes before this range
+                run.go_on(x["low"], [(y["length"], y["used"]) for y in x["held"]])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = _Beginnings()
+        for batch in batches:
+            row, stays = batch.column(3), []
+            at, marked, query = (row.field(x).to_pylist() for x in ("last_used", "bookmarked", "query"))
+            for first, text, before, u, mark, q in zip(row.is_null().to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), at, marked, query, strict=True):
+                if first:
+                    run = _Beginnings()
+                    run.text, run.held = text, [(y["length"], y["used"]) for y in before]
+                    stays.append(False)
+                    continue
+                later = run.meet(text, u)
+                stays.append(bool(mark) or later is None or u is None or later < u or len(q) < 2)
+            yield pa.RecordBatch.from_arrays([row.filter(pa.array(stays))], names=["row"])
+
+    last = own.select("part", "low", "row.last_used").repartition("part").sortWithinPartitions("part", F.desc("low")).mapInArrow(ends, handed)
+    starts = last.repartition(1).sortWithinPartitions("part").mapInArrow(hand_on, handed)
+    rows = own.select("part", "low", F.lit(None).cast(held).alias("held"), "row").unionByName(starts.withColumn("row", F.lit(None).cast(parts.schema["row"].dataType)))
+    kept = rows.repartition("part").sortWithinPartitions("part", F.col("row").isNotNull(), F.desc("low")).mapInArrow(keep, T.StructType([T.StructField("row", parts.schema["row"].dataType)]))
+    return kept.select("row.*").unionByName(items.where("query is null"))
 
 
 def group_of(bookmarked: Column, last_used: Column, now: int) -> Column:
