@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -73,11 +72,16 @@ def _keeps_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
+#: Groups into which the addresses of an hour are dealt: each is a call and a state of its own, whatever the number of addresses.
+ADDRESS_GROUPS = 16
+
+
 class _Accept(StatefulProcessor):
     """Of each address and hour the first ``most`` posts are accepted, in order of (created_at, run_id) within a batch.
 
-    A batch's posts of a key are read once; no more of them than may still be
-    accepted are held, whatever their number.
+    A key is an hour and a group of addresses, so state is read and written once
+    a group and batch, as one value, and a batch's posts are decided together. No
+    more posts of an address are held than may still be accepted.
     """
 
     def __init__(self, most: int):
@@ -85,29 +89,33 @@ class _Accept(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.count = handle.getValueState("count", "n long")
+        self.count = handle.getValueState("count", "ips array<string>, n array<int>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        had = self.count.get()[0] if self.count.exists() else 0
-        room, seen, first = max(0, self.most - had), 0, []  # a heap of the greatest of those that are first so far
+        group, hour = key
+        before = self.count.get() if self.count.exists() else ((), ())
+        had = pd.Series(list(before[1]), index=pd.Index(list(before[0]), dtype="object"), dtype="int64")
+        seen, first = [], None  # those that are first so far
 
-        def told(ids: list, allowed: bool) -> pd.DataFrame:
-            return pd.DataFrame({"run_id": pd.Series(ids, dtype="int64"), "ip_hash": key[0], "hour": key[1], "allowed": allowed})
+        def told(posts: pd.DataFrame, allowed: bool) -> pd.DataFrame:
+            return pd.DataFrame({"run_id": posts["run_id"].astype("int64"), "ip_hash": posts["ip_hash"], "hour": hour, "allowed": allowed})
 
         for frame in rows:
-            refused = []
-            for at, run in zip((-frame["created_at"]).tolist(), (-frame["run_id"]).tolist(), strict=True):
-                seen += 1
-                last = (at, run) if not room else heapq.heappushpop(first, (at, run)) if len(first) == room else heapq.heappush(first, (at, run))
-                if last is not None:
-                    refused.append(-last[1])
-            if refused:
-                yield told(refused, False)
-        if first:
-            yield told([-run for _, run in first], True)
-        self.count.update((min(had + seen, self.most),))
+            new = frame[["run_id", "ip_hash", "created_at"]]
+            seen.append(new["ip_hash"].value_counts(dropna=False))
+            both = new if first is None else pd.concat([first, new])
+            both = both.sort_values(["created_at", "run_id"], kind="stable")
+            room = self.most - both["ip_hash"].map(had).fillna(0)
+            taken = both.groupby("ip_hash", sort=False, dropna=False).cumcount() < room
+            first = both[taken]
+            if not taken.all():
+                yield told(both[~taken], False)
+        if first is not None and len(first):
+            yield told(first, True)
+        now = pd.concat([had, *seen]).groupby(level=0, dropna=False).sum().clip(upper=self.most)
+        self.count.update(([None if x is None or x != x else x for x in now.index], now.tolist()))
         # An hour after the watermark has passed it, nothing of this hour comes any more.
-        self.handle.registerTimer((int(key[1]) + 2) * 3_600_000)
+        self.handle.registerTimer((int(hour) + 2) * 3_600_000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.count.clear()
@@ -123,8 +131,9 @@ def accepted(posts: DataFrame, most: int) -> DataFrame:
     An hour's count goes when the watermark, an hour behind, is an hour beyond it.
     """
     _keeps_state(posts.sparkSession)
-    keyed = posts.withWatermark("ts", "1 hour").select("run_id", "ip_hash", "created_at", "ts", F.floor(F.col("created_at") / 3_600_000).alias("hour"))
-    return keyed.groupBy("ip_hash", "hour").transformWithStateInPandas(_Accept(most), "run_id long, ip_hash string, hour long, allowed boolean", "Update", "EventTime")
+    group = F.pmod(F.xxhash64("ip_hash"), F.lit(ADDRESS_GROUPS)).alias("addresses")
+    keyed = posts.withWatermark("ts", "1 hour").select("run_id", "ip_hash", "created_at", "ts", F.floor(F.col("created_at") / 3_600_000).alias("hour"), group)
+    return keyed.groupBy("addresses", "hour").transformWithStateInPandas(_Accept(most), "run_id long, ip_hash string, hour long, allowed boolean", "Update", "EventTime")
 
 
 class _Counted(StatefulProcessor):
