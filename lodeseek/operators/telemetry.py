@@ -85,16 +85,11 @@ def half_up(x: Column, digits: int = 1) -> Column:
     return F.floor(x * 10**digits + 0.5) / 10**digits
 
 
-def _first(value: str) -> Column:
-    """The value of the newest run that has one."""
-    return F.max_by(value, F.when(F.col(value).isNotNull(), F.struct("created_at", "run_id")))
-
-
 @F.arrow_udf(T.LongType())
 def _sortable(x: pa.Array) -> pa.Array:
     """Whole numbers in the order of the doubles: negative ones have their other bits turned round."""
     bits = x.to_numpy(zero_copy_only=False).astype(np.float64).view(np.int64)
-    return pa.array(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
+    return pa.array(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits), mask=x.is_null().to_numpy(zero_copy_only=False))
 
 
 @F.arrow_udf(T.DoubleType())
@@ -103,43 +98,67 @@ def _unsorted(x: pa.Array) -> pa.Array:
     return pa.array(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits).view(np.float64))
 
 
-def medians(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+def medians(rows: DataFrame, by: list[str], values: list[str], sets: list[list[str]] | None = None) -> DataFrame:
     """(by..., values...): the exact median of each column of each group, null where it has no value.
 
-    Values are counted, then the middle ones found by four rounds over 16 bits of
-    them: a round has a row for each of at most 65,536 digits of a group and
-    column, whatever the group's size, and its counts combine before the shuffle.
+    The middle values are found by four rounds over 16 bits of them: a round has a
+    row for each of at most 65,536 digits of a group and column, whatever the
+    group's size, and its counts combine before the shuffle; no values are
+    shuffled or held. With ``sets`` of columns, there are groups of each set, as
+    for GROUPING SETS: the columns that are not in it are null, and ``gid`` is the
+    set's place.
     """
-    work = shared_folder(rows.sparkSession)
-    named = F.explode(F.array(*(F.struct(F.lit(i).alias("which"), F.col(c).cast("double").alias("v")) for i, c in enumerate(values))))
-    group = F.struct(*by)
-    # -0.0 is 0.0; a group is one key, in which nulls are equal.
-    long = rows.select(group.alias("g"), named.alias("x")).select("g", "x.which", (F.col("x.v") + F.lit(0.0)).alias("v")).where("v is not null and not isnan(v)")
-    counted = long.groupBy("g", "which", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("key", _sortable("v")).drop("v")
-    counted.write.parquet(f"{work}/counted")
-    counted = rows.sparkSession.read.parquet(f"{work}/counted")
-    sizes = counted.groupBy("g", "which").agg(F.sum("n").alias("n"))
-    # The ranks of the one or two middle values, and what is known of their keys.
-    asked = sizes.select("g", "which", F.explode(F.array_distinct(F.array(F.expr("(n + 1) div 2"), F.expr("n div 2 + 1")))).alias("rank"), F.lit(0).cast("long").alias("high"))
-    asked = asked.withColumn("left", F.col("rank"))
+    spark, work = rows.sparkSession, shared_folder(rows.sparkSession)
+    levels = F.array(*(F.struct(F.lit(i).alias("gid"), *(F.col(c) if c in keys else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in by)) for i, keys in enumerate(sets or [by])))
+    # -0.0 is 0.0; a value that is none has no key.
+    clean = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double") + F.lit(0.0)) for c in values]
+    rows.select(levels.alias("levels"), F.array(*map(_sortable, clean)).alias("keys")).write.parquet(f"{work}/keyed")
+    keyed = spark.read.parquet(f"{work}/keyed")
+    long = keyed.select("levels", F.posexplode("keys").alias("which", "key")).where("key is not null").select("which", "key", F.explode("levels").alias("g"))
+    asked = None
     for shift in (48, 32, 16, 0):
         # Of the first round, the digit has the sign; of the others, it is below 65,536.
-        here = counted.select("g", "which", "n", (F.shiftright("key", shift + 16) if shift < 48 else F.lit(0).cast("long")).alias("high"), (F.shiftright("key", shift) if shift == 48 else F.shiftright("key", shift).bitwiseAND(0xFFFF)).alias("digit"))
-        digits = here.join(asked.select("g", "which", "high").distinct(), ["g", "which", "high"], "left_semi").groupBy("g", "which", "high", "digit").agg(F.sum("n").alias("n"))
+        here = long.select("g", "which", (F.shiftright("key", shift + 16) if shift < 48 else F.lit(0).cast("long")).alias("high"), (F.shiftright("key", shift) if shift == 48 else F.shiftright("key", shift).bitwiseAND(0xFFFF)).alias("digit"))
+        if asked is not None:
+            here = here.join(asked.select("g", "which", "high").distinct(), ["g", "which", "high"], "left_semi")
+        here.groupBy("g", "which", "high", "digit").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{work}/digits-{shift}")
+        digits = spark.read.parquet(f"{work}/digits-{shift}")
+        if asked is None:  # the ranks of the one or two middle values
+            sizes = digits.groupBy("g", "which").agg(F.sum("n").alias("n"))
+            asked = sizes.select("g", "which", F.explode(F.array_distinct(F.array(F.expr("(n + 1) div 2"), F.expr("n div 2 + 1")))).alias("rank"), F.lit(0).cast("long").alias("high"))
+            asked = asked.withColumn("left", F.col("rank"))
         until = F.sum("n").over(Window.partitionBy("g", "which", "high").orderBy("digit"))
         found = digits.withColumn("until", until).join(asked, ["g", "which", "high"]).where((F.col("until") >= F.col("left")) & (F.col("until") - F.col("n") < F.col("left")))
         whole = F.col("digit") if shift == 48 else F.shiftleft("high", 16).bitwiseOR(F.col("digit"))
         asked = found.select("g", "which", "rank", whole.alias("high"), (F.col("left") - F.col("until") + F.col("n")).alias("left"))
         asked.write.parquet(f"{work}/round-{shift}")
-        asked = rows.sparkSession.read.parquet(f"{work}/round-{shift}")
+        asked = spark.read.parquet(f"{work}/round-{shift}")
     middle = asked.groupBy("g", "which").agg(F.avg(_unsorted("high")).alias("m"))
     out = middle.groupBy("g").agg(*(F.max(F.when(F.col("which") == i, F.col("m"))).alias(c) for i, c in enumerate(values)))
-    groups = rows.select(group.alias("g")).distinct()
-    return groups.join(out, "g", "left").select("g.*", *values)
+    groups = keyed.select(F.explode("levels").alias("g")).distinct()
+    found = groups.join(out, "g", "left").select("g.*", *values)
+    return found if sets else found.drop("gid")
+
+
+def _newest(named: DataFrame, grouped: DataFrame, values: list[str]) -> DataFrame:
+    """``grouped`` (gid, chip, app_version, newest_<value>: the time of the newest run that has it) with these runs' values; of one time, the last run_id's."""
+    keys = ["gid", "chip", "app_version"]
+    levels = F.array(*(F.struct(F.lit(gid).cast("long").alias("gid"), *(F.col(c) if c in own else F.lit(None).cast("string").alias(c) for c in keys[1:])) for gid, own in _LEVELS))
+    times = grouped.select(*(F.col(c).alias(f"__{c}") for c in keys), *(f"newest_{c}" for c in values))
+    runs = named.select("created_at", "run_id", *values, F.explode(levels).alias("g")).select("created_at", "run_id", *values, "g.*")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys))
+    is_newest = {c: F.col(c).isNotNull() & F.col("created_at").eqNullSafe(F.col(f"newest_{c}")) for c in values}
+    few = runs.join(times, same).where(reduce(lambda a, b: a | b, is_newest.values()))
+    found = few.groupBy(*(F.col(c).alias(f"__{c}") for c in keys)).agg(*(F.max_by(c, F.when(is_newest[c], F.struct("run_id"))).alias(c) for c in values))
+    return grouped.drop(*(f"newest_{c}" for c in values)).join(found, same, "left").drop(*(f"__{c}" for c in keys))
+
+
+#: (grouping id, columns) of the levels chip, chip_version and version.
+_LEVELS = [(1, ["chip"]), (0, ["chip", "app_version"]), (2, ["app_version"])]
 
 
 def by_chip_and_version(runs: DataFrame, buffered: int = BUFFERED) -> DataFrame:
-    """(chip, app_version, level, runs, medians, deviations, ...) for chips, their versions, and versions, in one pass.
+    """(chip, app_version, level, runs, medians, deviations, ...) for chips, their versions, and versions.
 
     Levels are chip, chip_version and version; a run without a chip counts as
     Unknown, without a version as ?. Release year, memory and video memory are
@@ -147,6 +166,7 @@ def by_chip_and_version(runs: DataFrame, buffered: int = BUFFERED) -> DataFrame:
     the newest run's first. Columns that ``runs`` lacks are null. Values that are
     not finite count as none. Where a group could have more than ``buffered``
     values, its medians come from ``medians``, which holds no group in one place.
+    All else is numbers that combine in a hash table, so no run is sorted.
     """
     have = set(runs.columns)
     known = [c if c in have else F.lit(None).cast(t).alias(c) for c, t in (("seconds", "double"), ("vram_delta", "double"), ("release_year", "int"), ("mem_bytes", "long"), ("vram_bytes", "long"), ("system", "string"))]
@@ -155,6 +175,7 @@ def by_chip_and_version(runs: DataFrame, buffered: int = BUFFERED) -> DataFrame:
     seen = F.array_sort(F.collect_list(F.struct((-F.col("created_at")).alias("order"), "system")))
     systems = named.where("system is not null").groupBy("chip", "system").agg(F.max("created_at").alias("created_at")).groupBy("chip").agg(F.transform(seen, lambda x: x.system).alias("systems"))
     middles = {"f": "median_files", "t": "median_tokens", "seconds": "median_seconds", "vram_delta": "median_vram"}
+    newest = ["release_year", "mem_bytes", "vram_bytes"]
     few = runs.count() <= buffered
     sets = named.groupingSets([[F.col("chip")], [F.col("chip"), F.col("app_version")], [F.col("app_version")]], "chip", "app_version")
     grouped = sets.agg(
@@ -163,16 +184,16 @@ def by_chip_and_version(runs: DataFrame, buffered: int = BUFFERED) -> DataFrame:
         *(F.percentile(c, 0.5).alias(x) for c, x in middles.items() if few),
         F.stddev_samp("f").alias("std_files"),
         F.stddev_samp("t").alias("std_tokens"),
-        _first("release_year").alias("release_year"),
-        _first("mem_bytes").alias("mem_bytes"),
-        _first("vram_bytes").alias("vram_bytes"),
+        *(F.max(F.when(F.col(c).isNotNull(), F.col("created_at"))).alias(f"newest_{c}") for c in newest),
         F.max("created_at").alias("last"),
     )
+    grouped.write.parquet(path := shared_folder(runs.sparkSession))  # a row a group: its size is known to the joins
+    grouped = _newest(named, runs.sparkSession.read.schema(grouped.schema).parquet(path), newest)
     if not few:
-        levels = [named.select(F.lit(gid).cast("long").alias("gid"), *(F.col(c) if c in keys else F.lit(None).cast("string").alias(c) for c in ("chip", "app_version")), *middles) for gid, keys in ((1, ["chip"]), (0, ["chip", "app_version"]), (2, ["app_version"]))]
-        found = medians(reduce(DataFrame.unionByName, levels), ["gid", "chip", "app_version"], list(middles))
+        found = medians(named.select("chip", "app_version", *middles), ["chip", "app_version"], list(middles), [keys for _, keys in _LEVELS])
+        gid = F.element_at(F.array(*(F.lit(gid).cast("long") for gid, _ in _LEVELS)), F.col("gid") + 1)
         own = [f"__{c}" for c in ("gid", "chip", "app_version")]
-        found = found.select(*(F.col(c[2:]).alias(c) for c in own), *(F.col(c).alias(x) for c, x in middles.items()))
+        found = found.select(gid.alias("__gid"), *(F.col(c[2:]).alias(c) for c in own[1:]), *(F.col(c).alias(x) for c, x in middles.items()))
         same = reduce(lambda a, b: a & b, (F.col(c[2:]).eqNullSafe(F.col(c)) for c in own))
         grouped = grouped.join(found, same, "left").drop(*own)
     level = F.element_at(F.create_map(F.lit(1), F.lit("chip"), F.lit(0), F.lit("chip_version"), F.lit(2), F.lit("version")), F.col("gid").cast("int"))
