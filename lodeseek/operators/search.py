@@ -21,7 +21,7 @@ from ..sources.shared import shared_folder
 #: Queries that are broadcast at once.
 QUERY_BLOCK = 4096
 #: Scores that a task holds at once.
-_SCORES = 1 << 21
+_SCORES = 1 << 19
 _HIT_TYPES = ["string", "double", "string", "string", "int", "double", "int", "int", "double", "string", "long"]
 _HIT = ["path", "score", "snippet", "kind", "chunk_index", "modified", "width", "height", "duration", "locator", "chunk_count"]
 
@@ -75,10 +75,18 @@ def nearest_files(chunks: DataFrame, queries: np.ndarray, top_k: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        # Of each query, the score of the file that is the last of the ``top_k`` first so far: what is below it is never held.
+        floor = np.full(cast.value.shape[1], -np.inf)
 
         def reduced() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            return _first_of(*(c if n == "path" else c.to_numpy() for n, c in zip(whole.schema.names, whole.columns, strict=True)), top_k)
+            best = _first_of(*(c if n == "path" else c.to_numpy() for n, c in zip(whole.schema.names, whole.columns, strict=True)), top_k)
+            query, score = best.column(0).to_numpy(), best.column(2).to_numpy()
+            full = np.bincount(query, minlength=len(floor)) >= top_k
+            least = np.full(len(floor), np.inf)
+            np.minimum.at(least, query, score)
+            floor[full] = least[full]
+            return best
 
         for batch in batches:
             for at in range(0, batch.num_rows, step := max(1, _SCORES // asked)):
@@ -94,10 +102,10 @@ def nearest_files(chunks: DataFrame, queries: np.ndarray, top_k: int) -> DataFra
                     least = np.partition(best, max(0, len(best) - top_k), 0)[max(0, len(best) - top_k)]
                 else:
                     least = np.full(scores.shape[1], -np.inf)
-                row, query = np.nonzero((scores >= least) & (scores > -np.inf))
+                row, query = np.nonzero((scores >= np.maximum(least, floor)) & (scores > -np.inf))
                 if len(row):
                     held.append(_first_of(query, part.column(0).take(pa.array(row)), scores[row, query], part.column(1).to_numpy()[row], top_k))
-                if len(held) > 16:
+                if len(held) > 1 and sum(x.num_rows for x in held) > 2 * top_k * asked or len(held) > 16:
                     held = [reduced()]
         if held:
             yield reduced()
