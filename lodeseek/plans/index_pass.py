@@ -72,7 +72,8 @@ def store_files(store: Store, todo: DataFrame, known: DataFrame, embedder: em.Em
     paths and keys touch is read.
     """
     dim = embedder.dim
-    keyed = with_content(todo.drop("content"), todo, read).withColumn("key", tx.content_key(F.col("kind"), F.col("path"), F.col("content"), dim, fingerprint(settings)))
+    # Their own contents need no join.
+    keyed = (todo.where("path is not null") if read is None else read(todo.drop("content"))).withColumn("key", tx.content_key(F.col("kind"), F.col("path"), F.col("content"), dim, fingerprint(settings)))
     small = store.spark.read.parquet(store.scratch(keyed.drop("content"), "todo"))
     recorded = store.spark.read.parquet(store.scratch(store.keys_for(small.select("key")), "recorded"))
     stored = store.rows_at(recorded.select("path"), dim)
@@ -85,8 +86,10 @@ def store_files(store: Store, todo: DataFrame, known: DataFrame, embedder: em.Em
     texts = extract(with_content(firsts, todo, read)).where(F.length("text") >= settings.least_characters)
     made = store.spark.read.schema(CHUNKS).parquet(store.scratch(chunk_rows(firsts, texts, embedder, settings), "made"))
     sound = indexing.finite_files(made)
-    good = made.join(sound.where("sound"), "path", "left_semi")
-    copies = indexing.rewritten(good, fresh.join(chosen, "key").where("source <> path"))
+    # Few of them as a rule: written, they have a size by which chunks need not be shuffled to meet them.
+    bad = store.spark.read.parquet(store.scratch(sound.where("not coalesce(sound, false)").select("path"), "bad"))
+    good = made.join(bad, "path", "left_anti")
+    copies = indexing.rewritten(good, store.spark.read.parquet(store.scratch(fresh.join(chosen, "key").where("source <> path"), "copies")))
     items = store.spark.read.schema(CHUNKS).parquet(store.scratch(reused.unionByName(good).unionByName(copies), "items"))
     failed = fresh.join(chosen, "key").join(sound.where("not sound").select(F.col("path").alias("source")), "source", "left_semi").select("path")
     has = items.select("path").distinct()
