@@ -27,14 +27,18 @@ class HashEmbedder:
     dim = 64
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        mask = (1 << 64) - 1
-        seeds = []
-        for t in texts:
-            h = 0xCBF29CE484222325
-            for b in t.encode():
-                h = (h ^ b) * 0x100000001B3 & mask
-            seeds.append(h | 1)
-        x, out = np.array(seeds, np.uint64), np.empty((len(texts), self.dim), np.float32)
+        raw = [t.encode() for t in texts]
+        length = np.array([len(b) for b in raw], np.int64)
+        order = np.argsort(-length, kind="stable")  # longest first: those that still have a byte at a place are the first ones
+        length, joined = length[order], np.frombuffer(b"".join(raw[i] for i in order), np.uint8).astype(np.uint64)
+        starts, h = np.cumsum(length) - length, np.full(len(raw), 0xCBF29CE484222325, np.uint64)
+        rising = -length
+        for at in range(int(length[0]) if len(raw) else 0):
+            n = np.searchsorted(rising, -at)  # texts longer than ``at``
+            h[:n] = (h[:n] ^ joined[starts[:n] + at]) * np.uint64(0x100000001B3)
+        seeds = np.empty_like(h)
+        seeds[order] = h | np.uint64(1)
+        x, out = seeds, np.empty((len(texts), self.dim), np.float32)
         for k in range(self.dim):
             x ^= x << np.uint64(13)
             x ^= x >> np.uint64(7)
